@@ -72,3 +72,15 @@ def plain_types(df):
             c = joined(c)
         cols.append(c.alias(field.name))
     return df.select(*cols)
+
+
+def utc_literal(value):
+    """A Python datetime as a UTC timestamp literal (naive means UTC).
+
+    Goes through text so that the Python process's local zone never applies.
+    """
+    from datetime import UTC
+
+    if value.tzinfo is not None:
+        value = value.astimezone(UTC).replace(tzinfo=None)
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.buckets import bucket_sums
-from inkwell.functions.formats import lag_minutes
+from inkwell.functions.formats import lag_minutes, utc_literal
 
 
 def article_tags(latest: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def content_freshness(latest: DataFrame, refreshed_at: datetime | None = None) -
     ``refreshed_at`` pins the stamp (tests, reruns); by default it is the
     query's current timestamp. An empty input still gives one row.
     """
-    stamp = F.lit(refreshed_at).cast("timestamp") if refreshed_at else F.current_timestamp()
+    stamp = utc_literal(refreshed_at) if refreshed_at else F.current_timestamp()
     agg = latest.agg(
         F.count(F.lit(1)).alias("total_articles"),
         F.countDistinct("section_name").alias("active_sections"),

@@ -120,7 +120,7 @@ def run_records_from_events(events: DataFrame) -> DataFrame:
         state.alias("state"),
         F.when(eid % 7 == 0, F.lit(None).cast("string"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("start_date"),
-        F.when(finished, F.date_format(F.timestamp_add("SECOND", F.col("value").cast("long"), ts),
+        F.when(finished, F.date_format(F.timestamp_add("SECOND", F.floor("value"), ts),
                                        "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("end_date"),
         F.date_format(hour, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("logical_date"),
         conf.alias("conf"),
@@ -129,3 +129,74 @@ def run_records_from_events(events: DataFrame) -> DataFrame:
 
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_records_from_events(read_table(spark, sf_dir, "events"))
+
+
+PAGE_SIZE = 50
+
+
+def landing_results_from_events(events: DataFrame) -> DataFrame:
+    """One source result element (JSON text) per event, with its fetch day
+    and page (blocks of 50 consecutive events, so a page holds at most 50).
+
+    Mixes in every case the validator handles: error events carry no id,
+    every 17th an empty id, every 19th no publication date, every 23rd an
+    unparseable one, every 29th element is not an object at all; every 13th
+    has no tags and every 31st a tag without a title. Unknown fields ride
+    along in the payload.
+    """
+    eid = F.col("event_id")
+    ts = F.col("ts").cast("timestamp")
+    section = _cycle(eid % 11, SECTION_CYCLE)
+    pillar = _cycle(eid % 11, PILLAR_CYCLE)
+    ident = (F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
+             .when(eid % 17 == 0, F.lit(""))
+             .otherwise(F.concat(F.lit("article/"), F.expr("event_id div 4").cast("string"))))
+    published = (F.when(eid % 19 == 0, F.lit(None).cast("string"))
+                 .when(eid % 23 == 0, F.lit("not-a-date"))
+                 .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")))
+    tag_struct = "struct<webTitle:string>"
+    tags = F.when(eid % 13 == 0, F.lit(None).cast(f"array<{tag_struct}>")).otherwise(F.array(
+        F.struct(F.col("event_type").alias("webTitle")),
+        F.struct(F.lit("").alias("webTitle")),
+        F.struct(F.when(eid % 31 == 0, F.lit(None).cast("string"))
+                 .otherwise(F.concat(F.lit("k"), F.get_json_object("props", "$.k"))).alias("webTitle")),
+    ))
+    obj = F.to_json(F.struct(
+        ident.alias("id"),
+        F.lit("article").alias("type"),
+        F.concat(F.lit("https://example.org/u/"), F.col("user_id").cast("string")).alias("webUrl"),
+        F.concat(F.col("event_type"), F.lit(" story "), eid.cast("string")).alias("webTitle"),
+        F.lower(F.regexp_replace(section, "[^A-Za-z]", "")).alias("sectionId"),
+        section.alias("sectionName"),
+        F.when(pillar.isNotNull(), F.concat(F.lit("pillar/"), F.lower(pillar))).alias("pillarId"),
+        pillar.alias("pillarName"),
+        published.alias("webPublicationDate"),
+        tags.alias("tags"),
+        F.struct(F.col("value").alias("score")).alias("fields"),
+    ))
+    element = F.when(eid % 29 == 0, F.concat(F.lit('"not an object '), eid.cast("string"), F.lit('"'))) \
+        .otherwise(obj)
+    return events.select(
+        F.to_date(ts).alias("day"),
+        (F.expr(f"event_id div {PAGE_SIZE}") + 1).alias("page"),
+        element.alias("result"),
+    )
+
+
+def landing_pages_from_events(events: DataFrame) -> DataFrame:
+    """Landed page envelopes (``day``, ``page``, ``value`` JSON text).
+
+    Grouping by (day, page) is bounded: a page never holds more than 50
+    results, whatever the skew of days.
+    """
+    results = landing_results_from_events(events)
+    pages = results.groupBy("day", "page").agg(F.collect_list("result").alias("results"))
+    value = F.concat(
+        F.lit('{"response": {"status": "ok", "currentPage": '), F.col("page").cast("string"),
+        F.lit(', "results": ['), F.array_join("results", ", "), F.lit("]}}"))
+    return pages.select("day", "page", value.alias("value"))
+
+
+def write_landing(pages: DataFrame, landing_dir: str) -> None:
+    """Land pages as JSON Lines under ``day=YYYY-MM-DD`` directories."""
+    pages.select("day", "value").write.mode("overwrite").partitionBy("day").text(landing_dir)
