@@ -18,11 +18,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.functions.formats import plain_types
+from inkwell.operators import quality
+from inkwell.operators import runs as run_ops
+from inkwell.plans import ingest
 from inkwell.plans import queries as q
+from inkwell.plans import reports
 from inkwell.plans.catalog import Tables
+from inkwell.sources import adapters, landing
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -35,6 +43,13 @@ SEARCH_TEXT = "story 1"
 SEARCH_SECTION = "Politics"
 SEARCH_TAG = "purchase"
 DETAIL_ID = "article/1000"
+AS_OF_TS = datetime(2024, 1, 31, 6, 0, 0)
+BACKFILL = ("2024-01-01", "2024-02-02")
+# Run history: the stored history is the first sync (runs before the split
+# hour), the incoming sync overlaps it by six days.
+HISTORY_BEFORE = "2024-01-16"
+SYNC_FROM = "2024-01-10"
+LOOKUP_RUN = "manual__2024-01-12T05:00:00"
 
 
 def _t(spark: SparkSession, sf_dir: str) -> Tables:
@@ -75,9 +90,130 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "articles_search_tag": lambda s, d: plain_types(q.articles_search(
             _t(s, d).articles_latest, *DEFAULT_WINDOW, tag=SEARCH_TAG)),
         "article_detail": lambda s, d: plain_types(q.article_detail(_t(s, d).articles_latest, DETAIL_ID)),
+        **_more_queries(),
     }
 
 
+def _validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed page envelopes built from events, parsed and validated."""
+    pages = adapters.landing_pages_from_events(adapters.read_table(spark, sf_dir, "events"))
+    text = pages.select("value", "day", F.lit(None).cast("string").alias("file_path"))
+    return landing.validated(text, AS_OF_TS)
+
+
+def _runs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    records = adapters.run_records(spark, sf_dir)
+    if where is not None:
+        records = records.filter(where)
+    return run_ops.runs_from_records(records)
+
+
+def _merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _runs(spark, sf_dir, F.col("logical_date") < F.lit(HISTORY_BEFORE))
+    sync = _runs(spark, sf_dir, F.col("logical_date") >= F.lit(SYNC_FROM))
+    return run_ops.upsert_runs(history, sync)
+
+
+def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def quality_results(s, d):
+        return plain_types(quality.quality_results(_t(s, d).articles_latest, as_of=AS_OF_TS))
+
+    def quality_results_raw(s, d):
+        return plain_types(quality.quality_results(_t(s, d).raw, as_of=AS_OF_TS))
+
+    def quality_report(s, d):
+        return q.data_quality(quality.quality_results(_t(s, d).articles_latest, as_of=AS_OF_TS))
+
+    def duplicate_ids(s, d):
+        return plain_types(quality.duplicate_ids(_t(s, d).raw, as_of=AS_OF_TS))
+
+    def freshness_budget(s, d):
+        return plain_types(quality.freshness_budget(_t(s, d).content_freshness, as_of=AS_OF_TS))
+
+    def reject_split(s, d):
+        rows = _validated_landing(s, d).drop("ingested_at", "raw_payload", "landing_day")
+        return plain_types(rows)
+
+    def reject_counts(s, d):
+        return _validated_landing(s, d).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+
+    def backfill_report(s, d):
+        return plain_types(ingest.backfill_day_report(_validated_landing(s, d), *BACKFILL))
+
+    def raw_watermark(s, d):
+        return plain_types(q.max_ingested(_t(s, d).raw))
+
+    def run_normalise(s, d):
+        return plain_types(_runs(s, d))
+
+    def run_upsert(s, d):
+        return plain_types(_merged_runs(s, d))
+
+    def pipeline_runs(s, d):
+        return plain_types(q.pipeline_runs(_merged_runs(s, d)))
+
+    def pipeline_runs_page2(s, d):
+        return plain_types(q.pipeline_runs(_merged_runs(s, d), row_limit=10, row_offset=10))
+
+    def runs_serialised(s, d):
+        return run_ops.serialize_runs(q.pipeline_runs(_merged_runs(s, d), row_limit=25))
+
+    def failed_run_feed(s, d):
+        history = _runs(s, d, F.col("logical_date") < F.lit(HISTORY_BEFORE))
+        ledger = history.filter(F.col("status") == "failed").select("run_id")
+        return plain_types(run_ops.failed_run_feed(_merged_runs(s, d), ledger))
+
+    def run_lookup(s, d):
+        return plain_types(run_ops.run_lookup(_merged_runs(s, d), LOOKUP_RUN))
+
+    def failed_run_count(s, d):
+        return run_ops.failed_in_latest(_merged_runs(s, d), 50)
+
+    def overview_kpis(s, d):
+        t = _t(s, d)
+        metrics = q.overview_metrics(t.articles_latest, *FULL)
+        block = reports.freshness_block(q.freshness(t.content_freshness), metrics)
+        return reports.overview_kpis(metrics, block, run_ops.failed_in_latest(_merged_runs(s, d), 50))
+
+    def overview_freshness(s, d):
+        t = _t(s, d)
+        metrics = q.overview_metrics(t.articles_latest, *DEFAULT_WINDOW)
+        return reports.freshness_block(q.freshness(t.content_freshness), metrics)
+
+    def section_share(s, d):
+        return reports.section_share(q.top_sections(_t(s, d).section_counts_daily, *FULL))
+
+    def tag_rank(s, d):
+        return reports.tag_rank(q.top_tags(_t(s, d).tag_counts_daily, *FULL)).withColumn(
+            "rank", F.col("rank").cast("long"))
+
+    def trailing_volume(s, d):
+        return reports.trailing_points(q.publishing_volume(_t(s, d).daily_volume, *FULL),
+                                       reports.TRAILING_VOLUME_POINTS)
+
+    def trailing_sections(s, d):
+        return reports.trailing_points(q.sections_series(_t(s, d).section_daily, *FULL),
+                                       reports.TRAILING_SECTION_POINTS)
+
+    def search_page_info(s, d):
+        page = reports.search_page(_t(s, d).articles_latest, reports.DateWindow(*_dates(FULL)),
+                                   query_text=SEARCH_TEXT, section=SEARCH_SECTION, limit=20, offset=20)
+        return page["paging"]
+
+    def search_summaries(s, d):
+        page = reports.search_page(_t(s, d).articles_latest, reports.DateWindow(*_dates(DEFAULT_WINDOW)),
+                                   tag=SEARCH_TAG, limit=20, offset=40)
+        return plain_types(page["articles"])
+
+    return {name: fn for name, fn in locals().items() if callable(fn)}
+
+
+def _dates(pair):
+    from datetime import date
+
+    return tuple(date.fromisoformat(x) for x in pair)
+
+
 # ---------------------------------------------------------------- oracle SQL
 
 _SECTION = """CASE event_id % 11 WHEN 0 THEN 'World news' WHEN 1 THEN 'Politics'
@@ -218,6 +354,7 @@ ORDER BY count DESC, section ASC NULLS FIRST LIMIT 4""",
         "article_detail": _BASE + f"""SELECT guardian_id, web_title, web_url, section_id, section_name,
   pillar_name, {_iso('published_at')} AS published_at, array_to_string(tags, '|') AS tags, raw_payload
 FROM articles_latest WHERE guardian_id = '{DETAIL_ID}' LIMIT 1""",
+        **_more_oracles(),
     }
 
 
@@ -236,3 +373,224 @@ FROM (SELECT *, {_iso('published_at')} AS published_text FROM articles_latest
       WHERE {_win(start, end)} {where})
 ORDER BY published_text DESC NULLS LAST, guardian_id ASC NULLS FIRST, web_title ASC NULLS FIRST
 LIMIT {limit} OFFSET {offset}"""
+
+
+# ------------------------------------------------------- more oracle SQL
+
+_AS_OF_DAY = AS_OF_TS.strftime("%Y-%m-%d")
+_AS_OF_ISO = AS_OF_TS.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
+def _check_sql(name: str, observed: str, threshold: int, detail: str, source: str) -> str:
+    return f"""SELECT '{name}' AS check_name, '{_AS_OF_DAY}' AS check_date, 'warning' AS severity,
+  CASE WHEN {observed} <= {threshold} THEN 'pass' ELSE 'warn' END AS status,
+  CAST({observed} AS VARCHAR) AS observed_value, '{threshold}' AS threshold,
+  to_json(struct_pack(detail := '{detail}'))::VARCHAR AS details_json,
+  '{_AS_OF_ISO}' AS created_at
+FROM {source}"""
+
+
+def _quality_sql(table: str) -> str:
+    return (_check_sql(quality.MISSING_SECTION, "COUNT(*) FILTER (WHERE section_name IS NULL OR section_name = '')",
+                       0, quality.SECTION_DETAIL, table)
+            + "\nUNION ALL\n"
+            + _check_sql(quality.MISSING_PUBLISHED, "COUNT(*) FILTER (WHERE published_at IS NULL)",
+                         0, quality.PUBLISHED_DETAIL, table))
+
+
+# Landing pages built from events, as the validator sees them.
+_LANDED = f"""landed AS (
+  SELECT event_id, event_type, user_id, CAST(ts AS TIMESTAMP) AS ts, props,
+    CAST(ts AS DATE) AS landing_day,
+    event_id % 29 = 0 AS not_object,
+    CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 17 = 0 THEN ''
+         ELSE 'article/' || CAST(event_id // 4 AS VARCHAR) END AS src_id,
+    CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 'not-a-date'
+         ELSE 'ok' END AS src_date,
+    {_SECTION} AS src_section, {_PILLAR} AS src_pillar
+  FROM events),
+validated AS (
+  SELECT landing_day,
+    CASE WHEN not_object THEN NULL ELSE src_id END AS guardian_id,
+    CASE WHEN not_object THEN NULL ELSE 'https://example.org/u/' || CAST(user_id AS VARCHAR) END AS web_url,
+    CASE WHEN not_object THEN NULL ELSE event_type || ' story ' || CAST(event_id AS VARCHAR) END AS web_title,
+    CASE WHEN not_object THEN NULL ELSE lower(regexp_replace(src_section, '[^A-Za-z]', '', 'g')) END AS section_id,
+    CASE WHEN not_object THEN NULL ELSE src_section END AS section_name,
+    CASE WHEN not_object OR src_pillar IS NULL THEN NULL ELSE 'pillar/' || lower(src_pillar) END AS pillar_id,
+    CASE WHEN not_object THEN NULL ELSE src_pillar END AS pillar_name,
+    CASE WHEN not_object OR src_date IS NULL OR src_date <> 'ok' THEN NULL
+         ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS published_at,
+    CASE WHEN not_object OR event_id % 13 = 0 THEN ''
+         WHEN event_id % 31 = 0 THEN event_type
+         ELSE event_type || '|k' || json_extract_string(props, '$.k') END AS tags,
+    event_id // 50 + 1 AS api_response_page,
+    CASE WHEN not_object THEN 'not_a_dict'
+         WHEN src_id IS NULL OR src_id = '' THEN 'missing_guardian_id'
+         WHEN src_date IS NULL THEN 'missing_published_at'
+         WHEN src_date <> 'ok' THEN 'unparseable_published_at' END AS reject_reason
+  FROM landed)"""
+
+_RUN_RECORDS = """run_records AS (
+  SELECT
+    CASE WHEN user_id % 2 = 1 THEN 'manual__' ELSE 'scheduled__' END
+      || strftime(date_trunc('hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%dT%H:%M:%S') AS dag_run_id,
+    CASE WHEN user_id % 2 = 1 THEN 'guardian_backfill' ELSE 'guardian_ingest_recent' END AS dag_id,
+    CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running'
+      WHEN 'click' THEN 'queued' WHEN 'signup' THEN 'up_for_retry' END AS state,
+    CASE WHEN event_id % 7 = 0 THEN NULL
+         ELSE strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%fZ') END AS start_date,
+    CASE WHEN event_type IN ('purchase', 'error')
+         THEN strftime(CAST(ts AS TIMESTAMP) + to_seconds(CAST(floor(value) AS BIGINT)),
+                       '%Y-%m-%dT%H:%M:%S.%fZ') END AS end_date,
+    strftime(date_trunc('hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%dT%H:%M:%SZ') AS logical_date,
+    CASE WHEN user_id % 2 = 1 AND event_id % 3 IN (0, 1)
+         THEN strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') END AS conf_start,
+    CASE WHEN user_id % 2 = 1 AND event_id % 3 = 0
+         THEN strftime(CAST(ts AS DATE) + 2, '%Y-%m-%d') END AS conf_end
+  FROM events)"""
+
+
+def _runs_sql(name: str, where: str) -> str:
+    return f"""{name} AS (
+  SELECT dag_run_id AS run_id, dag_id,
+    CASE WHEN state IN ('success', 'failed', 'running', 'queued', 'scheduled') THEN state
+         ELSE 'scheduled' END AS status,
+    CASE WHEN dag_id = 'guardian_backfill' THEN 'manual' ELSE 'system' END AS trigger,
+    try_cast(CASE WHEN start_date IS NOT NULL AND start_date <> '' THEN start_date ELSE logical_date END
+             AS TIMESTAMP) AS started_at,
+    try_cast(end_date AS TIMESTAMP) AS finished_at,
+    CASE WHEN dag_id = 'guardian_backfill' THEN
+           CASE WHEN conf_start <> '' AND conf_end <> '' THEN conf_start || ' to ' || conf_end
+                ELSE 'manual backfill' END
+         ELSE 'recent ingest' END AS "window",
+    CAST(NULL AS VARCHAR) AS error_summary
+  FROM run_records
+  WHERE dag_id IN ('guardian_ingest_recent', 'guardian_backfill') AND {where})"""
+
+
+_RUNS = f"""WITH {_RUN_RECORDS},
+{_runs_sql('history', f"logical_date < '{HISTORY_BEFORE}'")},
+{_runs_sql('sync', f"logical_date >= '{SYNC_FROM}'")},
+{_runs_sql('all_runs', 'TRUE')},
+sync_latest AS (
+  SELECT run_id, dag_id, status, trigger, started_at, finished_at, "window", error_summary FROM (
+    SELECT *, CASE WHEN dag_id IS NOT NULL AND run_id IS NOT NULL THEN row_number() OVER (
+      PARTITION BY dag_id, run_id ORDER BY started_at DESC NULLS LAST, finished_at DESC NULLS LAST,
+      status DESC NULLS LAST, trigger DESC NULLS LAST, "window" DESC NULLS LAST,
+      error_summary DESC NULLS LAST) ELSE 1 END AS rk
+    FROM sync) WHERE rk = 1),
+merged AS (
+  SELECT * FROM history h WHERE NOT EXISTS (
+    SELECT 1 FROM sync_latest s WHERE s.dag_id = h.dag_id AND s.run_id = h.run_id)
+  UNION ALL SELECT * FROM sync_latest),
+failures AS (
+  SELECT COUNT(*) FILTER (WHERE status = 'failed') AS recent_failures FROM (
+    SELECT status FROM merged ORDER BY started_at DESC NULLS LAST, run_id DESC NULLS LAST LIMIT 50))
+"""
+
+_RUN_COLS = ("run_id, dag_id, status, trigger, " + _ts("started_at") + ", " + _ts("finished_at")
+             + ', "window", error_summary')
+
+
+def _py_iso(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL THEN NULL ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S') || "
+            f"CASE WHEN strftime({c}, '%f') = '000000' THEN '' ELSE '.' || strftime({c}, '%f') END"
+            f" || '+00:00' END AS {c}")
+
+
+def _page_sql(limit: int, offset: int) -> str:
+    return _RUNS + f"""SELECT run_id, dag_id, status, trigger, {_ts('started_at')}, {_ts('finished_at')},
+  "window" AS run_window, error_summary
+FROM merged ORDER BY merged.started_at DESC NULLS LAST, run_id DESC NULLS LAST LIMIT {limit} OFFSET {offset}"""
+
+
+def _more_oracles() -> dict[str, str]:
+    f0, f1 = FULL
+    d0, d1 = DEFAULT_WINDOW
+    b0, b1 = BACKFILL
+    kpis = f"""metrics AS ({_overview(f0, f1)}),
+block AS (
+  SELECT COALESCE(r.last_sync_at, 'No data') AS last_sync_at, COALESCE(r.watermark, 'No data') AS watermark,
+    CASE WHEN r.freshness_lag_minutes IS NULL THEN 'No data'
+         ELSE CAST(r.freshness_lag_minutes AS VARCHAR) || ' min' END AS lag
+  FROM (SELECT arg_min(struct_pack(last_sync_at, watermark, freshness_lag_minutes), p) AS r FROM (
+    SELECT {_iso('last_sync_at')} AS last_sync_at, {_iso('watermark')} AS watermark,
+      freshness_lag_minutes, 0 AS p FROM content_freshness
+    UNION ALL SELECT last_sync_at, watermark, freshness_lag_minutes, 1 FROM metrics)))"""
+    return {
+        "quality_results": _BASE + _quality_sql("articles_latest"),
+        "quality_results_raw": _BASE + _quality_sql("articles_raw"),
+        "quality_report": _BASE + f"""SELECT check_name AS name, status, observed_value, threshold,
+  json_extract_string(details_json, '$.detail') AS detail FROM ({_quality_sql('articles_latest')})
+ORDER BY name""",
+        "duplicate_ids": _BASE + _check_sql(
+            quality.DUPLICATE_IDS, "COUNT(*) FILTER (WHERE n > 1)", quality.DUPLICATE_THRESHOLD,
+            quality.DUPLICATE_DETAIL,
+            "(SELECT guardian_id, COUNT(*) AS n FROM articles_raw WHERE guardian_id IS NOT NULL GROUP BY guardian_id)"),
+        "freshness_budget": _BASE + _check_sql(
+            quality.FRESHNESS_LAG, "MAX(freshness_lag_minutes)", quality.FRESHNESS_THRESHOLD_MINUTES,
+            quality.FRESHNESS_DETAIL, "content_freshness"),
+        "reject_split": f"""WITH {_LANDED}
+SELECT guardian_id, web_url, web_title, section_id, section_name, pillar_id, pillar_name, published_at,
+  tags, api_response_page, reject_reason, reject_reason IS NULL AS accepted FROM validated""",
+        "reject_counts": f"""WITH {_LANDED}
+SELECT reject_reason, COUNT(*) AS rows FROM validated GROUP BY reject_reason""",
+        "backfill_report": f"""WITH {_LANDED},
+days AS (SELECT CAST(d AS DATE) AS day FROM range(DATE '{b0}', DATE '{b1}' + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d)),
+counts AS (SELECT landing_day AS day, COUNT(*) FILTER (WHERE reject_reason IS NULL) AS loaded,
+  COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected FROM validated GROUP BY landing_day)
+SELECT strftime(days.day, '%Y-%m-%d') AS day, COALESCE(loaded, 0) AS loaded, COALESCE(rejected, 0) AS rejected
+FROM days LEFT JOIN counts ON days.day = counts.day""",
+        "raw_watermark": _BASE + f"SELECT {_ts('watermark')} FROM (SELECT MAX(ingested_at) AS watermark FROM articles_raw)",
+        "run_normalise": _RUNS + f"SELECT {_RUN_COLS} FROM all_runs",
+        "run_upsert": _RUNS + f"SELECT {_RUN_COLS} FROM merged",
+        "pipeline_runs": _page_sql(10, 0),
+        "pipeline_runs_page2": _page_sql(10, 10),
+        "runs_serialised": _RUNS + f"""SELECT run_id, dag_id, status, trigger, {_py_iso('started_at')},
+  {_py_iso('finished_at')}, CASE WHEN "window" IS NOT NULL AND "window" <> '' THEN "window" ELSE 'Unknown' END AS "window",
+  error_summary
+FROM (SELECT * FROM merged ORDER BY started_at DESC NULLS LAST, run_id DESC NULLS LAST LIMIT 25)""",
+        "failed_run_feed": _RUNS + f"""SELECT 'dag_run_failed' AS event, run_id, dag_id, status, {_ts('started_at')},
+  "window", error_summary FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY dag_id ASC NULLS LAST,
+    started_at DESC NULLS LAST) AS n
+  FROM merged m WHERE status = 'failed' AND run_id IS NOT NULL AND run_id <> ''
+    AND NOT EXISTS (SELECT 1 FROM history h WHERE h.status = 'failed' AND h.run_id = m.run_id))
+WHERE n = 1""",
+        "run_lookup": _RUNS + f"""SELECT {_RUN_COLS} FROM merged
+WHERE run_id = '{LOOKUP_RUN}' AND dag_id = 'guardian_backfill'""",
+        "failed_run_count": _RUNS + "SELECT recent_failures FROM failures",
+        "overview_kpis": _RUNS.replace("WITH ", "WITH " + _RAW + ",\n" + _LATEST + ",\n" + _TAGS + ",\n"
+                                       + _ROLLUPS + ",\n", 1).rstrip() + f""",
+{kpis}
+SELECT 1 AS position, 'Guardian articles' AS label, format('{{:,}}', COALESCE(total_articles, 0)) AS value,
+  'Deduped warehouse' AS delta, 'neutral' AS tone FROM metrics
+UNION ALL SELECT 2, 'Sections covered', CAST(COALESCE(active_sections, 0) AS VARCHAR), 'Current range', 'neutral' FROM metrics
+UNION ALL SELECT 3, 'Freshness lag', lag, 'Current sync', 'neutral' FROM block
+UNION ALL SELECT 4, 'Recent failures', CAST(recent_failures AS VARCHAR), 'Persisted run history', 'neutral' FROM failures""",
+        "overview_freshness": _BASE.rstrip() + f""",
+{kpis.replace(_overview(f0, f1), _overview(d0, d1))}
+SELECT last_sync_at, watermark, lag FROM block""",
+        "section_share": _BASE + f"""SELECT section, count, count / greatest(max(count) OVER (), 1) * 100 AS share FROM (
+  SELECT section, CAST(SUM(article_count) AS BIGINT) AS count
+  FROM section_counts_daily WHERE {_win(f0, f1)} GROUP BY section
+  ORDER BY count DESC, section ASC NULLS FIRST LIMIT 4)""",
+        "tag_rank": _BASE + f"""SELECT row_number() OVER (ORDER BY count DESC, tag ASC NULLS FIRST) AS rank,
+  tag, count, 'Live' AS momentum FROM (
+  SELECT tag, CAST(SUM(article_count) AS BIGINT) AS count
+  FROM tag_counts_daily WHERE {_win(f0, f1)} GROUP BY tag
+  ORDER BY count DESC, tag ASC NULLS FIRST LIMIT 8)""",
+        "trailing_volume": _BASE + f"""SELECT * FROM (SELECT strftime(publication_date, '%Y-%m-%d') AS date,
+  article_count AS value FROM daily_volume WHERE {_win(f0, f1)} ORDER BY date DESC LIMIT 6) ORDER BY date""",
+        "trailing_sections": _BASE + f"""SELECT * FROM (SELECT strftime(publication_date, '%Y-%m-%d') AS date,
+  world, politics, business, culture, climate, technology
+  FROM section_daily WHERE {_win(f0, f1)} ORDER BY date DESC LIMIT 10) ORDER BY date""",
+        "search_page_info": _BASE + f"""SELECT total, CAST(greatest(1, ceil(total / 20)) AS BIGINT) AS total_pages,
+  CAST(2 AS BIGINT) AS current_page, 40 < total AS has_next, TRUE AS has_previous
+FROM (SELECT COUNT(*) AS total FROM articles_latest WHERE {_win(f0, f1)}
+  AND lower(web_title) LIKE '%' || lower('{SEARCH_TEXT}') || '%' AND section_name = '{SEARCH_SECTION}')""",
+        "search_summaries": _search_sql(d0, d1, f"AND list_contains(tags, '{SEARCH_TAG}')", 20, 40)
+            .replace("SELECT guardian_id, web_title,", "SELECT COALESCE(guardian_id, '') AS guardian_id, "
+                     "COALESCE(web_title, '') AS web_title,", 1)
+            .replace("published_text AS published_at,", "COALESCE(published_text, '') AS published_at,", 1),
+    }

@@ -101,7 +101,8 @@ def reject_reason() -> Column:
 
 
 def validated(text: DataFrame, ingested_at: datetime | Column) -> DataFrame:
-    """SRC-1…4 on landed text: raw columns + ``reject_reason`` + ``accepted``.
+    """SRC-1…4 on landed text: raw columns (+ ``landing_day`` when the text
+    carries its fetch day) + ``reject_reason`` + ``accepted``.
 
     The ingest stamp is one value per load (SRC-3): a literal for a batch
     load, the micro-batch's own timestamp column for the stream, so a
@@ -111,7 +112,8 @@ def validated(text: DataFrame, ingested_at: datetime | Column) -> DataFrame:
     reason = reject_reason()
     stamp = ingested_at if isinstance(ingested_at, Column) else utc_literal(ingested_at)
     out = rows.withColumn("ingested_at", stamp)
-    return out.select(*[F.col(c) for c in ARTICLES_RAW.fieldNames()],
+    day = [F.col("day").alias("landing_day")] if "day" in rows.columns else []
+    return out.select(*[F.col(c) for c in ARTICLES_RAW.fieldNames()], *day,
                       reason.alias("reject_reason"), reason.isNull().alias(ACCEPTED))
 
 
