@@ -50,15 +50,20 @@ def explode_pages(text: DataFrame) -> DataFrame:
 
     An absent or null results list gives no rows. The page number is the
     envelope's ``currentPage``, else the ``page-N`` number in the file name.
+    The envelope is parsed once per page into a struct column before the
+    explode; reading two fields straight off ``from_json`` would let the
+    optimizer split it into one pruned parse per field, and the page number
+    would re-parse the whole page for every element.
     """
-    env = F.from_json(F.col("value"), PAGE_ENVELOPE).getField("response")
-    from_name = F.regexp_extract(F.col("file_path"), r"page[-_=]?(\d+)", 1)
-    page = F.coalesce(env.getField("currentPage").cast("long"),
-                      F.when(from_name != "", from_name.cast("long")))
     keep = [c for c in ("day", "_batch_ts") if c in text.columns]
-    return text.select(
-        *keep, page.alias("api_response_page"),
-        F.explode(F.coalesce(env.getField("results"), F.array().cast("array<string>"))).alias("result"),
+    from_name = F.regexp_extract(F.col("file_path"), r"page[-_=]?(\d+)", 1)
+    parsed = text.select(
+        *keep, F.from_json(F.col("value"), PAGE_ENVELOPE).getField("response").alias("_env"),
+        F.when(from_name != "", from_name.cast("long")).alias("_page_from_name"))
+    return parsed.select(
+        *keep,
+        F.coalesce(F.col("_env.currentPage").cast("long"), F.col("_page_from_name")).alias("api_response_page"),
+        F.explode(F.coalesce(F.col("_env.results"), F.array().cast("array<string>"))).alias("result"),
     )
 
 
@@ -68,13 +73,19 @@ def _present(c: Column) -> Column:
 
 def normalise(results: DataFrame) -> DataFrame:
     """SRC-2: map the source fields to columns; tags are the non-empty tag
-    titles; the element's own text is the raw payload."""
-    obj = F.from_json(F.col("result"), SOURCE_RESULT)
+    titles; the element's own text is the raw payload.
+
+    One parse per element: the struct is a column of its own projection and
+    the fields are read from it in the next.
+    """
+    extra = [c for c in results.columns if c not in ("result", "api_response_page")]
+    parsed = results.select(*extra, "api_response_page", "result",
+                            F.from_json(F.col("result"), SOURCE_RESULT).alias("_obj"))
+    obj = F.col("_obj")
     titles = F.transform(F.coalesce(obj.getField("tags"), F.array().cast(SOURCE_RESULT["tags"].dataType)),
                          lambda t: t.getField("webTitle"))
     published_text = obj.getField("webPublicationDate")
-    extra = [c for c in results.columns if c not in ("result", "api_response_page")]
-    return results.select(
+    return parsed.select(
         *extra,
         obj.getField("id").alias("guardian_id"),
         obj.getField("webUrl").alias("web_url"),
