@@ -37,8 +37,8 @@ def read_landing(spark: SparkSession, landing_dir: str, *, one_page_per_file: bo
 
     ``days`` bounds the fetch days read; it prunes ``day=`` directories.
     """
-    reader = spark.read.option("wholetext", "true") if one_page_per_file else spark.read
-    df = reader.text(landing_dir).select("value", "day", F.col("_metadata.file_path").alias("file_path"))
+    df = spark.read.text(landing_dir, wholetext=one_page_per_file).select(
+        "value", "day", F.col("_metadata.file_path").alias("file_path"))
     if days is not None:
         lo, hi = (F.lit(str(d)).cast("date") for d in days)
         df = df.filter(F.col("day").between(lo, hi))
