@@ -102,16 +102,23 @@ def _validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
-    records = adapters.run_records(spark, sf_dir)
+    """Run rows from events; ``where`` bounds the event time (pushed to the
+    scan), which is the run's logical hour."""
+    events = adapters.read_table(spark, sf_dir, "events")
     if where is not None:
-        records = records.filter(where)
-    return run_ops.runs_from_records(records)
+        events = events.filter(where)
+    return run_ops.runs_from_records(adapters.run_records_from_events(events))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history: the first sync merged into an empty table, so one
+    row per key."""
+    return run_ops.latest_per_key(_runs(spark, sf_dir, F.col("ts") < F.lit(HISTORY_BEFORE).cast("timestamp_ntz")))
 
 
 def _merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = _runs(spark, sf_dir, F.col("logical_date") < F.lit(HISTORY_BEFORE))
-    sync = _runs(spark, sf_dir, F.col("logical_date") >= F.lit(SYNC_FROM))
-    return run_ops.upsert_runs(history, sync)
+    sync = _runs(spark, sf_dir, F.col("ts") >= F.lit(SYNC_FROM).cast("timestamp_ntz"))
+    return run_ops.upsert_runs(_history(spark, sf_dir), sync)
 
 
 def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -159,8 +166,7 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run_ops.serialize_runs(q.pipeline_runs(_merged_runs(s, d), row_limit=25))
 
     def failed_run_feed(s, d):
-        history = _runs(s, d, F.col("logical_date") < F.lit(HISTORY_BEFORE))
-        ledger = history.filter(F.col("status") == "failed").select("run_id")
+        ledger = _history(s, d).filter(F.col("status") == "failed").select("run_id")
         return plain_types(run_ops.failed_run_feed(_merged_runs(s, d), ledger))
 
     def run_lookup(s, d):
@@ -468,21 +474,30 @@ def _runs_sql(name: str, where: str) -> str:
   WHERE dag_id IN ('guardian_ingest_recent', 'guardian_backfill') AND {where})"""
 
 
-_RUNS = f"""WITH {_RUN_RECORDS},
-{_runs_sql('history', f"logical_date < '{HISTORY_BEFORE}'")},
-{_runs_sql('sync', f"logical_date >= '{SYNC_FROM}'")},
-{_runs_sql('all_runs', 'TRUE')},
-sync_latest AS (
+def _latest_sql(name: str, source: str) -> str:
+    return f"""{name} AS (
   SELECT run_id, dag_id, status, trigger, started_at, finished_at, "window", error_summary FROM (
     SELECT *, CASE WHEN dag_id IS NOT NULL AND run_id IS NOT NULL THEN row_number() OVER (
       PARTITION BY dag_id, run_id ORDER BY started_at DESC NULLS LAST, finished_at DESC NULLS LAST,
       status DESC NULLS LAST, trigger DESC NULLS LAST, "window" DESC NULLS LAST,
       error_summary DESC NULLS LAST) ELSE 1 END AS rk
-    FROM sync) WHERE rk = 1),
+    FROM {source}) WHERE rk = 1)"""
+
+
+# MERGE: matched target rows take the source's values, unmatched target rows
+# stay, unmatched source rows are inserted.
+_RUNS = f"""WITH {_RUN_RECORDS},
+{_runs_sql('history_sync', f"logical_date < '{HISTORY_BEFORE}'")},
+{_runs_sql('sync', f"logical_date >= '{SYNC_FROM}'")},
+{_runs_sql('all_runs', 'TRUE')},
+{_latest_sql('history', 'history_sync')},
+{_latest_sql('sync_latest', 'sync')},
 merged AS (
-  SELECT * FROM history h WHERE NOT EXISTS (
+  SELECT s.* FROM history h JOIN sync_latest s ON s.dag_id = h.dag_id AND s.run_id = h.run_id
+  UNION ALL SELECT * FROM history h WHERE NOT EXISTS (
     SELECT 1 FROM sync_latest s WHERE s.dag_id = h.dag_id AND s.run_id = h.run_id)
-  UNION ALL SELECT * FROM sync_latest),
+  UNION ALL SELECT * FROM sync_latest s WHERE NOT EXISTS (
+    SELECT 1 FROM history h WHERE s.dag_id = h.dag_id AND s.run_id = h.run_id)),
 failures AS (
   SELECT COUNT(*) FILTER (WHERE status = 'failed') AS recent_failures FROM (
     SELECT status FROM merged ORDER BY started_at DESC NULLS LAST, run_id DESC NULLS LAST LIMIT 50))

@@ -1,8 +1,8 @@
 """RUN-1 … RUN-7: pipeline-run history.
 
 Run records reported by the orchestrator are normalised into the
-``pipeline_runs`` layout (RUN-2…4), upserted by (dag_id, run_id) with an
-anti join plus union (RUN-1), serialised for display (RUN-5/6), and failed
+``pipeline_runs`` layout (RUN-2…4), upserted by (dag_id, run_id) with one
+full outer join (RUN-1), serialised for display (RUN-5/6), and failed
 runs not yet alerted are fed once each (RUN-7).
 """
 
@@ -71,29 +71,37 @@ def runs_from_records(records: DataFrame, *, recent_dag_id: str = "guardian_inge
 def latest_per_key(source: DataFrame) -> DataFrame:
     """One source row per (dag_id, run_id): the latest started_at wins.
 
-    Rows with a null key part never match anything and are all kept.
-    ``row_number() = 1`` plans as a two-sided WindowGroupLimit, so a run
-    reported a million times shuffles one row per map task.
+    Rows with a null key part never match anything and are all kept. The
+    keyed rows go through a plain ``row_number() = 1``, which Catalyst plans
+    as a WindowGroupLimit on both sides of the shuffle: a run reported a
+    million times sends one row per map task, not a million to one task.
     """
     keyed = F.col("dag_id").isNotNull() & F.col("run_id").isNotNull()
     order = [F.col(c).desc_nulls_last() for c in ("started_at", "finished_at", "status", "trigger",
                                                   "window", "error_summary")]
     w = Window.partitionBy(*RUN_KEY).orderBy(*order)
-    ranked = source.withColumn("_rank", F.when(keyed, F.row_number().over(w)).otherwise(F.lit(1)))
-    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+    latest = (source.filter(keyed).withColumn("_rank", F.row_number().over(w))
+              .filter(F.col("_rank") == 1).drop("_rank"))
+    return latest.unionByName(source.filter(~keyed))
 
 
 def upsert_runs(target: DataFrame, source: DataFrame) -> DataFrame:
     """RUN-1: MERGE on (dag_id, run_id): matched rows take the source's
     values, unmatched source rows are inserted, other target rows stay.
 
-    Left-anti join on the key plus union. The join side sizes are left to
-    AQE: a small sync becomes a broadcast at runtime from measured sizes, a
-    large one stays a shuffle join.
+    One full outer join on the key: each side is shuffled once and every
+    output row takes the source's columns when a source row is present.
+    Null keys never compare equal, so such rows pass through from either
+    side, as in a MERGE.
     """
     src = latest_per_key(source).select(*RUN_COLUMNS)
-    keep = target.select(*RUN_COLUMNS).join(src.select(*RUN_KEY), on=list(RUN_KEY), how="left_anti")
-    return keep.unionByName(src)
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in RUN_COLUMNS])
+    s = src.select(*[F.col(c).alias(f"_s_{c}") for c in RUN_COLUMNS], F.lit(True).alias("_from_source"))
+    on = (F.col("_t_dag_id") == F.col("_s_dag_id")) & (F.col("_t_run_id") == F.col("_s_run_id"))
+    joined = t.join(s, on, "full_outer")
+    from_source = F.col("_from_source").isNotNull()
+    return joined.select(*[F.when(from_source, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c)
+                           for c in RUN_COLUMNS])
 
 
 def _python_iso(ts: Column) -> Column:

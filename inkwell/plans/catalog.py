@@ -14,7 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.config import ANALYTICS, OPS, RAW, Lake, configure
+from inkwell.config import ANALYTICS, OPS, Lake, configure
 from inkwell.operators import rollups
 from inkwell.operators.latest import articles_latest
 from inkwell.sources import adapters
@@ -76,7 +76,9 @@ class Tables:
             "articles_latest", "article_tags", "daily_volume", "section_counts_daily",
             "section_daily", "tag_counts_daily", "content_freshness")
             if store.exists(ANALYTICS, name)}
-        return cls(raw=store.read(RAW, "articles_raw"), stored=stored)
+        from inkwell.sources.landing import read_raw
+
+        return cls(raw=read_raw(store), stored=stored)
 
     @staticmethod
     def ops_table(spark: SparkSession, lake: Lake, name: str) -> DataFrame:

@@ -16,16 +16,18 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.config import ANALYTICS, OPS, RAW, Lake, Settings, configure
+from inkwell.config import ANALYTICS, OPS, Lake, Settings, configure
 from inkwell.operators import quality, rollups
 from inkwell.operators.latest import LATEST_COLUMNS, articles_latest
-from inkwell.schemas import ARTICLES_RAW, DATA_QUALITY_RESULTS
+from inkwell.schemas import DATA_QUALITY_RESULTS
+from inkwell.sources import landing
 from inkwell.sources.store import TableStore
 
 # Steps in build order, each with the steps it reads, how it is built from
-# the tables already written, and its layout on disk. Large tables are
-# partitioned by publication_date; small rollups are written as files over
-# sorted date ranges, which the read queries skip by Parquet statistics.
+# the tables already written, and its layout on disk. The two article-grain
+# tables are partitioned by publication_date (date windows prune folders);
+# the rollups keep their aggregate's partitioning, sorted by date inside each
+# file, so date windows skip row groups by Parquet statistics.
 STEPS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("articles_latest", ()),
     ("article_tags", ("articles_latest",)),
@@ -70,8 +72,7 @@ def read_analytics(store: TableStore, name: str) -> DataFrame:
 
 def _builders(store: TableStore, refreshed_at: datetime | None) -> dict[str, Callable[[], DataFrame]]:
     def latest() -> DataFrame:
-        raw = store.read(RAW, "articles_raw", schema=ARTICLES_RAW, only=("accepted", "true"))
-        return articles_latest(raw)
+        return articles_latest(landing.read_raw(store))
 
     def up(name: str) -> DataFrame:
         return read_analytics(store, name)
@@ -132,7 +133,7 @@ def run_quality_checks(spark: SparkSession, lake: Lake, settings: Settings = Set
         latest, missing_section_threshold=settings.missing_section_threshold,
         missing_published_at_threshold=settings.missing_published_at_threshold, as_of=as_of)
     if extended:
-        raw = store.read(RAW, "articles_raw", schema=ARTICLES_RAW, only=("accepted", "true"))
+        raw = landing.read_raw(store)
         results = results.unionByName(quality.duplicate_ids(raw, as_of=as_of)).unionByName(
             quality.freshness_budget(read_analytics(store, "content_freshness"), as_of=as_of))
     store.replace(results.select(*DATA_QUALITY_RESULTS.fieldNames()), OPS, "data_quality_results")

@@ -14,6 +14,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from inkwell.config import RAW
 from inkwell.functions.formats import utc_literal
@@ -145,16 +146,27 @@ def load(store: TableStore, text: DataFrame, ingested_at: datetime | Column, *,
     return {"loaded": int(metrics.get("loaded") or 0), "rejected": int(metrics.get("rejected") or 0)}
 
 
+ACCEPTED_PARTITION = StructType([StructField(ACCEPTED, BooleanType(), True)])
+QUARANTINE = StructType([*ARTICLES_RAW.fields, StructField("reject_reason", StringType(), True)])
+
+
 def read_raw(store: TableStore) -> DataFrame:
-    return store.read(RAW, RAW_TABLE, schema=ARTICLES_RAW, only=(ACCEPTED, "true"))
+    """``articles_raw``: the accepted rows of every load."""
+    return store.read(RAW, RAW_TABLE, schema=ARTICLES_RAW, partitions=ACCEPTED_PARTITION,
+                      where=F.col(ACCEPTED))
 
 
 def read_quarantine(store: TableStore) -> DataFrame:
-    from inkwell.schemas import ARTICLES_RAW as base
-    from pyspark.sql.types import StringType, StructField, StructType
+    """The rejected rows of every load, with their reason."""
+    return store.read(RAW, RAW_TABLE, schema=QUARANTINE, partitions=ACCEPTED_PARTITION,
+                      where=~F.col(ACCEPTED))
+
 
-    schema = StructType([*base.fields, StructField("reject_reason", StringType(), True)])
-    return store.read(RAW, RAW_TABLE, schema=schema, only=(ACCEPTED, "false"))
+def append_raw(store: TableStore, rows: DataFrame, *, batch_id: str | None = None) -> str:
+    """Append rows already in the ``articles_raw`` layout as accepted rows
+    (migrations, replays of an old warehouse, test fixtures)."""
+    out = rows.select(*ARTICLES_RAW.fieldNames()).withColumn(ACCEPTED, F.lit(True))
+    return store.append(out, RAW, RAW_TABLE, batch_id=batch_id, partition_by=(ACCEPTED,))
 
 
 def raw_article_count(store: TableStore) -> int:

@@ -18,8 +18,8 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from inkwell.config import Lake
 
@@ -32,12 +32,6 @@ def new_id() -> str:
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
-def _keeps(relative: str, key: str, value: str) -> bool:
-    parts = [p for p in relative.split("/") if "=" in p]
-    mine = [p for p in parts if p.split("=", 1)[0] == key]
-    return not mine or mine[-1] == f"{key}={value}"
-
-
 class TableStore:
     def __init__(self, spark: SparkSession, lake: Lake):
         self.spark = spark
@@ -60,20 +54,6 @@ class TableStore:
         fs, p = self._fs_path(f"{path}/{MARKER}")
         return bool(fs.exists(p))
 
-    def _leaf_dirs(self, path: str) -> list[str]:
-        """Directories under ``path`` that hold data files (any depth)."""
-        fs, p = self._fs_path(path)
-        out, stack = [], [p]
-        while stack:
-            cur = stack.pop()
-            statuses = fs.listStatus(cur)
-            if any(not s.isDirectory() and not s.getPath().getName().startswith(("_", "."))
-                   for s in statuses):
-                out.append(cur.toString())
-            stack.extend(s.getPath() for s in statuses
-                         if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
-        return out
-
     def delete(self, path: str) -> None:
         fs, p = self._fs_path(path)
         if fs.exists(p):
@@ -102,17 +82,22 @@ class TableStore:
 
         Partitioned tables are rebalanced on the partition column first: AQE
         splits a hot day over several writers and merges thin days, so file
-        sizes stay near the advisory size whatever the skew. Rows are sorted
-        by the clustering columns inside each file for min/max skipping.
-        Unpartitioned tables are range-partitioned on their first clustering
-        column, which gives files over disjoint, sorted key ranges.
+        sizes stay near the advisory size whatever the skew, and a day is not
+        scattered over every task of the upstream shuffle (files = days x
+        splits, not days x tasks). Rows are sorted by the clustering columns
+        inside each file for min/max skipping.
+
+        Unpartitioned tables (the rollups) keep the partitioning of the
+        aggregate that produced them and are only sorted inside each file by
+        the clustering columns: Parquet row-group statistics then skip other
+        dates without a sampling job or another shuffle.
         """
         path = f"{self.table_path(dataset, table)}/{VERSION}={new_id()}"
         if partition_by:
             out = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *cluster_by)
             out.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
         else:
-            out = df.orderBy(*cluster_by) if cluster_by else df
+            out = df.sortWithinPartitions(*cluster_by) if cluster_by else df
             out.write.mode("errorifexists").parquet(path)
         self._vacuum(dataset, table, keep)
         return path
@@ -141,27 +126,33 @@ class TableStore:
     # ----------------------------------------------------------------- read
     def read(self, dataset: str, table: str, schema: StructType | None = None,
              columns: Sequence[str] | None = None,
-             only: tuple[str, str] | None = None) -> DataFrame:
+             partitions: StructType | None = None, where: Column | None = None) -> DataFrame:
         """Current version of a replace table, or all batches of an append
         table; an absent table reads as empty with ``schema``.
 
-        ``only=(key, value)`` keeps batch sub-directories ``key=value`` (and
-        those without a ``key=`` level), e.g. the accepted rows of a load."""
+        An append table is read as one partitioned dataset rooted at the
+        table: Spark lists the ``batch=`` directories (in parallel on the
+        cluster once there are many) and ``where`` on the ``partitions``
+        columns below the batch level prunes directories before any file is
+        opened. Uncommitted output only ever sits in ``_temporary`` folders,
+        which the listing skips.
+        """
         current = self.current(dataset, table)
         if current is not None:
             df = self.spark.read.parquet(current)
         else:
-            batches = self.batches(dataset, table)
-            paths = [leaf for b in batches for leaf in self._leaf_dirs(b)
-                     if only is None or _keeps(leaf.split("/" + b.rsplit("/", 1)[-1], 1)[-1], *only)]
-            if not paths:
+            root = self.table_path(dataset, table)
+            if not self._children(root, BATCH):
                 if schema is None:
-                    raise FileNotFoundError(self.table_path(dataset, table))
+                    raise FileNotFoundError(root)
                 return self.spark.createDataFrame([], schema)
-            reader = self.spark.read
+            reader = self.spark.read.option("basePath", root)
             if schema is not None:
-                reader = reader.schema(schema)
-            df = reader.parquet(*paths)
+                extra = [StructField(BATCH, StringType(), True), *(partitions.fields if partitions else [])]
+                reader = reader.schema(StructType([*schema.fields, *extra]))
+            df = reader.parquet(root)
+            if where is not None:
+                df = df.filter(where)
         if columns:
             df = df.select(*columns)
         elif schema is not None:

@@ -6,11 +6,11 @@ from datetime import datetime
 
 import pytest
 
-from inkwell.config import ANALYTICS, RAW, Lake
+from inkwell.config import ANALYTICS, Lake
 from inkwell.plans import refresh
 from inkwell.plans.catalog import Tables
 from inkwell.plans import queries as q
-from inkwell.sources import adapters
+from inkwell.sources import adapters, landing
 from inkwell.sources.store import TableStore
 
 from conftest import SF_SMALL
@@ -21,7 +21,7 @@ STAMP = datetime(2024, 2, 1, 6, 0, 0)
 @pytest.fixture(scope="module")
 def lake(spark, scratch):
     lake = Lake(f"{scratch}/lake-refresh")
-    TableStore(spark, lake).append(adapters.articles_raw(spark, SF_SMALL), RAW, "articles_raw")
+    landing.append_raw(TableStore(spark, lake), adapters.articles_raw(spark, SF_SMALL))
     return lake
 
 

@@ -86,3 +86,19 @@ def test_lookup_and_recent_failures(spark):
     assert run_ops.run_lookup(runs, "r3", dag_id="guardian_ingest_recent").count() == 0
     assert run_ops.failed_in_latest(runs, 4).first()["recent_failures"] == 2
     assert run_ops.normalize_state(F.lit(None)) is not None
+
+
+def test_upsert_plan_limits_before_shuffle_and_joins_once(spark):
+    t = datetime(2026, 3, 1)
+    target = _runs(spark, [("a", "d", "running", "system", t, None, "w", None)])
+    source = _runs(spark, [("a", "d", "success", "system", t, None, "w", None)])
+    plan = run_ops.upsert_runs(target, source)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert plan.count("Join") == 1 and "FullOuter" in plan
+
+
+def test_duplicate_target_rows_are_each_updated(spark):
+    t = datetime(2026, 3, 1)
+    target = _runs(spark, [("a", "d", "running", "system", t, None, "w", None)] * 2)
+    source = _runs(spark, [("a", "d", "success", "system", t, None, "w", None)])
+    assert [r["status"] for r in run_ops.upsert_runs(target, source).collect()] == ["success", "success"]
