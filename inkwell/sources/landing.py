@@ -150,10 +150,14 @@ ACCEPTED_PARTITION = StructType([StructField(ACCEPTED, BooleanType(), True)])
 QUARANTINE = StructType([*ARTICLES_RAW.fields, StructField("reject_reason", StringType(), True)])
 
 
-def read_raw(store: TableStore) -> DataFrame:
-    """``articles_raw``: the accepted rows of every load."""
-    return store.read(RAW, RAW_TABLE, schema=ARTICLES_RAW, partitions=ACCEPTED_PARTITION,
-                      where=F.col(ACCEPTED))
+def read_raw(store: TableStore, batches: list[str] | None = None) -> DataFrame:
+    """``articles_raw``: the accepted rows of every load, or of the given
+    batches only (a partition filter: other batches are never listed into
+    the scan)."""
+    where = F.col(ACCEPTED)
+    if batches is not None:
+        where = where & F.col("batch").isin(*batches) if batches else F.lit(False)
+    return store.read(RAW, RAW_TABLE, schema=ARTICLES_RAW, partitions=ACCEPTED_PARTITION, where=where)
 
 
 def read_quarantine(store: TableStore) -> DataFrame:

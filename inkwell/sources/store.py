@@ -108,6 +108,14 @@ class TableStore:
             self.delete(old)
 
     # -------------------------------------------------------------- batches
+    def batch_ids(self, dataset: str, table: str) -> list[str]:
+        """Ids of the batch directories (one listing of the table root)."""
+        root = self.table_path(dataset, table)
+        return [name.split("=", 1)[1] for name in self._children(root, BATCH)]
+
+    def batch_committed(self, dataset: str, table: str, batch_id: str) -> bool:
+        return self._committed(f"{self.table_path(dataset, table)}/{BATCH}={batch_id}")
+
     def batches(self, dataset: str, table: str) -> list[str]:
         root = self.table_path(dataset, table)
         return [f"{root}/{name}" for name in self._children(root, BATCH)
