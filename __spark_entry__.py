@@ -23,6 +23,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.config import configure
 from inkwell.functions.formats import plain_types
 from inkwell.operators import quality
 from inkwell.operators import runs as run_ops
@@ -62,7 +63,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return q.top_sections(t.section_counts_daily, *FULL)
 
 
+def _configured(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Every query runs in a UTC session with the library's runtime settings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _configured(fn) for name, fn in _queries().items()}
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def content_freshness(spark, sf):
         return plain_types(_t(spark, sf).content_freshness.drop("refreshed_at"))
 
@@ -186,6 +202,10 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         metrics = q.overview_metrics(t.articles_latest, *DEFAULT_WINDOW)
         return reports.freshness_block(q.freshness(t.content_freshness), metrics)
 
+    def ops_status(s, d):
+        t = _t(s, d)
+        return reports.ops_status(t, quality.quality_results(t.articles_latest, as_of=AS_OF_TS))["status"]
+
     def section_share(s, d):
         return reports.section_share(q.top_sections(_t(s, d).section_counts_daily, *FULL))
 
@@ -586,6 +606,11 @@ UNION ALL SELECT 4, 'Recent failures', CAST(recent_failures AS VARCHAR), 'Persis
         "overview_freshness": _BASE.rstrip() + f""",
 {kpis.replace(_overview(f0, f1), _overview(d0, d1))}
 SELECT last_sync_at, watermark, lag FROM block""",
+        "ops_status": _BASE + f"""SELECT COALESCE({_iso('last_sync_at')}, 'No data') AS last_sync_at,
+  CASE WHEN freshness_lag_minutes IS NULL THEN 'No data'
+       ELSE CAST(freshness_lag_minutes AS VARCHAR) || ' min' END AS freshness_lag,
+  COALESCE({_iso('watermark')}, 'No data') AS watermark
+FROM content_freshness""",
         "section_share": _BASE + f"""SELECT section, count, count / greatest(max(count) OVER (), 1) * 100 AS share FROM (
   SELECT section, CAST(SUM(article_count) AS BIGINT) AS count
   FROM section_counts_daily WHERE {_win(f0, f1)} GROUP BY section
