@@ -39,7 +39,8 @@ STEPS: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 LAYOUT: dict[str, dict] = {
-    "articles_latest": {"partition_by": ("publication_date",), "cluster_by": ("section_name", "pillar_name")},
+    "articles_latest": {"partition_by": ("publication_date",), "cluster_by": ("section_name", "pillar_name"),
+                        "bloom_filters": ("guardian_id",)},
     "article_tags": {"partition_by": ("publication_date",), "cluster_by": ("tag", "section_name")},
     "daily_volume": {"cluster_by": ("publication_date",)},
     "section_counts_daily": {"cluster_by": ("publication_date", "section")},

@@ -25,6 +25,9 @@ from inkwell.config import Lake
 
 VERSION, BATCH = "version", "batch"
 MARKER = "_SUCCESS"
+# Distinct keys expected per row group (~128 MB of article rows); sizes the
+# bloom filters to about 1% false positives without overshooting.
+BLOOM_NDV = 200_000
 
 
 def new_id() -> str:
@@ -77,7 +80,7 @@ class TableStore:
 
     def replace(self, df: DataFrame, dataset: str, table: str, *,
                 partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (),
-                keep: int = 2) -> str:
+                bloom_filters: Sequence[str] = (), keep: int = 2) -> str:
         """SNK-1: write a new version; older ones beyond ``keep`` are dropped.
 
         Partitioned tables are rebalanced on the partition column first: AQE
@@ -87,6 +90,9 @@ class TableStore:
         splits, not days x tasks). Rows are sorted by the clustering columns
         inside each file for min/max skipping.
 
+        ``bloom_filters`` adds a Parquet bloom filter per row group on those
+        columns, for equality lookups by a key the layout does not sort by.
+
         Unpartitioned tables (the rollups) keep the partitioning of the
         aggregate that produced them and are only sorted inside each file by
         the clustering columns: Parquet row-group statistics then skip other
@@ -95,10 +101,17 @@ class TableStore:
         path = f"{self.table_path(dataset, table)}/{VERSION}={new_id()}"
         if partition_by:
             out = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *cluster_by)
-            out.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
         else:
             out = df.sortWithinPartitions(*cluster_by) if cluster_by else df
-            out.write.mode("errorifexists").parquet(path)
+        writer = out.write.mode("errorifexists")
+        for column in bloom_filters:
+            # point lookups on a column the files are not sorted by: the
+            # reader skips row groups whose filter rules the value out
+            writer = (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                      .option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_NDV)))
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
         self._vacuum(dataset, table, keep)
         return path
 
