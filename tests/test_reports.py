@@ -77,3 +77,29 @@ def test_volume_echoes_granularity_and_tags_momentum(spark):
     assert reports.volume_report(t, w, "hour")["granularity"] == "hour"
     assert {r["momentum"] for r in reports.tags_report(t, w)["tags"].collect()} == {"Live"}
     assert reports.sections_report(t, w)["leaders"].count() == 4
+
+
+def test_report_shapes_match_the_api_fixtures(spark):
+    """Column names and types of FIXTURES.md §3 (the API response blocks)."""
+    from inkwell.operators import quality
+
+    t = Tables.derived(spark, SF_SMALL)
+    w = reports.window("2024-01-01", "2024-01-31")
+    shape = lambda df: [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    assert shape(reports.volume_report(t, w)["series"]) == [("date", "string"), ("value", "bigint")]
+    assert shape(reports.sections_report(t, w)["series"]) == [("date", "string")] + [
+        (c, "bigint") for c in ("world", "politics", "business", "culture", "climate", "technology")]
+    assert shape(reports.sections_report(t, w)["leaders"]) == [("section", "string"), ("count", "bigint")]
+    assert shape(reports.tags_report(t, w)["tags"]) == [("tag", "string"), ("count", "bigint"),
+                                                        ("momentum", "string")]
+    runs = spark.createDataFrame([], PIPELINE_RUNS)
+    assert shape(reports.overview(t, runs, w)["kpis"])[1:] == [("label", "string"), ("value", "string"),
+                                                               ("delta", "string"), ("tone", "string")]
+    assert shape(q.freshness(t.content_freshness)) == [
+        ("total_articles", "bigint"), ("active_sections", "bigint"), ("last_sync_at", "string"),
+        ("watermark", "string"), ("freshness_lag_minutes", "bigint")]
+    checks = reports.ops_status(t, quality.quality_results(t.articles_latest))["checks"]
+    assert [n for n, _ in shape(checks)] == ["name", "status", "observed_value", "threshold", "detail"]
+    summaries = reports.search_page(t.articles_latest, w)["articles"]
+    assert [n for n, _ in shape(summaries)] == ["guardian_id", "web_title", "web_url", "section_id",
+                                                "section_name", "pillar_name", "published_at", "tags"]
