@@ -85,13 +85,12 @@ def _plan_latest(store: TableStore, incremental: bool) -> tuple[DataFrame, list[
     crash between the two writes changes nothing either.
     """
     spark = store.spark
-    listed = store.batch_ids(RAW, landing.RAW_TABLE)
+    committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)
     previous = store.current(ANALYTICS, "articles_latest")
     if not incremental or previous is None or not store.exists(ANALYTICS, LEDGER):
-        done = [b for b in listed if store.batch_committed(RAW, landing.RAW_TABLE, b)]
-        return articles_latest(landing.read_raw(store, done)), done
+        return articles_latest(landing.read_raw(store, committed)), committed
     seen = {r["batch"] for r in store.read(ANALYTICS, LEDGER).collect()}
-    new = [b for b in listed if b not in seen and store.batch_committed(RAW, landing.RAW_TABLE, b)]
+    new = [b for b in committed if b not in seen]
     prior = spark.read.parquet(previous).select(*ARTICLES_RAW.fieldNames())
     merged = prior.unionByName(landing.read_raw(store, new))
     return articles_latest(merged), sorted(seen | set(new))

@@ -129,6 +129,13 @@ class TableStore:
     def batch_committed(self, dataset: str, table: str, batch_id: str) -> bool:
         return self._committed(f"{self.table_path(dataset, table)}/{BATCH}={batch_id}")
 
+    def committed_batch_ids(self, dataset: str, table: str) -> list[str]:
+        """Ids of the batches whose load committed, from one glob listing
+        (not one existence check per batch)."""
+        fs, pattern = self._fs_path(f"{self.table_path(dataset, table)}/{BATCH}=*/{MARKER}")
+        found = fs.globStatus(pattern) or []
+        return sorted(s.getPath().getParent().getName().split("=", 1)[1] for s in found)
+
     def batches(self, dataset: str, table: str) -> list[str]:
         root = self.table_path(dataset, table)
         return [f"{root}/{name}" for name in self._children(root, BATCH)
