@@ -17,7 +17,6 @@ left out of the comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
-
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +37,6 @@ SF_SMOKE = "/root/testdata/sf0.001"
 # Query parameters (fixed values): the whole month of the test data, a
 # default 12-day window ending on its last day, and search arguments.
 FULL = ("2024-01-01", "2024-01-31")
-AS_OF = "2024-01-30"
 DEFAULT_WINDOW = ("2024-01-19", "2024-01-30")
 SEARCH_TEXT = "story 1"
 SEARCH_SECTION = "Politics"
@@ -129,7 +127,8 @@ def _runs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored history: the first sync merged into an empty table, so one
     row per key."""
-    return run_ops.latest_per_key(_runs(spark, sf_dir, F.col("ts") < F.lit(HISTORY_BEFORE).cast("timestamp_ntz")))
+    first_sync = _runs(spark, sf_dir, F.col("ts") < F.lit(HISTORY_BEFORE).cast("timestamp_ntz"))
+    return run_ops.latest_per_key(first_sync)
 
 
 def _merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

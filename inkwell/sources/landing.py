@@ -29,7 +29,6 @@ UNPARSEABLE_PUBLISHED = "unparseable_published_at"
 
 RAW_TABLE = "articles_raw"
 ACCEPTED = "accepted"
-QUARANTINE_COLUMNS = (*ARTICLES_RAW.fieldNames(), "reject_reason")
 
 
 def read_landing(spark: SparkSession, landing_dir: str, *, one_page_per_file: bool = False,
@@ -152,8 +151,8 @@ QUARANTINE = StructType([*ARTICLES_RAW.fields, StructField("reject_reason", Stri
 
 def read_raw(store: TableStore, batches: list[str] | None = None) -> DataFrame:
     """``articles_raw``: the accepted rows of every load, or of the given
-    batches only (a partition filter: other batches are never listed into
-    the scan)."""
+    batches only (a partition filter: files of other batches are pruned
+    before the scan opens any)."""
     where = F.col(ACCEPTED)
     if batches is not None:
         where = where & F.col("batch").isin(*batches) if batches else F.lit(False)
