@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.config import ANALYTICS, OPS, RAW, Lake, Settings, configure
 from inkwell.operators import quality, rollups
-from inkwell.operators.latest import LATEST_COLUMNS, articles_latest
+from inkwell.operators.latest import LATEST_COLUMNS, article_key, articles_latest
 from inkwell.schemas import ARTICLES_RAW, DATA_QUALITY_RESULTS
 from inkwell.sources import landing
 from inkwell.sources.store import TableStore
@@ -73,35 +74,65 @@ def read_analytics(store: TableStore, name: str) -> DataFrame:
 
 
 LEDGER = "articles_latest_batches"
+# Most article keys an incremental run broadcasts (about 100 MB of keys);
+# a larger set of new keys takes the shuffle path instead.
+MAX_BROADCAST_KEYS = 2_000_000
 
 
-def _plan_latest(store: TableStore, incremental: bool) -> tuple[DataFrame, list[str]]:
+@dataclass
+class LatestPlan:
+    df: DataFrame
+    batches: list[str]
+    rebalance: bool = True
+
+
+def _plan_latest(store: TableStore, incremental: bool,
+                 max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> LatestPlan:
     """MAT-1 input and the raw batches it covers.
 
-    Full: every committed raw batch. Incremental: the previous version of
-    ``articles_latest`` (already one row per key) plus only the committed
-    batches not yet in the ledger. Raw is append-only and the dedup keeps a
-    maximum, so both give the same table; a batch counted twice after a
-    crash between the two writes changes nothing either.
+    Full: every committed raw batch. Incremental: only keys that occur in
+    committed batches not yet in the ledger can change. Their rows in the
+    previous version are deduplicated again together with the new rows;
+    every other row of the previous version passes through as it is. Raw is
+    append-only and the dedup keeps a maximum, so the result equals a full
+    rebuild (a batch counted twice after a crash changes nothing either).
+
+    The new keys are counted first. Within ``max_broadcast_keys`` they are
+    broadcast: the untouched rows are filtered map-side, never shuffled, and
+    keep their one-day-per-file layout, so the write needs no rebalance.
+    Beyond it, the previous version and the new rows are deduplicated
+    together with an ordinary shuffle.
     """
     spark = store.spark
     committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)
     previous = store.current(ANALYTICS, "articles_latest")
     if not incremental or previous is None or not store.exists(ANALYTICS, LEDGER):
-        return articles_latest(landing.read_raw(store, committed)), committed
+        return LatestPlan(articles_latest(landing.read_raw(store, committed)), committed)
     seen = {r["batch"] for r in store.read(ANALYTICS, LEDGER).collect()}
     new = [b for b in committed if b not in seen]
-    prior = spark.read.parquet(previous).select(*ARTICLES_RAW.fieldNames())
-    merged = prior.unionByName(landing.read_raw(store, new))
-    return articles_latest(merged), sorted(seen | set(new))
+    covered = sorted(seen | set(new))
+    prior = spark.read.parquet(previous).select(*LATEST_COLUMNS)
+    fresh = landing.read_raw(store, new)
+    new_keys = fresh.select(article_key().alias("_k")).distinct()
+    if new_keys.count() > max_broadcast_keys:
+        merged = prior.select(*ARTICLES_RAW.fieldNames()).unionByName(fresh)
+        return LatestPlan(articles_latest(merged), covered)
+    keys = F.broadcast(new_keys)
+    keyed = prior.withColumn("_k", article_key())
+    touches = keyed["_k"].eqNullSafe(keys["_k"])
+    untouched = keyed.join(keys, touches, "left_anti").drop("_k")
+    touched = keyed.join(keys, touches, "left_semi").select(*ARTICLES_RAW.fieldNames())
+    winners = articles_latest(touched.unionByName(fresh)).repartition("publication_date")
+    return LatestPlan(untouched.unionByName(winners), covered, rebalance=False)
 
 
 def _builders(store: TableStore, refreshed_at: datetime | None, incremental: bool,
-              covered: list[str]) -> dict[str, Callable[[], DataFrame]]:
+              covered: list[str], layouts: dict[str, dict]) -> dict[str, Callable[[], DataFrame]]:
     def latest() -> DataFrame:
-        df, batches = _plan_latest(store, incremental)
-        covered[:] = batches
-        return df
+        plan = _plan_latest(store, incremental)
+        covered[:] = plan.batches
+        layouts["articles_latest"] = {**LAYOUT["articles_latest"], "rebalance": plan.rebalance}
+        return plan.df
 
     def up(name: str) -> DataFrame:
         return read_analytics(store, name)
@@ -148,7 +179,8 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     configure(spark)
     store = TableStore(spark, lake)
     covered: list[str] = []
-    builders = _builders(store, refreshed_at, incremental, covered)
+    layouts = dict(LAYOUT)
+    builders = _builders(store, refreshed_at, incremental, covered, layouts)
     names = [n for n, _ in STEPS if only is None or n in set(only)]
     deps = dict(STEPS)
     failed: set[str] = set()
@@ -159,7 +191,8 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
         try:
             if fail and name in fail:
                 raise fail[name]
-            store.replace(builders[name](), ANALYTICS, name, **LAYOUT[name])
+            df = builders[name]()
+            store.replace(df, ANALYTICS, name, **layouts[name])
             if name == "articles_latest":
                 ledger = spark.createDataFrame([(b,) for b in covered], "batch string")
                 store.replace(ledger, ANALYTICS, LEDGER)

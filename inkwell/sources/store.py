@@ -80,7 +80,7 @@ class TableStore:
 
     def replace(self, df: DataFrame, dataset: str, table: str, *,
                 partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (),
-                bloom_filters: Sequence[str] = (), keep: int = 2) -> str:
+                bloom_filters: Sequence[str] = (), rebalance: bool = True, keep: int = 2) -> str:
         """SNK-1: write a new version; older ones beyond ``keep`` are dropped.
 
         Partitioned tables are rebalanced on the partition column first: AQE
@@ -90,6 +90,9 @@ class TableStore:
         splits, not days x tasks). Rows are sorted by the clustering columns
         inside each file for min/max skipping.
 
+        ``rebalance=False`` is for inputs already laid out one day per task
+        (an incremental pass over the previous version's files).
+
         ``bloom_filters`` adds a Parquet bloom filter per row group on those
         columns, for equality lookups by a key the layout does not sort by.
 
@@ -100,7 +103,8 @@ class TableStore:
         """
         path = f"{self.table_path(dataset, table)}/{VERSION}={new_id()}"
         if partition_by:
-            out = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *cluster_by)
+            out = df.hint("rebalance", *partition_by) if rebalance else df
+            out = out.sortWithinPartitions(*partition_by, *cluster_by)
         else:
             out = df.sortWithinPartitions(*cluster_by) if cluster_by else df
         writer = out.write.mode("errorifexists")

@@ -79,7 +79,10 @@ def test_partitioned_layout_prunes_dates(spark, lake):
     assert "web_title" not in plan.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_incremental_refresh_equals_full_rebuild(spark, scratch):
+@pytest.mark.parametrize("max_keys", [refresh.MAX_BROADCAST_KEYS, 0])
+def test_incremental_refresh_equals_full_rebuild(spark, scratch, max_keys, monkeypatch):
+    monkeypatch.setattr(refresh, "MAX_BROADCAST_KEYS", max_keys)
+    monkeypatch.setattr(refresh._plan_latest, "__defaults__", (max_keys,))
     from pyspark.sql import functions as F
 
     events = adapters.read_table(spark, SF_SMALL, "events")
@@ -89,7 +92,13 @@ def test_incremental_refresh_equals_full_rebuild(spark, scratch):
                                                       F.lit("2024-01-20").cast("timestamp"))),
              raw.filter(F.col("published_at") > F.lit("2024-01-20").cast("timestamp")),
              raw.filter(F.col("published_at") < F.lit("2024-01-05").cast("timestamp"))]   # a re-ingest
-    inc, full = Lake(f"{scratch}/lake-inc"), Lake(f"{scratch}/lake-full")
+    from conftest import raw_rows
+
+    orphans = [{"guardian_id": None, "web_url": f"u{i}", "web_title": f"orphan {i}", "published_at": None,
+                "ingested_at": f"2024-02-0{i + 1} 00:00:00", "api_response_page": 1} for i in range(3)]
+    parts[0] = parts[0].unionByName(raw_rows(spark, orphans[:2]))
+    parts[3] = parts[3].unionByName(raw_rows(spark, orphans[2:]))
+    inc, full = Lake(f"{scratch}/lake-inc{max_keys}"), Lake(f"{scratch}/lake-full{max_keys}")
     for i, part in enumerate(parts):
         for lake in (inc, full):
             landing.append_raw(TableStore(spark, lake), part, batch_id=f"{i:04d}")
@@ -99,5 +108,19 @@ def test_incremental_refresh_equals_full_rebuild(spark, scratch):
     got = lambda lake: sorted(map(str, refresh.read_analytics(TableStore(spark, lake), "articles_latest")
                                   .select(*cols).collect()))
     assert got(inc) == got(full)
+    orphan = refresh.read_analytics(TableStore(spark, inc), "articles_latest").filter("web_title like 'orphan%'")
+    assert [r["web_title"] for r in orphan.collect()] == ["orphan 2"]
     ledger = TableStore(spark, inc).read(ANALYTICS, refresh.LEDGER)
     assert sorted(r["batch"] for r in ledger.collect()) == ["0000", "0001", "0002", "0003"]
+
+
+def test_incremental_plan_filters_untouched_rows_map_side(spark, scratch):
+    lake = Lake(f"{scratch}/lake-incplan")
+    store = TableStore(spark, lake)
+    landing.append_raw(store, adapters.articles_raw(spark, SF_SMALL), batch_id="0000")
+    refresh.run_transforms(spark, lake, only=["articles_latest"])
+    landing.append_raw(store, adapters.articles_raw(spark, SF_SMALL).limit(10), batch_id="0001")
+    plan = refresh._plan_latest(store, incremental=True)
+    assert plan.rebalance is False and plan.batches == ["0000", "0001"]
+    text = plan.df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "LeftAnti" in text
