@@ -57,12 +57,19 @@ def local_session(app: str = "inkwell", cores: str = "*", partitions: int = 8,
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("INKWELL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
+    event_log = os.environ.get("INKWELL_EVENT_LOG")
+    if event_log:
+        # stage and task metrics for the bench, into its own scratch folder
+        builder = (builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log)
+                   .config("spark.eventLog.rolling.enabled", "false")
+                   .config("spark.eventLog.compress", "false"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)

@@ -186,7 +186,12 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     failed: set[str] = set()
     results: dict[str, dict] = {}
 
+    sc = spark.sparkContext
+    group = sc.getLocalProperty("spark.jobGroup.id")
+
     def build(name: str) -> dict:
+        if group:  # local properties are per thread: keep the caller's job group
+            sc.setLocalProperty("spark.jobGroup.id", group)
         started = time.perf_counter()
         try:
             if fail and name in fail:
