@@ -59,3 +59,22 @@ def test_replayed_batch_overwrites_itself(spark, scratch):
     assert a == b
     assert landing.read_raw(store).count() == a["loaded"]
     assert len(store.batches(RAW, landing.RAW_TABLE)) == 1
+
+
+def test_stream_of_one_page_per_file(spark, scratch):
+    import json
+    import os
+
+    root = tempfile.mkdtemp(prefix="stream-files-", dir=scratch)
+    for day, page in (("2026-03-11", 1), ("2026-03-11", 2), ("2026-03-12", 1)):
+        d = f"{root}/landing/day={day}"
+        os.makedirs(d, exist_ok=True)
+        with open(f"{d}/page-{page:05d}.json", "w") as fh:
+            json.dump({"response": {"results": [{"id": f"a/{day}/{page}", "webTitle": "t",
+                                                 "webPublicationDate": f"{day}T10:00:00Z"}, 7]}}, fh, indent=2)
+    lake = Lake(f"{root}/lake")
+    landing_stream.run_available_now(spark, lake, f"{root}/landing", one_page_per_file=True)
+    store = TableStore(spark, lake)
+    rows = sorted((r["guardian_id"], r["api_response_page"]) for r in landing.read_raw(store).collect())
+    assert rows == [("a/2026-03-11/1", 1), ("a/2026-03-11/2", 2), ("a/2026-03-12/1", 1)]
+    assert landing.read_quarantine(store).count() == 3
