@@ -230,7 +230,38 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                    tag=SEARCH_TAG, limit=20, offset=40)
         return plain_types(page["articles"])
 
-    return {name: fn for name, fn in locals().items() if callable(fn)}
+    return {
+        # DQ-1 … DQ-4
+        "quality_results": quality_results,
+        "quality_results_raw": quality_results_raw,
+        "quality_report": quality_report,
+        "duplicate_ids": duplicate_ids,
+        "freshness_budget": freshness_budget,
+        # SRC-1 … SRC-5, SRC-9, ING-2
+        "reject_split": reject_split,
+        "reject_counts": reject_counts,
+        "backfill_report": backfill_report,
+        "raw_watermark": raw_watermark,
+        # RUN-1 … RUN-7, QRY-10, RPT-11, RPT-12
+        "run_normalise": run_normalise,
+        "run_upsert": run_upsert,
+        "pipeline_runs": pipeline_runs,
+        "pipeline_runs_page2": pipeline_runs_page2,
+        "runs_serialised": runs_serialised,
+        "failed_run_feed": failed_run_feed,
+        "run_lookup": run_lookup,
+        "failed_run_count": failed_run_count,
+        # RPT-3, RPT-4, RPT-8, RPT-10, RPT-13 … RPT-16
+        "overview_kpis": overview_kpis,
+        "overview_freshness": overview_freshness,
+        "ops_status": ops_status,
+        "section_share": section_share,
+        "tag_rank": tag_rank,
+        "trailing_volume": trailing_volume,
+        "trailing_sections": trailing_sections,
+        "search_page_info": search_page_info,
+        "search_summaries": search_summaries,
+    }
 
 
 def _dates(pair):
