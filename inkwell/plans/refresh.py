@@ -15,7 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.config import ANALYTICS, OPS, RAW, Lake, Settings, configure
@@ -75,70 +76,77 @@ def read_analytics(store: TableStore, name: str) -> DataFrame:
 
 LEDGER = "articles_latest_batches"
 # Most article keys an incremental run broadcasts (about 100 MB of keys);
-# a larger set of new keys takes the shuffle path instead.
+# a larger set of new keys takes the full rebuild instead.
 MAX_BROADCAST_KEYS = 2_000_000
 
 
 @dataclass
-class LatestPlan:
-    df: DataFrame
+class Delta:
+    """What an incremental run changes: the ledger after it, the publication
+    dates whose rows change, and the new rows of those dates."""
+
     batches: list[str]
-    rebalance: bool = True
+    dates: list
+    latest_rows: DataFrame | None = None
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
-def _plan_latest(store: TableStore, incremental: bool,
-                 max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> LatestPlan:
-    """MAT-1 input and the raw batches it covers.
+def _in_dates(dates: list, column: str = "publication_date") -> Column:
+    days = [d for d in dates if d is not None]
+    cond = F.col(column).isin(*days) if days else F.lit(False)
+    return cond | F.col(column).isNull() if any(d is None for d in dates) else cond
 
-    Full: every committed raw batch. Incremental: only keys that occur in
-    committed batches not yet in the ledger can change. Their rows in the
-    previous version are deduplicated again together with the new rows;
-    every other row of the previous version passes through as it is. Raw is
-    append-only and the dedup keeps a maximum, so the result equals a full
-    rebuild (a batch counted twice after a crash changes nothing either).
 
-    The new keys are counted first. Within ``max_broadcast_keys`` they are
-    broadcast: the untouched rows are filtered map-side, never shuffled, and
-    keep their one-day-per-file layout, so the write needs no rebalance.
-    Beyond it, the previous version and the new rows are deduplicated
-    together with an ordinary shuffle.
+def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delta | None:
+    """The incremental change set, or None when a full rebuild is needed.
+
+    Only keys that occur in committed raw batches not yet in the ledger can
+    change. Their rows in the current ``articles_latest`` are found with a
+    broadcast, null-safe semi join (after counting the keys against the
+    bound), deduplicated again together with the new rows, and the dates of
+    both sides are the only partitions to rewrite. Rows of those dates whose
+    key is untouched are carried over. Raw is append-only and the dedup
+    keeps a maximum, so the result equals a full rebuild.
     """
+    limit = MAX_BROADCAST_KEYS if max_broadcast_keys is None else max_broadcast_keys
     spark = store.spark
-    committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)
     previous = store.current(ANALYTICS, "articles_latest")
-    if not incremental or previous is None or not store.exists(ANALYTICS, LEDGER):
-        return LatestPlan(articles_latest(landing.read_raw(store, committed)), committed)
+    if previous is None or not store.exists(ANALYTICS, LEDGER):
+        return None
+    committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)
     seen = {r["batch"] for r in store.read(ANALYTICS, LEDGER).collect()}
     new = [b for b in committed if b not in seen]
     covered = sorted(seen | set(new))
-    prior = spark.read.parquet(previous).select(*LATEST_COLUMNS)
+    if not new:
+        return Delta(covered, [])
     fresh = landing.read_raw(store, new)
     new_keys = fresh.select(article_key().alias("_k")).distinct()
-    if new_keys.count() > max_broadcast_keys:
-        merged = prior.select(*ARTICLES_RAW.fieldNames()).unionByName(fresh)
-        return LatestPlan(articles_latest(merged), covered)
+    if new_keys.count() > limit:
+        return None
     keys = F.broadcast(new_keys)
+    prior = spark.read.parquet(previous).select(*LATEST_COLUMNS)
     keyed = prior.withColumn("_k", article_key())
     touches = keyed["_k"].eqNullSafe(keys["_k"])
-    untouched = keyed.join(keys, touches, "left_anti").drop("_k")
-    touched = keyed.join(keys, touches, "left_semi").select(*ARTICLES_RAW.fieldNames())
-    winners = articles_latest(touched.unionByName(fresh)).repartition("publication_date")
-    return LatestPlan(untouched.unionByName(winners), covered, rebalance=False)
+    touched = keyed.join(keys, touches, "left_semi").drop("_k").persist(StorageLevel.MEMORY_AND_DISK)
+    winners = articles_latest(touched.select(*ARTICLES_RAW.fieldNames()).unionByName(fresh)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    dates = sorted({r[0] for r in touched.select("publication_date").union(
+        winners.select("publication_date")).distinct().collect()}, key=lambda d: (d is None, d))
+    carried = keyed.filter(_in_dates(dates)).join(keys, touches, "left_anti").drop("_k")
+    return Delta(covered, dates, carried.unionByName(winners), cached=[touched, winners])
 
 
-def _builders(store: TableStore, refreshed_at: datetime | None, incremental: bool,
-              covered: list[str], layouts: dict[str, dict]) -> dict[str, Callable[[], DataFrame]]:
-    def latest() -> DataFrame:
-        plan = _plan_latest(store, incremental)
-        covered[:] = plan.batches
-        layouts["articles_latest"] = {**LAYOUT["articles_latest"], "rebalance": plan.rebalance}
-        return plan.df
-
+def _full_writers(store: TableStore, refreshed_at: datetime | None,
+                  batches: list[str]) -> dict[str, Callable[[], None]]:
     def up(name: str) -> DataFrame:
         return read_analytics(store, name)
 
-    return {
-        "articles_latest": latest,
+    builds: dict[str, Callable[[], DataFrame]] = {
+        "articles_latest": lambda: articles_latest(landing.read_raw(store, batches)),
         "article_tags": lambda: rollups.article_tags(up("articles_latest")),
         "daily_volume": lambda: rollups.daily_volume(up("articles_latest")),
         "section_counts_daily": lambda: rollups.section_counts_daily(up("articles_latest")),
@@ -146,6 +154,47 @@ def _builders(store: TableStore, refreshed_at: datetime | None, incremental: boo
         "tag_counts_daily": lambda: rollups.tag_counts_daily(up("article_tags")),
         "content_freshness": lambda: rollups.content_freshness(up("articles_latest"), refreshed_at),
     }
+    return {name: (lambda n=name: store.replace(builds[n](), ANALYTICS, n, **LAYOUT[n])) for name in builds}
+
+
+def _incremental_writers(store: TableStore, delta: Delta,
+                         full: dict[str, Callable[[], None]]) -> dict[str, Callable[[], None]]:
+    """Writers that touch only ``delta.dates``: the article-grain tables by
+    dynamic partition overwrite, the small rollups by replacing their rows
+    of those dates (a rollup missing on disk is rebuilt in full)."""
+    dates = delta.dates
+    inside, outside = _in_dates(dates), ~_in_dates(dates)
+
+    def up(name: str, cond: Column) -> DataFrame:
+        return read_analytics(store, name).filter(cond)
+
+    def partitions(name: str, rows: Callable[[], DataFrame]) -> Callable[[], None]:
+        def write() -> None:
+            if dates:
+                store.overwrite_partitions(rows(), ANALYTICS, name, partition_by="publication_date",
+                                           values=dates, cluster_by=LAYOUT[name].get("cluster_by", ()),
+                                           bloom_filters=LAYOUT[name].get("bloom_filters", ()))
+        return write
+
+    def patch(name: str, recompute: Callable[[], DataFrame]) -> Callable[[], None]:
+        def write() -> None:
+            if not store.exists(ANALYTICS, name):
+                full[name]()
+            elif dates:
+                kept = read_analytics(store, name).filter(outside)
+                store.replace(kept.unionByName(recompute()), ANALYTICS, name, **LAYOUT[name])
+        return write
+
+    return {
+        "articles_latest": partitions("articles_latest", lambda: delta.latest_rows),
+        "article_tags": partitions("article_tags", lambda: rollups.article_tags(up("articles_latest", inside))),
+        "daily_volume": patch("daily_volume", lambda: rollups.daily_volume(up("articles_latest", inside))),
+        "section_counts_daily": patch("section_counts_daily",
+                                      lambda: rollups.section_counts_daily(up("articles_latest", inside))),
+        "section_daily": patch("section_daily", lambda: rollups.section_daily(up("section_counts_daily", inside))),
+        "tag_counts_daily": patch("tag_counts_daily", lambda: rollups.tag_counts_daily(up("article_tags", inside))),
+        "content_freshness": full["content_freshness"],
+    }
 
 
 def _waves(names: list[str]) -> list[list[str]]:
@@ -163,7 +212,8 @@ def _waves(names: list[str]) -> list[list[str]]:
 
 def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime | None = None,
                    only: Iterable[str] | None = None, incremental: bool = False,
-                   fail: dict[str, Exception] | None = None, parallel: int = 4) -> RefreshReport:
+                   fail: dict[str, Exception] | None = None, parallel: int = 4,
+                   max_broadcast_keys: int | None = None) -> RefreshReport:
     """Rebuild the analytics tables; ``fail`` injects an error into a step.
 
     Steps run level by level of the dependency graph; the steps of one level
@@ -171,21 +221,23 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     so small rollups share the cluster instead of queueing behind each other.
     A failed step skips everything that depends on it; others go on.
 
-    ``incremental=True`` folds only the raw batches not yet covered into the
-    previous ``articles_latest`` (the hourly run); the result is the same
-    as a full rebuild. The covered batch ids are kept in a small ledger
-    written after the table.
+    ``incremental=True`` (the hourly run) rewrites only the publication dates
+    that raw batches not yet covered can change (see ``plan_delta``); it
+    falls back to the full rebuild when there is no previous run or too many
+    new keys. The ledger of covered batches is written only when every step
+    succeeded, so a partly failed run is redone, dates and all, next time.
     """
     configure(spark)
     store = TableStore(spark, lake)
-    covered: list[str] = []
-    layouts = dict(LAYOUT)
-    builders = _builders(store, refreshed_at, incremental, covered, layouts)
+    committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)   # fixed for this run
+    writers = _full_writers(store, refreshed_at, committed)
+    delta = plan_delta(store, max_broadcast_keys) if incremental and only is None else None
+    if delta is not None:
+        writers = _incremental_writers(store, delta, writers)
     names = [n for n, _ in STEPS if only is None or n in set(only)]
     deps = dict(STEPS)
     failed: set[str] = set()
     results: dict[str, dict] = {}
-
     sc = spark.sparkContext
     group = sc.getLocalProperty("spark.jobGroup.id")
 
@@ -196,32 +248,35 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
         try:
             if fail and name in fail:
                 raise fail[name]
-            df = builders[name]()
-            store.replace(df, ANALYTICS, name, **layouts[name])
-            if name == "articles_latest":
-                ledger = spark.createDataFrame([(b,) for b in covered], "batch string")
-                store.replace(ledger, ANALYTICS, LEDGER)
+            writers[name]()
         except Exception as exc:  # noqa: BLE001 - the report carries the error
             return {"table": name, "status": "failed",
                     "duration_ms": round((time.perf_counter() - started) * 1000, 2), "error": str(exc)}
         return {"table": name, "status": "ok", "duration_ms": round((time.perf_counter() - started) * 1000, 2)}
 
-    with ThreadPoolExecutor(max_workers=max(parallel, 1)) as pool:
-        for wave in _waves(names):
-            runnable = []
-            for name in wave:
-                blocking = [d for d in deps[name] if d in failed]
-                if blocking:
-                    results[name] = {"table": name, "status": "skipped", "blocked_by": blocking}
-                    failed.add(name)
-                else:
-                    runnable.append(name)
-            for name, result in zip(runnable, pool.map(build, runnable)):
-                results[name] = result
-                if result["status"] == "failed":
-                    failed.add(name)
+    try:
+        with ThreadPoolExecutor(max_workers=max(parallel, 1)) as pool:
+            for wave in _waves(names):
+                runnable = []
+                for name in wave:
+                    blocking = [d for d in deps[name] if d in failed]
+                    if blocking:
+                        results[name] = {"table": name, "status": "skipped", "blocked_by": blocking}
+                        failed.add(name)
+                    else:
+                        runnable.append(name)
+                for name, result in zip(runnable, pool.map(build, runnable)):
+                    results[name] = result
+                    if result["status"] == "failed":
+                        failed.add(name)
+    finally:
+        if delta is not None:
+            delta.release()
     steps = [results[n] for n in names]
     status = "failed" if any(s["status"] == "failed" for s in steps) else "materialized"
+    if status == "materialized" and "articles_latest" in names:
+        batches = delta.batches if delta is not None else committed
+        store.replace(spark.createDataFrame([(b,) for b in batches], "batch string"), ANALYTICS, LEDGER)
     return RefreshReport(status=status, steps=steps)
 
 

@@ -18,13 +18,15 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from inkwell.config import Lake
 
 VERSION, BATCH = "version", "batch"
 MARKER = "_SUCCESS"
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 # Distinct keys expected per row group (~128 MB of article rows); sizes the
 # bloom filters to about 1% false positives without overshooting.
 BLOOM_NDV = 200_000
@@ -119,6 +121,38 @@ class TableStore:
         self._vacuum(dataset, table, keep)
         return path
 
+    def overwrite_partitions(self, df: DataFrame, dataset: str, table: str, *, partition_by: str,
+                             values: Sequence, cluster_by: Sequence[str] = (),
+                             bloom_filters: Sequence[str] = ()) -> None:
+        """Replace the ``values`` partitions of the current version in place.
+
+        Spark's dynamic partition overwrite swaps exactly the partitions the
+        rows fall in at job commit and leaves every other day untouched (no
+        read, no copy); partitions in ``values`` that end up with no rows
+        are removed afterwards. A reader sees each partition either before
+        or after, and a failed job changes nothing.
+        """
+        current = self.current(dataset, table)
+        if current is None:
+            raise FileNotFoundError(self.table_path(dataset, table))
+        obs = Observation(f"{table}-partitions")
+        out = (df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
+               .observe(obs, F.collect_set(partition_by).alias("present"),
+                        F.count_if(F.col(partition_by).isNull()).alias("nulls")))
+        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        for column in bloom_filters:
+            writer = (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                      .option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_NDV)))
+        writer.partitionBy(partition_by).parquet(current)
+        metrics = obs.get
+        present = {str(v) for v in metrics.get("present") or []}
+        for value in values:
+            if value is None:
+                if not metrics.get("nulls"):
+                    self.delete(f"{current}/{partition_by}={NULL_PARTITION}")
+            elif str(value) not in present:
+                self.delete(f"{current}/{partition_by}={value}")
+
     def _vacuum(self, dataset: str, table: str, keep: int) -> None:
         committed = self.versions(dataset, table)
         for old in committed[:-keep] if keep > 0 else []:

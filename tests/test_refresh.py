@@ -80,9 +80,7 @@ def test_partitioned_layout_prunes_dates(spark, lake):
 
 
 @pytest.mark.parametrize("max_keys", [refresh.MAX_BROADCAST_KEYS, 0])
-def test_incremental_refresh_equals_full_rebuild(spark, scratch, max_keys, monkeypatch):
-    monkeypatch.setattr(refresh, "MAX_BROADCAST_KEYS", max_keys)
-    monkeypatch.setattr(refresh._plan_latest, "__defaults__", (max_keys,))
+def test_incremental_refresh_equals_full_rebuild(spark, scratch, max_keys):
     from pyspark.sql import functions as F
 
     events = adapters.read_table(spark, SF_SMALL, "events")
@@ -102,12 +100,17 @@ def test_incremental_refresh_equals_full_rebuild(spark, scratch, max_keys, monke
     for i, part in enumerate(parts):
         for lake in (inc, full):
             landing.append_raw(TableStore(spark, lake), part, batch_id=f"{i:04d}")
-        assert refresh.run_transforms(spark, inc, incremental=True, only=["articles_latest"]).status == "materialized"
-    refresh.run_transforms(spark, full, only=["articles_latest"])
-    cols = ["guardian_id", "web_title", "ingested_at", "api_response_page", "section_name", "tags"]
-    got = lambda lake: sorted(map(str, refresh.read_analytics(TableStore(spark, lake), "articles_latest")
-                                  .select(*cols).collect()))
-    assert got(inc) == got(full)
+        report = refresh.run_transforms(spark, inc, incremental=True, max_broadcast_keys=max_keys)
+        assert report.status == "materialized"
+    refresh.run_transforms(spark, full)
+
+    def got(lake, name):
+        df = refresh.read_analytics(TableStore(spark, lake), name)
+        cols = [c for c in df.columns if c not in ("raw_payload", "refreshed_at")]
+        return sorted(map(str, df.select(*cols).collect()))
+
+    for name, _ in refresh.STEPS:
+        assert got(inc, name) == got(full, name), name
     orphan = refresh.read_analytics(TableStore(spark, inc), "articles_latest").filter("web_title like 'orphan%'")
     assert [r["web_title"] for r in orphan.collect()] == ["orphan 2"]
     ledger = TableStore(spark, inc).read(ANALYTICS, refresh.LEDGER)
@@ -118,9 +121,35 @@ def test_incremental_plan_filters_untouched_rows_map_side(spark, scratch):
     lake = Lake(f"{scratch}/lake-incplan")
     store = TableStore(spark, lake)
     landing.append_raw(store, adapters.articles_raw(spark, SF_SMALL), batch_id="0000")
-    refresh.run_transforms(spark, lake, only=["articles_latest"])
-    landing.append_raw(store, adapters.articles_raw(spark, SF_SMALL).limit(10), batch_id="0001")
-    plan = refresh._plan_latest(store, incremental=True)
-    assert plan.rebalance is False and plan.batches == ["0000", "0001"]
-    text = plan.df._jdf.queryExecution().executedPlan().toString()
+    refresh.run_transforms(spark, lake)
+    assert refresh.plan_delta(store).dates == []                 # nothing new
+    late = adapters.articles_raw(spark, SF_SMALL).filter("published_at >= timestamp'2024-01-29'")
+    landing.append_raw(store, late, batch_id="0001")
+    delta = refresh.plan_delta(store)
+    assert delta.batches == ["0000", "0001"]
+    assert [str(d) for d in delta.dates] == ["2024-01-29", "2024-01-30"]
+    text = delta.latest_rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "LeftAnti" in text
+    delta.release()
+    assert refresh.plan_delta(store, max_broadcast_keys=0) is None   # over the bound: full rebuild
+
+
+def test_failed_hourly_run_is_repaired_by_the_next(spark, scratch):
+    from pyspark.sql import functions as F
+
+    raw = adapters.articles_raw(spark, SF_SMALL)
+    early = raw.filter(F.col("published_at") < F.lit("2024-01-20").cast("timestamp"))
+    lake, full = Lake(f"{scratch}/lake-heal"), Lake(f"{scratch}/lake-heal-full")
+    store = TableStore(spark, lake)
+    landing.append_raw(store, early, batch_id="0000")
+    refresh.run_transforms(spark, lake)
+    landing.append_raw(store, raw, batch_id="0001")
+    broken = refresh.run_transforms(spark, lake, incremental=True, fail={"daily_volume": RuntimeError("x")})
+    assert broken.status == "failed"
+    assert [r["batch"] for r in store.read(ANALYTICS, refresh.LEDGER).collect()] == ["0000"]
+    assert refresh.run_transforms(spark, lake, incremental=True).status == "materialized"
+    for b, part in (("0000", early), ("0001", raw)):
+        landing.append_raw(TableStore(spark, full), part, batch_id=b)
+    refresh.run_transforms(spark, full)
+    rows = lambda lk: sorted(map(str, refresh.read_analytics(TableStore(spark, lk), "daily_volume").collect()))
+    assert rows(lake) == rows(full)
