@@ -14,12 +14,19 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
 
 from inkwell.config import RAW
 from inkwell.functions.formats import utc_literal
 from inkwell.schemas import ARTICLES_RAW, PAGE_ENVELOPE, SOURCE_RESULT
-from inkwell.sources.store import TableStore
+from inkwell.sources.store import TableStore, new_id
 
 # Reject reasons, first match wins.
 NOT_A_DICT = "not_a_dict"
@@ -28,6 +35,7 @@ MISSING_PUBLISHED = "missing_published_at"
 UNPARSEABLE_PUBLISHED = "unparseable_published_at"
 
 RAW_TABLE = "articles_raw"
+LOAD_LOG_TABLE = "articles_raw_loads"
 ACCEPTED = "accepted"
 
 
@@ -139,14 +147,29 @@ def load(store: TableStore, text: DataFrame, ingested_at: datetime | Column, *,
     obs = Observation("load")
     rows = validated(text, ingested_at).observe(
         obs, F.count_if(F.col(ACCEPTED)).alias("loaded"),
-        F.count_if(~F.col(ACCEPTED)).alias("rejected"))
+        F.count_if(~F.col(ACCEPTED)).alias("rejected"),
+        F.max(F.when(F.col(ACCEPTED), F.col("ingested_at"))).cast("timestamp_ntz").alias("max_ingested_at"))
+    batch_id = batch_id or new_id()
     store.append(rows, RAW, RAW_TABLE, batch_id=batch_id, partition_by=(ACCEPTED,))
     metrics = obs.get
-    return {"loaded": int(metrics.get("loaded") or 0), "rejected": int(metrics.get("rejected") or 0)}
+    counts = {"loaded": int(metrics.get("loaded") or 0), "rejected": int(metrics.get("rejected") or 0)}
+    _log_load(store, batch_id, counts["loaded"], counts["rejected"], metrics.get("max_ingested_at"))
+    return counts
+
+
+def _log_load(store: TableStore, batch_id: str, loaded: int, rejected: int,
+              max_ingested_at: datetime | None) -> None:
+    """One row per committed raw batch in the load log (its own batch id,
+    so a replayed load rewrites its row)."""
+    row = store.spark.createDataFrame([(loaded, rejected, max_ingested_at)], LOAD_LOG)
+    store.append(row, RAW, LOAD_LOG_TABLE, batch_id=batch_id)
 
 
 ACCEPTED_PARTITION = StructType([StructField(ACCEPTED, BooleanType(), True)])
 QUARANTINE = StructType([*ARTICLES_RAW.fields, StructField("reject_reason", StringType(), True)])
+# One row per load, in the load's own batch directory (UTC wall clock).
+LOAD_LOG = StructType([StructField("loaded", LongType(), True), StructField("rejected", LongType(), True),
+                       StructField("max_ingested_at", TimestampNTZType(), True)])
 
 
 def read_raw(store: TableStore, batches: list[str] | None = None) -> DataFrame:
@@ -168,16 +191,42 @@ def read_quarantine(store: TableStore) -> DataFrame:
 def append_raw(store: TableStore, rows: DataFrame, *, batch_id: str | None = None) -> str:
     """Append rows already in the ``articles_raw`` layout as accepted rows
     (migrations, replays of an old warehouse, test fixtures)."""
-    out = rows.select(*ARTICLES_RAW.fieldNames()).withColumn(ACCEPTED, F.lit(True))
-    return store.append(out, RAW, RAW_TABLE, batch_id=batch_id, partition_by=(ACCEPTED,))
+    obs = Observation("append")
+    out = rows.select(*ARTICLES_RAW.fieldNames()).withColumn(ACCEPTED, F.lit(True)).observe(
+        obs, F.count(F.lit(1)).alias("loaded"),
+        F.max("ingested_at").cast("timestamp_ntz").alias("max_ingested_at"))
+    batch_id = batch_id or new_id()
+    path = store.append(out, RAW, RAW_TABLE, batch_id=batch_id, partition_by=(ACCEPTED,))
+    metrics = obs.get
+    _log_load(store, batch_id, int(metrics.get("loaded") or 0), 0, metrics.get("max_ingested_at"))
+    return path
+
+
+def _from_log(store: TableStore) -> tuple[DataFrame, list[str]]:
+    """Load-log rows of committed raw batches, and committed batches the log
+    lacks (a crash between the data write and its log row)."""
+    committed = store.committed_batch_ids(RAW, RAW_TABLE)
+    log = store.read(RAW, LOAD_LOG_TABLE, schema=LOAD_LOG, columns=["batch", *LOAD_LOG.fieldNames()])
+    logged = log.filter(F.col("batch").isin(*committed)) if committed else log.limit(0)
+    known = {r["batch"] for r in logged.select("batch").collect()}
+    return logged, [b for b in committed if b not in known]
 
 
 def raw_article_count(store: TableStore) -> int:
-    """SRC-8: rows of raw; 0 when the table is missing."""
-    return read_raw(store).count()
+    """SRC-8: rows of raw; 0 when the table is missing. Summed from the
+    load log; only batches missing from it are counted from their files."""
+    logged, missing = _from_log(store)
+    total = logged.agg(F.sum("loaded")).first()[0] or 0
+    return int(total) + (read_raw(store, missing).count() if missing else 0)
 
 
 def latest_ingested_at(store: TableStore) -> datetime | None:
-    """SRC-9: ``MAX(ingested_at)`` of raw; None when missing or empty."""
-    row = read_raw(store).agg(F.max("ingested_at").cast("timestamp_ntz").alias("m")).first()
-    return row["m"] if row else None
+    """SRC-9: ``MAX(ingested_at)`` of raw; None when missing or empty.
+    Read from the load log (one row per batch), not from a scan of raw."""
+    logged, missing = _from_log(store)
+    values = [logged.agg(F.max("max_ingested_at")).first()[0]]
+    if missing:
+        values.append(read_raw(store, missing).agg(
+            F.max(F.col("ingested_at").cast("timestamp_ntz"))).first()[0])
+    values = [v for v in values if v is not None]
+    return max(values) if values else None

@@ -211,7 +211,10 @@ class TableStore:
             if not self._children(root, BATCH):
                 if schema is None:
                     raise FileNotFoundError(root)
-                return self.spark.createDataFrame([], schema)
+                empty = StructType([StructField(BATCH, StringType(), True), *schema.fields,
+                                    *(partitions.fields if partitions else [])])
+                df = self.spark.createDataFrame([], empty)
+                return df.select(*columns) if columns else df.select(*schema.fieldNames())
             reader = self.spark.read.option("basePath", root)
             if schema is not None:
                 extra = [StructField(BATCH, StringType(), True), *(partitions.fields if partitions else [])]

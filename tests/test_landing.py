@@ -105,3 +105,23 @@ def test_backfill_recent_and_bootstrap(spark, scratch, landing_dir):
     assert boot["mode"] == "bootstrap" and boot["status"] == "loaded" and boot["existing_rows"] == 3
     assert boot["transforms"] == "materialized" and boot["quality"] == "materialized"
     assert ingest.bootstrap_window(3, date(2026, 3, 12)) == (date(2026, 3, 10), date(2026, 3, 12))
+
+
+def test_counts_and_watermark_come_from_the_load_log(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from inkwell.config import RAW
+    from inkwell.sources import adapters
+
+    lake = Lake(f"{scratch}/lake-log")
+    store = TableStore(spark, lake)
+    raw = adapters.articles_raw(spark, "/root/testdata/sf0.001")
+    landing.append_raw(store, raw.filter("event_type = 'view'"), batch_id="0001")
+    # a batch whose data committed but whose log row was never written
+    orphan = raw.filter("event_type = 'click'").withColumn("accepted", F.lit(True))
+    store.append(orphan, RAW, landing.RAW_TABLE, batch_id="0002", partition_by=("accepted",))
+    assert landing.raw_article_count(store) == raw.filter("event_type in ('view', 'click')").count()
+    expected = raw.filter("event_type in ('view', 'click')").agg(
+        F.max(F.col("ingested_at").cast("timestamp_ntz"))).first()[0]
+    assert landing.latest_ingested_at(store) == expected
+    assert store.batch_ids(RAW, landing.LOAD_LOG_TABLE) == ["0001"]
