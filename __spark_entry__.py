@@ -193,8 +193,8 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def overview_kpis(s, d):
         t = _t(s, d)
         metrics = q.overview_metrics(t.articles_latest, *FULL)
-        block = reports.freshness_block(q.freshness(t.content_freshness), metrics)
-        return reports.overview_kpis(metrics, block, run_ops.failed_in_latest(_merged_runs(s, d), 50))
+        return reports.overview_kpis(metrics, q.freshness(t.content_freshness),
+                                     run_ops.failed_in_latest(_merged_runs(s, d), 50))
 
     def overview_freshness(s, d):
         t = _t(s, d)

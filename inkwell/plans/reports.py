@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import Settings
@@ -62,32 +62,57 @@ def freshness_block(freshness: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
-def _kpi(df: DataFrame, position: int, label_note: tuple[str, str], value) -> DataFrame:
-    label, note = label_note
-    return df.select(F.lit(position).alias("position"), F.lit(label).alias("label"),
-                     value.alias("value"), F.lit(note).alias("delta"), F.lit(TONE).alias("tone"))
+def overview_kpis(metrics: DataFrame, freshness: DataFrame, recent_failures: DataFrame) -> DataFrame:
+    """RPT-3: four KPI rows (position, label, value, delta, tone).
 
+    The windowed metrics, the freshness row and the failure count are
+    unioned and folded by one global aggregate: each source is evaluated
+    once, with no cross join; the lag comes from the freshness row when
+    there is one, else from the metrics (RPT-4's rule). ``inline`` then
+    turns the single row into the four KPIs.
+    """
+    none = F.lit(None)
+    cols = ("_p", "total_articles", "active_sections", "freshness_lag_minutes", "recent_failures")
+    rows = (
+        freshness.select(F.lit(0).alias("_p"), none.cast("long").alias("total_articles"),
+                         none.cast("long").alias("active_sections"), "freshness_lag_minutes",
+                         none.cast("long").alias("recent_failures"))
+        .unionByName(metrics.select(F.lit(1).alias("_p"), "total_articles", "active_sections",
+                                    "freshness_lag_minutes", none.cast("long").alias("recent_failures")))
+        .unionByName(recent_failures.select(none.cast("int").alias("_p"), none.cast("long").alias("total_articles"),
+                                            none.cast("long").alias("active_sections"),
+                                            none.cast("long").alias("freshness_lag_minutes"),
+                                            F.col("recent_failures").cast("long")))
+        .select(*cols)
+    )
+    one = rows.agg(
+        F.max("total_articles").alias("total"), F.max("active_sections").alias("sections"),
+        F.min_by(F.struct("freshness_lag_minutes"), "_p").getField("freshness_lag_minutes").alias("lag"),
+        F.max("recent_failures").alias("failures"))
 
-def overview_kpis(metrics: DataFrame, block: DataFrame, recent_failures: DataFrame) -> DataFrame:
-    """RPT-3: four KPI rows (position, label, value, delta, tone)."""
-    return (_kpi(metrics, 1, KPI_ARTICLES, thousands(F.coalesce("total_articles", F.lit(0))))
-            .unionByName(_kpi(metrics, 2, KPI_SECTIONS,
-                              F.coalesce("active_sections", F.lit(0)).cast("string")))
-            .unionByName(_kpi(block, 3, KPI_LAG, F.col("lag")))
-            .unionByName(_kpi(recent_failures, 4, KPI_FAILURES,
-                              F.col("recent_failures").cast("string"))))
+    def kpi(position: int, label_note: tuple[str, str], value) -> Column:
+        label, note = label_note
+        return F.struct(F.lit(position).alias("position"), F.lit(label).alias("label"), value.alias("value"),
+                        F.lit(note).alias("delta"), F.lit(TONE).alias("tone"))
+
+    return one.select(F.inline(F.array(
+        kpi(1, KPI_ARTICLES, thousands(F.coalesce("total", F.lit(0)))),
+        kpi(2, KPI_SECTIONS, F.coalesce("sections", F.lit(0)).cast("string")),
+        kpi(3, KPI_LAG, minutes_label("lag")),
+        kpi(4, KPI_FAILURES, F.coalesce("failures", F.lit(0)).cast("string")),
+    )))
 
 
 def overview(t: Tables, runs: DataFrame, w: DateWindow, settings: Settings = Settings()) -> dict:
     """RPT-5: range, KPIs, daily volume, freshness block, top sections."""
     metrics = q.overview_metrics(t.articles_latest, w.start, w.end)
-    block = freshness_block(q.freshness(t.content_freshness), metrics)
+    fresh = q.freshness(t.content_freshness)
     failures = run_ops.failed_in_latest(runs, settings.overview_run_sample)
     return {
         "range": w.label,
-        "kpis": overview_kpis(metrics, block, failures),
+        "kpis": overview_kpis(metrics, fresh, failures),
+        "freshness": freshness_block(fresh, metrics),
         "daily_volume": q.publishing_volume(t.daily_volume, w.start, w.end),
-        "freshness": block,
         "top_sections": q.top_sections(t.section_counts_daily, w.start, w.end),
     }
 
