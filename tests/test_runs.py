@@ -102,3 +102,30 @@ def test_duplicate_target_rows_are_each_updated(spark):
     target = _runs(spark, [("a", "d", "running", "system", t, None, "w", None)] * 2)
     source = _runs(spark, [("a", "d", "success", "system", t, None, "w", None)])
     assert [r["status"] for r in run_ops.upsert_runs(target, source).collect()] == ["success", "success"]
+
+
+def test_sync_merges_history_and_feeds_each_failure_once(spark, scratch):
+    from inkwell.config import Lake
+    from inkwell.plans import ops
+    from inkwell.schemas import RUN_RECORD
+
+    lake = Lake(f"{scratch}/lake-ops")
+    assert sorted(ops.ensure_base_tables(spark, lake)) == ["data_quality_results", "pipeline_runs"]
+    assert ops.ensure_base_tables(spark, lake) == []
+    first = spark.createDataFrame([
+        ("r1", "guardian_ingest_recent", "running", "2026-03-11T10:00:00Z", None, "2026-03-11T10:00:00Z", None),
+        ("r2", "guardian_backfill", "failed", "2026-03-11T11:00:00Z", "2026-03-11T11:05:00Z",
+         "2026-03-11T11:00:00Z", {"start_date": "2026-03-01", "end_date": "2026-03-02"}),
+    ], RUN_RECORD)
+    feed = ops.sync_pipeline_runs(spark, lake, first)
+    assert [r["run_id"] for r in feed.collect()] == ["r2"]
+    second = spark.createDataFrame([
+        ("r1", "guardian_ingest_recent", "failed", "2026-03-11T10:00:00Z", "2026-03-11T10:30:00Z",
+         "2026-03-11T10:00:00Z", None),
+        ("r2", "guardian_backfill", "failed", "2026-03-11T11:00:00Z", "2026-03-11T11:05:00Z",
+         "2026-03-11T11:00:00Z", None),
+    ], RUN_RECORD)
+    feed = ops.sync_pipeline_runs(spark, lake, second)
+    assert [r["run_id"] for r in feed.collect()] == ["r1"]
+    runs = {r["run_id"]: r for r in ops.read_runs(spark, lake).collect()}
+    assert runs["r1"]["status"] == "failed" and runs["r2"]["window"] == "manual backfill"
