@@ -44,7 +44,11 @@ STEPS: tuple[tuple[str, tuple[str, ...]], ...] = (
 LAYOUT: dict[str, dict] = {
     "articles_latest": {"partition_by": ("publication_date",), "cluster_by": ("section_name", "pillar_name"),
                         "bloom_filters": ("guardian_id",)},
-    "article_tags": {"partition_by": ("publication_date",), "cluster_by": ("tag", "section_name")},
+    # read from articles_latest's day folders and exploded row by row, so
+    # each task already holds one day (or a few packed small ones): no
+    # rebalance shuffle is needed before the partitioned write
+    "article_tags": {"partition_by": ("publication_date",), "cluster_by": ("tag", "section_name"),
+                     "rebalance": False},
     "daily_volume": {"cluster_by": ("publication_date",)},
     "section_counts_daily": {"cluster_by": ("publication_date", "section")},
     "section_daily": {"cluster_by": ("publication_date",)},
