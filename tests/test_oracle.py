@@ -55,3 +55,17 @@ def test_no_python_in_the_plan(spark, name):
     plan = contract.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "FlatMapGroupsInPandas" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_same_rows_under_other_partition_counts(spark, name):
+    """SURVEY §5(d): two runs with two shuffle widths give the same rows."""
+    def run(partitions: int):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            df = contract.queries()[name](spark, SF_SMALL)
+            return sorted(tuple(_norm(r[c]) for c in sorted(df.columns)) for r in df.collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+    assert run(3) == run(17)
