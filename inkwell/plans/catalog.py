@@ -14,7 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.config import ANALYTICS, OPS, Lake, configure
+from inkwell.config import ANALYTICS, Lake, configure
 from inkwell.operators import rollups
 from inkwell.operators.latest import articles_latest
 from inkwell.sources import adapters
@@ -79,9 +79,3 @@ class Tables:
         from inkwell.sources.landing import read_raw
 
         return cls(raw=read_raw(store), stored=stored)
-
-    @staticmethod
-    def ops_table(spark: SparkSession, lake: Lake, name: str) -> DataFrame:
-        from inkwell.sources.store import TableStore
-
-        return TableStore(spark, lake).read(OPS, name)
