@@ -26,11 +26,24 @@ RUNTIME_CONF = {
 }
 
 
+# Sizes for large scans and writes, applied only where the session leaves
+# them unset (a cluster's own tuning wins): ~256 MB scan splits, and AQE
+# aiming at ~256 MB per shuffle partition, which is also the size of the
+# files a rebalanced write produces.
+SIZE_DEFAULTS = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the library needs to an existing session."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    for key, value in SIZE_DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
