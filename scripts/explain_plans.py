@@ -44,9 +44,13 @@ def _short(line: str) -> str:
     if "FileScan" not in line:
         return line[:160]
     head = line[: line.index("FileScan")] + "FileScan parquet"
-    keep = [m.group(0) for key in ("PartitionFilters", "PushedFilters", "ReadSchema")
-            for m in [re.search(rf"{key}: (\[[^\]]*\]|struct<[^>]*>)", line)] if m]
-    return head + " " + ", ".join(dict.fromkeys(k[:300] for k in keep))
+    keys = ("Batched:", "DataFilters:", "Format:", "Location:", "PartitionFilters:", "PushedFilters:",
+            "ReadSchema:")
+    starts = sorted((line.index(k), k) for k in keys if k in line)
+    fields = {k: line[i:(starts[n + 1][0] if n + 1 < len(starts) else len(line))].rstrip(", ")
+              for n, (i, k) in enumerate(starts)}
+    keep = [fields[k][:300] for k in ("PartitionFilters:", "PushedFilters:", "ReadSchema:") if k in fields]
+    return head + " " + ", ".join(keep)
 
 
 def main() -> None:
