@@ -174,7 +174,9 @@ def _incremental_writers(store: TableStore, delta: Delta,
 
     def partitions(name: str, rows: Callable[[], DataFrame]) -> Callable[[], None]:
         def write() -> None:
-            if dates:
+            if not store.exists(ANALYTICS, name):
+                full[name]()
+            elif dates:
                 store.overwrite_partitions(rows(), ANALYTICS, name, partition_by="publication_date",
                                            values=dates, cluster_by=LAYOUT[name].get("cluster_by", ()),
                                            bloom_filters=LAYOUT[name].get("bloom_filters", ()))

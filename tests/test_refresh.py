@@ -153,3 +153,19 @@ def test_failed_hourly_run_is_repaired_by_the_next(spark, scratch):
     refresh.run_transforms(spark, full)
     rows = lambda lk: sorted(map(str, refresh.read_analytics(TableStore(spark, lk), "daily_volume").collect()))
     assert rows(lake) == rows(full)
+
+
+def test_hourly_run_builds_a_table_missing_on_disk(spark, scratch):
+    raw = adapters.articles_raw(spark, SF_SMALL)
+    lake = Lake(f"{scratch}/lake-missing")
+    store = TableStore(spark, lake)
+    landing.append_raw(store, raw.filter("event_type <> 'view'"), batch_id="0000")
+    refresh.run_transforms(spark, lake)
+    store.delete(store.table_path(ANALYTICS, "article_tags"))
+    landing.append_raw(store, raw.filter("event_type = 'view'"), batch_id="0001")
+    assert refresh.run_transforms(spark, lake, incremental=True).status == "materialized"
+    full = Lake(f"{scratch}/lake-missing-full")
+    landing.append_raw(TableStore(spark, full), raw)
+    refresh.run_transforms(spark, full)
+    tags = lambda lk: sorted(map(str, refresh.read_analytics(TableStore(spark, lk), "tag_counts_daily").collect()))
+    assert tags(lake) == tags(full)
