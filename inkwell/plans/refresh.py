@@ -79,6 +79,8 @@ def read_analytics(store: TableStore, name: str) -> DataFrame:
 
 
 LEDGER = "articles_latest_batches"
+# Dates an unfinished incremental run was changing; redone by the next run.
+PENDING = "refresh_pending_dates"
 # Most article keys an incremental run broadcasts (about 100 MB of keys);
 # a larger set of new keys takes the full rebuild instead.
 MAX_BROADCAST_KEYS = 2_000_000
@@ -125,8 +127,10 @@ def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delt
     seen = {r["batch"] for r in store.read(ANALYTICS, LEDGER).collect()}
     new = [b for b in committed if b not in seen]
     covered = sorted(seen | set(new))
+    pending = ([r[0] for r in store.read(ANALYTICS, PENDING).collect()]
+               if store.exists(ANALYTICS, PENDING) else [])
     if not new:
-        return Delta(covered, [])
+        return Delta(covered, sorted(set(pending), key=lambda d: (d is None, d)))
     fresh = landing.read_raw(store, new)
     new_keys = fresh.select(article_key().alias("_k")).distinct()
     if new_keys.count() > limit:
@@ -139,11 +143,16 @@ def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delt
     winners = articles_latest(touched.select(*ARTICLES_RAW.fieldNames()).unionByName(fresh)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     dates = sorted({r[0] for r in touched.select("publication_date").union(
-        winners.select("publication_date")).distinct().collect()}, key=lambda d: (d is None, d))
+        winners.select("publication_date")).distinct().collect()} | set(pending), key=lambda d: (d is None, d))
     carried = keyed.filter(_in_dates(dates)).join(keys, touches, "left_anti").drop("_k")
     return Delta(covered, dates, carried.unionByName(winners), cached=[touched, winners])
 
 
+def _write_dates(store: TableStore, dates: list) -> None:
+    store.replace(store.spark.createDataFrame([(d,) for d in dates], "publication_date date"),
+                  ANALYTICS, PENDING)
+
+
 def _full_writers(store: TableStore, refreshed_at: datetime | None,
                   batches: list[str]) -> dict[str, Callable[[], None]]:
     def up(name: str) -> DataFrame:
@@ -240,6 +249,9 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     delta = plan_delta(store, max_broadcast_keys) if incremental and only is None else None
     if delta is not None:
         writers = _incremental_writers(store, delta, writers)
+        # recorded before any write: if a step fails, the next run redoes
+        # these dates even when the keys that moved them have settled
+        _write_dates(store, delta.dates)
     names = [n for n, _ in STEPS if only is None or n in set(only)]
     deps = dict(STEPS)
     failed: set[str] = set()
@@ -280,9 +292,12 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
             delta.release()
     steps = [results[n] for n in names]
     status = "failed" if any(s["status"] == "failed" for s in steps) else "materialized"
-    if status == "materialized" and "articles_latest" in names:
+    # a subset rebuild vouches for nothing: only a full set of steps moves
+    # the ledger (and clears dates left by an unfinished run)
+    if status == "materialized" and only is None:
         batches = delta.batches if delta is not None else committed
         store.replace(spark.createDataFrame([(b,) for b in batches], "batch string"), ANALYTICS, LEDGER)
+        _write_dates(store, [])
     return RefreshReport(status=status, steps=steps)
 
 

@@ -169,3 +169,33 @@ def test_hourly_run_builds_a_table_missing_on_disk(spark, scratch):
     refresh.run_transforms(spark, full)
     tags = lambda lk: sorted(map(str, refresh.read_analytics(TableStore(spark, lk), "tag_counts_daily").collect()))
     assert tags(lake) == tags(full)
+
+
+def test_failed_run_that_moved_a_key_is_repaired(spark, scratch):
+    from conftest import raw_rows
+
+    def row(title, published, ingested):
+        return {"guardian_id": "moving", "web_url": "u", "web_title": title, "section_name": "World",
+                "published_at": published, "ingested_at": ingested, "api_response_page": 1, "tags": ["t"]}
+
+    base = adapters.articles_raw(spark, SF_SMALL)
+    first = base.unionByName(raw_rows(spark, [row("v1", "2024-01-05 10:00:00", "2024-02-01 00:00:00")]))
+    moved = raw_rows(spark, [row("v2", "2024-01-20 10:00:00", "2024-02-02 00:00:00")])
+    lake, full = Lake(f"{scratch}/lake-moved"), Lake(f"{scratch}/lake-moved-full")
+    store = TableStore(spark, lake)
+    landing.append_raw(store, first, batch_id="0000")
+    refresh.run_transforms(spark, lake)
+    landing.append_raw(store, moved, batch_id="0001")
+    broken = refresh.run_transforms(spark, lake, incremental=True,
+                                    fail={"daily_volume": RuntimeError("x"), "article_tags": RuntimeError("y")})
+    assert broken.status == "failed"
+    assert refresh.run_transforms(spark, lake, incremental=True).status == "materialized"
+    for b, part in (("0000", first), ("0001", moved)):
+        landing.append_raw(TableStore(spark, full), part, batch_id=b)
+    refresh.run_transforms(spark, full)
+    for name, _ in refresh.STEPS:
+        df = lambda lk: refresh.read_analytics(TableStore(spark, lk), name)
+        cols = [c for c in df(lake).columns if c not in ("raw_payload", "refreshed_at")]
+        assert sorted(map(str, df(lake).select(*cols).collect())) == \
+            sorted(map(str, df(full).select(*cols).collect())), name
+    assert TableStore(spark, lake).read(ANALYTICS, refresh.PENDING).count() == 0
