@@ -201,7 +201,9 @@ def _incremental_writers(store: TableStore, delta: Delta,
         return write
 
     return {
-        "articles_latest": partitions("articles_latest", lambda: delta.latest_rows),
+        # no new rows (only dates left pending): the table already holds them
+        "articles_latest": (partitions("articles_latest", lambda: delta.latest_rows)
+                            if delta.latest_rows is not None else (lambda: None)),
         "article_tags": partitions("article_tags", lambda: rollups.article_tags(up("articles_latest", inside))),
         "daily_volume": patch("daily_volume", lambda: rollups.daily_volume(up("articles_latest", inside))),
         "section_counts_daily": patch("section_counts_daily",

@@ -199,3 +199,18 @@ def test_failed_run_that_moved_a_key_is_repaired(spark, scratch):
         assert sorted(map(str, df(lake).select(*cols).collect())) == \
             sorted(map(str, df(full).select(*cols).collect())), name
     assert TableStore(spark, lake).read(ANALYTICS, refresh.PENDING).count() == 0
+
+
+def test_pending_dates_without_new_batches(spark, scratch):
+    from datetime import date
+
+    lake = Lake(f"{scratch}/lake-pending")
+    store = TableStore(spark, lake)
+    landing.append_raw(store, adapters.articles_raw(spark, SF_SMALL), batch_id="0000")
+    refresh.run_transforms(spark, lake)
+    before = sorted(map(str, refresh.read_analytics(store, "daily_volume").collect()))
+    refresh._write_dates(store, [date(2024, 1, 3), None])          # left by an interrupted run
+    assert refresh.plan_delta(store).dates == [date(2024, 1, 3), None]
+    assert refresh.run_transforms(spark, lake, incremental=True).status == "materialized"
+    assert sorted(map(str, refresh.read_analytics(store, "daily_volume").collect())) == before
+    assert store.read(ANALYTICS, refresh.PENDING).count() == 0
