@@ -125,3 +125,16 @@ def test_counts_and_watermark_come_from_the_load_log(spark, scratch):
         F.max(F.col("ingested_at").cast("timestamp_ntz"))).first()[0]
     assert landing.latest_ingested_at(store) == expected
     assert store.batch_ids(RAW, landing.LOAD_LOG_TABLE) == ["0001"]
+
+
+def test_hourly_run_ingests_rebuilds_and_checks(spark, scratch, landing_dir):
+    lake = Lake(f"{scratch}/lake-hourly")
+    first = ingest.run_hourly(spark, lake, landing_dir, today=date(2026, 3, 12), ingested_at=STAMP)
+    assert first["ingest"]["loaded"] == 3 and first["transforms"] == "materialized"
+    assert first["quality"] == "materialized" and first["checks"] == 2
+    again = ingest.run_hourly(spark, lake, landing_dir, today=date(2026, 3, 12),
+                              ingested_at=datetime(2026, 3, 12, 10))
+    assert again["ingest"]["watermark_source"] == "warehouse" and again["transforms"] == "materialized"
+    from inkwell.plans.catalog import Tables
+
+    assert Tables.from_lake(spark, lake).articles_latest.count() == 3
