@@ -23,6 +23,7 @@ from inkwell.config import ANALYTICS, OPS, RAW, Lake, Settings, configure
 from inkwell.operators import quality, rollups
 from inkwell.operators.latest import LATEST_COLUMNS, article_key, articles_latest
 from inkwell.schemas import ARTICLES_RAW, DATA_QUALITY_RESULTS
+from inkwell.functions.formats import lag_minutes, utc_literal
 from inkwell.sources import landing
 from inkwell.sources.store import TableStore
 
@@ -95,6 +96,13 @@ class Delta:
     dates: list
     latest_rows: DataFrame | None = None
     cached: list[DataFrame] = field(default_factory=list)
+    # Freshness inputs, reduced before any write (a write to a path makes
+    # Spark recompute cached plans that read it): article count change per
+    # section, the newest ingest among the new versions, and the tables as
+    # they were before the run.
+    section_change: list[tuple[str, int]] | None = None
+    newest_ingest: datetime | None = None
+    prior: dict[str, DataFrame] = field(default_factory=dict)
 
     def release(self) -> None:
         for df in self.cached:
@@ -102,8 +110,9 @@ class Delta:
 
 
 def _in_dates(dates: list, column: str = "publication_date") -> Column:
+    """Never null, so its negation keeps the null-date group too."""
     days = [d for d in dates if d is not None]
-    cond = F.col(column).isin(*days) if days else F.lit(False)
+    cond = F.coalesce(F.col(column).isin(*days), F.lit(False)) if days else F.lit(False)
     return cond | F.col(column).isNull() if any(d is None for d in dates) else cond
 
 
@@ -145,7 +154,66 @@ def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delt
     dates = sorted({r[0] for r in touched.select("publication_date").union(
         winners.select("publication_date")).distinct().collect()} | set(pending), key=lambda d: (d is None, d))
     carried = keyed.filter(_in_dates(dates)).join(keys, touches, "left_anti").drop("_k")
-    return Delta(covered, dates, carried.unionByName(winners), cached=[touched, winners])
+    # pinned now (file listings are fixed when a DataFrame is made), before
+    # any step of this run replaces them
+    prior_tables = {name: read_analytics(store, name) for name in ("content_freshness", "section_counts_daily")
+                    if store.exists(ANALYTICS, name)}
+    change = (touched.select("section_name", F.lit(-1).alias("n"), F.lit(None).cast("timestamp_ntz").alias("t"))
+              .unionByName(winners.select("section_name", F.lit(1).alias("n"),
+                                          F.col("ingested_at").cast("timestamp_ntz").alias("t")))
+              .groupBy("section_name").agg(F.sum("n").alias("n"), F.max("t").alias("t")).collect())
+    newest = max((r["t"] for r in change if r["t"] is not None), default=None)
+    return Delta(covered, dates, carried.unionByName(winners), cached=[touched, winners],
+                 section_change=[(r["section_name"], int(r["n"])) for r in change], newest_ingest=newest,
+                 prior=prior_tables)
+
+
+def freshness(store: TableStore, delta: Delta, refreshed_at: datetime | None) -> Callable[[], None]:
+    """MAT-7 from the change set, without a scan of the whole table.
+
+    * article and section counts: the previous per-section totals plus the
+      per-section change of the run (new versions minus the rows they
+      replace);
+    * last sync: the newest ingest is always a winner, so the maximum of the
+      previous value and the new versions;
+    * watermark: the newest publication lies in the newest day folder, so
+      one partition-pruned scan of that day.
+    """
+    def write() -> None:
+
+        change = store.spark.createDataFrame(delta.section_change, "section string, n bigint")
+        sections = (delta.prior["section_counts_daily"].groupBy("section")
+                    .agg(F.sum("article_count").cast("long").alias("n"))
+                    .unionByName(change)
+                    .groupBy("section").agg(F.sum("n").alias("n")))
+        days = store.partition_values(ANALYTICS, "articles_latest", "publication_date")
+        newest = max((d for d in days if d is not None), default=None)
+        latest = read_analytics(store, "articles_latest")
+        newest_day = (latest.filter(F.col("publication_date") == F.lit(newest).cast("date"))
+                      if newest else latest.limit(0))
+        none = F.lit(None)
+        parts = (
+            sections.select(F.col("n").cast("long").alias("n"), none.cast("timestamp").alias("sync"),
+                            none.cast("timestamp").alias("mark"))
+            .unionByName(delta.prior["content_freshness"].select(
+                none.cast("long").alias("n"), F.col("last_sync_at").alias("sync"), none.cast("timestamp").alias("mark")))
+            .unionByName(store.spark.range(1).select(
+                none.cast("long").alias("n"),
+                (utc_literal(delta.newest_ingest) if delta.newest_ingest else none.cast("timestamp")).alias("sync"),
+                none.cast("timestamp").alias("mark")))
+            .unionByName(newest_day.select(
+                none.cast("long").alias("n"), none.cast("timestamp").alias("sync"), F.col("published_at").alias("mark")))
+        )
+        one = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_articles"),
+                        F.count_if(F.col("n") > 0).alias("active_sections"),
+                        F.max("sync").alias("last_sync_at"), F.max("mark").alias("watermark"))
+        stamp = utc_literal(refreshed_at) if refreshed_at else F.current_timestamp()
+        row = one.select("total_articles", "active_sections", "last_sync_at", "watermark",
+                         lag_minutes("last_sync_at", "watermark").alias("freshness_lag_minutes"),
+                         stamp.alias("refreshed_at"))
+        store.replace(row, ANALYTICS, "content_freshness", **LAYOUT["content_freshness"])
+
+    return write
 
 
 def _write_dates(store: TableStore, dates: list) -> None:
@@ -170,8 +238,8 @@ def _full_writers(store: TableStore, refreshed_at: datetime | None,
     return {name: (lambda n=name: store.replace(builds[n](), ANALYTICS, n, **LAYOUT[n])) for name in builds}
 
 
-def _incremental_writers(store: TableStore, delta: Delta,
-                         full: dict[str, Callable[[], None]]) -> dict[str, Callable[[], None]]:
+def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callable[[], None]],
+                         refreshed_at: datetime | None) -> dict[str, Callable[[], None]]:
     """Writers that touch only ``delta.dates``: the article-grain tables by
     dynamic partition overwrite, the small rollups by replacing their rows
     of those dates (a rollup missing on disk is rebuilt in full)."""
@@ -210,7 +278,9 @@ def _incremental_writers(store: TableStore, delta: Delta,
                                       lambda: rollups.section_counts_daily(up("articles_latest", inside))),
         "section_daily": patch("section_daily", lambda: rollups.section_daily(up("section_counts_daily", inside))),
         "tag_counts_daily": patch("tag_counts_daily", lambda: rollups.tag_counts_daily(up("article_tags", inside))),
-        "content_freshness": full["content_freshness"],
+        "content_freshness": (freshness(store, delta, refreshed_at)
+                              if delta.section_change is not None and len(delta.prior) == 2
+                              else full["content_freshness"]),
     }
 
 
@@ -250,7 +320,7 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     writers = _full_writers(store, refreshed_at, committed)
     delta = plan_delta(store, max_broadcast_keys) if incremental and only is None else None
     if delta is not None:
-        writers = _incremental_writers(store, delta, writers)
+        writers = _incremental_writers(store, delta, writers, refreshed_at)
         # recorded before any write: if a step fails, the next run redoes
         # these dates even when the keys that moved them have settled
         _write_dates(store, delta.dates)

@@ -153,6 +153,15 @@ class TableStore:
             elif str(value) not in present:
                 self.delete(f"{current}/{partition_by}={value}")
 
+    def partition_values(self, dataset: str, table: str, column: str) -> list:
+        """Values of a partition column in the current version, from one
+        listing of its folders (None for the null partition)."""
+        current = self.current(dataset, table)
+        if current is None:
+            return []
+        values = [name.split("=", 1)[1] for name in self._children(current, column)]
+        return [None if v == NULL_PARTITION else v for v in values]
+
     def _vacuum(self, dataset: str, table: str, keep: int) -> None:
         committed = self.versions(dataset, table)
         for old in committed[:-keep] if keep > 0 else []:
