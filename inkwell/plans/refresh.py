@@ -146,14 +146,22 @@ def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delt
         return None
     keys = F.broadcast(new_keys)
     prior = spark.read.parquet(previous).select(*LATEST_COLUMNS)
-    keyed = prior.withColumn("_k", article_key())
+    # 1) which days hold earlier versions of the new keys: a scan of the key
+    #    columns only (Parquet reads no other column for it)
+    narrow = prior.select("guardian_id", "web_url", "published_at", "publication_date") \
+        .withColumn("_k", article_key())
+    old_days = [r[0] for r in narrow.join(keys, narrow["_k"].eqNullSafe(keys["_k"]), "left_semi")
+                .select("publication_date").distinct().collect()]
+    # 2) whole rows are read from those day folders only
+    keyed = prior.filter(_in_dates(old_days)).withColumn("_k", article_key())
     touches = keyed["_k"].eqNullSafe(keys["_k"])
     touched = keyed.join(keys, touches, "left_semi").drop("_k").persist(StorageLevel.MEMORY_AND_DISK)
     winners = articles_latest(touched.select(*ARTICLES_RAW.fieldNames()).unionByName(fresh)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     dates = sorted({r[0] for r in touched.select("publication_date").union(
         winners.select("publication_date")).distinct().collect()} | set(pending), key=lambda d: (d is None, d))
-    carried = keyed.filter(_in_dates(dates)).join(keys, touches, "left_anti").drop("_k")
+    rest = prior.filter(_in_dates(dates)).withColumn("_k", article_key())
+    carried = rest.join(keys, rest["_k"].eqNullSafe(keys["_k"]), "left_anti").drop("_k")
     # pinned now (file listings are fixed when a DataFrame is made), before
     # any step of this run replaces them
     prior_tables = {name: read_analytics(store, name) for name in ("content_freshness", "section_counts_daily")
