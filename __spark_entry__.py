@@ -72,8 +72,23 @@ def _configured(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators, none if their folder is absent."""
+    try:
+        import corpus_pipeline
+        from inkwell.llm import registry
+    except ModuleNotFoundError as e:
+        if e.name not in ("corpus_pipeline", "inkwell.llm"):
+            raise
+        return {}, {}
+    sql = registry.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return registry.queries() | {"pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _configured(fn) for name, fn in _queries().items()}
+    return {name: _configured(fn) for name, fn in (_queries() | _training_data()[0]).items()}
 
 
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -371,6 +386,10 @@ _LATEST_COLS = (
 
 
 def oracle_sql() -> dict[str, str]:
+    return _oracle_sql() | _training_data()[1]
+
+
+def _oracle_sql() -> dict[str, str]:
     f0, f1 = FULL
     d0, d1 = DEFAULT_WINDOW
     return {
