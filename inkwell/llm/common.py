@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,8 +67,10 @@ def ship(sc: SparkContext) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors; every column may be null."""
     ship(df.sparkSession.sparkContext)
+    if isinstance(schema, T.StructType):
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
     return df.mapInArrow(function, schema)
 
 

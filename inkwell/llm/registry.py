@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import packing, quality_rules, secret_scan, simhash_dedup
+from inkwell.llm import embedding_dedup, packing, quality_rules, secret_scan, simhash_dedup, word_bpe
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +36,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests=True)
+    return found.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id",
+                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_packing, op9_simhash_dedup, op10_quality_rules)}
+        op1_secret_scan, op2_packing, op3_bpe, op8_embedding_dedup, op9_simhash_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
