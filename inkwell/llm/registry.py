@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import embedding_dedup, packing, quality_rules, secret_scan, simhash_dedup, word_bpe
+from inkwell.llm import (
+    embedding_dedup,
+    license_scan,
+    packing,
+    pii,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    warc,
+    word_bpe,
+)
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +51,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    text = lambda x: F.concat_ws(",", F.transform(x, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    n = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(n, pii.KINDS),
+        F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured",
+                        "segment", "segment_row")
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id",
@@ -60,7 +92,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_packing, op3_bpe, op8_embedding_dedup, op9_simhash_dedup, op10_quality_rules)}
+        op1_secret_scan, op2_packing, op3_bpe, op4_pii, op6_license_scan, op7_warc, op8_embedding_dedup, op9_simhash_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

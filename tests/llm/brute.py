@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -100,3 +101,47 @@ def pieces_hold(pieces, docs, encode, size=2048, end=1):
         assert at == size or k == max(by_sequence) and at <= size
     assert sorted(by_sequence) == list(range(len(by_sequence)))
     return True
+
+
+def pii(text):
+    text = text or ""
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            found.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        double = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+        if 13 <= len(digits) <= 19 and sum(double) % 10 == 0:
+            found.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.findall("[0-9]", m[0])) <= 15:
+            found.append(("phone", *m.span()))
+    n = Counter(k for k, _, _ in found)
+    spans = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+    return n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(spans.encode()).hexdigest(), found
+
+
+def licenses(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    places, labels = [], set()
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        p = phrase.split()
+        for i in range(len(w)):
+            if w[i:i + len(p)] == p:
+                places.append(i)
+                labels.add(label)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def warc(pages):
+    """pages: (page_id, html), ids unique and not null."""
+    first, out = {}, {}
+    for page, html in sorted(pages):
+        data = (html or "").encode()
+        one = first.setdefault(data, page)
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        out[page] = (len(data), digest, "response" if one == page else "revisit", None if one == page else one)
+    return out
