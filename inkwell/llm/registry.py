@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import (
     embedding_dedup,
     license_scan,
+    lm_score,
     packing,
     pii,
     quality_rules,
@@ -63,6 +64,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -92,7 +97,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_packing, op3_bpe, op4_pii, op6_license_scan, op7_warc, op8_embedding_dedup, op9_simhash_dedup, op10_quality_rules)}
+        op1_secret_scan, op2_packing, op3_bpe, op4_pii, op5_lm_score, op6_license_scan, op7_warc, op8_embedding_dedup, op9_simhash_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

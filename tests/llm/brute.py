@@ -145,3 +145,13 @@ def warc(pages):
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
         out[page] = (len(data), digest, "response" if one == page else "revisit", None if one == page else one)
     return out
+
+
+def unigram(docs):
+    """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)} for (doc_id, text)."""
+    tokens = {d: [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + [None] for d, t in docs}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    count = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    n, v = sum(count.values()), len(count)
+    return {d: (held[d], len(ws), sum(count[w] > 0 for w in ws), n,
+                sum(np.log10((count[w] + 1) / (n + 1 * (v + 1))) for w in ws)) for d, ws in tokens.items()}
