@@ -509,7 +509,7 @@ _RUN_RECORDS = """run_records AS (
   SELECT
     CASE WHEN user_id % 2 = 1 THEN 'manual__' ELSE 'scheduled__' END
       || strftime(date_trunc('hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%dT%H:%M:%S') AS dag_run_id,
-    CASE WHEN user_id % 2 = 1 THEN 'guardian_backfill' ELSE 'guardian_ingest_recent' END AS dag_id,
+    CASE WHEN user_id % 2 = 1 THEN 'guardian_backfill_range' ELSE 'guardian_ingest_recent' END AS dag_id,
     CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running'
       WHEN 'click' THEN 'queued' WHEN 'signup' THEN 'up_for_retry' END AS state,
     CASE WHEN event_id % 7 = 0 THEN NULL
@@ -530,17 +530,17 @@ def _runs_sql(name: str, where: str) -> str:
   SELECT dag_run_id AS run_id, dag_id,
     CASE WHEN state IN ('success', 'failed', 'running', 'queued', 'scheduled') THEN state
          ELSE 'scheduled' END AS status,
-    CASE WHEN dag_id = 'guardian_backfill' THEN 'manual' ELSE 'system' END AS trigger,
+    CASE WHEN dag_id = 'guardian_backfill_range' THEN 'manual' ELSE 'system' END AS trigger,
     try_cast(CASE WHEN start_date IS NOT NULL AND start_date <> '' THEN start_date ELSE logical_date END
              AS TIMESTAMP) AS started_at,
     try_cast(end_date AS TIMESTAMP) AS finished_at,
-    CASE WHEN dag_id = 'guardian_backfill' THEN
+    CASE WHEN dag_id = 'guardian_backfill_range' THEN
            CASE WHEN conf_start <> '' AND conf_end <> '' THEN conf_start || ' to ' || conf_end
                 ELSE 'manual backfill' END
          ELSE 'recent ingest' END AS "window",
     CAST(NULL AS VARCHAR) AS error_summary
   FROM run_records
-  WHERE dag_id IN ('guardian_ingest_recent', 'guardian_backfill') AND {where})"""
+  WHERE dag_id IN ('guardian_ingest_recent', 'guardian_backfill_range') AND {where})"""
 
 
 def _latest_sql(name: str, source: str) -> str:
@@ -642,7 +642,7 @@ FROM (SELECT * FROM merged ORDER BY started_at DESC NULLS LAST, run_id DESC NULL
     AND NOT EXISTS (SELECT 1 FROM history h WHERE h.status = 'failed' AND h.run_id = m.run_id))
 WHERE n = 1""",
         "run_lookup": _RUNS + f"""SELECT {_RUN_COLS} FROM merged
-WHERE run_id = '{LOOKUP_RUN}' AND dag_id = 'guardian_backfill'""",
+WHERE run_id = '{LOOKUP_RUN}' AND dag_id = 'guardian_backfill_range'""",
         "failed_run_count": _RUNS + "SELECT recent_failures FROM failures",
         "overview_kpis": _RUNS.replace("WITH ", "WITH " + _RAW + ",\n" + _LATEST + ",\n" + _TAGS + ",\n"
                                        + _ROLLUPS + ",\n", 1).rstrip() + f""",

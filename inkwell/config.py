@@ -8,7 +8,6 @@ read queries return end in a literal ``Z``.
 from __future__ import annotations
 
 import os
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -47,22 +46,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> str:
-    """Shared folder for checkpoints and cut-lineage tables.
-
-    A cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) do we point it at ``scratch``.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = scratch or tempfile.mkdtemp(prefix="inkwell-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def local_session(app: str = "inkwell", cores: str = "*", partitions: int = 8,
                   scratch: str | None = None) -> SparkSession:
     """A local session for tests and the bench: UI off, UTC, AQE on."""
@@ -77,6 +60,8 @@ def local_session(app: str = "inkwell", cores: str = "*", partitions: int = 8,
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
+    if scratch:  # the folder all tasks share; a cluster names its own
+        builder = builder.config("spark.checkpoint.dir", scratch)
     event_log = os.environ.get("INKWELL_EVENT_LOG")
     if event_log:
         # stage and task metrics for the bench, into its own scratch folder
@@ -86,7 +71,6 @@ def local_session(app: str = "inkwell", cores: str = "*", partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
-    checkpoint_dir(spark, scratch)
     return spark
 
 
@@ -102,9 +86,8 @@ class Settings:
     missing_section_threshold: int = 0
     missing_published_at_threshold: int = 0
     recent_dag_id: str = "guardian_ingest_recent"
-    backfill_dag_id: str = "guardian_backfill"
+    backfill_dag_id: str = "guardian_backfill_range"
     overview_run_sample: int = 50
-    search_page_size: int = 20
 
 
 @dataclass(frozen=True)

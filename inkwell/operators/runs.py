@@ -48,7 +48,7 @@ def parse_instant(c: str | Column) -> Column:
 
 
 def runs_from_records(records: DataFrame, *, recent_dag_id: str = "guardian_ingest_recent",
-                      backfill_dag_id: str = "guardian_backfill") -> DataFrame:
+                      backfill_dag_id: str = "guardian_backfill_range") -> DataFrame:
     """RUN-3/4: orchestrator records → ``pipeline_runs`` rows.
 
     Records of the recent-ingest job are system-triggered, those of the
@@ -91,17 +91,20 @@ def upsert_runs(target: DataFrame, source: DataFrame) -> DataFrame:
 
     One full outer join on the key: each side is shuffled once and every
     output row takes the source's columns when a source row is present.
-    Null keys never compare equal, so such rows pass through from either
-    side, as in a MERGE.
+    Null keys never compare equal, so such rows of either side go around the
+    join, as in a MERGE: in it they would all hash to one task.
     """
     src = latest_per_key(source).select(*RUN_COLUMNS)
+    keyed = F.col("dag_id").isNotNull() & F.col("run_id").isNotNull()
+    around = target.filter(~keyed).select(*RUN_COLUMNS).unionByName(src.filter(~keyed))
+    target, src = target.filter(keyed), src.filter(keyed)
     t = target.select(*[F.col(c).alias(f"_t_{c}") for c in RUN_COLUMNS])
     s = src.select(*[F.col(c).alias(f"_s_{c}") for c in RUN_COLUMNS], F.lit(True).alias("_from_source"))
     on = (F.col("_t_dag_id") == F.col("_s_dag_id")) & (F.col("_t_run_id") == F.col("_s_run_id"))
     joined = t.join(s, on, "full_outer")
     from_source = F.col("_from_source").isNotNull()
     return joined.select(*[F.when(from_source, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c)
-                           for c in RUN_COLUMNS])
+                           for c in RUN_COLUMNS]).unionByName(around)
 
 
 def _python_iso(ts: Column) -> Column:
@@ -152,6 +155,6 @@ def failed_in_latest(runs: DataFrame, n: int) -> DataFrame:
     return latest.agg(F.count_if(F.col("status") == "failed").alias("recent_failures"))
 
 
-def run_lookup(runs: DataFrame, run_id: str, dag_id: str = "guardian_backfill") -> DataFrame:
+def run_lookup(runs: DataFrame, run_id: str, dag_id: str = "guardian_backfill_range") -> DataFrame:
     """RPT-11: one run of the backfill job by id (no cap on history)."""
     return runs.filter((F.col("run_id") == F.lit(run_id)) & (F.col("dag_id") == F.lit(dag_id)))

@@ -2,9 +2,9 @@
 
 ``sync_pipeline_runs`` takes the run records an orchestrator reported, merges
 them into ``ops.pipeline_runs`` (a new version, so readers never see half a
-merge) and returns the failed runs not yet alerted, appending their ids to
-the alert ledger, which keeps the fed rows as an outbox. Delivering the
-alerts (the webhook) is outside Spark.
+merge) and returns the failed runs not yet alerted. Delivering the alerts (the
+webhook) is outside Spark; ``acknowledge`` then adds the delivered runs to the
+alert ledger.
 """
 
 from __future__ import annotations
@@ -42,12 +42,12 @@ def read_runs(spark: SparkSession, lake: Lake) -> DataFrame:
 
 
 def sync_pipeline_runs(spark: SparkSession, lake: Lake, records: DataFrame, *,
-                       settings: Settings = Settings(), alerted_at: datetime | None = None) -> DataFrame:
+                       settings: Settings = Settings()) -> DataFrame:
     """Merge reported run records into the history; return the alert feed.
 
-    The feed is computed against the merged version just written, and its
-    run ids are appended to the ledger under one batch, so a run is fed
-    once however many syncs report it.
+    The feed holds the failed runs among the reported ones that nobody has
+    acknowledged. It changes nothing: a run is fed by every sync that reports
+    it until ``acknowledge`` records its delivery.
     """
     configure(spark)
     store = TableStore(spark, lake)
@@ -55,10 +55,21 @@ def sync_pipeline_runs(spark: SparkSession, lake: Lake, records: DataFrame, *,
     source = run_ops.runs_from_records(records, recent_dag_id=settings.recent_dag_id,
                                        backfill_dag_id=settings.backfill_dag_id)
     store.replace(run_ops.upsert_runs(read_runs(spark, lake), source), OPS, RUNS_TABLE)
-    ledger = store.read(OPS, ALERTS_TABLE, schema=ALERT_LEDGER)
-    feed = run_ops.failed_run_feed(read_runs(spark, lake), ledger)
+    return run_ops.failed_run_feed(run_ops.latest_per_key(source), read_alerts(spark, lake))
+
+
+def read_alerts(spark: SparkSession, lake: Lake) -> DataFrame:
+    return TableStore(spark, lake).read(OPS, ALERTS_TABLE, schema=ALERT_LEDGER)
+
+
+def acknowledge(spark: SparkSession, lake: Lake, delivered: DataFrame, *,
+                alerted_at: datetime | None = None) -> None:
+    """RUN-7: record feed rows as delivered, so that no later sync feeds them.
+
+    Call it after the delivery succeeded; a run whose delivery failed stays
+    in the feed. Acknowledging a run again changes nothing for the feed.
+    """
     stamp = utc_literal(alerted_at) if alerted_at else F.current_timestamp()
-    # the ledger batch holds the whole feed (an outbox); what is returned is
-    # exactly what was recorded, however the history or ledger move on
-    path = store.append(feed.withColumn("alerted_at", stamp), OPS, ALERTS_TABLE)
-    return spark.read.parquet(path).select(*feed.columns)
+    rows = delivered.withColumn("alerted_at", stamp)
+    TableStore(spark, lake).append(rows.select(*[
+        F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in ALERT_LEDGER.fieldNames()]), OPS, ALERTS_TABLE)

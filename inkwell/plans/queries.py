@@ -105,8 +105,10 @@ def search_filter(latest: DataFrame, start: date | str, end: date | str, *,
     df = latest.filter(in_window(start, end))
     if query_text is not None:
         title = F.lower(F.col("web_title"))
-        needle = query_text.lower()
-        df = df.filter(title.contains(needle) if literal else title.like(f"%{needle}%"))
+        needle = F.lower(F.lit(query_text))
+        # a backslash in the text is a plain character, not an escape
+        pattern = F.concat(F.lit("%"), F.replace(needle, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+        df = df.filter(title.contains(needle) if literal else F.like(title, pattern))
     if section is not None:
         df = df.filter(F.col("section_name") == F.lit(section))
     if tag is not None:

@@ -116,7 +116,7 @@ def run_records_from_events(events: DataFrame) -> DataFrame:
     return events.select(
         F.concat(F.when(manual, F.lit("manual__")).otherwise(F.lit("scheduled__")),
                  F.date_format(hour, "yyyy-MM-dd'T'HH:mm:ss")).alias("dag_run_id"),
-        F.when(manual, F.lit("guardian_backfill")).otherwise(F.lit("guardian_ingest_recent")).alias("dag_id"),
+        F.when(manual, F.lit("guardian_backfill_range")).otherwise(F.lit("guardian_ingest_recent")).alias("dag_id"),
         state.alias("state"),
         F.when(eid % 7 == 0, F.lit(None).cast("string"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("start_date"),
@@ -127,13 +127,6 @@ def run_records_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_records_from_events(read_table(spark, sf_dir, "events"))
-
-
-PAGE_SIZE = 50
-
-
 def landing_results_from_events(events: DataFrame) -> DataFrame:
     """One source result element (JSON text) per event, with its fetch day
     and page (blocks of 50 consecutive events, so a page holds at most 50).

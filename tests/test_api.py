@@ -22,7 +22,7 @@ def wh(spark, scratch):
     lake = Lake(f"{root}/lake")
     stamp = datetime(2024, 2, 1, 6)
     ingest.bootstrap(spark, lake, f"{root}/landing", "2024-01-01", "2024-01-31", ingested_at=stamp)
-    ops.sync_pipeline_runs(spark, lake, adapters.run_records_from_events(events), alerted_at=stamp)
+    ops.sync_pipeline_runs(spark, lake, adapters.run_records_from_events(events))
     w = Warehouse(spark, lake, today=date(2024, 1, 30))
     w.landing = f"{root}/landing"
     return w
@@ -47,7 +47,7 @@ def test_ops_routes(wh):
     assert st["status"].count() == 1 and st["checks"].count() == 2
     runs = wh.runs(limit=5).collect()
     assert len(runs) == 5 and runs[0]["started_at"].endswith("+00:00")
-    manual = wh.runs(limit=200).filter("dag_id = 'guardian_backfill'").first()["run_id"]
+    manual = wh.runs(limit=200).filter("dag_id = 'guardian_backfill_range'").first()["run_id"]
     assert wh.backfill_status(manual).count() == 1
     with pytest.raises(ValueError):
         wh.backfill(wh.landing, "2024-01-05", "2024-01-01")

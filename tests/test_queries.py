@@ -98,3 +98,18 @@ def test_pipeline_runs_order_and_offset(spark):
     assert got == ["r5", "r2", "r4"]
     assert [r["run_id"] for r in q.pipeline_runs(runs, 3, 3).collect()] == ["r1", "r3", "r0"]
     assert "run_window" in q.pipeline_runs(runs).columns
+
+
+def test_search_backslash_is_a_plain_character(spark):
+    latest = articles_latest(raw_rows(spark, [
+        {"guardian_id": "1", "web_title": "A\\B", "published_at": "2026-03-01T10:00:00", "ingested_at": "2026-03-01T11:00:00"},
+        {"guardian_id": "2", "web_title": "100\\", "published_at": "2026-03-01T10:00:00", "ingested_at": "2026-03-01T11:00:00"},
+        {"guardian_id": "3", "web_title": "ÉCOLE a_b", "published_at": "2026-03-01T10:00:00", "ingested_at": "2026-03-01T11:00:00"}]))
+
+    def found(text):
+        return sorted(r["guardian_id"] for r in q.articles_search(latest, "2026-03-01", "2026-03-01", query_text=text).collect())
+
+    assert found("a\\b") == ["1"]
+    assert found("100\\") == ["2"]
+    assert found("École") == ["3"]
+    assert found("a_b") == ["1", "3"]

@@ -21,10 +21,10 @@ def _runs(spark, rows):
 def test_record_builder_state_start_and_window(spark):
     recs = _records(spark, [
         ("r1", "guardian_ingest_recent", "success", "2026-03-11T10:00:00Z", "2026-03-11T10:05:00Z", "2026-03-11T09:00:00Z", None),
-        ("r2", "guardian_backfill", None, None, None, "2026-03-11T09:00:00Z",
+        ("r2", "guardian_backfill_range", None, None, None, "2026-03-11T09:00:00Z",
          {"start_date": "2026-03-01", "end_date": "2026-03-03"}),
-        ("r3", "guardian_backfill", "up_for_retry", "", None, "2026-03-11T09:00:00Z", {"start_date": "2026-03-01"}),
-        ("r4", "guardian_backfill", "queued", None, None, "2026-03-11T09:00:00Z", None),
+        ("r3", "guardian_backfill_range", "up_for_retry", "", None, "2026-03-11T09:00:00Z", {"start_date": "2026-03-01"}),
+        ("r4", "guardian_backfill_range", "queued", None, None, "2026-03-11T09:00:00Z", None),
         ("r5", "other_dag", "failed", None, None, None, None),
     ])
     got = {r["run_id"]: r for r in run_ops.runs_from_records(recs).collect()}
@@ -80,7 +80,7 @@ def test_failed_feed_once_per_run_and_ledger(spark):
 
 
 def test_lookup_and_recent_failures(spark):
-    runs = _runs(spark, [(f"r{i}", "guardian_backfill", "failed" if i % 2 else "success", "manual",
+    runs = _runs(spark, [(f"r{i}", "guardian_backfill_range", "failed" if i % 2 else "success", "manual",
                           datetime(2026, 3, 1, i), None, "w", None) for i in range(10)])
     assert run_ops.run_lookup(runs, "r3").count() == 1
     assert run_ops.run_lookup(runs, "r3", dag_id="guardian_ingest_recent").count() == 0
@@ -114,18 +114,30 @@ def test_sync_merges_history_and_feeds_each_failure_once(spark, scratch):
     assert ops.ensure_base_tables(spark, lake) == []
     first = spark.createDataFrame([
         ("r1", "guardian_ingest_recent", "running", "2026-03-11T10:00:00Z", None, "2026-03-11T10:00:00Z", None),
-        ("r2", "guardian_backfill", "failed", "2026-03-11T11:00:00Z", "2026-03-11T11:05:00Z",
+        ("r2", "guardian_backfill_range", "failed", "2026-03-11T11:00:00Z", "2026-03-11T11:05:00Z",
          "2026-03-11T11:00:00Z", {"start_date": "2026-03-01", "end_date": "2026-03-02"}),
     ], RUN_RECORD)
     feed = ops.sync_pipeline_runs(spark, lake, first)
     assert [r["run_id"] for r in feed.collect()] == ["r2"]
+    # not delivered: the next sync feeds it again
+    feed = ops.sync_pipeline_runs(spark, lake, first)
+    assert [r["run_id"] for r in feed.collect()] == ["r2"]
+    ops.acknowledge(spark, lake, feed)
     second = spark.createDataFrame([
         ("r1", "guardian_ingest_recent", "failed", "2026-03-11T10:00:00Z", "2026-03-11T10:30:00Z",
          "2026-03-11T10:00:00Z", None),
-        ("r2", "guardian_backfill", "failed", "2026-03-11T11:00:00Z", "2026-03-11T11:05:00Z",
+        ("r2", "guardian_backfill_range", "failed", "2026-03-11T11:00:00Z", "2026-03-11T11:05:00Z",
          "2026-03-11T11:00:00Z", None),
     ], RUN_RECORD)
     feed = ops.sync_pipeline_runs(spark, lake, second)
     assert [r["run_id"] for r in feed.collect()] == ["r1"]
     runs = {r["run_id"]: r for r in ops.read_runs(spark, lake).collect()}
     assert runs["r1"]["status"] == "failed" and runs["r2"]["window"] == "manual backfill"
+
+
+def test_null_keys_go_around_the_join(spark):
+    t = datetime(2026, 3, 1)
+    target = _runs(spark, [(None, "d", "running", "system", t, None, "w", None), ("a", "d", "running", "system", t, None, "w", None)])
+    source = _runs(spark, [(None, "d", "success", "system", t, None, "w", None), ("a", "d", "success", "system", t, None, "w", None)])
+    rows = sorted((r["run_id"] or "", r["status"]) for r in run_ops.upsert_runs(target, source).collect())
+    assert rows == [("", "running"), ("", "success"), ("a", "success")]
