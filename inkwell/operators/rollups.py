@@ -55,21 +55,34 @@ def tag_counts_daily(tags: DataFrame) -> DataFrame:
     return tags.groupBy("publication_date", "tag").agg(F.count(F.lit(1)).alias("article_count"))
 
 
-def content_freshness(latest: DataFrame, refreshed_at: datetime | None = None) -> DataFrame:
-    """MAT-7: one row of global freshness figures.
+def article_day_stats(latest: DataFrame) -> DataFrame:
+    """What MAT-7 needs to know of each date and section."""
+    return latest.groupBy("publication_date", "section_name").agg(
+        F.count(F.lit(1)).alias("article_count"),
+        F.max("ingested_at").alias("last_ingested_at"),
+        F.max("published_at").alias("last_published_at"))
+
+
+def freshness_of(stats: DataFrame, refreshed_at: datetime | None = None) -> DataFrame:
+    """MAT-7 from ``article_day_stats``: one row of global freshness figures.
 
     ``refreshed_at`` pins the stamp (tests, reruns); by default it is the
     query's current timestamp. An empty input still gives one row.
     """
     stamp = utc_literal(refreshed_at) if refreshed_at else F.current_timestamp()
-    agg = latest.agg(
-        F.count(F.lit(1)).alias("total_articles"),
+    agg = stats.agg(
+        F.coalesce(F.sum("article_count"), F.lit(0)).cast("long").alias("total_articles"),
         F.countDistinct("section_name").alias("active_sections"),
-        F.max("ingested_at").alias("last_sync_at"),
-        F.max("published_at").alias("watermark"),
+        F.max("last_ingested_at").alias("last_sync_at"),
+        F.max("last_published_at").alias("watermark"),
     )
     return agg.select(
         "total_articles", "active_sections", "last_sync_at", "watermark",
         lag_minutes("last_sync_at", "watermark").alias("freshness_lag_minutes"),
         stamp.alias("refreshed_at"),
     )
+
+
+def content_freshness(latest: DataFrame, refreshed_at: datetime | None = None) -> DataFrame:
+    """MAT-7 from the articles."""
+    return freshness_of(article_day_stats(latest), refreshed_at)

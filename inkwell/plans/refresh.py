@@ -55,6 +55,7 @@ LAYOUT: dict[str, dict] = {
     "section_daily": {"cluster_by": ("publication_date",)},
     "tag_counts_daily": {"cluster_by": ("publication_date", "tag")},
     "content_freshness": {},
+    "article_day_stats": {"cluster_by": ("publication_date",)},
 }
 
 COLUMNS: dict[str, tuple[str, ...]] = {
@@ -82,9 +83,8 @@ def read_analytics(store: TableStore, name: str) -> DataFrame:
 LEDGER = "articles_latest_batches"
 # Dates an unfinished incremental run was changing; redone by the next run.
 PENDING = "refresh_pending_dates"
-# Most article keys an incremental run broadcasts (about 100 MB of keys);
-# a larger set of new keys takes the full rebuild instead.
-MAX_BROADCAST_KEYS = 2_000_000
+# Per date and section: what MAT-7 is the aggregate of.
+STATS = "article_day_stats"
 
 
 @dataclass
@@ -96,13 +96,6 @@ class Delta:
     dates: list
     latest_rows: DataFrame | None = None
     cached: list[DataFrame] = field(default_factory=list)
-    # Freshness inputs, reduced before any write (a write to a path makes
-    # Spark recompute cached plans that read it): article count change per
-    # section, the newest ingest among the new versions, and the tables as
-    # they were before the run.
-    section_change: list[tuple[str, int]] | None = None
-    newest_ingest: datetime | None = None
-    prior: dict[str, DataFrame] = field(default_factory=dict)
 
     def release(self) -> None:
         for df in self.cached:
@@ -116,21 +109,19 @@ def _in_dates(dates: list, column: str = "publication_date") -> Column:
     return cond | F.col(column).isNull() if any(d is None for d in dates) else cond
 
 
-def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delta | None:
-    """The incremental change set, or None when a full rebuild is needed.
+def plan_delta(store: TableStore) -> Delta | None:
+    """The incremental change set, or None where there is no previous run.
 
     Only keys that occur in committed raw batches not yet in the ledger can
     change. Their rows in the current ``articles_latest`` are found with a
-    broadcast, null-safe semi join (after counting the keys against the
-    bound), deduplicated again together with the new rows, and the dates of
-    both sides are the only partitions to rewrite. Rows of those dates whose
-    key is untouched are carried over. Raw is append-only and the dedup
-    keeps a maximum, so the result equals a full rebuild.
+    null-safe semi join, whose strategy Spark picks by the sizes it measures,
+    deduplicated again together with the new rows, and the dates of both
+    sides are the only partitions to rewrite. Rows of those dates whose key
+    is untouched are carried over. Raw is append-only and the dedup keeps a
+    maximum, so the result equals a full rebuild, and doing a run over again
+    gives the same rows.
     """
-    limit = MAX_BROADCAST_KEYS if max_broadcast_keys is None else max_broadcast_keys
-    spark = store.spark
-    previous = store.current(ANALYTICS, "articles_latest")
-    if previous is None or not store.exists(ANALYTICS, LEDGER):
+    if store.current(ANALYTICS, "articles_latest") is None or not store.exists(ANALYTICS, LEDGER):
         return None
     committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)
     seen = {r["batch"] for r in store.read(ANALYTICS, LEDGER).collect()}
@@ -141,11 +132,8 @@ def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delt
     if not new:
         return Delta(covered, sorted(set(pending), key=lambda d: (d is None, d)))
     fresh = landing.read_raw(store, new)
-    new_keys = fresh.select(article_key().alias("_k")).distinct()
-    if new_keys.count() > limit:
-        return None
-    keys = F.broadcast(new_keys)
-    prior = spark.read.parquet(previous).select(*LATEST_COLUMNS)
+    keys = fresh.select(article_key().alias("_k")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    prior = read_analytics(store, "articles_latest")
     # 1) which days hold earlier versions of the new keys: a scan of the key
     #    columns only (Parquet reads no other column for it)
     narrow = prior.select("guardian_id", "web_url", "published_at", "publication_date") \
@@ -162,66 +150,7 @@ def plan_delta(store: TableStore, max_broadcast_keys: int | None = None) -> Delt
         winners.select("publication_date")).distinct().collect()} | set(pending), key=lambda d: (d is None, d))
     rest = prior.filter(_in_dates(dates)).withColumn("_k", article_key())
     carried = rest.join(keys, rest["_k"].eqNullSafe(keys["_k"]), "left_anti").drop("_k")
-    # pinned now (file listings are fixed when a DataFrame is made), before
-    # any step of this run replaces them
-    prior_tables = {name: read_analytics(store, name) for name in ("content_freshness", "section_counts_daily")
-                    if store.exists(ANALYTICS, name)}
-    change = (touched.select("section_name", F.lit(-1).alias("n"), F.lit(None).cast("timestamp_ntz").alias("t"))
-              .unionByName(winners.select("section_name", F.lit(1).alias("n"),
-                                          F.col("ingested_at").cast("timestamp_ntz").alias("t")))
-              .groupBy("section_name").agg(F.sum("n").alias("n"), F.max("t").alias("t")).collect())
-    newest = max((r["t"] for r in change if r["t"] is not None), default=None)
-    return Delta(covered, dates, carried.unionByName(winners), cached=[touched, winners],
-                 section_change=[(r["section_name"], int(r["n"])) for r in change], newest_ingest=newest,
-                 prior=prior_tables)
-
-
-def freshness(store: TableStore, delta: Delta, refreshed_at: datetime | None) -> Callable[[], None]:
-    """MAT-7 from the change set, without a scan of the whole table.
-
-    * article and section counts: the previous per-section totals plus the
-      per-section change of the run (new versions minus the rows they
-      replace);
-    * last sync: the newest ingest is always a winner, so the maximum of the
-      previous value and the new versions;
-    * watermark: the newest publication lies in the newest day folder, so
-      one partition-pruned scan of that day.
-    """
-    def write() -> None:
-
-        change = store.spark.createDataFrame(delta.section_change, "section string, n bigint")
-        sections = (delta.prior["section_counts_daily"].groupBy("section")
-                    .agg(F.sum("article_count").cast("long").alias("n"))
-                    .unionByName(change)
-                    .groupBy("section").agg(F.sum("n").alias("n")))
-        days = store.partition_values(ANALYTICS, "articles_latest", "publication_date")
-        newest = max((d for d in days if d is not None), default=None)
-        latest = read_analytics(store, "articles_latest")
-        newest_day = (latest.filter(F.col("publication_date") == F.lit(newest).cast("date"))
-                      if newest else latest.limit(0))
-        none = F.lit(None)
-        parts = (
-            sections.select(F.col("n").cast("long").alias("n"), none.cast("timestamp").alias("sync"),
-                            none.cast("timestamp").alias("mark"))
-            .unionByName(delta.prior["content_freshness"].select(
-                none.cast("long").alias("n"), F.col("last_sync_at").alias("sync"), none.cast("timestamp").alias("mark")))
-            .unionByName(store.spark.range(1).select(
-                none.cast("long").alias("n"),
-                (utc_literal(delta.newest_ingest) if delta.newest_ingest else none.cast("timestamp")).alias("sync"),
-                none.cast("timestamp").alias("mark")))
-            .unionByName(newest_day.select(
-                none.cast("long").alias("n"), none.cast("timestamp").alias("sync"), F.col("published_at").alias("mark")))
-        )
-        one = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_articles"),
-                        F.count_if(F.col("n") > 0).alias("active_sections"),
-                        F.max("sync").alias("last_sync_at"), F.max("mark").alias("watermark"))
-        stamp = utc_literal(refreshed_at) if refreshed_at else F.current_timestamp()
-        row = one.select("total_articles", "active_sections", "last_sync_at", "watermark",
-                         lag_minutes("last_sync_at", "watermark").alias("freshness_lag_minutes"),
-                         stamp.alias("refreshed_at"))
-        store.replace(row, ANALYTICS, "content_freshness", **LAYOUT["content_freshness"])
-
-    return write
+    return Delta(covered, dates, carried.unionByName(winners), cached=[keys, touched, winners])
 
 
 def _write_dates(store: TableStore, dates: list) -> None:
@@ -229,28 +158,38 @@ def _write_dates(store: TableStore, dates: list) -> None:
                   ANALYTICS, PENDING)
 
 
-def _full_writers(store: TableStore, refreshed_at: datetime | None,
-                  batches: list[str]) -> dict[str, Callable[[], None]]:
+def _full_writers(store: TableStore, refreshed_at: datetime | None) -> dict[str, Callable[[], None]]:
     def up(name: str) -> DataFrame:
         return read_analytics(store, name)
 
     builds: dict[str, Callable[[], DataFrame]] = {
-        "articles_latest": lambda: articles_latest(landing.read_raw(store, batches)),
+        "articles_latest": lambda: articles_latest(landing.read_raw(store)),
         "article_tags": lambda: rollups.article_tags(up("articles_latest")),
         "daily_volume": lambda: rollups.daily_volume(up("articles_latest")),
         "section_counts_daily": lambda: rollups.section_counts_daily(up("articles_latest")),
         "section_daily": lambda: rollups.section_daily(up("section_counts_daily")),
         "tag_counts_daily": lambda: rollups.tag_counts_daily(up("article_tags")),
-        "content_freshness": lambda: rollups.content_freshness(up("articles_latest"), refreshed_at),
     }
-    return {name: (lambda n=name: store.replace(builds[n](), ANALYTICS, n, **LAYOUT[n])) for name in builds}
+
+    def freshness() -> None:
+        store.replace(rollups.article_day_stats(up("articles_latest")), ANALYTICS, STATS, **LAYOUT[STATS])
+        _write_freshness(store, refreshed_at)
+
+    writers = {name: (lambda n=name: store.replace(builds[n](), ANALYTICS, n, **LAYOUT[n])) for name in builds}
+    return writers | {"content_freshness": freshness}
+
+
+def _write_freshness(store: TableStore, refreshed_at: datetime | None) -> None:
+    """MAT-7 is always the aggregate of the stored per-day figures."""
+    store.replace(rollups.freshness_of(store.read(ANALYTICS, STATS), refreshed_at), ANALYTICS, "content_freshness",
+                  **LAYOUT["content_freshness"])
 
 
 def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callable[[], None]],
                          refreshed_at: datetime | None) -> dict[str, Callable[[], None]]:
-    """Writers that touch only ``delta.dates``: the article-grain tables by
-    dynamic partition overwrite, the small rollups by replacing their rows
-    of those dates (a rollup missing on disk is rebuilt in full)."""
+    """Writers that touch only ``delta.dates``: the article-grain tables by new
+    day folders and a new state, the small rollups by replacing their rows of
+    those dates (a table missing on disk is rebuilt in full)."""
     dates = delta.dates
     inside, outside = _in_dates(dates), ~_in_dates(dates)
 
@@ -262,9 +201,9 @@ def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callab
             if not store.exists(ANALYTICS, name):
                 full[name]()
             elif dates:
-                store.overwrite_partitions(rows(), ANALYTICS, name, partition_by="publication_date",
-                                           values=dates, cluster_by=LAYOUT[name].get("cluster_by", ()),
-                                           bloom_filters=LAYOUT[name].get("bloom_filters", ()))
+                store.replace_partitions(rows(), ANALYTICS, name, partition_by="publication_date",
+                                         values=dates, cluster_by=LAYOUT[name].get("cluster_by", ()),
+                                         bloom_filters=LAYOUT[name].get("bloom_filters", ()))
         return write
 
     def patch(name: str, recompute: Callable[[], DataFrame]) -> Callable[[], None]:
@@ -276,6 +215,15 @@ def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callab
                 store.replace(kept.unionByName(recompute()), ANALYTICS, name, **LAYOUT[name])
         return write
 
+    patch_stats = patch(STATS, lambda: rollups.article_day_stats(up("articles_latest", inside)))
+
+    def freshness() -> None:
+        if not store.exists(ANALYTICS, STATS):
+            full["content_freshness"]()
+            return
+        patch_stats()
+        _write_freshness(store, refreshed_at)
+
     return {
         # no new rows (only dates left pending): the table already holds them
         "articles_latest": (partitions("articles_latest", lambda: delta.latest_rows)
@@ -286,9 +234,7 @@ def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callab
                                       lambda: rollups.section_counts_daily(up("articles_latest", inside))),
         "section_daily": patch("section_daily", lambda: rollups.section_daily(up("section_counts_daily", inside))),
         "tag_counts_daily": patch("tag_counts_daily", lambda: rollups.tag_counts_daily(up("article_tags", inside))),
-        "content_freshness": (freshness(store, delta, refreshed_at)
-                              if delta.section_change is not None and len(delta.prior) == 2
-                              else full["content_freshness"]),
+        "content_freshness": freshness,
     }
 
 
@@ -307,8 +253,7 @@ def _waves(names: list[str]) -> list[list[str]]:
 
 def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime | None = None,
                    only: Iterable[str] | None = None, incremental: bool = False,
-                   fail: dict[str, Exception] | None = None, parallel: int = 4,
-                   max_broadcast_keys: int | None = None) -> RefreshReport:
+                   fail: dict[str, Exception] | None = None, parallel: int = 4) -> RefreshReport:
     """Rebuild the analytics tables; ``fail`` injects an error into a step.
 
     Steps run level by level of the dependency graph; the steps of one level
@@ -318,15 +263,14 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
 
     ``incremental=True`` (the hourly run) rewrites only the publication dates
     that raw batches not yet covered can change (see ``plan_delta``); it
-    falls back to the full rebuild when there is no previous run or too many
-    new keys. The ledger of covered batches is written only when every step
+    falls back to the full rebuild when there is no previous run. The ledger of covered batches is written only when every step
     succeeded, so a partly failed run is redone, dates and all, next time.
     """
     configure(spark)
     store = TableStore(spark, lake)
     committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)   # fixed for this run
-    writers = _full_writers(store, refreshed_at, committed)
-    delta = plan_delta(store, max_broadcast_keys) if incremental and only is None else None
+    writers = _full_writers(store, refreshed_at)
+    delta = plan_delta(store) if incremental and only is None else None
     if delta is not None:
         writers = _incremental_writers(store, delta, writers, refreshed_at)
         # recorded before any write: if a step fails, the next run redoes

@@ -5,7 +5,14 @@ Replace tables (``CREATE OR REPLACE TABLE``) are written to a fresh
 written its ``_SUCCESS`` marker, so readers never see a half-written table and
 a rebuild may read the version it replaces. Append tables (raw, quarantine,
 ledgers) get one ``batch=<id>`` directory per load; a replayed load that reuses
-its batch id overwrites itself, which makes stream batches idempotent.
+its batch id overwrites itself, which makes stream batches idempotent, and a
+batch is read only once its marker is there.
+
+A partitioned table can also be changed a few partitions at a time: the new
+partitions go to a ``version=<id>-patch`` directory, and a ``state=<id>``
+listing then names the directory of every partition of the table. The listing
+is published by its marker, last of all; nothing that a reader may see is
+changed in place, so a run that dies at any point leaves the table as it was.
 
 Ids sort by time, so "latest committed version" is the greatest name with a
 marker. Listing uses the Hadoop FileSystem of the session, so the same code
@@ -18,13 +25,14 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from inkwell.config import Lake
 
-VERSION, BATCH = "version", "batch"
+VERSION, BATCH, STATE = "version", "batch", "state"
+PATCH_SUFFIX = "-patch"
 MARKER = "_SUCCESS"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 # Distinct keys expected per row group (~128 MB of article rows); sizes the
@@ -71,12 +79,40 @@ class TableStore:
     def versions(self, dataset: str, table: str) -> list[str]:
         root = self.table_path(dataset, table)
         return [f"{root}/{name}" for name in self._children(root, VERSION)
-                if self._committed(f"{root}/{name}")]
+                if not name.endswith(PATCH_SUFFIX) and self._committed(f"{root}/{name}")]
 
     def current(self, dataset: str, table: str) -> str | None:
+        """The newest committed whole version (a later state may refer to it)."""
         committed = self.versions(dataset, table)
         return committed[-1] if committed else None
 
+    def _states(self, dataset: str, table: str) -> list[str]:
+        root = self.table_path(dataset, table)
+        return [name for name in self._children(root, STATE) if self._committed(f"{root}/{name}")]
+
+    def _state(self, dataset: str, table: str) -> str | None:
+        """The newest state, where it is newer than the newest whole version."""
+        states, current = self._states(dataset, table), self.current(dataset, table)
+        if not states or current is None:
+            return None
+        newest = current.rsplit("/", 1)[1].split("=", 1)[1]
+        return states[-1] if states[-1].split("=", 1)[1] > newest else None
+
+    def _state_folders(self, dataset: str, table: str, state: str) -> list[str]:
+        """``version=…/column=value`` of every partition in a state."""
+        rows = self.spark.read.text(f"{self.table_path(dataset, table)}/{state}").collect()
+        return sorted(r["value"] for r in rows if r["value"])
+
+    def partition_folders(self, dataset: str, table: str, column: str) -> list[str]:
+        """``version=…/column=value`` of every partition that makes up the table now."""
+        state, current = self._state(dataset, table), self.current(dataset, table)
+        if state is not None:
+            return self._state_folders(dataset, table, state)
+        if current is None:
+            return []
+        version = current.rsplit("/", 1)[1]
+        return [f"{version}/{name}" for name in self._children(current, column)]
+
     def exists(self, dataset: str, table: str) -> bool:
         return self.current(dataset, table) is not None or bool(self.batches(dataset, table))
 
@@ -121,51 +157,62 @@ class TableStore:
         self._vacuum(dataset, table, keep)
         return path
 
-    def overwrite_partitions(self, df: DataFrame, dataset: str, table: str, *, partition_by: str,
-                             values: Sequence, cluster_by: Sequence[str] = (),
-                             bloom_filters: Sequence[str] = ()) -> None:
-        """Replace the ``values`` partitions of the current version in place.
+    def replace_partitions(self, df: DataFrame, dataset: str, table: str, *, partition_by: str,
+                           values: Sequence, cluster_by: Sequence[str] = (),
+                           bloom_filters: Sequence[str] = (), keep: int = 2) -> None:
+        """Replace the ``values`` partitions; those without rows go.
 
-        Spark's dynamic partition overwrite swaps exactly the partitions the
-        rows fall in at job commit and leaves every other day untouched (no
-        read, no copy); partitions in ``values`` that end up with no rows
-        are removed afterwards. A reader sees each partition either before
-        or after, and a failed job changes nothing.
+        The other partitions are neither read nor copied: the state that is
+        published at the end refers to their files. Before that, readers see
+        the table as it was; a failed job publishes nothing.
         """
-        current = self.current(dataset, table)
-        if current is None:
+        if self.current(dataset, table) is None:
             raise FileNotFoundError(self.table_path(dataset, table))
-        obs = Observation(f"{table}-partitions")
-        out = (df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
-               .observe(obs, F.collect_set(partition_by).alias("present"),
-                        F.count_if(F.col(partition_by).isNull()).alias("nulls")))
-        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        root, new = self.table_path(dataset, table), new_id()
+        version = f"{VERSION}={new}{PATCH_SUFFIX}"
+        out = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
+        writer = out.write.mode("errorifexists")
         for column in bloom_filters:
             writer = (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
                       .option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_NDV)))
-        writer.partitionBy(partition_by).parquet(current)
-        metrics = obs.get
-        present = {str(v) for v in metrics.get("present") or []}
-        for value in values:
-            if value is None:
-                if not metrics.get("nulls"):
-                    self.delete(f"{current}/{partition_by}={NULL_PARTITION}")
-            elif str(value) not in present:
-                self.delete(f"{current}/{partition_by}={value}")
+        writer.partitionBy(partition_by).parquet(f"{root}/{version}")
+        written = self._children(f"{root}/{version}", partition_by)
+        replaced = {f"{partition_by}={NULL_PARTITION if v is None else v}" for v in values} | set(written)
+        folders = [f for f in self.partition_folders(dataset, table, partition_by) if f.split("/", 1)[1] not in replaced]
+        folders += [f"{version}/{name}" for name in written]
+        self._publish(dataset, table, new, folders)
+        self._vacuum(dataset, table, keep)
+
+    def _publish(self, dataset: str, table: str, state: str, folders: list[str]) -> None:
+        lines = self.spark.createDataFrame([(f,) for f in sorted(folders)], "value string")
+        lines.coalesce(1).write.mode("errorifexists").text(f"{self.table_path(dataset, table)}/{STATE}={state}")
 
     def partition_values(self, dataset: str, table: str, column: str) -> list:
-        """Values of a partition column in the current version, from one
-        listing of its folders (None for the null partition)."""
-        current = self.current(dataset, table)
-        if current is None:
-            return []
-        values = [name.split("=", 1)[1] for name in self._children(current, column)]
+        """Values of a partition column (None for the null partition)."""
+        values = [f.rsplit("=", 1)[1] for f in self.partition_folders(dataset, table, column)]
         return [None if v == NULL_PARTITION else v for v in values]
 
     def _vacuum(self, dataset: str, table: str, keep: int) -> None:
-        committed = self.versions(dataset, table)
-        for old in committed[:-keep] if keep > 0 else []:
-            self.delete(old)
+        """Drop what neither the newest ``keep`` whole versions nor the newest
+        ``keep`` states refer to. Directories newer than all of these are left
+        alone: another run may be writing them."""
+        if keep <= 0:
+            return
+        root = self.table_path(dataset, table)
+        states, whole = self._states(dataset, table), [v.rsplit("/", 1)[1] for v in self.versions(dataset, table)]
+        if not whole:
+            return
+        id_of = lambda name: name.split("=", 1)[1].removesuffix(PATCH_SUFFIX)
+        # states older than the newest whole version can no longer be current
+        live = [x for x in states if id_of(x) > id_of(whole[-1])][-keep:]
+        used = set(whole[-keep:]) | {f.split("/", 1)[0] for x in live for f in self._state_folders(dataset, table, x)}
+        newest = max(map(id_of, [*whole, *states]))
+        for name in self._children(root, VERSION):
+            if name not in used and id_of(name) < newest:
+                self.delete(f"{root}/{name}")
+        for name in states:
+            if name not in live:
+                self.delete(f"{root}/{name}")
 
     # -------------------------------------------------------------- batches
     def batch_ids(self, dataset: str, table: str) -> list[str]:
@@ -209,15 +256,24 @@ class TableStore:
         table: Spark lists the ``batch=`` directories (in parallel on the
         cluster once there are many) and ``where`` on the ``partitions``
         columns below the batch level prunes directories before any file is
-        opened. Uncommitted output only ever sits in ``_temporary`` folders,
-        which the listing skips.
+        opened. Batches without their marker (a load that died) are filtered
+        out by name; there are only ever a few of them.
         """
         current = self.current(dataset, table)
-        if current is not None:
+        state = self._state(dataset, table)
+        root = self.table_path(dataset, table)
+        if state is not None:
+            folders = self._state_folders(dataset, table, state)
+            if folders:
+                df = self.spark.read.option("basePath", root).parquet(*[f"{root}/{f}" for f in folders]).drop(VERSION)
+            else:
+                df = self.spark.read.parquet(current).limit(0)
+        elif current is not None:
             df = self.spark.read.parquet(current)
         else:
-            root = self.table_path(dataset, table)
-            if not self._children(root, BATCH):
+            found = self.batch_ids(dataset, table)
+            committed = set(self.committed_batch_ids(dataset, table))
+            if not committed:
                 if schema is None:
                     raise FileNotFoundError(root)
                 empty = StructType([StructField(BATCH, StringType(), True), *schema.fields,
@@ -229,6 +285,8 @@ class TableStore:
                 extra = [StructField(BATCH, StringType(), True), *(partitions.fields if partitions else [])]
                 reader = reader.schema(StructType([*schema.fields, *extra]))
             df = reader.parquet(root)
+            if unfinished := [b for b in found if b not in committed]:
+                df = df.filter(~F.col(BATCH).cast("string").isin(*unfinished))
             if where is not None:
                 df = df.filter(where)
         if columns:

@@ -6,6 +6,7 @@ import os
 import tempfile
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.config import Lake
@@ -47,6 +48,42 @@ def test_partition_swap_replaces_and_removes_emptied_days(spark, scratch):
                                  "x int, d string").withColumn("d", F.to_date("d"))
     store.replace(base, "a", "p", partition_by=("d",))
     change = spark.createDataFrame([(20, "2024-01-02")], "x int, d string").withColumn("d", F.to_date("d"))
-    store.overwrite_partitions(change, "a", "p", partition_by="d",
+    store.replace_partitions(change, "a", "p", partition_by="d",
                                values=[date(2024, 1, 2), date(2024, 1, 3), None])
     assert _rows(store.read("a", "p")) == [(1, "2024-01-01"), (20, "2024-01-02")]
+
+
+def test_a_swap_that_dies_leaves_the_table_as_it_was(spark, scratch, monkeypatch):
+    store = TableStore(spark, Lake(tempfile.mkdtemp(prefix="store-", dir=scratch)))
+    base = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "x int, d string").withColumn("d", F.to_date("d"))
+    store.replace(base, "a", "p", partition_by=("d",))
+    change = spark.createDataFrame([(20, "2024-01-02")], "x int, d string").withColumn("d", F.to_date("d"))
+
+    def die(*args):
+        raise RuntimeError("died between the data and the state")
+
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "_publish", die)
+        with pytest.raises(RuntimeError):
+            store.replace_partitions(change, "a", "p", partition_by="d", values=[date(2024, 1, 2)])
+    # a state without its marker is not read either
+    os.makedirs(store.table_path("a", "p") + "/state=99999999999999999999-zzzzzzzz")
+    assert _rows(store.read("a", "p")) == [(1, "2024-01-01"), (2, "2024-01-02")]
+    for x in (21, 22, 23):
+        store.replace_partitions(change.withColumn("x", F.lit(x)), "a", "p", partition_by="d", values=[date(2024, 1, 2)])
+        assert _rows(store.read("a", "p")) == [(1, "2024-01-01"), (x, "2024-01-02")]
+    left = [n for n in os.listdir(store.table_path("a", "p")) if n.startswith("version=")]
+    assert len(left) == 3                       # the base and the patches of the last two states
+    store.replace(base, "a", "p", partition_by=("d",))
+    assert _rows(store.read("a", "p")) == [(1, "2024-01-01"), (2, "2024-01-02")]
+
+
+def test_uncommitted_batches_are_not_read(spark, scratch):
+    store = TableStore(spark, Lake(tempfile.mkdtemp(prefix="store-", dir=scratch)))
+    schema = spark.createDataFrame([(1,)], "x int").schema
+    for b in ("b1", "b2"):
+        store.append(spark.createDataFrame([(1,)], schema), "r", "t", batch_id=b)
+    os.remove(store.table_path("r", "t") + "/batch=b2/_SUCCESS")      # the files moved, the marker did not come
+    assert store.read("r", "t", schema=schema).count() == 1
+    os.remove(store.table_path("r", "t") + "/batch=b1/_SUCCESS")
+    assert store.read("r", "t", schema=schema).count() == 0
