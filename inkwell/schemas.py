@@ -52,7 +52,7 @@ SOURCE_RESULT = StructType([
     _s("id"), _s("webUrl"), _s("webTitle"),
     _s("sectionId"), _s("sectionName"), _s("pillarId"), _s("pillarName"),
     _s("webPublicationDate"),
-    StructField("tags", ArrayType(StructType([_s("webTitle")]), True), True),
+    StructField("tags", ArrayType(StringType(), True), True),   # each tag as its own text
 ])
 
 # Run record as the orchestrator reports it.

@@ -33,6 +33,10 @@ NOT_A_DICT = "not_a_dict"
 MISSING_ID = "missing_guardian_id"
 MISSING_PUBLISHED = "missing_published_at"
 UNPARSEABLE_PUBLISHED = "unparseable_published_at"
+# Reasons of whole pages: the row's payload is the page's text.
+UNPARSEABLE_PAGE = "unparseable_page"
+NO_RESPONSE = "no_response"
+RESULTS_NOT_A_LIST = "results_not_a_list"
 
 RAW_TABLE = "articles_raw"
 LOAD_LOG_TABLE = "articles_raw_loads"
@@ -53,26 +57,62 @@ def read_landing(spark: SparkSession, landing_dir: str, *, one_page_per_file: bo
     return df
 
 
-def explode_pages(text: DataFrame) -> DataFrame:
-    """SRC-1: one row per result element, with the page it came from.
+def read_pages(text: DataFrame) -> DataFrame:
+    """The landed text with its envelope: ``_env``, ``_page`` (the envelope's
+    ``currentPage``, else the ``page-N`` number in the file name) and
+    ``page_reject``, why the page as a whole cannot be read, or null.
 
-    An absent or null results list gives no rows. The page number is the
-    envelope's ``currentPage``, else the ``page-N`` number in the file name.
-    The envelope is parsed once per page into a struct column before the
-    explode; reading two fields straight off ``from_json`` would let the
-    optimizer split it into one pruned parse per field, and the page number
-    would re-parse the whole page for every element.
+    Blank lines are no pages. The envelope is parsed once into a struct
+    column: reading two fields straight off ``from_json`` would let the
+    optimizer split it into one pruned parse per field. A second parse, to
+    ``variant``, tells the types apart that text cannot: a results list from
+    an object, and an object among the results from a string that looks like
+    one.
     """
-    keep = [c for c in ("day", "_batch_ts") if c in text.columns]
     from_name = F.regexp_extract(F.col("file_path"), r"page[-_=]?(\d+)", 1)
-    parsed = text.select(
-        *keep, F.from_json(F.col("value"), PAGE_ENVELOPE).getField("response").alias("_env"),
+    keep = [c for c in ("day", "_batch_ts") if c in text.columns]
+    parsed = text.filter(F.trim("value") != "").select(
+        *keep, "value", F.from_json(F.col("value"), PAGE_ENVELOPE).getField("response").alias("_env"),
+        F.try_parse_json("value").alias("_json"),
         F.when(from_name != "", from_name.cast("long")).alias("_page_from_name"))
-    return parsed.select(
-        *keep,
-        F.coalesce(F.col("_env.currentPage").cast("long"), F.col("_page_from_name")).alias("api_response_page"),
-        F.explode(F.coalesce(F.col("_env.results"), F.array().cast("array<string>"))).alias("result"),
-    )
+    response = F.try_variant_get("_json", "$.response", "map<string,variant>")
+    results = F.try_variant_get("_json", "$.response.results", "array<variant>")
+    absent = F.expr("try_variant_get(_json, '$.response.results', 'variant')")
+    reject = (F.when(F.col("_json").isNull(), F.lit(UNPARSEABLE_PAGE))
+              .when(response.isNull(), F.lit(NO_RESPONSE))
+              .when(results.isNull() & absent.isNotNull() & ~F.is_variant_null(absent), F.lit(RESULTS_NOT_A_LIST)))
+    objects = F.transform(results, lambda r: F.try_variant_get(r, "$", "map<string,variant>").isNotNull())
+    return parsed.select(*keep, "value", "_env", F.coalesce(F.col("_env.currentPage").cast("long"), F.col("_page_from_name"))
+                         .alias("_page"), reject.alias("page_reject"), objects.alias("_objects"))
+
+
+def explode_pages(text: DataFrame) -> DataFrame:
+    """SRC-1: one row per result element, with the page it came from.
+
+    An absent or null results list gives no rows; a page that cannot be read
+    gives one row, its own text with the reason.
+    """
+    pages = read_pages(text)
+    keep = [c for c in ("day", "_batch_ts") if c in pages.columns]
+    element = "array<struct<result:string,is_object:boolean>>"
+    elements = F.zip_with(F.col("_env.results"), F.col("_objects"),
+                          lambda r, o: F.struct(r.alias("result"), F.coalesce(o, F.lit(False)).alias("is_object")))
+    rows = F.when(F.col("page_reject").isNotNull(),
+                  F.array(F.struct(F.col("value").alias("result"), F.lit(False).alias("is_object")))).otherwise(
+        F.coalesce(elements, F.array().cast(element)))
+    return pages.select(*keep, F.col("_page").alias("api_response_page"), "page_reject",
+                        F.explode(rows).alias("_e")).select(
+        *keep, "api_response_page", "page_reject", F.col("_e.result").alias("result"),
+        F.col("_e.is_object").alias("_is_object"))
+
+
+def page_completeness(text: DataFrame) -> DataFrame:
+    """Per fetch day: the pages the source announced, those landed, and whether
+    every announced page is there. Unreadable pages count as not landed."""
+    pages = read_pages(text).filter(F.col("page_reject").isNull())
+    return (pages.groupBy("day").agg(F.max(F.col("_env.pages").cast("long")).alias("announced"),
+                                     F.countDistinct("_page").alias("landed"))
+            .select("day", "announced", "landed", (F.col("landed") >= F.coalesce("announced", F.lit(0))).alias("complete")))
 
 
 def _present(c: Column) -> Column:
@@ -86,13 +126,16 @@ def normalise(results: DataFrame) -> DataFrame:
     One parse per element: the struct is a column of its own projection and
     the fields are read from it in the next.
     """
-    extra = [c for c in results.columns if c not in ("result", "api_response_page")]
-    parsed = results.select(*extra, "api_response_page", "result",
-                            F.from_json(F.col("result"), SOURCE_RESULT).alias("_obj"))
+    own = ("result", "api_response_page", "page_reject", "_is_object")
+    extra = [c for c in results.columns if c not in own]
+    parsed = results.select(*extra, *own, F.when(F.col("_is_object"), F.from_json(F.col("result"), SOURCE_RESULT)).alias("_obj"))
     obj = F.col("_obj")
-    titles = F.transform(F.coalesce(obj.getField("tags"), F.array().cast(SOURCE_RESULT["tags"].dataType)),
-                         lambda t: t.getField("webTitle"))
+    # each tag by itself: one that is no object costs only itself
+    titles = F.transform(F.coalesce(obj.getField("tags"), F.array().cast("array<string>")),
+                         lambda t: F.get_json_object(t, "$.webTitle"))
     published_text = obj.getField("webPublicationDate")
+    # a time of day alone would be read as today's
+    has_date = published_text.rlike(r"^\s*\d{4}-\d{2}-\d{2}")
     return parsed.select(
         *extra,
         obj.getField("id").alias("guardian_id"),
@@ -102,18 +145,20 @@ def normalise(results: DataFrame) -> DataFrame:
         obj.getField("sectionName").alias("section_name"),
         obj.getField("pillarId").alias("pillar_id"),
         obj.getField("pillarName").alias("pillar_name"),
-        F.try_to_timestamp(published_text).alias("published_at"),
+        F.when(has_date, F.try_to_timestamp(published_text)).alias("published_at"),
         F.filter(titles, _present).alias("tags"),
         "api_response_page",
         F.col("result").alias("raw_payload"),
         published_text.alias("_published_text"),
-        F.ltrim(F.col("result")).startswith("{").alias("_is_object"),
+        "_is_object",
+        "page_reject",
     )
 
 
 def reject_reason() -> Column:
     """SRC-4 (quirks 16, 17): why a normalised row is rejected, or null."""
-    return (F.when(~F.col("_is_object"), F.lit(NOT_A_DICT))
+    return (F.when(F.col("page_reject").isNotNull(), F.col("page_reject"))
+            .when(~F.col("_is_object"), F.lit(NOT_A_DICT))
             .when(~_present(F.col("guardian_id")), F.lit(MISSING_ID))
             .when(~_present(F.col("_published_text")), F.lit(MISSING_PUBLISHED))
             .when(F.col("published_at").isNull(), F.lit(UNPARSEABLE_PUBLISHED)))

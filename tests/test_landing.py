@@ -138,3 +138,54 @@ def test_hourly_run_ingests_rebuilds_and_checks(spark, scratch, landing_dir):
     from inkwell.plans.catalog import Tables
 
     assert Tables.from_lake(spark, lake).articles_latest.count() == 3
+
+
+def _reasons(spark, root, **kw):
+    rows = landing.validated(landing.read_landing(spark, root, **kw), STAMP).collect()
+    return sorted((r["reject_reason"] or "ok") for r in rows), rows
+
+
+def test_no_page_vanishes(spark, scratch):
+    import tempfile
+
+    root = tempfile.mkdtemp(prefix="landing-broken-", dir=scratch)
+    d = os.path.join(root, "day=2026-03-11")
+    os.makedirs(d)
+    pages = {1: json.dumps({"response": {"pages": 7, "results": [_article(1)]}})[:-9], 2: "<html>502</html>",
+             3: json.dumps({"message": "no key"}), 4: json.dumps({"response": {"results": {"id": "x"}}}),
+             5: json.dumps({"response": {"pages": 7, "results": None}}), 6: json.dumps({"response": 5}),
+             7: json.dumps({"response": {"pages": 7, "results": [_article(2)]}})}
+    for page, text in pages.items():
+        with open(os.path.join(d, f"page-{page:05d}.json"), "w") as fh:
+            fh.write(text)
+    got, rows = _reasons(spark, root, one_page_per_file=True)
+    assert got == sorted(["unparseable_page", "unparseable_page", "no_response", "no_response", "results_not_a_list", "ok"])
+    kept = {r["api_response_page"]: r["raw_payload"] for r in rows if not r["accepted"]}
+    assert kept[2] == pages[2] and kept[4] == pages[4]
+    text = landing.read_landing(spark, root, one_page_per_file=True)
+    day = landing.page_completeness(text).first()
+    assert (day["announced"], day["landed"], day["complete"]) == (7, 2, False)
+
+
+def test_pretty_page_read_as_lines_is_rejected_not_lost(spark, scratch):
+    import tempfile
+
+    root = tempfile.mkdtemp(prefix="landing-pretty-", dir=scratch)
+    _land(root, "2026-03-11", 1, {"response": {"pages": 1, "results": [_article(1)]}}, pretty=True)
+    got, _ = _reasons(spark, root)
+    assert "ok" not in got and "unparseable_page" in got
+
+
+def test_element_types_tags_and_dates(spark, scratch):
+    import tempfile
+
+    root = tempfile.mkdtemp(prefix="landing-types-", dir=scratch)
+    _land(root, "2026-03-11", 1, {"response": {"pages": 1, "results": [
+        json.dumps(_article(1)),                                            # a string that looks like an object
+        [_article(2)], 5, None, True,
+        _article(3, tags=[{"webTitle": "k"}, 5, "x", None, {"webTitle": "l"}]),
+        _article(4, webPublicationDate="12:30"), _article(5, tags="none")]}})
+    got, rows = _reasons(spark, root, one_page_per_file=True)
+    assert got == sorted(["not_a_dict"] * 5 + ["ok", "unparseable_published_at", "ok"])
+    tags = {r["guardian_id"]: r["tags"] for r in rows if r["accepted"]}
+    assert tags == {"world/2026/mar/3": ["k", "l"], "world/2026/mar/5": []}
