@@ -18,18 +18,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.config import configure
 from inkwell.functions.formats import plain_types
-from inkwell.operators import quality
+from inkwell.operators import quality, rollups
 from inkwell.operators import runs as run_ops
-from inkwell.plans import ingest
+from inkwell.operators.latest import articles_latest
+from inkwell.plans import ingest, refresh
 from inkwell.plans import queries as q
 from inkwell.plans import reports
-from inkwell.plans.catalog import Tables
+from inkwell.plans.catalog import TABLES, Tables
 from inkwell.sources import adapters, landing
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -48,6 +50,10 @@ BACKFILL = ("2024-01-01", "2024-02-02")
 # hour), the incoming sync overlaps it by six days.
 HISTORY_BEFORE = "2024-01-16"
 SYNC_FROM = "2024-01-10"
+# The incremental refresh merges the rows ingested from here on.
+MERGE_FROM = "2024-01-25"
+# Letters beyond ASCII, both wildcards, and a backslash.
+DOCUMENT_SEARCHES = ("É", "e%00%", "th_ ", "C\\D")
 LOOKUP_RUN = "manual__2024-01-12T05:00:00"
 
 
@@ -123,11 +129,14 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _landed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = adapters.landing_pages_from_events(adapters.read_table(spark, sf_dir, "events"))
+    return pages.select("value", "day", F.lit(None).cast("string").alias("file_path"))
+
+
 def _validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed page envelopes built from events, parsed and validated."""
-    pages = adapters.landing_pages_from_events(adapters.read_table(spark, sf_dir, "events"))
-    text = pages.select("value", "day", F.lit(None).cast("string").alias("file_path"))
-    return landing.validated(text, AS_OF_TS)
+    return landing.validated(_landed_text(spark, sf_dir), AS_OF_TS)
 
 
 def _runs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
@@ -168,7 +177,7 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return plain_types(quality.freshness_budget(_t(s, d).content_freshness, as_of=AS_OF_TS))
 
     def reject_split(s, d):
-        rows = _validated_landing(s, d).drop("ingested_at", "raw_payload", "landing_day")
+        rows = _validated_landing(s, d).drop("raw_payload", "landing_day")
         return plain_types(rows)
 
     def reject_counts(s, d):
@@ -245,7 +254,80 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                    tag=SEARCH_TAG, limit=20, offset=40)
         return plain_types(page["articles"])
 
+    def merged(name):
+        """One table of the incremental refresh: the rows of the last six days
+        of ingest merged into the tables of all earlier rows."""
+        def run(s, d):
+            raw = _t(s, d).raw
+            late = F.col("ingested_at") >= F.lit(MERGE_FROM).cast("timestamp")
+            before = Tables(raw=raw.filter(~late), refreshed_at=AS_OF_TS)
+            previous = {n: getattr(before, n) for n in TABLES} | {
+                refresh.STATS: rollups.article_day_stats(before.articles_latest)}
+            out = refresh.merged_tables(previous, raw.filter(late), AS_OF_TS)[name]
+            return plain_types(out.drop("refreshed_at"))
+
+        return run
+
+    def page_completeness(s, d):
+        return plain_types(landing.page_completeness(_landed_text(s, d)))
+
+    def page_quarantine(s, d):
+        rows = _validated_landing(s, d).filter(F.col("reject_reason").isin(
+            landing.UNPARSEABLE_PAGE, landing.NO_RESPONSE, landing.RESULTS_NOT_A_LIST))
+        return plain_types(rows.select("landing_day", "reject_reason", F.left("raw_payload", F.lit(13)).alias("text_start")))
+
+    def raw_count(s, d):
+        return _validated_landing(s, d).filter("accepted").agg(F.count(F.lit(1)).alias("loaded"))
+
+    def default_range(s, d):
+        newest = F.to_date(F.max("published_at"))
+        return _t(s, d).raw.agg(newest.alias("end")).select(
+            F.concat(F.date_format(F.date_sub("end", 11), "yyyy-MM-dd"), F.lit(" to "),
+                     F.date_format("end", "yyyy-MM-dd")).alias("range"))
+
+    def report_sections(s, d):
+        return reports.sections_report(_t(s, d), reports.DateWindow(*_dates(DEFAULT_WINDOW)))["leaders"]
+
+    def report_section_series(s, d):
+        return reports.sections_report(_t(s, d), reports.DateWindow(*_dates(DEFAULT_WINDOW)))["series"]
+
+    def report_tags(s, d):
+        return reports.tags_report(_t(s, d), reports.DateWindow(*_dates(DEFAULT_WINDOW)))["tags"]
+
+    def report_volume(s, d):
+        return reports.volume_report(_t(s, d), reports.DateWindow(*_dates(DEFAULT_WINDOW)), "hour")["series"]
+
+    def report_overview_volume(s, d):
+        t = _t(s, d)
+        return reports.overview(t, _merged_runs(s, d), reports.DateWindow(*_dates(DEFAULT_WINDOW)))["daily_volume"]
+
+    def ops_status_checks(s, d):
+        t = _t(s, d)
+        return plain_types(reports.ops_status(t, quality.quality_results(t.articles_latest, as_of=AS_OF_TS))["checks"])
+
+    def article_detail_report(s, d):
+        return plain_types(reports.article_report(_t(s, d).articles_latest, DETAIL_ID))
+
+    def documents_search(s, d):
+        raw = adapters.articles_from_documents(adapters.read_table(s, d, "documents"))
+        found = [q.search_filter(articles_latest(raw), *FULL, query_text=text).select(
+            F.lit(text).alias("search"), "guardian_id", "web_title") for text in DOCUMENT_SEARCHES]
+        return reduce(DataFrame.unionByName, found)
+
     return {
+        **{f"refresh_incremental_{n}": merged(n) for n in TABLES},
+        "page_completeness": page_completeness,
+        "page_quarantine": page_quarantine,
+        "raw_count": raw_count,
+        "default_range": default_range,
+        "report_sections": report_sections,
+        "report_section_series": report_section_series,
+        "report_tags": report_tags,
+        "report_volume": report_volume,
+        "report_overview_volume": report_overview_volume,
+        "ops_status_checks": ops_status_checks,
+        "article_detail_report": article_detail_report,
+        "documents_search": documents_search,
         # DQ-1 … DQ-4
         "quality_results": quality_results,
         "quality_results_raw": quality_results_raw,
@@ -386,7 +468,43 @@ _LATEST_COLS = (
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle_sql() | _training_data()[1]
+    return _oracle_sql() | _further_oracles() | _training_data()[1]
+
+
+def _further_oracles() -> dict[str, str]:
+    base = _oracle_sql()
+    in_default_window = lambda sql: sql.replace(_win(*FULL), _win(*DEFAULT_WINDOW))
+    title = """substr(text, 1, 80) || ' ' || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '100%' WHEN 2 THEN 'a_b' ELSE 'c\\d' END"""
+    searches = "\nUNION ALL\n".join(
+        f"SELECT '{x}' AS search, guardian_id, web_title FROM titled WHERE lower(web_title) LIKE '%' || lower('{x}') || '%'"
+        for x in ("É", "e%00%", "th_ ", "C\\D"))
+    return {
+        # merging late rows gives what computing everything gives
+        **{f"refresh_incremental_{name}": base[name] for name in (
+            "articles_latest", "article_tags", "daily_volume", "section_counts_daily", "section_daily",
+            "tag_counts_daily", "content_freshness")},
+        "page_completeness": """SELECT strftime(day, '%Y-%m-%d') AS day, announced, landed, landed >= announced AS complete FROM (
+  SELECT CAST(ts AS DATE) AS day, COUNT(DISTINCT event_id // 50 + 1) AS announced,
+    COUNT(DISTINCT event_id // 50 + 1) FILTER (WHERE (event_id // 50 + 1) % 7 <> 3) AS landed
+  FROM events GROUP BY 1) WHERE landed > 0""",
+        "page_quarantine": """SELECT landing_day, reject_reason, text_start FROM (
+  SELECT DISTINCT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS landing_day,
+    'unparseable_page' AS reject_reason, '{"response": ' AS text_start, event_id // 50 AS page
+  FROM events WHERE (event_id // 50 + 1) % 7 = 3)""",
+        "raw_count": f"WITH {_LANDED} SELECT COUNT(*) FILTER (WHERE reject_reason IS NULL) AS loaded FROM validated",
+        "default_range": _BASE + """SELECT strftime(CAST(MAX(published_at) AS DATE) - 11, '%Y-%m-%d') || ' to '
+  || strftime(CAST(MAX(published_at) AS DATE), '%Y-%m-%d') AS range FROM articles_raw""",
+        "report_sections": in_default_window(base["top_sections"]),
+        "report_section_series": in_default_window(base["sections_series"]),
+        "report_tags": in_default_window(base["top_tags"]),
+        "report_volume": in_default_window(base["publishing_volume"]),
+        "report_overview_volume": in_default_window(base["publishing_volume"]),
+        "ops_status_checks": base["quality_report"],
+        "article_detail_report": base["article_detail"],
+        "documents_search": f"""WITH titled AS (
+  SELECT 'doc/' || doc_id AS guardian_id, {title} AS web_title FROM documents)
+{searches}""",
+    }
 
 
 def _oracle_sql() -> dict[str, str]:
@@ -466,11 +584,11 @@ FROM {source}"""
 
 
 def _quality_sql(table: str) -> str:
-    return (_check_sql(quality.MISSING_SECTION, "COUNT(*) FILTER (WHERE section_name IS NULL OR section_name = '')",
-                       0, quality.SECTION_DETAIL, table)
+    return (_check_sql("Missing section names", "COUNT(*) FILTER (WHERE section_name IS NULL OR section_name = '')",
+                       0, "Section name should always be populated.", table)
             + "\nUNION ALL\n"
-            + _check_sql(quality.MISSING_PUBLISHED, "COUNT(*) FILTER (WHERE published_at IS NULL)",
-                         0, quality.PUBLISHED_DETAIL, table))
+            + _check_sql("Missing publication date", "COUNT(*) FILTER (WHERE published_at IS NULL)",
+                         0, "Published timestamp should always be available.", table))
 
 
 # Landing pages built from events, as the validator sees them.
@@ -485,6 +603,11 @@ _LANDED = f"""landed AS (
     {_SECTION} AS src_section, {_PILLAR} AS src_pillar
   FROM events),
 validated AS (
+  SELECT DISTINCT landing_day, NULL AS guardian_id, NULL AS web_url, NULL AS web_title, NULL AS section_id,
+    NULL AS section_name, NULL AS pillar_id, NULL AS pillar_name, NULL AS published_at, '' AS tags,
+    NULL AS api_response_page, event_id // 50 + 1 AS cut_page, 'unparseable_page' AS reject_reason
+  FROM landed WHERE (event_id // 50 + 1) % 7 = 3
+  UNION ALL
   SELECT landing_day,
     CASE WHEN not_object THEN NULL ELSE src_id END AS guardian_id,
     CASE WHEN not_object THEN NULL ELSE 'https://example.org/u/' || CAST(user_id AS VARCHAR) END AS web_url,
@@ -498,12 +621,12 @@ validated AS (
     CASE WHEN not_object OR event_id % 13 = 0 THEN ''
          WHEN event_id % 31 = 0 THEN event_type
          ELSE event_type || '|k' || json_extract_string(props, '$.k') END AS tags,
-    event_id // 50 + 1 AS api_response_page,
+    event_id // 50 + 1 AS api_response_page, NULL AS cut_page,
     CASE WHEN not_object THEN 'not_a_dict'
          WHEN src_id IS NULL OR src_id = '' THEN 'missing_guardian_id'
          WHEN src_date IS NULL THEN 'missing_published_at'
          WHEN src_date <> 'ok' THEN 'unparseable_published_at' END AS reject_reason
-  FROM landed)"""
+  FROM landed WHERE (event_id // 50 + 1) % 7 <> 3)"""
 
 _RUN_RECORDS = """run_records AS (
   SELECT
@@ -608,15 +731,16 @@ block AS (
   json_extract_string(details_json, '$.detail') AS detail FROM ({_quality_sql('articles_latest')})
 ORDER BY name""",
         "duplicate_ids": _BASE + _check_sql(
-            quality.DUPLICATE_IDS, "COUNT(*) FILTER (WHERE n > 1)", quality.DUPLICATE_THRESHOLD,
-            quality.DUPLICATE_DETAIL,
+            "Duplicate guardian IDs", "COUNT(*) FILTER (WHERE n > 1)", 1,
+            "Each article id should be loaded once per ingest.",
             "(SELECT guardian_id, COUNT(*) AS n FROM articles_raw WHERE guardian_id IS NOT NULL GROUP BY guardian_id)"),
         "freshness_budget": _BASE + _check_sql(
-            quality.FRESHNESS_LAG, "MAX(freshness_lag_minutes)", quality.FRESHNESS_THRESHOLD_MINUTES,
-            quality.FRESHNESS_DETAIL, "content_freshness"),
+            "Freshness lag", "MAX(freshness_lag_minutes)", 20,
+            "Newest ingest should trail the newest article by the budget at most.", "content_freshness"),
         "reject_split": f"""WITH {_LANDED}
 SELECT guardian_id, web_url, web_title, section_id, section_name, pillar_id, pillar_name, published_at,
-  tags, api_response_page, reject_reason, reject_reason IS NULL AS accepted FROM validated""",
+  '2024-01-31T06:00:00.000000Z' AS ingested_at, tags, api_response_page, reject_reason,
+  reject_reason IS NULL AS accepted FROM validated""",
         "reject_counts": f"""WITH {_LANDED}
 SELECT reject_reason, COUNT(*) AS rows FROM validated GROUP BY reject_reason""",
         "backfill_report": f"""WITH {_LANDED},

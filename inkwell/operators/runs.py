@@ -8,10 +8,11 @@ runs not yet alerted are fed once each (RUN-7).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.formats import col_of
+from inkwell.schemas import RUN_RECORD
 
 # States kept as they are; anything else becomes 'scheduled'.
 KNOWN_STATES = ("success", "failed", "running", "queued", "scheduled")
@@ -68,6 +69,15 @@ def runs_from_records(records: DataFrame, *, recent_dag_id: str = "guardian_inge
     )
 
 
+def backfill_record(spark: SparkSession, run_id: str, dag_id: str, state: str, start_date: str, end_date: str,
+                    ended: str | None = None) -> DataFrame:
+    """One run record of a backfill started here; a ``manual__<instant>`` run id
+    carries the instant it was started at."""
+    started = run_id.split("__", 1)[1] if "__" in run_id else None
+    return spark.createDataFrame([(run_id, dag_id, state, started, ended, started,
+                                   {"start_date": start_date, "end_date": end_date})], RUN_RECORD)
+
+
 def latest_per_key(source: DataFrame) -> DataFrame:
     """One source row per (dag_id, run_id): the latest started_at wins.
 

@@ -7,11 +7,12 @@ the work on Spark and collect only what they show. No server.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.config import OPS, Lake, Settings, configure
+from inkwell.functions.windows import validate_range
 from inkwell.operators import runs as run_ops
 from inkwell.plans import ingest, ops, reports
 from inkwell.plans import queries as q
@@ -56,7 +57,7 @@ class Warehouse:
 
     def article(self, guardian_id: str) -> DataFrame:
         """One article or no rows (not found)."""
-        return q.article_detail(self.tables.articles_latest, guardian_id)
+        return reports.article_report(self.tables.articles_latest, guardian_id)
 
     def publishing_volume(self, from_date=None, to_date=None, granularity: str = "day") -> dict:
         return reports.volume_report(self.tables, self._window(from_date, to_date), granularity)
@@ -71,8 +72,23 @@ class Warehouse:
         return run_ops.serialize_runs(q.pipeline_runs(self._runs(), limit, offset))
 
     def backfill(self, landing_dir: str, start_date: str, end_date: str) -> dict:
-        """Runs the backfill directly (the API validates the range first)."""
-        return ingest.run_backfill(self.spark, self.lake, landing_dir, start_date, end_date, validate=True)
+        """Records the run as queued, loads the range (checked first) and records
+        how it ended. Returns the load's report with the ``run_id``."""
+        validate_range(start_date, end_date)
+        run_id = f"manual__{datetime.now(UTC).isoformat()}"
+
+        def record(state: str, ended: str | None = None) -> None:
+            ops.sync_pipeline_runs(self.spark, self.lake, run_ops.backfill_record(
+                self.spark, run_id, self.settings.backfill_dag_id, state, start_date, end_date, ended), settings=self.settings)
+
+        record("queued")
+        try:
+            report = ingest.run_backfill(self.spark, self.lake, landing_dir, start_date, end_date)
+        except Exception:
+            record("failed", datetime.now(UTC).isoformat())
+            raise
+        record("success", datetime.now(UTC).isoformat())
+        return {**report, "run_id": run_id}
 
     def backfill_status(self, run_id: str) -> DataFrame:
         runs = run_ops.run_lookup(self._runs(), run_id, self.settings.backfill_dag_id)

@@ -2,8 +2,9 @@
 
 ``Tables.derived`` builds every table as a lazy plan over raw rows (used by
 the registered queries: nothing is written, Catalyst sees the whole chain).
-``Tables.from_lake`` reads the written versions (used by the refresh job and
-the reports: the read queries then prune date partitions on disk).
+``Tables.from_lake`` reads the written versions (used by the reports: the read
+queries then prune date partitions on disk); its ``raw`` is empty, since no
+report reads raw rows.
 """
 
 from __future__ import annotations
@@ -17,9 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.config import ANALYTICS, Lake, configure
 from inkwell.operators import rollups
 from inkwell.operators.latest import articles_latest
+from inkwell.schemas import ARTICLES_RAW
 from inkwell.sources import adapters
 
 
+TABLES = ("articles_latest", "article_tags", "daily_volume", "section_counts_daily", "section_daily",
+          "tag_counts_daily", "content_freshness")
+
+
 @dataclass
 class Tables:
     raw: DataFrame
@@ -72,10 +78,9 @@ class Tables:
 
         configure(spark)
         store = TableStore(spark, lake)
-        stored = {name: store.read(ANALYTICS, name) for name in (
-            "articles_latest", "article_tags", "daily_volume", "section_counts_daily",
-            "section_daily", "tag_counts_daily", "content_freshness")
-            if store.exists(ANALYTICS, name)}
-        from inkwell.sources.landing import read_raw
-
-        return cls(raw=read_raw(store), stored=stored)
+        # an absent table reads as empty: a read never becomes a rebuild, and
+        # raw is not listed at all
+        empty = cls(raw=spark.createDataFrame([], ARTICLES_RAW))
+        stored = {name: store.read(ANALYTICS, name) if store.exists(ANALYTICS, name) else getattr(empty, name).limit(0)
+                  for name in TABLES}
+        return cls(raw=empty.raw, stored=stored)

@@ -109,6 +109,52 @@ def _in_dates(dates: list, column: str = "publication_date") -> Column:
     return cond | F.col(column).isNull() if any(d is None for d in dates) else cond
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows whose article key is (``left_semi``) or is not (``left_anti``)
+    among ``keys``; the null key equals itself."""
+    keyed = rows.withColumn("_k", article_key())
+    return keyed.join(keys, keyed["_k"].eqNullSafe(keys["_k"]), how).drop("_k")
+
+
+def _keys(fresh: DataFrame) -> DataFrame:
+    return fresh.select(article_key().alias("_k")).distinct()
+
+
+def _winners(touched: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The latest version of every key of ``fresh``, given their stored rows."""
+    return articles_latest(touched.select(*ARTICLES_RAW.fieldNames()).unionByName(fresh))
+
+
+def merged_tables(previous: dict[str, DataFrame], fresh: DataFrame, refreshed_at: datetime | None = None) -> dict[str, DataFrame]:
+    """All seven tables (and the per-day figures) after ``fresh`` raw rows, from
+    the tables before: the incremental refresh without its storage.
+
+    Only the dates that hold old or new rows of the new keys are computed
+    again; every other row of every table is handed through.
+    """
+    keys, prior = _keys(fresh), previous["articles_latest"]
+    touched = _of_keys(prior, keys, "left_semi")
+    winners = _winners(touched, fresh)
+    dates = touched.select("publication_date").unionByName(winners.select("publication_date")).distinct()
+    dates = dates.withColumnRenamed("publication_date", "_date")
+
+    def at(df: DataFrame, how: str) -> DataFrame:
+        return df.join(dates, df["publication_date"].eqNullSafe(dates["_date"]), how)
+
+    out = {"articles_latest": _of_keys(prior, keys, "left_anti").unionByName(winners)}
+
+    def patch(name: str, source: str, compute: Callable[[DataFrame], DataFrame]) -> None:
+        out[name] = at(previous[name], "left_anti").unionByName(compute(at(out[source], "left_semi")))
+
+    patch("article_tags", "articles_latest", rollups.article_tags)
+    patch("daily_volume", "articles_latest", rollups.daily_volume)
+    patch("section_counts_daily", "articles_latest", rollups.section_counts_daily)
+    patch("section_daily", "section_counts_daily", rollups.section_daily)
+    patch("tag_counts_daily", "article_tags", rollups.tag_counts_daily)
+    patch(STATS, "articles_latest", rollups.article_day_stats)
+    return out | {"content_freshness": rollups.freshness_of(out[STATS], refreshed_at)}
+
+
 def plan_delta(store: TableStore) -> Delta | None:
     """The incremental change set, or None where there is no previous run.
 
@@ -132,24 +178,18 @@ def plan_delta(store: TableStore) -> Delta | None:
     if not new:
         return Delta(covered, sorted(set(pending), key=lambda d: (d is None, d)))
     fresh = landing.read_raw(store, new)
-    keys = fresh.select(article_key().alias("_k")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    keys = _keys(fresh).persist(StorageLevel.MEMORY_AND_DISK)
     prior = read_analytics(store, "articles_latest")
     # 1) which days hold earlier versions of the new keys: a scan of the key
     #    columns only (Parquet reads no other column for it)
-    narrow = prior.select("guardian_id", "web_url", "published_at", "publication_date") \
-        .withColumn("_k", article_key())
-    old_days = [r[0] for r in narrow.join(keys, narrow["_k"].eqNullSafe(keys["_k"]), "left_semi")
-                .select("publication_date").distinct().collect()]
+    narrow = prior.select("guardian_id", "web_url", "published_at", "publication_date")
+    old_days = [r[0] for r in _of_keys(narrow, keys, "left_semi").select("publication_date").distinct().collect()]
     # 2) whole rows are read from those day folders only
-    keyed = prior.filter(_in_dates(old_days)).withColumn("_k", article_key())
-    touches = keyed["_k"].eqNullSafe(keys["_k"])
-    touched = keyed.join(keys, touches, "left_semi").drop("_k").persist(StorageLevel.MEMORY_AND_DISK)
-    winners = articles_latest(touched.select(*ARTICLES_RAW.fieldNames()).unionByName(fresh)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    touched = _of_keys(prior.filter(_in_dates(old_days)), keys, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    winners = _winners(touched, fresh).persist(StorageLevel.MEMORY_AND_DISK)
     dates = sorted({r[0] for r in touched.select("publication_date").union(
         winners.select("publication_date")).distinct().collect()} | set(pending), key=lambda d: (d is None, d))
-    rest = prior.filter(_in_dates(dates)).withColumn("_k", article_key())
-    carried = rest.join(keys, rest["_k"].eqNullSafe(keys["_k"]), "left_anti").drop("_k")
+    carried = _of_keys(prior.filter(_in_dates(dates)), keys, "left_anti")
     return Delta(covered, dates, carried.unionByName(winners), cached=[keys, touched, winners])
 
 

@@ -131,6 +131,21 @@ def tags_report(t: Tables, w: DateWindow, limit: int = q.DEFAULT_TAG_LIMIT) -> d
             "tags": tags.withColumn("momentum", F.coalesce("momentum", F.lit(q.TAG_MOMENTUM)))}
 
 
+def _summary() -> list:
+    """Columns of an article as served: empty text for a missing id, title or
+    date, an empty list for missing tags."""
+    return [F.coalesce("guardian_id", F.lit("")).alias("guardian_id"),
+            F.coalesce("web_title", F.lit("")).alias("web_title"),
+            F.col("web_url"), F.col("section_id"), F.col("section_name"), F.col("pillar_name"),
+            F.coalesce("published_at", F.lit("")).alias("published_at"),
+            F.coalesce("tags", F.array().cast("array<string>")).alias("tags")]
+
+
+def article_report(latest: DataFrame, guardian_id: str) -> DataFrame:
+    """One article as served, with its raw payload, or no rows (not found)."""
+    return q.article_detail(latest, guardian_id).select(*_summary(), "raw_payload")
+
+
 def search_page(latest: DataFrame, w: DateWindow, *, query_text=None, section=None, tag=None,
                 limit: int = q.DEFAULT_SEARCH_LIMIT, offset: int = 0, literal: bool = False) -> dict:
     """RPT-8: one page of article summaries plus the number of matches.
@@ -140,13 +155,7 @@ def search_page(latest: DataFrame, w: DateWindow, *, query_text=None, section=No
     """
     rows = q.articles_search(latest, w.start, w.end, query_text=query_text, section=section,
                              tag=tag, row_limit=limit, row_offset=offset, literal=literal)
-    articles = rows.select(
-        F.coalesce("guardian_id", F.lit("")).alias("guardian_id"),
-        F.coalesce("web_title", F.lit("")).alias("web_title"),
-        "web_url", "section_id", "section_name", "pillar_name",
-        F.coalesce("published_at", F.lit("")).alias("published_at"),
-        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-    )
+    articles = rows.select(*_summary())
     total = q.search_filter(latest, w.start, w.end, query_text=query_text, section=section,
                             tag=tag, literal=literal).agg(F.count(F.lit(1)).alias("total"))
     return {"range": w.label, "query": query_text, "section": section, "tag": tag,

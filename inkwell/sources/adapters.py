@@ -127,6 +127,11 @@ def run_records_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+# Events per landed page; every seventh page is cut off in the middle.
+PAGE_SIZE = 50
+BROKEN_PAGE = 3
+
+
 def landing_results_from_events(events: DataFrame) -> DataFrame:
     """One source result element (JSON text) per event, with its fetch day
     and page (blocks of 50 consecutive events, so a page holds at most 50).
@@ -184,12 +189,31 @@ def landing_pages_from_events(events: DataFrame) -> DataFrame:
     """
     results = landing_results_from_events(events)
     pages = results.groupBy("day", "page").agg(F.collect_list("result").alias("results"))
-    value = F.concat(
-        F.lit('{"response": {"status": "ok", "currentPage": '), F.col("page").cast("string"),
-        F.lit(', "results": ['), F.array_join("results", ", "), F.lit("]}}"))
+    announced = results.groupBy("day").agg(F.countDistinct("page").alias("pages"))
+    head = F.concat(F.lit('{"response": {"status": "ok", "pages": '), F.col("pages").cast("string"),
+                    F.lit(', "currentPage": '), F.col("page").cast("string"), F.lit(', "results": ['))
+    whole = F.concat(head, F.array_join("results", ", "), F.lit("]}}"))
+    value = F.when(F.col("page") % 7 == BROKEN_PAGE, F.left(whole, F.length(head) + 10)).otherwise(whole)
+    pages = pages.join(announced, "day")
     return pages.select("day", "page", value.alias("value"))
 
 
 def write_landing(pages: DataFrame, landing_dir: str) -> None:
     """Land pages as JSON Lines under ``day=YYYY-MM-DD`` directories."""
     pages.select("day", "value").write.mode("overwrite").partitionBy("day").text(landing_dir)
+
+
+def articles_from_documents(documents: DataFrame) -> DataFrame:
+    """``articles_raw`` rows of multilingual documents: the title is the first
+    80 characters of the text with, in turn, a percent sign, an underscore or
+    a backslash appended; the source is the tag."""
+    n = F.col("doc_id")
+    mark = F.element_at(F.array(F.lit(""), F.lit("100%"), F.lit("a_b"), F.lit("c\\d")), (n % 4 + 1).cast("int"))
+    published = F.timestamp_seconds(F.lit(1704067200) + n % 2592000)
+    return documents.select(
+        F.concat(F.lit("doc/"), n.cast("string")).alias("guardian_id"), F.lit(None).cast("string").alias("web_url"),
+        F.concat(F.substring("text", 1, 80), F.lit(" "), mark).alias("web_title"),
+        F.col("lang").alias("section_id"), F.col("lang").alias("section_name"),
+        F.lit(None).cast("string").alias("pillar_id"), F.lit(None).cast("string").alias("pillar_name"),
+        published.alias("published_at"), published.alias("ingested_at"), F.array("source").alias("tags"),
+        F.lit(1).cast("long").alias("api_response_page"), F.lit(None).cast("string").alias("raw_payload"))

@@ -12,6 +12,8 @@ which Spark fixes per micro-batch in its offset log, so replays stamp alike.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -50,13 +52,17 @@ def start(spark: SparkSession, lake: Lake, landing_dir: str, *, checkpoint: str
     """
     configure(spark)
     store = TableStore(spark, lake)
+    checkpoint = checkpoint or f"{lake.root.rstrip('/')}/_checkpoints/{name}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        landing.load(store, batch, F.col("_batch_ts"), batch_id=f"stream-{name}-{batch_id:012d}")
+        # batch numbers start again with a new checkpoint, the query id does
+        # not: a replay meets its own batch, never that of another query
+        query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        landing.load(store, batch, F.col("_batch_ts"), batch_id=f"stream-{name}-{query}-{batch_id:012d}")
 
     writer = (landing_stream(spark, landing_dir, **source_options).writeStream
               .queryName(f"inkwell-{name}")
-              .option("checkpointLocation", checkpoint or f"{lake.root.rstrip('/')}/_checkpoints/{name}")
+              .option("checkpointLocation", checkpoint)
               .foreachBatch(write_batch))
     writer = (writer.trigger(availableNow=True) if available_now
               else writer.trigger(processingTime=processing_time or "1 hour"))

@@ -51,4 +51,35 @@ def test_ops_routes(wh):
     assert wh.backfill_status(manual).count() == 1
     with pytest.raises(ValueError):
         wh.backfill(wh.landing, "2024-01-05", "2024-01-01")
-    assert wh.backfill(wh.landing, "2024-01-30", "2024-01-30")["loaded"] > 0
+    done = wh.backfill(wh.landing, "2024-01-30", "2024-01-30")
+    assert done["loaded"] > 0
+    row = wh.backfill_status(done["run_id"]).first()
+    assert (row["status"], row["trigger"], row["window"]) == ("success", "manual", "2024-01-30 to 2024-01-30")
+    with pytest.raises(Exception):
+        wh.backfill("/nowhere/at/all", "2024-01-30", "2024-01-30")
+    failed = [r for r in wh.runs(limit=200).collect() if r["status"] == "failed" and r["window"] == "2024-01-30 to 2024-01-30"]
+    assert len(failed) == 1
+
+
+def test_absent_tables_read_as_empty_without_raw(spark):
+    root = tempfile.mkdtemp(prefix="inkwell-api-raw-")
+    lake = Lake(f"{root}/lake")
+    from inkwell.sources import landing
+    from inkwell.sources.store import TableStore
+
+    landing.append_raw(TableStore(spark, lake), adapters.articles_raw(spark, SF_SMALL))
+    w = Warehouse(spark, lake, today=date(2024, 1, 30))
+    series = w.sections("2024-01-01", "2024-01-31")["series"]
+    assert series.count() == 0 and "articles_raw" not in str(series.inputFiles())
+    assert [r["value"] for r in w.overview()["kpis"].orderBy("position").collect()][:2] == ["0", "0"]
+    assert w.article("article/1").count() == 0
+
+
+def test_article_defaults(spark):
+    from conftest import raw_rows
+    from inkwell.operators.latest import articles_latest
+    from inkwell.plans import reports
+
+    latest = articles_latest(raw_rows(spark, [{"guardian_id": "a", "ingested_at": "2026-03-01T11:00:00"}]))
+    row = reports.article_report(latest, "a").first()
+    assert (row["web_title"], row["published_at"], row["tags"]) == ("", "", [])

@@ -78,3 +78,24 @@ def test_stream_of_one_page_per_file(spark, scratch):
     rows = sorted((r["guardian_id"], r["api_response_page"]) for r in landing.read_raw(store).collect())
     assert rows == [("a/2026-03-11/1", 1), ("a/2026-03-11/2", 2), ("a/2026-03-12/1", 1)]
     assert landing.read_quarantine(store).count() == 3
+
+
+def test_new_checkpoint_keeps_what_another_query_wrote(spark, scratch):
+    import json as js
+    import os
+
+    root, lake = f"{scratch}/landing-two", Lake(f"{scratch}/lake-two")
+
+    def land(day, ident):
+        os.makedirs(f"{root}/day={day}", exist_ok=True)
+        with open(f"{root}/day={day}/page-00001.json", "w") as fh:
+            fh.write(js.dumps({"response": {"pages": 1, "results": [
+                {"id": ident, "webPublicationDate": f"{day}T10:00:00Z"}]}}))
+
+    land("2026-03-11", "a")
+    landing_stream.run_available_now(spark, lake, root, checkpoint=f"{scratch}/ckpt-one")
+    land("2026-03-12", "b")
+    landing_stream.run_available_now(spark, lake, root, checkpoint=f"{scratch}/ckpt-two")
+    store = TableStore(spark, lake)
+    assert len(store.committed_batch_ids("raw", landing.RAW_TABLE)) == 2
+    assert sorted(r["guardian_id"] for r in landing.read_raw(store).collect()) == ["a", "a", "b"]
