@@ -66,9 +66,21 @@ def ship(sc: SparkContext) -> None:
     sc._inkwell_shipped = True
 
 
+# Texts may be long: an Arrow batch of Spark's default 10,000 of them takes
+# hundreds of MB outside the heap while it grows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+         "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors; every column may be null."""
+    """``mapInArrow`` with this package at hand on the executors; every column
+    may be null. Batch sizes that the session leaves unset are set to what
+    suits long texts."""
     ship(df.sparkSession.sparkContext)
+    conf = df.sparkSession.conf
+    for key, size in BATCH.items():
+        if conf.get(key, None) is None:
+            conf.set(key, size)
     if isinstance(schema, T.StructType):
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
     return df.mapInArrow(function, schema)
