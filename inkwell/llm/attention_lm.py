@@ -2,7 +2,7 @@
 
 Subword ids fall into ``CLASSES`` classes: the most frequent subwords are
 classes of their own, the others share classes by frequency and by whether
-they end a word. The model predicts the next class; a subword's probability
+they begin a word. The model predicts the next class; a subword's probability
 is its class's times its share of the class in the training corpus.
 
 Next-class logits are a bigram table, counted over all training documents,
@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 
-CLASSES = 256
-SINGLE = 200
-BLOCK = 16
+CLASSES = 96
+SINGLE = 71
+BLOCK = 8
 WIDTH = 16
 HIDDEN = 32
 END = CLASSES - 1
@@ -29,14 +29,14 @@ SHAPES = {"E": (CLASSES, WIDTH), "P": (2 * BLOCK, WIDTH), "Wq": (WIDTH, WIDTH),
           "Wo": (WIDTH, WIDTH), "W1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, WIDTH), "U": (WIDTH, CLASSES)}
 
 
-def classes_of(counts: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def classes_of(counts: np.ndarray, begins_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class, log10 share of its class) of every subword, from its training count."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     of = np.zeros(len(counts), np.int64)
     of[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
     shared = CLASSES - 1 - SINGLE
     for flag, first, n in ((True, SINGLE, shared // 2), (False, SINGLE + shared // 2, shared - shared // 2)):
-        rest = order[SINGLE:][ends_word[order[SINGLE:]] == flag]
+        rest = order[SINGLE:][begins_word[order[SINGLE:]] == flag]
         mass = np.cumsum(counts[rest] + 1.0)
         if len(rest):
             of[rest] = first + np.minimum((mass - 1e-9) / mass[-1] * n, n - 1).astype(np.int64)
@@ -78,17 +78,17 @@ def windows(sequences: list[np.ndarray]):
     leading END, its targets the classes and a final END."""
     lengths = np.array([len(s) + 1 for s in sequences], np.int64)
     blocks = -(-lengths // BLOCK)
-    first = np.cumsum(blocks) - blocks
+    first = (np.cumsum(blocks) - blocks) * BLOCK
     n = int(blocks.sum())
-    own = np.zeros(n * BLOCK, np.int64)
-    target = np.zeros(n * BLOCK, np.int64)
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first * BLOCK, lengths)
-    end = np.array([END], np.int64)
-    own[place] = np.concatenate([x for s in sequences for x in (end, s)])
-    target[place] = np.concatenate([x for s in sequences for x in (s, end)])
+    own = np.full(n * BLOCK + 1, END, np.int64)
     real = np.zeros(n * BLOCK, bool)
-    real[place] = True
-    own, target, real = (x.reshape(n, BLOCK) for x in (own, target, real))
+    for a, size, sequence in zip(first.tolist(), lengths.tolist(), sequences):
+        own[a + 1:a + size] = sequence
+        real[a:a + size] = True
+    # a target is the next input, and the end after the last
+    target = own[1:].copy()
+    target[first + lengths - 1] = END
+    own, target, real = (x.reshape(n, BLOCK) for x in (own[:-1], target, real))
     document = np.repeat(np.arange(len(sequences)), blocks)
     before = np.zeros_like(own)
     before[1:] = own[:-1]
@@ -108,21 +108,19 @@ def log_probs(params, bigram: np.ndarray, inputs, has, target) -> np.ndarray:
     """Natural log probabilities of the targets, block by block."""
     out = np.empty(target.shape, np.float32)
     scale = np.float32(WIDTH ** -0.5)
-    # keys, values and queries are sums of a class's and a place's part
-    q_class, q_place = params["E"] @ params["Wq"] * scale, params["P"][BLOCK:] @ params["Wq"] * scale
-    k_class, k_place = params["E"] @ params["Wk"], params["P"] @ params["Wk"]
-    v_class, v_place = (x @ params["Wv"] @ params["Wo"] for x in (params["E"], params["P"]))
-    kv_class = np.concatenate([k_class, v_class], axis=1)
-    kv_place = np.concatenate([k_place, v_place], axis=1)
+    # queries, keys, values and the residual of every class at every place
+    x = params["E"][:, None, :] + params["P"][None, :, :]
+    q_table, h_table = (x[:, BLOCK:] @ params["Wq"] * scale).reshape(-1, WIDTH), x[:, BLOCK:].reshape(-1, WIDTH)
+    kv_table = np.concatenate([x @ params["Wk"], x @ params["Wv"] @ params["Wo"]], axis=2).reshape(-1, 2 * WIDTH)
+    q_table, h_table, kv_table = (np.ascontiguousarray(t, dtype=np.float32) for t in (q_table, h_table, kv_table))
+    own_place, key_place = np.arange(BLOCK), np.arange(2 * BLOCK)
     ones = np.ones(CLASSES, np.float32)
     for i in range(0, len(inputs), 256):
         x, old, y = inputs[i:i + 256], has[i:i + 256], target[i:i + 256]
         own = x[:, BLOCK:]
-        kv = np.take(kv_class, x, axis=0)
-        kv += kv_place
-        q = np.take(q_class, own, axis=0)
-        q += q_place
-        s = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
+        at = own * BLOCK + own_place
+        kv = np.take(kv_table, x * (2 * BLOCK) + key_place, axis=0)
+        s = np.take(q_table, at, axis=0) @ kv[:, :, :WIDTH].transpose(0, 2, 1)
         # scores are small next to float32's range, so exp needs no shift
         np.minimum(s, 60, out=s)
         s += CAUSAL
@@ -130,13 +128,12 @@ def log_probs(params, bigram: np.ndarray, inputs, has, target) -> np.ndarray:
         np.exp(s, out=s)
         h = s @ kv[:, :, WIDTH:]
         h /= s.sum(axis=2, keepdims=True)
-        h += np.take(params["E"], own, axis=0)
-        h += params["P"][BLOCK:]
+        h += np.take(h_table, at, axis=0)
         h = h.reshape(-1, WIDTH)
         h += np.maximum(h @ params["W1"] + params["b1"], 0) @ params["W2"]
         logits = h @ params["U"]
         logits += np.take(bigram, own.ravel(), axis=0)
-        picked = logits[np.arange(len(logits)), y.ravel()]
+        picked = np.take_along_axis(logits, y.reshape(-1, 1), axis=1)[:, 0]
         if (most := logits.max()) > 60:
             logits -= most - 60
             picked = picked - (most - 60)

@@ -4,8 +4,8 @@ Jobs, in order:
 
 1. One pass over the texts cuts each task's documents into *blocks* of at most
    ``block_bytes`` of text. A block is one row: its documents as indices into
-   the block's distinct words, and those words' subword ids. Each distinct
-   word of a block is also one row, with its count in training documents.
+   the block's distinct words, and as subword ids. Each distinct word of a
+   block is also one row, with its count in training documents.
 2. Corpus counts: one sum per word over the blocks (partial sums before the
    shuffle); subword counts and class pairs as one vector per task.
 3. The attention model (``attention_lm``) is trained data-parallel: each task
@@ -41,41 +41,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import attention_lm as lm
+from inkwell.llm.byte_bpe import byte_bpe
 from inkwell.llm.common import map_arrow, materialize, ship, text_of
-from inkwell.llm.word_bpe import word_bpe
 
 BLOCK_BYTES = 12 << 20
 HELD_OUT = (7, 2)
-TRAIN_SHARE = 32
+TRAIN_SHARE = 64
 ROUNDS = 2
 SUMS = 16
 MIX = 0.5
-CACHE_WORDS = 250_000
+# byte-level vocabularies have well below 65,536 ids
+ID = "<u2"
 
 
 class Subwords:
-    """Subword ids of words as bytes, through a bounded cache."""
+    """Subword ids of a document's words, and which subwords begin a word.
+
+    The words are joined by one space each, also before the first, so that a
+    word begins exactly where a subword begins with a space.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = word_bpe(path).tokenizer
-        self.known: dict[bytes, bytes] = {}
+        self.bpe = byte_bpe(path)
+        vocabulary = self.bpe.exact.get_vocab()
+        self.size = self.bpe.exact.get_vocab_size()
+        if self.size > 1 << 16:
+            raise ValueError("ids are stored in 16 bits")
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0, np.uint32)
+        ids = self.bpe.encode(" " + b" ".join(words).decode("utf-8", "replace"))
+        if self.begins[ids].sum() != len(words):
+            # other white space inside words has hidden the start of one
+            ids = np.concatenate([self.bpe.encode(" " + w.decode("utf-8", "replace")) for w in words])
+        return ids
+
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = words
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
-        return [self.known[w] for w in words]
+class Places(dict):
+    """Numbers words in the order they first occur."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
 
 
 _subwords: dict[str, Subwords] = {}
 
-BLOCKS = ("block string, word binary, place int, n long, ids array<struct<doc_id:{id},held:boolean,sampled:boolean,length:int>>, "
-          "places binary, subwords binary, ends binary")
+
+def subwords(path: str) -> Subwords:
+    if path not in _subwords:
+        _subwords[path] = Subwords(path)
+    return _subwords[path]
+
+
+BLOCKS = ("block string, word binary, place int, n long, "
+          "ids array<struct<doc_id:{id},held:boolean,sampled:boolean,length:int,tokens:int>>, places binary, subwords binary")
 
 
 def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, train_share: int = TRAIN_SHARE) -> DataFrame:
@@ -87,10 +110,10 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder = _subwords.setdefault(tokenizer_path, Subwords(tokenizer_path))
+        coder = subwords(tokenizer_path)
         part, number, size = TaskContext.get().partitionId(), 0, 0
-        places: dict[bytes, int] = {}
-        indices, lengths, ids, held, sampled = [], [], [], [], []
+        places = Places()
+        indices, coded, lengths, tokens, ids, held, sampled = [], [], [], [], [], [], []
 
         def flush():
             nonlocal number, size
@@ -101,35 +124,35 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
             flat = np.concatenate(indices) if indices else np.zeros(0, np.int32)
             train = np.repeat(~np.array(held), np.array(lengths))
             counts = np.bincount(flat[train], minlength=len(words))
-            coded = coder.learn(words)
-            ends = np.cumsum([len(c) // 4 for c in coded], dtype=np.int64).astype("<u4")
             id_array = pa.concat_arrays([x.cast(id_kind) for x in ids])
             members = pa.StructArray.from_arrays(
-                [id_array, pa.array(held), pa.array(sampled), pa.array(lengths, pa.int32())], ["doc_id", "held", "sampled", "length"])
+                [id_array, pa.array(held), pa.array(sampled), pa.array(lengths, pa.int32()),
+                 pa.array(tokens, pa.int32())], ["doc_id", "held", "sampled", "length", "tokens"])
             whole = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), members)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), whole,
-                 pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(coded)], pa.binary()),
-                 pa.array([ends.tobytes()], pa.binary())], names=names)
+                 pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(coded)], pa.binary())], names=names)
             for i in range(0, len(words), 20_000):
                 w = words[i:i + 20_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(w)), pa.array(w, pa.binary()), pa.array(np.arange(i, i + len(w)), pa.int32()),
-                     pa.array(counts[i:i + len(w)], pa.int64()), pa.nulls(len(w), whole.type), *[pa.nulls(len(w), pa.binary())] * 3],
+                     pa.array(counts[i:i + len(w)], pa.int64()), pa.nulls(len(w), whole.type), *[pa.nulls(len(w), pa.binary())] * 2],
                     names=names)
             number, size = number + 1, 0
             places.clear()
-            for x in (indices, lengths, ids, held, sampled):
+            for x in (indices, coded, lengths, tokens, ids, held, sampled):
                 x.clear()
 
-        names = ["block", "word", "place", "n", "ids", "places", "subwords", "ends"]
+        names = ["block", "word", "place", "n", "ids", "places", "subwords"]
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
             for i, (text, h, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "held", "sampled")))):
                 own = text.encode("utf-8", "surrogatepass").lower().split()
-                get = places.setdefault
-                indices.append(np.fromiter((get(w, len(places)) for w in own), np.int32, len(own)))
+                indices.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
                 lengths.append(len(own))
+                found = coder.encode(own)
+                coded.append(found.astype(ID).tobytes())
+                tokens.append(len(found))
                 ids.append(batch.column("doc_id").slice(i, 1))
                 held.append(h)
                 sampled.append(s)
@@ -141,19 +164,20 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
     return map_arrow(rows, run, BLOCKS.format(id=id_type))
 
 
-def _documents(row: dict, of: np.ndarray | None = None):
-    """(member, word places, subwords of each word, subwords or their classes) of a block's documents."""
-    places, ends = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["ends"], "<u4").astype(np.int64)
-    ids = np.frombuffer(row["subwords"], "<u4")
-    values = ids if of is None else of[ids]
-    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    at = 0
+def _documents(row: dict):
+    """(member, word places, subwords) of a block's documents."""
+    places, ids = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["subwords"], ID)
+    at = begin = 0
     for member in row["ids"]:
-        own = places[at:at + member["length"]].astype(np.int64)
+        yield member, places[at:at + member["length"]], ids[begin:begin + member["tokens"]]
         at += member["length"]
-        size = (ends - begins)[own] if len(own) else own
-        index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[own], size)
-        yield member, own, size, values[index]
+        begin += member["tokens"]
+
+
+def _training_ids(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(subwords, tokens per document) of a block's training documents."""
+    n, train = (np.array([m[k] for m in row["ids"]]) for k in ("tokens", "held"))
+    return np.frombuffer(row["subwords"], ID)[np.repeat(~train, n)], n[~train]
 
 
 def _rows(batches):
@@ -186,33 +210,27 @@ def _per_task(blocks: DataFrame, function) -> DataFrame:
 
 def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
     """(parameters, bigram logits, class of each subword, log10 share of it in its class)."""
-    tokenizer = word_bpe(tokenizer_path).tokenizer
-    size = tokenizer.get_vocab_size()
+    coder = subwords(tokenizer_path)
+    size, k = coder.size, lm.CLASSES
 
-    def count_words(rows):
-        # a word's subwords count as often as the word does in the block's training documents
+    def count(rows):
         total = np.zeros(size)
         for row in rows:
-            places, ends = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["ends"], "<u4").astype(np.int64)
-            train = np.repeat([not m["held"] for m in row["ids"]], [m["length"] for m in row["ids"]]).astype(bool)
-            n = np.bincount(places[train], minlength=len(ends))
-            total += np.bincount(np.frombuffer(row["subwords"], "<u4"), np.repeat(n, np.diff(ends, prepend=0)), size)
+            total += np.bincount(_training_ids(row)[0], minlength=size)
         return total
 
-    ends_word = np.zeros(size, bool)
-    for token, i in tokenizer.get_vocab().items():
-        ends_word[i] = token.endswith("</w>")
-    of, share = lm.classes_of(summed(_per_task(blocks, count_words), size), ends_word)
+    of, share = lm.classes_of(summed(_per_task(blocks, count), size), coder.begins)
     of = of.astype(np.uint8)
-    end = np.array([lm.END], np.uint8)
-    k = lm.CLASSES
 
     def pairs(rows):
         total = np.zeros(k * k)
         for row in rows:
-            train = [x for m, _, _, c in _documents(row, of) if not m["held"] for x in (end, c)]
-            flat = np.concatenate([*train, end]).astype(np.int64)
-            total += np.bincount(flat[:-1] * k + flat[1:], minlength=k * k)
+            ids, n = _training_ids(row)
+            # an end before, between and after the documents
+            line = np.full(len(ids) + len(n) + 1, lm.END, np.int64)
+            line[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n) + 1] = of[ids]
+            if len(n):
+                total += np.bincount(line[:-1] * k + line[1:], minlength=k * k)
         return total
 
     bigram = lm.bigram_logits(summed(_per_task(blocks, pairs), k * k).reshape(k, k))
@@ -222,7 +240,7 @@ def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
         def train(rows, params=params, rate=0.01 / (1 + r)):
             trainer = lm.Trainer(params, bigram, rate)
             for row in rows:
-                trainer.feed([c.astype(np.int64) for m, _, _, c in _documents(row, of) if m["sampled"] and not m["held"]])
+                trainer.feed([of[ids].astype(np.int64) for m, _, ids in _documents(row) if m["sampled"] and not m["held"]])
             return np.append(lm.flat(trainer.params) * trainer.tokens, trainer.tokens)
 
         total = summed(_per_task(blocks, train), n + 1)
@@ -236,13 +254,14 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
     both = materialize(blocks_of(docs, tokenizer_path, block_bytes, train_share), "lm-blocks")
-    blocks = both.where("word IS NULL").select("block", "ids", "places", "subwords", "ends")
+    blocks = both.where("word IS NULL").select("block", "ids", "places", "subwords")
     words = both.where("word IS NOT NULL").select("block", "word", "place", "n")
     counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("ids", lambda m: ~m["held"]))), F.lit(0))).first()[0]
     n, distinct = sums[0] + ends, sums[1] + (ends > 0)
     params, bigram, of, share = fit(blocks, tokenizer_path, rounds)
+    begins = subwords(tokenizer_path).begins
     known = words.join(counts, "word").select(F.col("block").alias("own_block"), "place", "c")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     total = n + distinct + 1
@@ -251,24 +270,24 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
         out = []
         place, c = right.column("place").to_numpy(), right.column("c").to_numpy()
         for row in left.to_pylist():
-            count = np.zeros(len(row["ends"]) // 4, np.int64)
+            count = np.zeros(int(np.frombuffer(row["places"], "<u4").max(initial=0)) + 1, np.int64)
             count[place] = c
             unigram = (count + 1) / total
             last = (ends + 1) / total
             word_score = np.log10(unigram)
             docs_here = list(_documents(row))
             base = [(int((count[own] > 0).sum()) + (ends > 0), float(word_score[own].sum() + np.log10(last)))
-                    for _, own, _, _ in docs_here]
+                    for _, own, _ in docs_here]
             # documents in groups of bounded size
             model, held, size = [], [], 0
-            for i, (_, own, sizes, ids) in enumerate(docs_here):
-                held.append((ids, sizes, np.append(unigram[own], last)))
+            for i, (_, own, ids) in enumerate(docs_here):
+                held.append((ids, np.flatnonzero(begins[ids]), np.append(unigram[own], last)))
                 size += len(ids)
                 if size >= 200_000 or i == len(docs_here) - 1:
                     model += _model_scores(held, params, bigram, of, share)
                     held, size = [], 0
             out += [(m["doc_id"], m["held"], m["length"] + 1, b[0], n, b[1], s)
-                    for (m, _, _, _), b, s in zip(docs_here, base, model)]
+                    for (m, _, _), b, s in zip(docs_here, base, model)]
         columns = list(zip(*out)) or [[]] * 7
         ids = left.schema.field("ids").type.value_type.field("doc_id").type
         kinds = (ids, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -283,19 +302,17 @@ RESULT = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_sco
 
 
 def _model_scores(documents: list[tuple], params, bigram, of, share) -> list[float]:
-    """log10 probabilities of documents (subwords, subwords of each word, unigram
+    """log10 probabilities of documents (subwords, where their words begin, unigram
     probabilities of the words and the end): word by word the mean of what the
     attention model and the unigram model give."""
     inputs, has, target, real, _ = lm.windows([of[ids].astype(np.int64) for ids, _, _ in documents])
     logs = lm.log_probs(params, bigram, inputs, has, target)[real].astype(np.float64) / np.log(10)
     out, at = [], 0
-    for ids, sizes, unigram in documents:
+    for ids, begins, unigram in documents:
         own = logs[at:at + len(ids) + 1]
         own[:-1] += share[ids]
         at += len(own)
-        up_to = np.concatenate([[0.0], np.cumsum(own)])
-        ends = np.append(np.cumsum(sizes), len(own)).astype(np.int64)
-        begins = np.append(ends[:-1] - sizes, len(ids)).astype(np.int64)
-        attention = np.power(10.0, up_to[ends] - up_to[begins])
-        out.append(float(np.log10(MIX * attention + (1 - MIX) * unigram).sum()))
+        # the end is a word of its own
+        by_word = np.add.reduceat(own, np.append(begins, len(ids)))
+        out.append(float(np.log10(MIX * np.power(10.0, by_word) + (1 - MIX) * unigram).sum()))
     return out

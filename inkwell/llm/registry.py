@@ -65,7 +65,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return lm_score.score(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,13 +124,13 @@ def test_lm_on_edges(spark):
     want = brute.unigram([r[:2] for r in rows])
     docs = edge.documents(spark, rows).coalesce(1)
     for block in (200, 1 << 20):
-        out = lm_score.score(docs, WORD, block_bytes=block, train_share=1, rounds=1).collect()
+        out = lm_score.score(docs, BYTE, block_bytes=block, train_share=1, rounds=1).collect()
         assert len(out) == len(rows)
         for r in out:
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:4]
             assert r["base_score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
-    assert lm_score.score(edge.documents(spark), WORD, rounds=0).count() == len(rows)
-    assert lm_score.score(edge.documents(spark, []), WORD, rounds=1).count() == 0
+    assert lm_score.score(edge.documents(spark), BYTE, rounds=0).count() == len(rows)
+    assert lm_score.score(edge.documents(spark, []), BYTE, rounds=1).count() == 0
 
 
 def test_attention_gradients_and_scores():
