@@ -316,6 +316,9 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         **{f"refresh_incremental_{n}": merged(n) for n in TABLES},
+        "overview_metrics_from_stats": lambda s, d: q.overview_metrics_of(_t(s, d).article_day_stats, *FULL),
+        "quality_results_from_stats": lambda s, d: plain_types(
+            quality.quality_results(_t(s, d).article_day_stats, as_of=AS_OF_TS)),
         "page_completeness": page_completeness,
         "page_quarantine": page_quarantine,
         "raw_count": raw_count,
@@ -483,6 +486,8 @@ def _further_oracles() -> dict[str, str]:
         **{f"refresh_incremental_{name}": base[name] for name in (
             "articles_latest", "article_tags", "daily_volume", "section_counts_daily", "section_daily",
             "tag_counts_daily", "content_freshness")},
+        "overview_metrics_from_stats": base["overview_metrics"],
+        "quality_results_from_stats": base["quality_results"],
         "page_completeness": """SELECT strftime(day, '%Y-%m-%d') AS day, announced, landed, landed >= announced AS complete FROM (
   SELECT CAST(ts AS DATE) AS day, COUNT(DISTINCT event_id // 50 + 1) AS announced,
     COUNT(DISTINCT event_id // 50 + 1) FILTER (WHERE (event_id // 50 + 1) % 7 <> 3) AS landed

@@ -57,10 +57,18 @@ def _rows(agg: DataFrame, checks: list[Column], as_of: datetime | None) -> DataF
 def quality_results(table: DataFrame, *, missing_section_threshold: int = 0,
                     missing_published_at_threshold: int = 0,
                     as_of: datetime | None = None) -> DataFrame:
-    """DQ-1 + DQ-2 in the ``data_quality_results`` layout."""
+    """DQ-1 + DQ-2 in the ``data_quality_results`` layout.
+
+    ``table`` holds articles, or ``article_day_stats``: the counts per date and
+    section, where an article without a publication time has no date.
+    """
+    counted = "article_count" in table.columns
+    rows = F.col("article_count") if counted else F.lit(1)
+    undated = F.col("publication_date" if counted else "published_at").isNull()
+    unnamed = F.col("section_name").isNull() | (F.col("section_name") == "")
     agg = table.agg(
-        F.count_if(F.col("section_name").isNull() | (F.col("section_name") == "")).alias("_sections"),
-        F.count_if(F.col("published_at").isNull()).alias("_published"),
+        F.coalesce(F.sum(F.when(unnamed, rows)), F.lit(0)).cast("long").alias("_sections"),
+        F.coalesce(F.sum(F.when(undated, rows)), F.lit(0)).cast("long").alias("_published"),
     )
     return _rows(agg, [
         _check(MISSING_SECTION, F.col("_sections"), missing_section_threshold, SECTION_DETAIL),

@@ -62,6 +62,10 @@ class Tables:
     def tag_counts_daily(self) -> DataFrame:
         return self._get("tag_counts_daily", lambda: rollups.tag_counts_daily(self.article_tags))
 
+    @cached_property
+    def article_day_stats(self) -> DataFrame:
+        return self._get("article_day_stats", lambda: rollups.article_day_stats(self.articles_latest))
+
     @cached_property
     def content_freshness(self) -> DataFrame:
         return self._get("content_freshness",
@@ -83,4 +87,6 @@ class Tables:
         empty = cls(raw=spark.createDataFrame([], ARTICLES_RAW))
         stored = {name: store.read(ANALYTICS, name) if store.exists(ANALYTICS, name) else getattr(empty, name).limit(0)
                   for name in TABLES}
+        if store.exists(ANALYTICS, "article_day_stats"):  # else from the articles
+            stored["article_day_stats"] = store.read(ANALYTICS, "article_day_stats")
         return cls(raw=empty.raw, stored=stored)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.formats import iso_day, iso_seconds, lag_minutes
 from inkwell.operators.latest import UNKNOWN
+from inkwell.operators.rollups import article_day_stats
 
 # Constant momentum of the tag list, sizes of the top lists.
 TAG_MOMENTUM = "Live"
@@ -31,12 +32,18 @@ def in_window(start: date | str, end: date | str, column: str = "publication_dat
 
 
 def overview_metrics(latest: DataFrame, start: date | str, end: date | str) -> DataFrame:
-    """QRY-1: windowed count, distinct sections, last sync, watermark, lag."""
-    agg = latest.filter(in_window(start, end)).agg(
-        F.count(F.lit(1)).alias("total_articles"),
+    """QRY-1 over the articles: windowed count, distinct sections, last sync,
+    watermark, lag."""
+    return overview_metrics_of(article_day_stats(latest), start, end)
+
+
+def overview_metrics_of(stats: DataFrame, start: date | str, end: date | str) -> DataFrame:
+    """QRY-1 over ``article_day_stats``: a few rows per day, no article is read."""
+    agg = stats.filter(in_window(start, end)).agg(
+        F.coalesce(F.sum("article_count"), F.lit(0)).cast("long").alias("total_articles"),
         F.countDistinct(F.coalesce("section_name", F.lit(UNKNOWN))).alias("active_sections"),
-        F.max("ingested_at").alias("_last"),
-        F.max("published_at").alias("_mark"),
+        F.max("last_ingested_at").alias("_last"),
+        F.max("last_published_at").alias("_mark"),
     )
     return agg.select(
         "total_articles", "active_sections",

@@ -105,7 +105,7 @@ def overview_kpis(metrics: DataFrame, freshness: DataFrame, recent_failures: Dat
 
 def overview(t: Tables, runs: DataFrame, w: DateWindow, settings: Settings = Settings()) -> dict:
     """RPT-5: range, KPIs, daily volume, freshness block, top sections."""
-    metrics = q.overview_metrics(t.articles_latest, w.start, w.end)
+    metrics = q.overview_metrics_of(t.article_day_stats, w.start, w.end)
     fresh = q.freshness(t.content_freshness)
     failures = run_ops.failed_in_latest(runs, settings.overview_run_sample)
     return {
