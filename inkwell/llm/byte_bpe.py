@@ -19,9 +19,11 @@ import numpy as np
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # anything but printable ASCII, tab, newline and Latin letters from U+00C0 to U+024F
 OTHER = re.compile(r"[^\t\n\x20-\x7eÀ-ɏ]")
+# the same for texts that fit Latin-1, as bytes
+LATIN_1 = bytes([9, 10, *range(0x20, 0x7F), *range(0xC0, 0x100)])
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -58,15 +60,22 @@ class ByteBpe:
             return None
         import tiktoken
 
-        byte = _byte_of_char()
+        byte = byte_of_char()
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, LATIN_1)
+        except UnicodeEncodeError:
+            return not OTHER.search(text)
+
     def encode(self, text: str) -> np.ndarray:
-        if self.ranks is None or OTHER.search(text) or any(s in text for s in self.special):
+        if self.ranks is None or any(s in text for s in self.special) or not self._plain(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.array(self.ranks.encode_ordinary(text), dtype=np.uint32)
+        return self.ranks.encode_to_numpy(text, disallowed_special=())
 
 
 _loaded: dict[str, ByteBpe] = {}

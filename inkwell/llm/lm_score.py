@@ -4,20 +4,19 @@ Jobs, in order:
 
 1. One pass over the texts cuts each task's documents into *blocks* of at most
    ``block_bytes`` of text. A block is one row: its documents as indices into
-   the block's distinct words, and as subword ids. Each distinct word of a
-   block is also one row, with its count in training documents.
-2. Corpus counts: one sum per word over the blocks (partial sums before the
-   shuffle); subword counts and class pairs as one vector per task.
+   the block's distinct words, and those words' subword ids. Each distinct
+   word of a block is also one row, with its count in training documents.
+2. Corpus counts: one sum per word over the blocks, a window that hands it to
+   every block's row; subword counts and class pairs as one vector per task.
 3. The attention model (``attention_lm``) is trained data-parallel: each task
    steps over the training documents whose hash falls into ``train_share``,
    and the tasks' parameters are averaged, weighted by tokens, once per round.
    The share is a fraction, so training grows with the corpus.
-4. Scoring: word counts are joined back to the blocks' words, and each block,
-   with the counts of its own words, is scored in one task: the smoothed
+4. Scoring: each block meets the counts of its own words in one task: the smoothed
    unigram base score, and the model's log10 probability. The attention model
    scores every subword once, in overlapping context windows; a word's
-   probability is the mean of the attention model's and the unigram model's
-   (``MIX``), so a frequent word is not spelled out and an unknown word is.
+   probability is a mixture of the attention model's (share ``MIX``) and the
+   unigram model's, so a frequent word is not spelled out and an unknown word is.
    No task sees the vocabulary of the corpus.
 
 A block has a bounded size, so do the model and each task's vectors. A hot
@@ -36,20 +35,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import attention_lm as lm
 from inkwell.llm.byte_bpe import byte_bpe
 from inkwell.llm.common import map_arrow, materialize, ship, text_of
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 HELD_OUT = (7, 2)
 TRAIN_SHARE = 64
 ROUNDS = 2
 SUMS = 16
-MIX = 0.5
+MIX = 0.25
 # byte-level vocabularies have well below 65,536 ids
 ID = "<u2"
 
@@ -70,14 +70,20 @@ class Subwords:
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, np.uint32)
-        ids = self.bpe.encode(" " + b" ".join(words).decode("utf-8", "replace"))
-        if self.begins[ids].sum() != len(words):
-            # other white space inside words has hidden the start of one
-            ids = np.concatenate([self.bpe.encode(" " + w.decode("utf-8", "replace")) for w in words])
-        return ids
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            part = words[i:i + 4096]
+            ids = self.bpe.encode(" " + b" ".join(part).decode("utf-8", "replace")).astype(ID)
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(part):
+                # other white space inside words has hidden the start of one
+                out += [self.bpe.encode(" " + w.decode("utf-8", "replace")).astype(ID).tobytes() for w in part]
+                continue
+            data, cuts = ids.tobytes(), (np.append(first, len(ids)) * ids.itemsize).tolist()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
 
 class Places(dict):
@@ -98,7 +104,7 @@ def subwords(path: str) -> Subwords:
 
 
 BLOCKS = ("block string, word binary, place int, n long, "
-          "ids array<struct<doc_id:{id},held:boolean,sampled:boolean,length:int,tokens:int>>, places binary, subwords binary")
+          "ids array<struct<doc_id:{id},held:boolean,sampled:boolean,length:int>>, places binary, subwords binary, ends binary")
 
 
 def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, train_share: int = TRAIN_SHARE) -> DataFrame:
@@ -113,7 +119,7 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
         coder = subwords(tokenizer_path)
         part, number, size = TaskContext.get().partitionId(), 0, 0
         places = Places()
-        indices, coded, lengths, tokens, ids, held, sampled = [], [], [], [], [], [], []
+        indices, lengths, ids, held, sampled = [], [], [], [], []
 
         def flush():
             nonlocal number, size
@@ -124,35 +130,35 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
             flat = np.concatenate(indices) if indices else np.zeros(0, np.int32)
             train = np.repeat(~np.array(held), np.array(lengths))
             counts = np.bincount(flat[train], minlength=len(words))
+            coded = coder.encode(words)
+            ends = np.cumsum([len(x) for x in coded], dtype=np.int64).astype("<u4")
             id_array = pa.concat_arrays([x.cast(id_kind) for x in ids])
             members = pa.StructArray.from_arrays(
-                [id_array, pa.array(held), pa.array(sampled), pa.array(lengths, pa.int32()),
-                 pa.array(tokens, pa.int32())], ["doc_id", "held", "sampled", "length", "tokens"])
+                [id_array, pa.array(held), pa.array(sampled), pa.array(lengths, pa.int32())],
+                ["doc_id", "held", "sampled", "length"])
             whole = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), members)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), whole,
-                 pa.array([flat.astype("<u4").tobytes()], pa.binary()), pa.array([b"".join(coded)], pa.binary())], names=names)
+                 *(pa.array([_packed(x)], pa.binary()) for x in (flat.astype("<u4").tobytes(), b"".join(coded), ends.tobytes()))],
+                names=names)
             for i in range(0, len(words), 20_000):
                 w = words[i:i + 20_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(w)), pa.array(w, pa.binary()), pa.array(np.arange(i, i + len(w)), pa.int32()),
-                     pa.array(counts[i:i + len(w)], pa.int64()), pa.nulls(len(w), whole.type), *[pa.nulls(len(w), pa.binary())] * 2],
+                     pa.array(counts[i:i + len(w)], pa.int64()), pa.nulls(len(w), whole.type), *[pa.nulls(len(w), pa.binary())] * 3],
                     names=names)
             number, size = number + 1, 0
             places.clear()
-            for x in (indices, coded, lengths, tokens, ids, held, sampled):
+            for x in (indices, lengths, ids, held, sampled):
                 x.clear()
 
-        names = ["block", "word", "place", "n", "ids", "places", "subwords"]
+        names = ["block", "word", "place", "n", "ids", "places", "subwords", "ends"]
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
             for i, (text, h, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "held", "sampled")))):
                 own = text.encode("utf-8", "surrogatepass").lower().split()
                 indices.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
                 lengths.append(len(own))
-                found = coder.encode(own)
-                coded.append(found.astype(ID).tobytes())
-                tokens.append(len(found))
                 ids.append(batch.column("doc_id").slice(i, 1))
                 held.append(h)
                 sampled.append(s)
@@ -164,20 +170,26 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
     return map_arrow(rows, run, BLOCKS.format(id=id_type))
 
 
-def _documents(row: dict):
+def _packed(data: bytes) -> bytes:
+    """Blocks are written, and shuffled once, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _array(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def _documents(row: dict, wanted=lambda member: True):
     """(member, word places, subwords) of a block's documents."""
-    places, ids = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["subwords"], ID)
-    at = begin = 0
+    places, ends = _array(row["places"], "<u4"), _array(row["ends"], "<u4").tolist()
+    data = zstandard.ZstdDecompressor().decompress(row["subwords"])
+    word = [data[a:b] for a, b in zip([0, *ends], ends)].__getitem__
+    at = 0
     for member in row["ids"]:
-        yield member, places[at:at + member["length"]], ids[begin:begin + member["tokens"]]
+        own = places[at:at + member["length"]]
         at += member["length"]
-        begin += member["tokens"]
-
-
-def _training_ids(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(subwords, tokens per document) of a block's training documents."""
-    n, train = (np.array([m[k] for m in row["ids"]]) for k in ("tokens", "held"))
-    return np.frombuffer(row["subwords"], ID)[np.repeat(~train, n)], n[~train]
+        if wanted(member):
+            yield member, own, np.frombuffer(b"".join(map(word, own.tolist())), ID)
 
 
 def _rows(batches):
@@ -214,23 +226,31 @@ def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
     size, k = coder.size, lm.CLASSES
 
     def count(rows):
+        # a word's subwords count as often as the word does in training documents
         total = np.zeros(size)
         for row in rows:
-            total += np.bincount(_training_ids(row)[0], minlength=size)
+            places, ends = _array(row["places"], "<u4"), _array(row["ends"], "<u4").astype(np.int64)
+            train = np.repeat([not m["held"] for m in row["ids"]], [m["length"] for m in row["ids"]]).astype(bool)
+            n = np.bincount(places[train], minlength=len(ends))
+            each = np.diff(ends, prepend=0) // np.dtype(ID).itemsize
+            total += np.bincount(_array(row["subwords"], ID), np.repeat(n, each), size)
         return total
 
     of, share = lm.classes_of(summed(_per_task(blocks, count), size), coder.begins)
     of = of.astype(np.uint8)
 
+    end = np.array([lm.END], np.uint8)
+
     def pairs(rows):
         total = np.zeros(k * k)
         for row in rows:
-            ids, n = _training_ids(row)
-            # an end before, between and after the documents
-            line = np.full(len(ids) + len(n) + 1, lm.END, np.int64)
-            line[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n) + 1] = of[ids]
-            if len(n):
-                total += np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+            line = [end]
+            for _, _, ids in _documents(row, lambda m: not m["held"]):
+                line += [of[ids], end]
+            line = np.concatenate(line)
+            for i in range(0, len(line) - 1, 1 << 20):
+                part = line[i:i + (1 << 20) + 1].astype(np.int64)
+                total += np.bincount(part[:-1] * k + part[1:], minlength=k * k)
         return total
 
     bigram = lm.bigram_logits(summed(_per_task(blocks, pairs), k * k).reshape(k, k))
@@ -240,7 +260,8 @@ def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
         def train(rows, params=params, rate=0.01 / (1 + r)):
             trainer = lm.Trainer(params, bigram, rate)
             for row in rows:
-                trainer.feed([of[ids].astype(np.int64) for m, _, ids in _documents(row) if m["sampled"] and not m["held"]])
+                trainer.feed([of[ids].astype(np.int64) for _, _, ids in _documents(
+                    row, lambda m: m["sampled"] and not m["held"])])
             return np.append(lm.flat(trainer.params) * trainer.tokens, trainer.tokens)
 
         total = summed(_per_task(blocks, train), n + 1)
@@ -254,15 +275,18 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
     both = materialize(blocks_of(docs, tokenizer_path, block_bytes, train_share), "lm-blocks")
-    blocks = both.where("word IS NULL").select("block", "ids", "places", "subwords")
+    blocks = both.where("word IS NULL").select("block", "ids", "places", "subwords", "ends")
     words = both.where("word IS NOT NULL").select("block", "word", "place", "n")
-    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    # every row of a word gets its count: one shuffle of the words, which can spill
+    counted = materialize(words.select(
+        "block", "place", F.sum("n").over(Window.partitionBy("word")).alias("c"),
+        F.row_number().over(Window.partitionBy("word").orderBy("block")).alias("nth")).where("c > 0"), "lm-counts")
+    sums = counted.where("nth = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("ids", lambda m: ~m["held"]))), F.lit(0))).first()[0]
     n, distinct = sums[0] + ends, sums[1] + (ends > 0)
     params, bigram, of, share = fit(blocks, tokenizer_path, rounds)
     begins = subwords(tokenizer_path).begins
-    known = words.join(counts, "word").select(F.col("block").alias("own_block"), "place", "c")
+    known = counted.select(F.col("block").alias("own_block"), "place", "c")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     total = n + distinct + 1
 
@@ -270,12 +294,12 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
         out = []
         place, c = right.column("place").to_numpy(), right.column("c").to_numpy()
         for row in left.to_pylist():
-            count = np.zeros(int(np.frombuffer(row["places"], "<u4").max(initial=0)) + 1, np.int64)
+            docs_here = list(_documents(row))
+            count = np.zeros(1 + max((int(own.max(initial=0)) for _, own, _ in docs_here), default=0), np.int64)
             count[place] = c
             unigram = (count + 1) / total
             last = (ends + 1) / total
             word_score = np.log10(unigram)
-            docs_here = list(_documents(row))
             base = [(int((count[own] > 0).sum()) + (ends > 0), float(word_score[own].sum() + np.log10(last)))
                     for _, own, _ in docs_here]
             # documents in groups of bounded size
@@ -303,7 +327,7 @@ RESULT = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_sco
 
 def _model_scores(documents: list[tuple], params, bigram, of, share) -> list[float]:
     """log10 probabilities of documents (subwords, where their words begin, unigram
-    probabilities of the words and the end): word by word the mean of what the
+    probabilities of the words and the end): word by word a mixture of what the
     attention model and the unigram model give."""
     inputs, has, target, real, _ = lm.windows([of[ids].astype(np.int64) for ids, _, _ in documents])
     logs = lm.log_probs(params, bigram, inputs, has, target)[real].astype(np.float64) / np.log(10)
