@@ -32,14 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.byte_bpe import byte_of_char
 from inkwell.llm.common import map_arrow, materialize, text_of
 
 LEAF = 4096
 WINDOW = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 BATCH_ROWS = 512
 # white space at which every pattern engine and normalizer agrees
 SPACES = re.compile(r"[ \t\n\r]+")
+# plain Latin text, and how the word-level tokenizer splits it (lower-cased);
+# fixed by the vocabulary file and held against it when that is loaded
+OTHER = re.compile(r"[^ \t\n\r\x21-\x7eÀ-ÖØ-öø-ÿ]")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+BYTE_CHARS = {b: c for c, b in byte_of_char().items()}
 
 
 class WordBpe:
@@ -54,15 +60,54 @@ class WordBpe:
         t.no_padding()
         added = [a.content for a in t.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        # known words of two generations, so that a full cache keeps the frequent ones
         self.words: dict[str, tuple[str, str]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are not yet known: decimal ids and decoded tokens."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in words if w in self.words}
+        self.older: dict[str, tuple[str, str]] = {}
+        self.names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+        self.plain = self._splits_as_expected()
+
+    def _splits_as_expected(self) -> bool:
+        """Whether the file's tokenizer splits Latin text as ``PIECE`` does: held
+        against the library on a line with every such character in many places."""
+        letters = [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xC0, 0x100))]
+        letters = [c for c in letters if c not in "×÷"]
+        probe = " ".join(f"{c} {c}{c} a{c} {c}a 1{c} {c}1 '{c} {c}' .{c} {c}. Aé{c}'s{c} it'LL{c} i'm{c}'re" for c in letters)
+        want = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return [i for x in PIECE.findall(probe.lower()) for i in self._piece_ids(x)] == want
+
+    def _piece_ids(self, piece: str) -> list[int]:
+        mapped = piece if piece.isascii() else "".join(BYTE_CHARS[b] for b in piece.encode())
+        return [x.id for x in self.tokenizer.model.tokenize(mapped)]
+
+    def split(self, text: str) -> tuple[list[str], bool]:
+        """The text's parts that no token crosses, and whether they are pieces (of
+        plain Latin text) or else words."""
+        if self.plain and not OTHER.search(text) and not (self.special and self.special.search(text)):
+            return PIECE.findall(text.lower()), True
+        return SPACES.split(text), False
+
+    def learn(self, words: set[str], pieces: set[str]) -> None:
+        """Have decimal ids and decoded tokens of all ``words`` and ``pieces`` at hand.
+
+        A piece goes straight to the model, which takes a fraction of what a
+        word takes through the whole tokenizer."""
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        for w in (words | pieces) & older.keys():
+            known.setdefault(w, older[w])
+        for w in pieces - known.keys():
+            known[w] = self.strings(self._piece_ids(w))
+        new = list(words - known.keys())
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = (" ".join(map(str, e.ids)), self.tokenizer.decode(e.ids, skip_special_tokens=False))
+            known[w] = self.strings(e.ids)
+
+    def strings(self, ids: list[int]) -> tuple[str, str]:
+        """Decimal ids and decoded tokens."""
+        if self.tokenizer.decoder is not None:
+            return " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
+        # without a decoder, decoding joins the tokens by a space
+        return " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
 
     def parts(self, word: str):
         """The parts of a long word: encoded ones as (ids, decoded), unsplit runs as strings."""
@@ -80,14 +125,11 @@ class WordBpe:
                     ids += [t.id for t in self.tokenizer.model.tokenize(run)]
                     continue
                 if ids:
-                    yield self.plain(ids)
+                    yield self.strings(ids)
                     ids = []
                 yield run
             if ids:
-                yield self.plain(ids)
-
-    def plain(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
+                yield self.strings(ids)
 
     def encode_run(self, run: str):
         """(ids, starts) of an unsplit run by the model alone."""
@@ -169,23 +211,29 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, digest
         F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("place"),
         F.lit(0).cast("long").alias("step"), F.lit("").alias("run")).schema
 
-    def words(batches):
+    def encode(batches):
         bpe, part, row = word_bpe(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for begin in range(0, batch.num_rows, BATCH_ROWS):
                 piece = batch.slice(begin, BATCH_ROWS)
-                split = [SPACES.split(t) for t in piece.column("_text").to_pylist()]
-                known = set().union(*split)
-                known.discard("")
-                long = {w for w in known if len(w) > leaf}
-                bpe.learn(known - long)
+                texts = piece.column("_text").to_pylist()
+                split = [bpe.split(t) for t in texts]
+                # a document with a long piece is split again, into words
+                split = [(SPACES.split(t), False) if plain and max(map(len, own), default=0) > leaf else (own, plain)
+                         for t, (own, plain) in zip(texts, split)]
+                pieces = set().union(*(own for own, plain in split if plain))
+                words = set().union(*(own for own, plain in split if not plain)) - {""}
+                long = {w for w in words if len(w) > leaf}
+                bpe.learn(words - long, pieces)
                 table = bpe.words
                 out = []
-                for i, own in enumerate(split):
+                for i, (own, plain) in enumerate(split):
                     row += 1
-                    if not long or long.isdisjoint(own):
+                    if plain or not long or long.isdisjoint(own):
                         got = [table[w] for w in own if w]
-                        n, ids, text = _result([g[0] for g in got if g[0]], [g[1] for g in got if g[0]])
+                        if not plain:  # a word may hold nothing but white space of other kinds
+                            got = [g for g in got if g[0]]
+                        n, ids, text = _result([g[0] for g in got], [g[1] for g in got])
                         out.append((i, n, final(ids), final(text), None, None, None, None, None))
                         continue
                     place, held = 0, []
@@ -207,7 +255,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, digest
                     [piece.column("doc_id").take(pa.array(columns[0], pa.int64())),
                      *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], names=schema.names)
 
-    found = materialize(map_arrow(rows, words, schema), "bpe-words")
+    found = materialize(map_arrow(rows, encode, schema), "bpe-words")
     done = found.where("row IS NULL").select("doc_id", *RESULT)
     pieces = found.where("row IS NOT NULL")
 
@@ -241,7 +289,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, digest
                 continue
             _, found, _ = tree([(r, np.asarray(i), np.asarray(s)) for r, i, s in zip(own.run, own.run_ids, own.run_starts)],
                                bpe.encode_run)
-            a, b = bpe.plain(found.tolist())
+            a, b = bpe.strings(found.tolist())
             ids.append(a)
             text.append(b)
         n, joined, decoded = _result(ids, text)
