@@ -27,6 +27,7 @@ from inkwell.functions.formats import lag_minutes, utc_literal
 from inkwell.sources import landing
 from inkwell.sources.store import TableStore
 
+# The tables and what each depends on.
 # Steps in build order, each with the steps it reads, how it is built from
 # the tables already written, and its layout on disk. The two article-grain
 # tables are partitioned by publication_date (date windows prune folders);
@@ -64,6 +65,38 @@ COLUMNS: dict[str, tuple[str, ...]] = {
 }
 
 
+@dataclass(frozen=True)
+class Step:
+    """How one table's build ended."""
+
+    table: str
+    status: str
+    duration_ms: float | None = None
+    blocked_by: list[str] | None = None
+    error: str | None = None
+
+    @property
+    def usable(self) -> bool:
+        return self.status == "ok"
+
+    def as_dict(self) -> dict:
+        return {k: v for k, v in vars(self).items() if v is not None}
+
+    @classmethod
+    def attempt(cls, table: str, write: Callable[[], None], failure: Exception | None) -> Step:
+        """Run a writer; an error becomes the step's outcome."""
+        began = time.perf_counter()
+        error = None
+        try:
+            if failure is not None:
+                raise failure
+            write()
+        except Exception as exc:  # noqa: BLE001 - the report carries the error
+            error = str(exc)
+        spent = round((time.perf_counter() - began) * 1000, 2)
+        return cls(table, "ok" if error is None else "failed", spent, error=error)
+
+
 @dataclass
 class RefreshReport:
     status: str
@@ -318,44 +351,27 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
         _write_dates(store, delta.dates)
     names = [n for n, _ in STEPS if only is None or n in set(only)]
     deps = dict(STEPS)
-    failed: set[str] = set()
-    results: dict[str, dict] = {}
+    done: dict[str, Step] = {}
     sc = spark.sparkContext
     group = sc.getLocalProperty("spark.jobGroup.id")
 
-    def build(name: str) -> dict:
+    def build(name: str) -> Step:
+        blocking = [d for d in deps[name] if d in done and not done[d].usable]
+        if blocking:
+            return Step(name, "skipped", blocked_by=blocking)
         if group:  # local properties are per thread: keep the caller's job group
             sc.setLocalProperty("spark.jobGroup.id", group)
-        started = time.perf_counter()
-        try:
-            if fail and name in fail:
-                raise fail[name]
-            writers[name]()
-        except Exception as exc:  # noqa: BLE001 - the report carries the error
-            return {"table": name, "status": "failed",
-                    "duration_ms": round((time.perf_counter() - started) * 1000, 2), "error": str(exc)}
-        return {"table": name, "status": "ok", "duration_ms": round((time.perf_counter() - started) * 1000, 2)}
+        return Step.attempt(name, writers[name], (fail or {}).get(name))
 
     try:
         with ThreadPoolExecutor(max_workers=max(parallel, 1)) as pool:
             for wave in _waves(names):
-                runnable = []
-                for name in wave:
-                    blocking = [d for d in deps[name] if d in failed]
-                    if blocking:
-                        results[name] = {"table": name, "status": "skipped", "blocked_by": blocking}
-                        failed.add(name)
-                    else:
-                        runnable.append(name)
-                for name, result in zip(runnable, pool.map(build, runnable)):
-                    results[name] = result
-                    if result["status"] == "failed":
-                        failed.add(name)
+                done.update((step.table, step) for step in list(pool.map(build, wave)))
     finally:
         if delta is not None:
             delta.release()
-    steps = [results[n] for n in names]
-    status = "failed" if any(s["status"] == "failed" for s in steps) else "materialized"
+    steps = [done[n].as_dict() for n in names]
+    status = "materialized" if all(step.status != "failed" for step in done.values()) else "failed"
     # a subset rebuild vouches for nothing: only a full set of steps moves
     # the ledger (and clears dates left by an unfinished run)
     if status == "materialized" and only is None:
