@@ -25,15 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     other session is refused, because a machine-local folder would be
     invisible to the other machines.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_inkwell_shared", None)
     if current:
         return current.rstrip("/")
-    master = spark.sparkContext.master
+    master = sc.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    path = tempfile.mkdtemp(prefix="inkwell-shared-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    # a running session's setting cannot be changed, so the context remembers it
+    sc._inkwell_shared = tempfile.mkdtemp(prefix="inkwell-shared-")
+    return sc._inkwell_shared
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

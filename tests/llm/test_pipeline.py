@@ -62,17 +62,18 @@ def test_stage_order_is_the_contract():
     assert len({r.kind for r in secret_scan.RULES}) == len(secret_scan.RULES)
 
 
-@pytest.mark.parametrize("setting", ["file:/named/by/cluster", None])
-def test_shared_folder_is_the_one_the_session_names(spark, setting):
+def test_shared_folder_is_the_one_the_session_names(spark):
+    from types import SimpleNamespace
+
     from inkwell.llm import common
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        if setting:
-            spark.conf.set("spark.checkpoint.dir", setting)
-            assert common.shared_dir(spark) == setting
-        else:
-            assert common.fresh_path(spark, "x") != common.fresh_path(spark, "x")
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+    def session(setting, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: setting), sparkContext=SimpleNamespace(master=master))
+
+    assert common.shared_dir(session("hdfs:/named/by/cluster/", "yarn")) == "hdfs:/named/by/cluster"
+    local = session(None, "local[2]")
+    assert common.shared_dir(local) == common.shared_dir(local) != common.shared_dir(session(None, "local[2]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(None, master))
+    assert common.fresh_path(spark, "x") != common.fresh_path(spark, "x")

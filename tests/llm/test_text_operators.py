@@ -205,3 +205,17 @@ def test_binomial_bound_is_exact(spark):
 def test_native_queries_run_no_python(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    res = con.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in res.description]
+    df = registry.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    assert edge.rows_of(df, *columns) == edge.sort([tuple(r) for r in res.fetchall()])
