@@ -77,8 +77,8 @@ def main() -> None:
          "WindowGroupLimit (Partial) before the Exchange: each map task forwards one row per key.",
          articles_latest(landing.read_raw(store))),
         ("MAT-1 hourly: rows of the changed dates",
-         "The new keys are a BroadcastExchange and the previous version meets them in BroadcastHashJoins "
-         "(no Exchange over it); every scan of its whole rows has PartitionFilters: the day folders that "
+         "How the new keys meet the previous version is Spark's choice by the sizes it measures (nothing is "
+         "broadcast by hand); every scan of its whole rows has PartitionFilters: the day folders that "
          "hold earlier versions of the new keys (found beforehand by a small job over the key columns "
          "only) and the changed dates. Only touched rows and new rows reach the dedup.",
          delta.latest_rows),
