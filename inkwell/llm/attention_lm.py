@@ -182,15 +182,15 @@ def gradients(params, bigram, inputs, has, target, real):
     dx = dk @ p["Wk"].T + dv @ p["Wv"].T
     dx[:, BLOCK:] += dq @ p["Wq"].T + dh1
     g["P"] = dx.sum(axis=0)
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], inputs.ravel(), two(dx))
+    at = inputs.ravel()
+    g["E"] = np.stack([np.bincount(at, column, CLASSES) for column in two(dx).T], axis=1).astype(dx.dtype)
     return loss, g
 
 
 class Trainer:
     """Adam over batches of blocks."""
 
-    def __init__(self, params, bigram, rate: float = 0.01, batch: int = 256):
+    def __init__(self, params, bigram, rate: float = 0.01, batch: int = 64):
         self.params = {k: v.copy() for k, v in params.items()}
         self.bigram, self.rate, self.batch, self.steps, self.tokens = bigram, rate, batch, 0, 0
         self.m = {k: np.zeros_like(v) for k, v in params.items()}

@@ -8,10 +8,10 @@ Jobs, in order:
    word of a block is also one row, with its count in training documents.
 2. Corpus counts: one sum per word over the blocks, a window that hands it to
    every block's row; subword counts and class pairs as one vector per task.
-3. The attention model (``attention_lm``) is trained data-parallel: each task
-   steps over the training documents whose hash falls into ``train_share``,
+3. The attention model (``attention_lm``) is trained data-parallel on every
+   training document: its hash gives the round in which its task steps over it,
    and the tasks' parameters are averaged, weighted by tokens, once per round.
-   The share is a fraction, so training grows with the corpus.
+   ``train_share`` is for tests; the query leaves it at 1, which is all.
 4. Scoring: each block meets the counts of its own words in one task: the smoothed
    unigram base score, and the model's log10 probability. The attention model
    scores every subword once, in overlapping context windows; a word's
@@ -46,8 +46,10 @@ from inkwell.llm.common import map_arrow, materialize, ship, text_of
 
 BLOCK_BYTES = 24 << 20
 HELD_OUT = (7, 2)
-TRAIN_SHARE = 64
-ROUNDS = 2
+TRAIN_SHARE = 1
+ROUNDS = 4
+# tokens whose windows are held at once
+GROUP = 200_000
 SUMS = 16
 MIX = 0.25
 # byte-level vocabularies have well below 65,536 ids
@@ -104,22 +106,26 @@ def subwords(path: str) -> Subwords:
 
 
 BLOCKS = ("block string, word binary, place int, n long, "
-          "ids array<struct<doc_id:{id},held:boolean,sampled:boolean,length:int>>, places binary, subwords binary, ends binary")
+          "ids array<struct<doc_id:{id},held:boolean,turn:int,length:int>>, places binary, subwords binary, ends binary")
 
 
-def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, train_share: int = TRAIN_SHARE) -> DataFrame:
-    """Rows of blocks (``word`` null) and of their distinct words (``ids`` null)."""
+def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, train_share: int = TRAIN_SHARE,
+              rounds: int = ROUNDS) -> DataFrame:
+    """Rows of blocks (``word`` null) and of their distinct words (``ids`` null). A
+    document's ``turn`` is the round that trains on it, null outside the share."""
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     mod, rest = HELD_OUT
+    dealt = F.crc32(F.concat(text_id, F.lit("/share")).cast("binary"))
+    turn = F.when(dealt % train_share == 0, F.floor(dealt / train_share) % max(1, rounds)).cast("int")
     rows = docs.select("doc_id", text_of().alias("_text"), (F.crc32(text_id.cast("binary")) % mod == rest).alias("held"),
-                       (F.crc32(F.concat(text_id, F.lit("/share")).cast("binary")) % train_share == 0).alias("sampled"))
+                       turn.alias("turn"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         coder = subwords(tokenizer_path)
         part, number, size = TaskContext.get().partitionId(), 0, 0
         places = Places()
-        indices, lengths, ids, held, sampled = [], [], [], [], []
+        indices, lengths, ids, held, turns = [], [], [], [], []
 
         def flush():
             nonlocal number, size
@@ -134,8 +140,8 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
             ends = np.cumsum([len(x) for x in coded], dtype=np.int64).astype("<u4")
             id_array = pa.concat_arrays([x.cast(id_kind) for x in ids])
             members = pa.StructArray.from_arrays(
-                [id_array, pa.array(held), pa.array(sampled), pa.array(lengths, pa.int32())],
-                ["doc_id", "held", "sampled", "length"])
+                [id_array, pa.array(held), pa.array(turns, pa.int32()), pa.array(lengths, pa.int32())],
+                ["doc_id", "held", "turn", "length"])
             whole = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), members)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), whole,
@@ -149,19 +155,19 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
                     names=names)
             number, size = number + 1, 0
             places.clear()
-            for x in (indices, lengths, ids, held, sampled):
+            for x in (indices, lengths, ids, held, turns):
                 x.clear()
 
         names = ["block", "word", "place", "n", "ids", "places", "subwords", "ends"]
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
-            for i, (text, h, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "held", "sampled")))):
+            for i, (text, h, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "held", "turn")))):
                 own = text.encode("utf-8", "surrogatepass").lower().split()
                 indices.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
                 lengths.append(len(own))
                 ids.append(batch.column("doc_id").slice(i, 1))
                 held.append(h)
-                sampled.append(s)
+                turns.append(t)
                 size += len(text)
                 if size >= block_bytes:
                     yield from flush()
@@ -257,12 +263,8 @@ def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
     params = lm.start_params()
     n = len(lm.flat(params))
     for r in range(rounds):
-        def train(rows, params=params, rate=0.01 / (1 + r)):
-            trainer = lm.Trainer(params, bigram, rate)
-            for row in rows:
-                trainer.feed([of[ids].astype(np.int64) for _, _, ids in _documents(
-                    row, lambda m: m["sampled"] and not m["held"])])
-            return np.append(lm.flat(trainer.params) * trainer.tokens, trainer.tokens)
+        def train(rows, params=params, r=r):
+            return trained(rows, r, params, bigram, of)
 
         total = summed(_per_task(blocks, train), n + 1)
         if total[-1]:
@@ -270,11 +272,27 @@ def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
     return params, bigram, of, share
 
 
+def trained(rows, turn: int, params, bigram, of) -> np.ndarray:
+    """The parameters after a round over the training documents of the block rows,
+    times the tokens stepped over, and these."""
+    trainer = lm.Trainer(params, bigram, 0.01 / (1 + turn))
+    group, size = [], 0
+    for row in rows:
+        for _, _, ids in _documents(row, lambda m: m["turn"] == turn and not m["held"]):
+            group.append(of[ids].astype(np.int64))
+            size += len(ids)
+            if size >= GROUP:
+                trainer.feed(group)
+                group, size = [], 0
+    trainer.feed(group)
+    return np.append(lm.flat(trainer.params) * trainer.tokens, trainer.tokens)
+
+
 def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, train_share: int = TRAIN_SHARE,
           rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark = docs.sparkSession
-    both = materialize(blocks_of(docs, tokenizer_path, block_bytes, train_share), "lm-blocks")
+    both = materialize(blocks_of(docs, tokenizer_path, block_bytes, train_share, rounds), "lm-blocks")
     blocks = both.where("word IS NULL").select("block", "ids", "places", "subwords", "ends")
     words = both.where("word IS NOT NULL").select("block", "word", "place", "n")
     # every row of a word gets its count: one shuffle of the words, which can spill
@@ -307,7 +325,7 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
             for i, (_, own, ids) in enumerate(docs_here):
                 held.append((ids, np.flatnonzero(begins[ids]), np.append(unigram[own], last)))
                 size += len(ids)
-                if size >= 200_000 or i == len(docs_here) - 1:
+                if size >= GROUP or i == len(docs_here) - 1:
                     model += _model_scores(held, params, bigram, of, share)
                     held, size = [], 0
             out += [(m["doc_id"], m["held"], m["length"] + 1, b[0], n, b[1], s)

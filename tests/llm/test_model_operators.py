@@ -133,6 +133,17 @@ def test_lm_on_edges(spark):
     assert lm_score.score(edge.documents(spark, []), BYTE, rounds=1).count() == 0
 
 
+def test_lm_trains_on_every_training_document(spark):
+    """The rounds together step once over each token of every document that is not held out."""
+    rows = lm_score.blocks_of(spark.read.parquet(f"{SF}/documents.parquet"), BYTE).where("word IS NULL").collect()
+    rows = [r.asDict(recursive=True) for r in rows]
+    want = sum(len(ids) + 1 for r in rows for m, _, ids in lm_score._documents(r) if not m["held"])
+    k = attention_lm.CLASSES
+    of, bigram = np.zeros(1 << 16, np.uint8), attention_lm.bigram_logits(np.zeros((k, k)))
+    got = [lm_score.trained(rows, r, attention_lm.start_params(), bigram, of)[-1] for r in range(lm_score.ROUNDS)]
+    assert sum(got) == want and min(got) > 0
+
+
 def test_attention_gradients_and_scores():
     """Analytic gradients equal differences; scoring equals the training forward
     pass; every token is scored once whatever the document's length."""
