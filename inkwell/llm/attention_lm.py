@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 
-CLASSES = 96
-SINGLE = 71
-BLOCK = 8
+CLASSES = 256
+SINGLE = 200
+BLOCK = 16
 WIDTH = 16
 HIDDEN = 32
 END = CLASSES - 1

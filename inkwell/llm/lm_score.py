@@ -15,9 +15,11 @@ Jobs, in order:
 4. Scoring: each block meets the counts of its own words in one task: the smoothed
    unigram base score, and the model's log10 probability. The attention model
    scores every subword once, in overlapping context windows; a word's
-   probability is a mixture of the attention model's (share ``MIX``) and the
-   unigram model's, so a frequent word is not spelled out and an unknown word is.
-   No task sees the vocabulary of the corpus.
+   probability is a mixture of the attention model's and the unigram model's, so
+   a frequent word is not spelled out and an unknown word is. All shares in
+   ``MIXES`` are scored in the same pass; the one is taken under which the
+   training documents are likeliest, each word's own occurrence left out of its
+   unigram count. No task sees the vocabulary of the corpus.
 
 A block has a bounded size, so do the model and each task's vectors. A hot
 word is one row per block. Partition bounds do not matter for the counts; the
@@ -51,7 +53,7 @@ ROUNDS = 4
 # tokens whose windows are held at once
 GROUP = 200_000
 SUMS = 16
-MIX = 0.25
+MIXES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 # byte-level vocabularies have well below 65,536 ids
 ID = "<u2"
 
@@ -322,39 +324,48 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
                     for _, own, _ in docs_here]
             # documents in groups of bounded size
             model, held, size = [], [], 0
-            for i, (_, own, ids) in enumerate(docs_here):
-                held.append((ids, np.flatnonzero(begins[ids]), np.append(unigram[own], last)))
+            for i, (m, own, ids) in enumerate(docs_here):
+                left_out = None if m["held"] else np.append(count[own], ends) / (total - 1)
+                held.append((ids, np.flatnonzero(begins[ids]), np.append(unigram[own], last), left_out))
                 size += len(ids)
                 if size >= GROUP or i == len(docs_here) - 1:
                     model += _model_scores(held, params, bigram, of, share)
                     held, size = [], 0
-            out += [(m["doc_id"], m["held"], m["length"] + 1, b[0], n, b[1], s)
+            out += [(m["doc_id"], m["held"], m["length"] + 1, b[0], n, b[1], *s)
                     for (m, _, _), b, s in zip(docs_here, base, model)]
-        columns = list(zip(*out)) or [[]] * 7
+        columns = list(zip(*out)) or [[]] * 8
         ids = left.schema.field("ids").type.value_type.field("doc_id").type
-        kinds = (ids, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=list(RESULT))
+        kinds = (ids, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
+                 pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=[*RESULT, "left_out"])
 
     ship(spark.sparkContext)
-    return blocks.groupBy("block").cogroup(known.groupBy("own_block")).applyInArrow(
-        judge, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = materialize(blocks.groupBy("block").cogroup(known.groupBy("own_block")).applyInArrow(
+        judge, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+               "score array<double>, left_out array<double>"), "lm-scored")
+    mixes = scored.select(*[F.coalesce(F.sum(F.get("left_out", F.lit(i))), F.lit(0.0)) for i in range(len(MIXES))]).first()
+    # without training documents all are alike: the middle one
+    best = max(range(len(MIXES)), key=lambda i: (mixes[i], -abs(MIXES[i] - 0.5)))
+    return scored.select(*RESULT[:-1], F.get("score", F.lit(best)).alias("score"))
 
 
 RESULT = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _model_scores(documents: list[tuple], params, bigram, of, share) -> list[float]:
+def _model_scores(documents: list[tuple], params, bigram, of, share) -> list[tuple[list[float], list[float] | None]]:
     """log10 probabilities of documents (subwords, where their words begin, unigram
-    probabilities of the words and the end): word by word a mixture of what the
-    attention model and the unigram model give."""
-    inputs, has, target, real, _ = lm.windows([of[ids].astype(np.int64) for ids, _, _ in documents])
+    probabilities of the words and the end, the same with each one's own occurrence
+    left out or None): word by word a mixture of what the attention model and the
+    unigram model give, one figure for each share in ``MIXES``."""
+    inputs, has, target, real, _ = lm.windows([of[ids].astype(np.int64) for ids, *_ in documents])
     logs = lm.log_probs(params, bigram, inputs, has, target)[real].astype(np.float64) / np.log(10)
     out, at = [], 0
-    for ids, begins, unigram in documents:
+    for ids, begins, *unigrams in documents:
         own = logs[at:at + len(ids) + 1]
         own[:-1] += share[ids]
         at += len(own)
         # the end is a word of its own
-        by_word = np.add.reduceat(own, np.append(begins, len(ids)))
-        out.append(float(np.log10(MIX * np.power(10.0, by_word) + (1 - MIX) * unigram).sum()))
+        by_word = np.power(10.0, np.add.reduceat(own, np.append(begins, len(ids))))
+        out.append(tuple(None if u is None else [float(np.log10(x * by_word + (1 - x) * u).sum()) for x in MIXES]
+                         for u in unigrams))
     return out

@@ -144,6 +144,25 @@ def test_lm_trains_on_every_training_document(spark):
     assert sum(got) == want and min(got) > 0
 
 
+def test_lm_context_and_mixture():
+    """A score depends on a token more than 15 back; each share in ``MIXES`` gives its own mixture."""
+    rng = np.random.default_rng(5)
+    params = attention_lm.start_params()
+    params["U"] = rng.standard_normal(params["U"].shape).astype(np.float32)
+    k = attention_lm.CLASSES
+    bigram, of = np.zeros((k, k), np.float32), np.arange(200, dtype=np.uint8) % (k - 1)
+    a = np.arange(40, dtype="<u2")
+    b = a.copy()
+    b[14] = 99
+    share, words, unigram = np.zeros(200), np.arange(40), rng.random(41)
+    last = [lm_score.lm.log_probs(params, bigram, *lm_score.lm.windows([of[x].astype(np.int64)])[:3]).ravel()[31] for x in (a, b)]
+    assert last[0] != last[1]
+    (got, left_out), = lm_score._model_scores([(a, words, unigram, None)], params, bigram, of, share)
+    w = attention_lm.windows([of[a].astype(np.int64)])
+    p = np.exp(attention_lm.log_probs(params, bigram, *w[:3])[w[3]].astype(np.float64))
+    assert left_out is None and got == pytest.approx([np.log10(x * p + (1 - x) * unigram).sum() for x in lm_score.MIXES])
+
+
 def test_attention_gradients_and_scores():
     """Analytic gradients equal differences; scoring equals the training forward
     pass; every token is scored once whatever the document's length."""
