@@ -71,6 +71,13 @@ def test_rank_encoder_equals_the_tokenizer():
     assert byte_bpe.ByteBpe(WORD).ranks is None
 
 
+def test_very_long_white_space():
+    """Runs at which the rank encoder's pattern engine gives up go to the tokenizers library."""
+    bpe, ids = byte_bpe.ByteBpe(BYTE), _ids(BYTE)
+    for text in (" " * 1_000_000 + "a", "a" + "\n" * 1_000_000 + "a", "a" + " \n" * 500_000, " " * 100_000 + "a", " " * 100_001 + "a"):
+        assert bpe.encode(text).tolist() == ids(text)
+
+
 # ----------------------------------------------------------------------- BPE
 
 def _encoded(text, tokenizer):
