@@ -135,6 +135,24 @@ def test_pii_judge_adds_likely_spans_only():
     assert score("order 123456789 of 4") < judge.thresholds[3]
 
 
+def test_pii_reports_the_common_unmarked_forms(spark):
+    """Spelled-out addresses and numbers without a plus are reported however
+    common they are beside the marked ones; order numbers are not."""
+    rng = random.Random(4)
+    name = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    forms = ((lambda: f"write to {name(6)}@{name(7)}.com today", lambda: f"write to {name(6)} [at] {name(7)} [dot] com today"),
+             (lambda: f"call me on +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} now",
+              lambda: f"call me on 1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} now"))
+    rows = [(f(), want) for marked, plain in forms for f, want in [(marked, True)] * 300 + [(plain, True)] * 300]
+    rows += [(f"order {rng.randint(10**8, 10**9)} of {rng.randint(1, 9)}", False) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for part, least in ((range(300, 600), 0.9), (range(900, 1200), 0.9)):
+        assert sum(bool(found[i]) for i in part) >= least * len(part)
+        assert not any(s["base"] for i in part for s in found[i])
+    assert not any(found[i] for i in range(1200, 1500))
+
+
 def test_licenses_on_edges(spark):
     out = license_scan.scan(edge.documents(spark))
     got = edge.rows_of(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
