@@ -308,8 +308,8 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def article_detail_report(s, d):
         return plain_types(reports.article_report(_t(s, d).articles_latest, DETAIL_ID))
 
-    def documents_search(s, d):
-        raw = adapters.articles_from_documents(adapters.read_table(s, d, "documents"))
+    def documents_search(s, d, whole_line=False):
+        raw = adapters.articles_from_documents(adapters.read_table(s, d, "documents"), whole_line)
         found = [q.search_filter(articles_latest(raw), *FULL, query_text=text).select(
             F.lit(text).alias("search"), "guardian_id", "web_title") for text in DOCUMENT_SEARCHES]
         return reduce(DataFrame.unionByName, found)
@@ -331,6 +331,7 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ops_status_checks": ops_status_checks,
         "article_detail_report": article_detail_report,
         "documents_search": documents_search,
+        "documents_search_whole_line": lambda s, d: documents_search(s, d, whole_line=True),
         # DQ-1 … DQ-4
         "quality_results": quality_results,
         "quality_results_raw": quality_results_raw,
@@ -478,6 +479,7 @@ def _further_oracles() -> dict[str, str]:
     base = _oracle_sql()
     in_default_window = lambda sql: sql.replace(_win(*FULL), _win(*DEFAULT_WINDOW))
     title = """substr(text, 1, 80) || ' ' || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '100%' WHEN 2 THEN 'a_b' ELSE 'c\\d' END"""
+    whole_title = title.replace("substr(text, 1, 80)", "split_part(COALESCE(text, ''), chr(10), 1)")
     searches = "\nUNION ALL\n".join(
         f"SELECT '{x}' AS search, guardian_id, web_title FROM titled WHERE lower(web_title) LIKE '%' || lower('{x}') || '%'"
         for x in ("É", "e%00%", "th_ ", "C\\D"))
@@ -508,6 +510,9 @@ def _further_oracles() -> dict[str, str]:
         "article_detail_report": base["article_detail"],
         "documents_search": f"""WITH titled AS (
   SELECT 'doc/' || doc_id AS guardian_id, {title} AS web_title FROM documents)
+{searches}""",
+        "documents_search_whole_line": f"""WITH titled AS (
+  SELECT 'doc/' || doc_id AS guardian_id, {whole_title} AS web_title FROM documents)
 {searches}""",
     }
 

@@ -203,16 +203,18 @@ def write_landing(pages: DataFrame, landing_dir: str) -> None:
     pages.select("day", "value").write.mode("overwrite").partitionBy("day").text(landing_dir)
 
 
-def articles_from_documents(documents: DataFrame) -> DataFrame:
+def articles_from_documents(documents: DataFrame, whole_line: bool = False) -> DataFrame:
     """``articles_raw`` rows of multilingual documents: the title is the first
-    80 characters of the text with, in turn, a percent sign, an underscore or
-    a backslash appended; the source is the tag."""
+    80 characters of the text, or its whole first line (null as empty), with,
+    in turn, a percent sign, an underscore or a backslash appended; the source
+    is the tag."""
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1) if whole_line else F.substring("text", 1, 80)
     n = F.col("doc_id")
     mark = F.element_at(F.array(F.lit(""), F.lit("100%"), F.lit("a_b"), F.lit("c\\d")), (n % 4 + 1).cast("int"))
     published = F.timestamp_seconds(F.lit(1704067200) + n % 2592000)
     return documents.select(
         F.concat(F.lit("doc/"), n.cast("string")).alias("guardian_id"), F.lit(None).cast("string").alias("web_url"),
-        F.concat(F.substring("text", 1, 80), F.lit(" "), mark).alias("web_title"),
+        F.concat(first, F.lit(" "), mark).alias("web_title"),
         F.col("lang").alias("section_id"), F.col("lang").alias("section_name"),
         F.lit(None).cast("string").alias("pillar_id"), F.lit(None).cast("string").alias("pillar_name"),
         published.alias("published_at"), published.alias("ingested_at"), F.array("source").alias("tags"),

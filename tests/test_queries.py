@@ -113,3 +113,12 @@ def test_search_backslash_is_a_plain_character(spark):
     assert found("100\\") == ["2"]
     assert found("École") == ["3"]
     assert found("a_b") == ["1", "3"]
+
+
+def test_document_titles_hold_the_whole_first_line(spark):
+    from inkwell.sources.adapters import articles_from_documents
+
+    docs = spark.createDataFrame([(0, "x" * 200 + " needle\nnext", "en", "web"), (4, None, "en", "web")],
+                                 "doc_id long, text string, lang string, source string")
+    titles = {r["guardian_id"]: r["web_title"] for r in articles_from_documents(docs, whole_line=True).collect()}
+    assert titles == {"doc/0": "x" * 200 + " needle ", "doc/4": " "}
