@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import (
+    ann_partitions,
     embedding_dedup,
+    importance,
     license_scan,
     lm_score,
     packing,
@@ -16,6 +18,7 @@ from inkwell.llm import (
     quality_rules,
     secret_scan,
     simhash_dedup,
+    spelling_variants,
     warc,
     word_bpe,
 )
@@ -95,9 +98,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op11_ann_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_partitions.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(_read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_packing, op3_bpe, op4_pii, op5_lm_score, op6_license_scan, op7_warc, op8_embedding_dedup, op9_simhash_dedup, op10_quality_rules)}
+        op1_secret_scan, op2_packing, op3_bpe, op4_pii, op5_lm_score, op6_license_scan, op7_warc, op8_embedding_dedup, op9_simhash_dedup, op10_quality_rules, op11_ann_partitions,
+        op12_spelling_variants, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
