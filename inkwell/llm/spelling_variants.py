@@ -184,7 +184,8 @@ def _bits(grams: list[str]) -> int:
 
 def postings(words: DataFrame, dictionary: dict[str, int], longest: int = LONGEST) -> DataFrame:
     """``key`` (gram, side and distance hashed together; a collision only adds
-    candidates), word, n, its bound and the bit set of all its grams."""
+    candidates; the lowest bit is the side), word, n, its bound and the bit set of
+    all its grams."""
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
@@ -198,9 +199,9 @@ def postings(words: DataFrame, dictionary: dict[str, int], longest: int = LONGES
                     for p in order[:k + 1]:
                         gram = grams[p].encode()
                         # distances from the left and from the right end
-                        for side, far in ((b"<", p), (b">", len(grams) - p)):
-                            tail = b"%b%d" % (side, far)
-                            key.append((zlib.crc32(gram + tail) << 31) ^ zlib.crc32(tail + gram))
+                        for side, far in ((0, p), (1, len(grams) - p)):
+                            tail = b"%d:%d" % (side, far)
+                            key.append((zlib.crc32(gram + tail) << 31 ^ zlib.crc32(tail + gram)) & -2 | side)
                             row.append(i)
                     bound += [k] * (len(key) - len(bound))
                     bits += [b] * (len(key) - len(bits))
@@ -231,9 +232,9 @@ def one_edit(a: str, b: str) -> bool:
 
 def _near_in_cells(rows: list[tuple]) -> list[tuple]:
     """Near pairs (word, n, word, n) of whole cells, rows sorted by cell."""
-    cell, side, word, n, bound, bits = zip(*rows)
+    cell, right, side, word, n, bound, bits = zip(*rows)
     cell, bound, bits = np.array(cell), np.array(bound), np.array(bits, np.int64).view(np.uint64)
-    length, side = np.array([len(w) for w in word]), np.array(side)
+    length, side, right = np.array([len(w) for w in word]), np.array(side), np.array(right, bool)
     out = []
     i = np.arange(len(rows))
     step = 0
@@ -244,8 +245,9 @@ def _near_in_cells(rows: list[tuple]) -> list[tuple]:
         together = cell[i] == cell[j]
         i, j = i[together], j[together]
         apart = length[i] - length[j]
+        # words of equal length that meet at a distance from the right meet at one from the left, too;
         # merged lists count what both share; the bounds say what one edit may cost
-        good = ((np.abs(apart) <= 1) & ((side[i] < 0) | (side[i] != side[j]))
+        good = (np.where(right[i], np.abs(apart) == 1, np.abs(apart) <= 1) & ((side[i] < 0) | (side[i] != side[j]))
                 & (np.bitwise_count(bits[i] & ~bits[j]) <= bound[i]) & (np.bitwise_count(bits[j] & ~bits[i]) <= bound[j]))
         for a, b in zip(i[good].tolist(), j[good].tolist()):
             if one_edit(word[a], word[b]):
@@ -289,7 +291,7 @@ def near_pairs(words: DataFrame, longest: int = LONGEST, size: int = DICTIONARY,
                     elif len(held) - first == 1:
                         held.pop()  # alone in its cell
                     cell, last, first = cell + 1, key, len(held)
-                held.append((cell, *row))
+                held.append((cell, key[0] & 1, *row))
                 size += len(row[1])
         yield _pairs(_near_in_cells(held) if held else [])
 
