@@ -83,8 +83,16 @@ def duplicate_ids(raw: DataFrame, *, threshold: int = DUPLICATE_THRESHOLD,
     Two hash aggregates with partial aggregation: a hot id collapses to one
     row per map task before the shuffle.
     """
-    per_id = (raw.filter(F.col("guardian_id").isNotNull())
-              .groupBy("guardian_id").agg(F.count(F.lit(1)).alias("n")))
+    loads = raw.filter(F.col("guardian_id").isNotNull()).select(
+        F.col("guardian_id").alias("key"), F.lit(1).cast("long").alias("loads"))
+    return duplicate_ids_of(loads, threshold=threshold, as_of=as_of)
+
+
+def duplicate_ids_of(loads: DataFrame, *, threshold: int = DUPLICATE_THRESHOLD,
+                     as_of: datetime | None = None) -> DataFrame:
+    """DQ-3 from load counts per ``key``, which add up: rows of raw, or the key
+    index, which no run has to read raw for."""
+    per_id = loads.groupBy("key").agg(F.sum("loads").alias("n"))
     agg = per_id.agg(F.count_if(F.col("n") > 1).alias("_dups"))
     return _rows(agg, [_check(DUPLICATE_IDS, F.col("_dups"), threshold, DUPLICATE_DETAIL)], as_of)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.config import OPS, Lake, Settings, configure
 from inkwell.functions.windows import validate_range
 from inkwell.operators import runs as run_ops
-from inkwell.plans import ingest, ops, reports
+from inkwell.plans import ingest, ops, refresh, reports
 from inkwell.plans import queries as q
 from inkwell.plans.catalog import Tables
 from inkwell.schemas import DATA_QUALITY_RESULTS
@@ -56,8 +56,10 @@ class Warehouse:
                                    query_text=q_text, section=section, tag=tag, limit=limit, offset=offset)
 
     def article(self, guardian_id: str) -> DataFrame:
-        """One article or no rows (not found)."""
-        return reports.article_report(self.tables.articles_latest, guardian_id)
+        """One article or no rows (not found). The key index names the days to look at."""
+        latest = self.tables.articles_latest
+        days = refresh.article_days(TableStore(self.spark, self.lake), guardian_id)
+        return reports.article_report(latest if days is None else latest.filter(refresh.in_dates(days)), guardian_id)
 
     def publishing_volume(self, from_date=None, to_date=None, granularity: str = "day") -> dict:
         return reports.volume_report(self.tables, self._window(from_date, to_date), granularity)

@@ -24,7 +24,7 @@ from inkwell.operators import quality, rollups
 from inkwell.operators.latest import LATEST_COLUMNS, article_key, articles_latest
 from inkwell.schemas import ARTICLES_RAW, DATA_QUALITY_RESULTS
 from inkwell.functions.formats import lag_minutes, utc_literal
-from inkwell.sources import landing
+from inkwell.sources import key_index, landing
 from inkwell.sources.store import TableStore
 
 # The tables and what each depends on.
@@ -101,6 +101,7 @@ class Step:
 class RefreshReport:
     status: str
     steps: list[dict] = field(default_factory=list)
+    error: str | None = None  # of the key index, which is no step of its own
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(s["table"], s["status"], s.get("blocked_by"), s.get("duration_ms"), s.get("error"))
@@ -118,6 +119,8 @@ LEDGER = "articles_latest_batches"
 PENDING = "refresh_pending_dates"
 # Per date and section: what MAT-7 is the aggregate of.
 STATS = "article_day_stats"
+# The publication date of every article key, and how often it was loaded.
+INDEX = "article_key_days"
 
 
 @dataclass
@@ -128,6 +131,8 @@ class Delta:
     batches: list[str]
     dates: list
     latest_rows: DataFrame | None = None
+    index_rows: DataFrame | None = None
+    tag: str = ""
     cached: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
@@ -135,7 +140,7 @@ class Delta:
             df.unpersist()
 
 
-def _in_dates(dates: list, column: str = "publication_date") -> Column:
+def in_dates(dates: list, column: str = "publication_date") -> Column:
     """Never null, so its negation keeps the null-date group too."""
     days = [d for d in dates if d is not None]
     cond = F.coalesce(F.col(column).isin(*days), F.lit(False)) if days else F.lit(False)
@@ -188,42 +193,70 @@ def merged_tables(previous: dict[str, DataFrame], fresh: DataFrame, refreshed_at
     return out | {"content_freshness": rollups.freshness_of(out[STATS], refreshed_at)}
 
 
+def article_index(store: TableStore) -> key_index.KeyIndex:
+    return key_index.KeyIndex(store, ANALYTICS, INDEX)
+
+
+def index_rows(latest: DataFrame, raw: DataFrame) -> DataFrame:
+    """The index of a whole table: loads count the rows that carry an id (DQ-3)."""
+    return key_index.build(latest, raw, article_key(), "publication_date", F.col("guardian_id").isNotNull())
+
+
+def index_layer(winners: DataFrame, fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """What a run adds to the index; ``known`` is what the index says of its keys."""
+    return key_index.layer(winners, fresh, known, article_key(), "publication_date", F.col("guardian_id").isNotNull())
+
+
+def article_days(store: TableStore, guardian_id: str) -> list | None:
+    """The publication dates that may hold an article (None without an index):
+    what the index says, and the dates of a run that has not ended."""
+    index = article_index(store)
+    return None if not index.exists() else [*index.places_of(guardian_id), *_pending(store)]
+
+
+def _pending(store: TableStore) -> list:
+    return [r[0] for r in store.read(ANALYTICS, PENDING).collect()] if store.exists(ANALYTICS, PENDING) else []
+
+
 def plan_delta(store: TableStore) -> Delta | None:
     """The incremental change set, or None where there is no previous run.
 
     Only keys that occur in committed raw batches not yet in the ledger can
-    change. Their rows in the current ``articles_latest`` are found with a
-    null-safe semi join, whose strategy Spark picks by the sizes it measures,
-    deduplicated again together with the new rows, and the dates of both
-    sides are the only partitions to rewrite. Rows of those dates whose key
-    is untouched are carried over. Raw is append-only and the dedup keeps a
-    maximum, so the result equals a full rebuild, and doing a run over again
-    gives the same rows.
+    change. The key index says on which dates their rows are; only these
+    dates of ``articles_latest`` are read (and those left by a run that died).
+    The rows are found with a null-safe semi join, whose strategy Spark picks
+    by the sizes it measures, deduplicated again together with the new rows,
+    and the dates of both sides are the only partitions to rewrite. Rows of
+    those dates whose key is untouched are carried over. Raw is append-only
+    and the dedup keeps a maximum, so the result equals a full rebuild, and
+    doing a run over again gives the same rows.
     """
-    if store.current(ANALYTICS, "articles_latest") is None or not store.exists(ANALYTICS, LEDGER):
+    index = article_index(store)
+    if store.current(ANALYTICS, "articles_latest") is None or not store.exists(ANALYTICS, LEDGER) or not index.exists():
         return None
+    tag = store.head(ANALYTICS, LEDGER)
     committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)
     seen = {r["batch"] for r in store.read(ANALYTICS, LEDGER).collect()}
     new = [b for b in committed if b not in seen]
     covered = sorted(seen | set(new))
-    pending = ([r[0] for r in store.read(ANALYTICS, PENDING).collect()]
-               if store.exists(ANALYTICS, PENDING) else [])
+    pending = set(_pending(store))
     if not new:
-        return Delta(covered, sorted(set(pending), key=lambda d: (d is None, d)))
+        return Delta(covered, sorted(pending, key=_by_day))
     fresh = landing.read_raw(store, new)
     keys = _keys(fresh).persist(StorageLevel.MEMORY_AND_DISK)
+    known = index.of_keys(keys.select(F.col("_k").alias("key"))).persist(StorageLevel.MEMORY_AND_DISK)
+    old_days = {r[0] for r in known.select("place").distinct().collect()} | pending
     prior = read_analytics(store, "articles_latest")
-    # 1) which days hold earlier versions of the new keys: a scan of the key
-    #    columns only (Parquet reads no other column for it)
-    narrow = prior.select("guardian_id", "web_url", "published_at", "publication_date")
-    old_days = [r[0] for r in _of_keys(narrow, keys, "left_semi").select("publication_date").distinct().collect()]
-    # 2) whole rows are read from those day folders only
-    touched = _of_keys(prior.filter(_in_dates(old_days)), keys, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    touched = _of_keys(prior.filter(in_dates(list(old_days))), keys, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     winners = _winners(touched, fresh).persist(StorageLevel.MEMORY_AND_DISK)
-    dates = sorted({r[0] for r in touched.select("publication_date").union(
-        winners.select("publication_date")).distinct().collect()} | set(pending), key=lambda d: (d is None, d))
-    carried = _of_keys(prior.filter(_in_dates(dates)), keys, "left_anti")
-    return Delta(covered, dates, carried.unionByName(winners), cached=[keys, touched, winners])
+    dates = sorted({r[0] for r in winners.select("publication_date").distinct().collect()} | old_days, key=_by_day)
+    carried = _of_keys(prior.filter(in_dates(dates)), keys, "left_anti")
+    return Delta(covered, dates, carried.unionByName(winners), index_layer(winners, fresh, known), tag,
+                 cached=[keys, known, touched, winners])
+
+
+def _by_day(day) -> tuple:
+    return day is None, day
 
 
 def _write_dates(store: TableStore, dates: list) -> None:
@@ -264,7 +297,7 @@ def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callab
     day folders and a new state, the small rollups by replacing their rows of
     those dates (a table missing on disk is rebuilt in full)."""
     dates = delta.dates
-    inside, outside = _in_dates(dates), ~_in_dates(dates)
+    inside, outside = in_dates(dates), ~in_dates(dates)
 
     def up(name: str, cond: Column) -> DataFrame:
         return read_analytics(store, name).filter(cond)
@@ -363,22 +396,36 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
             sc.setLocalProperty("spark.jobGroup.id", group)
         return Step.attempt(name, writers[name], (fail or {}).get(name))
 
+    error = None
     try:
         with ThreadPoolExecutor(max_workers=max(parallel, 1)) as pool:
             for wave in _waves(names):
                 done.update((step.table, step) for step in list(pool.map(build, wave)))
+        status = "materialized" if all(step.status != "failed" for step in done.values()) else "failed"
+        # a subset rebuild vouches for nothing: only a full set of steps moves
+        # the index, then the ledger (and clears dates left by an unfinished run)
+        if status == "materialized" and only is None:
+            indexed = Step.attempt(INDEX, lambda: _write_index(store, delta, committed), (fail or {}).get(INDEX))
+            if indexed.usable:
+                batches = delta.batches if delta is not None else committed
+                store.replace(spark.createDataFrame([(b,) for b in batches], "batch string"), ANALYTICS, LEDGER)
+                _write_dates(store, [])
+                article_index(store).fold()
+            else:
+                status, error = "failed", indexed.error
     finally:
         if delta is not None:
             delta.release()
-    steps = [done[n].as_dict() for n in names]
-    status = "materialized" if all(step.status != "failed" for step in done.values()) else "failed"
-    # a subset rebuild vouches for nothing: only a full set of steps moves
-    # the ledger (and clears dates left by an unfinished run)
-    if status == "materialized" and only is None:
-        batches = delta.batches if delta is not None else committed
-        store.replace(spark.createDataFrame([(b,) for b in batches], "batch string"), ANALYTICS, LEDGER)
-        _write_dates(store, [])
-    return RefreshReport(status=status, steps=steps)
+    return RefreshReport(status=status, steps=[done[n].as_dict() for n in names], error=error)
+
+
+def _write_index(store: TableStore, delta: Delta | None, committed: list[str]) -> None:
+    index = article_index(store)
+    if delta is None:
+        latest = read_analytics(store, "articles_latest")
+        index.rebuild(index_rows(latest, landing.read_raw(store, committed)), latest.count())
+    elif delta.index_rows is not None:
+        index.add(delta.index_rows, delta.tag)
 
 
 def run_quality_checks(spark: SparkSession, lake: Lake, settings: Settings = Settings(), *,
@@ -393,8 +440,10 @@ def run_quality_checks(spark: SparkSession, lake: Lake, settings: Settings = Set
         source, missing_section_threshold=settings.missing_section_threshold,
         missing_published_at_threshold=settings.missing_published_at_threshold, as_of=as_of)
     if extended:
-        raw = landing.read_raw(store)
-        results = results.unionByName(quality.duplicate_ids(raw, as_of=as_of)).unionByName(
+        index = article_index(store)
+        duplicates = (quality.duplicate_ids_of(index.layers(), as_of=as_of) if index.exists()
+                      else quality.duplicate_ids(landing.read_raw(store), as_of=as_of))
+        results = results.unionByName(duplicates).unionByName(
             quality.freshness_budget(read_analytics(store, "content_freshness"), as_of=as_of))
     store.replace(results.select(*DATA_QUALITY_RESULTS.fieldNames()), OPS, "data_quality_results")
     checks = store.read(OPS, "data_quality_results").count()

@@ -13,6 +13,12 @@ partitions go to a ``version=<id>-patch`` directory, and a ``state=<id>``
 listing then names the directory of every partition of the table. The listing
 is published by its marker, last of all; nothing that a reader may see is
 changed in place, so a run that dies at any point leaves the table as it was.
+A partition may also get a further directory (``add_partitions``).
+
+A writer that read a table before it changes it names what it read (``base``,
+from ``head``). Just before publishing it creates, without overwriting, a claim
+on that base: of two writers on the same base, the second gets a ``Conflict``
+and has to read and change the table again. No update is lost.
 
 Ids sort by time, so "latest committed version" is the greatest name with a
 marker. Listing uses the Hadoop FileSystem of the session, so the same code
@@ -25,6 +31,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -38,6 +45,13 @@ NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 # Distinct keys expected per row group (~128 MB of article rows); sizes the
 # bloom filters to about 1% false positives without overshooting.
 BLOOM_NDV = 200_000
+CLAIMS = "_claims"
+# Seconds after which a claim without its publication counts as left by a dead writer.
+STALE_CLAIM = 600.0
+
+
+class Conflict(RuntimeError):
+    """Another writer published on top of the same version first."""
 
 
 def new_id() -> str:
@@ -98,28 +112,69 @@ class TableStore:
         newest = current.rsplit("/", 1)[1].split("=", 1)[1]
         return states[-1] if states[-1].split("=", 1)[1] > newest else None
 
-    def _state_folders(self, dataset: str, table: str, state: str) -> list[str]:
-        """``version=…/column=value`` of every partition in a state."""
+    def _state_entries(self, dataset: str, table: str, state: str) -> list[tuple[str, str]]:
+        """(``version=…/column=value``, tag) of every partition directory in a state."""
         rows = self.spark.read.text(f"{self.table_path(dataset, table)}/{state}").collect()
-        return sorted(r["value"] for r in rows if r["value"])
+        return sorted(tuple((r["value"] + "\t").split("\t")[:2]) for r in rows if r["value"])
 
-    def partition_folders(self, dataset: str, table: str, column: str) -> list[str]:
-        """``version=…/column=value`` of every partition that makes up the table now."""
+    def _state_folders(self, dataset: str, table: str, state: str) -> list[str]:
+        return [folder for folder, _ in self._state_entries(dataset, table, state)]
+
+    def _entries(self, dataset: str, table: str, column: str) -> list[tuple[str, str]]:
         state, current = self._state(dataset, table), self.current(dataset, table)
         if state is not None:
-            return self._state_folders(dataset, table, state)
+            return self._state_entries(dataset, table, state)
         if current is None:
             return []
         version = current.rsplit("/", 1)[1]
-        return [f"{version}/{name}" for name in self._children(current, column)]
+        return [(f"{version}/{name}", "") for name in self._children(current, column)]
+
+    def partition_folders(self, dataset: str, table: str, column: str) -> list[str]:
+        """``version=…/column=value`` of every directory that makes up the table now."""
+        return [folder for folder, _ in self._entries(dataset, table, column)]
+
+    # ---------------------------------------------------------- conflicts
+    def head(self, dataset: str, table: str) -> str:
+        """Name of what a reader sees now: the newest state or version."""
+        state, current = self._state(dataset, table), self.current(dataset, table)
+        return state or (current.rsplit("/", 1)[1] if current else "none")
+
+    def _claim(self, dataset: str, table: str, base: str, name: str) -> None:
+        """Win the right to publish ``name`` on top of ``base``, or raise ``Conflict``."""
+        root = self.table_path(dataset, table)
+        if self.head(dataset, table) != base:
+            raise Conflict(f"{root}: {base} is no longer the newest version")
+        fs, path = self._fs_path(f"{root}/{CLAIMS}/{base}")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            holder, age = self._text(fs, path), time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+            if self._committed(f"{root}/{holder}") or age < STALE_CLAIM:
+                raise Conflict(f"{root}: {holder} was written on top of {base} at the same time") from e
+            out = fs.create(path, True)  # its writer died before it published
+        out.write(bytearray(name.encode()))
+        out.close()
+        if self._text(fs, path) != name:
+            raise Conflict(f"{root}: the claim on {base} was taken over")
+
+    def _text(self, fs, path) -> str:
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def exists(self, dataset: str, table: str) -> bool:
         return self.current(dataset, table) is not None or bool(self.batches(dataset, table))
 
     def replace(self, df: DataFrame, dataset: str, table: str, *,
                 partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (),
-                bloom_filters: Sequence[str] = (), rebalance: bool = True, keep: int = 2) -> str:
+                bloom_filters: Sequence[str] = (), rebalance: bool = True, keep: int = 2,
+                base: str | None = None) -> str:
         """SNK-1: write a new version; older ones beyond ``keep`` are dropped.
+        With ``base`` only if that is still the newest version (``Conflict``).
 
         Partitioned tables are rebalanced on the partition column first: AQE
         splits a hot day over several writers and merges thin days, so file
@@ -153,19 +208,49 @@ class TableStore:
                       .option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_NDV)))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        if base is None:
+            writer.parquet(path)
+        else:
+            writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+            self._publishing(path, lambda: self._claim(dataset, table, base, path.rsplit("/", 1)[1]))
+            fs, marker = self._fs_path(f"{path}/{MARKER}")
+            fs.create(marker, True).close()
         self._vacuum(dataset, table, keep)
         return path
 
+    def _publishing(self, written: str, publish) -> None:
+        """``publish``; what a writer that lost has written goes."""
+        try:
+            publish()
+        except Conflict:
+            self.delete(written)
+            raise
+
     def replace_partitions(self, df: DataFrame, dataset: str, table: str, *, partition_by: str,
                            values: Sequence, cluster_by: Sequence[str] = (),
-                           bloom_filters: Sequence[str] = (), keep: int = 2) -> None:
+                           bloom_filters: Sequence[str] = (), keep: int = 2, base: str | None = None) -> None:
         """Replace the ``values`` partitions; those without rows go.
 
         The other partitions are neither read nor copied: the state that is
         published at the end refers to their files. Before that, readers see
         the table as it was; a failed job publishes nothing.
         """
+        replaced = {f"{partition_by}={NULL_PARTITION if v is None else v}" for v in values}
+        self._patch(df, dataset, table, partition_by, lambda name, _, written: name in replaced or name in written,
+                    cluster_by=cluster_by, bloom_filters=bloom_filters, keep=keep, base=base)
+
+    def add_partitions(self, df: DataFrame, dataset: str, table: str, *, partition_by: str, tag: str = "",
+                       cluster_by: Sequence[str] = (), keep: int = 2, base: str | None = None) -> None:
+        """Add rows as further directories of their partitions; directories added
+        earlier under the same ``tag`` go."""
+        self._patch(df, dataset, table, partition_by, lambda _, other, __: bool(tag) and other == tag,
+                    tag=tag, cluster_by=cluster_by, keep=keep, base=base)
+
+    def _patch(self, df: DataFrame, dataset: str, table: str, partition_by: str, gone, *, tag: str = "",
+               cluster_by: Sequence[str] = (), bloom_filters: Sequence[str] = (), keep: int = 2,
+               base: str | None = None) -> None:
+        """Write the rows to a patch, then publish a state of it and of the
+        directories that are not ``gone`` (partition, tag, partitions written)."""
         if self.current(dataset, table) is None:
             raise FileNotFoundError(self.table_path(dataset, table))
         root, new = self.table_path(dataset, table), new_id()
@@ -177,10 +262,11 @@ class TableStore:
                       .option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_NDV)))
         writer.partitionBy(partition_by).parquet(f"{root}/{version}")
         written = self._children(f"{root}/{version}", partition_by)
-        replaced = {f"{partition_by}={NULL_PARTITION if v is None else v}" for v in values} | set(written)
-        folders = [f for f in self.partition_folders(dataset, table, partition_by) if f.split("/", 1)[1] not in replaced]
-        folders += [f"{version}/{name}" for name in written]
-        self._publish(dataset, table, new, folders)
+        entries = [(f, t) for f, t in self._entries(dataset, table, partition_by) if not gone(f.split("/", 1)[1], t, written)]
+        entries += [(f"{version}/{name}", tag) for name in written]
+        if base is not None:
+            self._publishing(f"{root}/{version}", lambda: self._claim(dataset, table, base, f"{STATE}={new}"))
+        self._publish(dataset, table, new, [f"{f}\t{t}" if t else f for f, t in entries])
         self._vacuum(dataset, table, keep)
 
     def _publish(self, dataset: str, table: str, state: str, folders: list[str]) -> None:
@@ -213,6 +299,12 @@ class TableStore:
         for name in states:
             if name not in live:
                 self.delete(f"{root}/{name}")
+        fs, claims = self._fs_path(f"{root}/{CLAIMS}")
+        if fs.exists(claims):  # a claim on what no reader can hold any more
+            for status in fs.listStatus(claims):
+                name = status.getPath().getName()
+                if name not in used and name not in live and name != "none" and id_of(name) < newest:
+                    fs.delete(status.getPath(), False)
 
     # -------------------------------------------------------------- batches
     def batch_ids(self, dataset: str, table: str) -> list[str]:
@@ -265,9 +357,16 @@ class TableStore:
         if state is not None:
             folders = self._state_folders(dataset, table, state)
             if folders:
-                df = self.spark.read.option("basePath", root).parquet(*[f"{root}/{f}" for f in folders]).drop(VERSION)
+                reader = self.spark.read.option("basePath", root)
+                if schema is not None and partitions is not None:
+                    reader = reader.schema(StructType([*schema.fields, StructField(VERSION, StringType(), True), *partitions.fields]))
+                df = reader.parquet(*[f"{root}/{f}" for f in folders]).drop(VERSION)
+            elif schema is not None and partitions is not None:
+                df = self.spark.createDataFrame([], StructType([*schema.fields, *partitions.fields]))
             else:
                 df = self.spark.read.parquet(current).limit(0)
+        elif current is not None and schema is not None and partitions is not None:
+            df = self.spark.read.schema(StructType([*schema.fields, *partitions.fields])).parquet(current)
         elif current is not None:
             df = self.spark.read.parquet(current)
         else:
