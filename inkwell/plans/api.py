@@ -36,13 +36,14 @@ class Warehouse:
     def _window(self, from_date, to_date) -> reports.DateWindow:
         return reports.window(from_date, to_date, settings=self.settings, today=self.today)
 
-    def _runs(self) -> DataFrame:
+    def _runs(self, newest: int) -> DataFrame:
         ops.ensure_base_tables(self.spark, self.lake)
-        return ops.read_runs(self.spark, self.lake)
+        return ops.newest_runs(self.spark, self.lake, newest)
 
     # ------------------------------------------------------------ analytics
     def overview(self, from_date=None, to_date=None) -> dict:
-        return reports.overview(self.tables, self._runs(), self._window(from_date, to_date), self.settings)
+        return reports.overview(self.tables, self._runs(self.settings.overview_run_sample),
+                                self._window(from_date, to_date), self.settings)
 
     def sections(self, from_date=None, to_date=None) -> dict:
         return reports.sections_report(self.tables, self._window(from_date, to_date))
@@ -71,7 +72,7 @@ class Warehouse:
         return reports.ops_status(self.tables, checks)
 
     def runs(self, limit: int = q.DEFAULT_RUN_LIMIT, offset: int = 0) -> DataFrame:
-        return run_ops.serialize_runs(q.pipeline_runs(self._runs(), limit, offset))
+        return run_ops.serialize_runs(q.pipeline_runs(self._runs(limit + offset), limit, offset))
 
     def backfill(self, landing_dir: str, start_date: str, end_date: str) -> dict:
         """Records the run as queued, loads the range (checked first) and records
@@ -93,5 +94,5 @@ class Warehouse:
         return {**report, "run_id": run_id}
 
     def backfill_status(self, run_id: str) -> DataFrame:
-        runs = run_ops.run_lookup(self._runs(), run_id, self.settings.backfill_dag_id)
-        return run_ops.serialize_runs(runs)
+        ops.ensure_base_tables(self.spark, self.lake)
+        return run_ops.serialize_runs(ops.find_run(self.spark, self.lake, run_id, self.settings.backfill_dag_id))

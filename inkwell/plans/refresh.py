@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.config import ANALYTICS, OPS, RAW, Lake, Settings, configure
+from inkwell.config import ANALYTICS, OPS, Lake, Settings, configure
 from inkwell.operators import quality, rollups
 from inkwell.operators.latest import LATEST_COLUMNS, article_key, articles_latest
 from inkwell.schemas import ARTICLES_RAW, DATA_QUALITY_RESULTS
@@ -114,7 +114,9 @@ def read_analytics(store: TableStore, name: str) -> DataFrame:
     return store.read(ANALYTICS, name, columns=COLUMNS.get(name))
 
 
+# Loads that the tables hold, those in folds left out; and the loads of the run at work.
 LEDGER = "articles_latest_batches"
+LOADS = "refresh_loads"
 # Dates an unfinished incremental run was changing; redone by the next run.
 PENDING = "refresh_pending_dates"
 # Per date and section: what MAT-7 is the aggregate of.
@@ -125,10 +127,9 @@ INDEX = "article_key_days"
 
 @dataclass
 class Delta:
-    """What an incremental run changes: the ledger after it, the publication
-    dates whose rows change, and the new rows of those dates."""
+    """What an incremental run changes: the publication dates whose rows change,
+    the new rows of those dates, and what the key index gets."""
 
-    batches: list[str]
     dates: list
     latest_rows: DataFrame | None = None
     index_rows: DataFrame | None = None
@@ -214,15 +215,20 @@ def article_days(store: TableStore, guardian_id: str) -> list | None:
     return None if not index.exists() else [*index.places_of(guardian_id), *_pending(store)]
 
 
+def compact_raw(store: TableStore, **bounds) -> int:
+    """Fold the small raw loads that the tables already hold."""
+    return landing.compact(store, store.read(ANALYTICS, LEDGER, columns=["batch"]), **bounds) if store.exists(ANALYTICS, LEDGER) else 0
+
+
 def _pending(store: TableStore) -> list:
     return [r[0] for r in store.read(ANALYTICS, PENDING).collect()] if store.exists(ANALYTICS, PENDING) else []
 
 
-def plan_delta(store: TableStore) -> Delta | None:
+def plan_delta(store: TableStore, loads: DataFrame | None = None) -> Delta | None:
     """The incremental change set, or None where there is no previous run.
 
-    Only keys that occur in committed raw batches not yet in the ledger can
-    change. The key index says on which dates their rows are; only these
+    Only keys that occur in raw loads (of ``loads``) not yet in the ledger can
+    change. Folded loads are in no ledger: only refreshed ones are folded. The key index says on which dates their rows are; only these
     dates of ``articles_latest`` are read (and those left by a run that died).
     The rows are found with a null-safe semi join, whose strategy Spark picks
     by the sizes it measures, deduplicated again together with the new rows,
@@ -235,13 +241,11 @@ def plan_delta(store: TableStore) -> Delta | None:
     if store.current(ANALYTICS, "articles_latest") is None or not store.exists(ANALYTICS, LEDGER) or not index.exists():
         return None
     tag = store.head(ANALYTICS, LEDGER)
-    committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)
-    seen = {r["batch"] for r in store.read(ANALYTICS, LEDGER).collect()}
-    new = [b for b in committed if b not in seen]
-    covered = sorted(seen | set(new))
+    loads = landing.live_loads(store) if loads is None else loads
     pending = set(_pending(store))
-    if not new:
-        return Delta(covered, sorted(pending, key=_by_day))
+    new = loads.where(~F.col("folded")).join(store.read(ANALYTICS, LEDGER, columns=["batch"]), "batch", "left_anti")
+    if new.isEmpty():
+        return Delta(sorted(pending, key=_by_day))
     fresh = landing.read_raw(store, new)
     keys = _keys(fresh).persist(StorageLevel.MEMORY_AND_DISK)
     known = index.of_keys(keys.select(F.col("_k").alias("key"))).persist(StorageLevel.MEMORY_AND_DISK)
@@ -251,7 +255,7 @@ def plan_delta(store: TableStore) -> Delta | None:
     winners = _winners(touched, fresh).persist(StorageLevel.MEMORY_AND_DISK)
     dates = sorted({r[0] for r in winners.select("publication_date").distinct().collect()} | old_days, key=_by_day)
     carried = _of_keys(prior.filter(in_dates(dates)), keys, "left_anti")
-    return Delta(covered, dates, carried.unionByName(winners), index_layer(winners, fresh, known), tag,
+    return Delta(dates, carried.unionByName(winners), index_layer(winners, fresh, known), tag,
                  cached=[keys, known, touched, winners])
 
 
@@ -264,12 +268,12 @@ def _write_dates(store: TableStore, dates: list) -> None:
                   ANALYTICS, PENDING)
 
 
-def _full_writers(store: TableStore, refreshed_at: datetime | None) -> dict[str, Callable[[], None]]:
+def _full_writers(store: TableStore, loads: DataFrame, refreshed_at: datetime | None) -> dict[str, Callable[[], None]]:
     def up(name: str) -> DataFrame:
         return read_analytics(store, name)
 
     builds: dict[str, Callable[[], DataFrame]] = {
-        "articles_latest": lambda: articles_latest(landing.read_raw(store)),
+        "articles_latest": lambda: articles_latest(landing.read_raw(store, loads)),
         "article_tags": lambda: rollups.article_tags(up("articles_latest")),
         "daily_volume": lambda: rollups.daily_volume(up("articles_latest")),
         "section_counts_daily": lambda: rollups.section_counts_daily(up("articles_latest")),
@@ -374,9 +378,11 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     """
     configure(spark)
     store = TableStore(spark, lake)
-    committed = store.committed_batch_ids(RAW, landing.RAW_TABLE)   # fixed for this run
-    writers = _full_writers(store, refreshed_at)
-    delta = plan_delta(store) if incremental and only is None else None
+    # the loads of this run, fixed: others may commit meanwhile
+    store.replace(landing.live_loads(store), ANALYTICS, LOADS)
+    loads = store.read(ANALYTICS, LOADS)
+    writers = _full_writers(store, loads, refreshed_at)
+    delta = plan_delta(store, loads) if incremental and only is None else None
     if delta is not None:
         writers = _incremental_writers(store, delta, writers, refreshed_at)
         # recorded before any write: if a step fails, the next run redoes
@@ -405,10 +411,9 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
         # a subset rebuild vouches for nothing: only a full set of steps moves
         # the index, then the ledger (and clears dates left by an unfinished run)
         if status == "materialized" and only is None:
-            indexed = Step.attempt(INDEX, lambda: _write_index(store, delta, committed), (fail or {}).get(INDEX))
+            indexed = Step.attempt(INDEX, lambda: _write_index(store, delta, loads), (fail or {}).get(INDEX))
             if indexed.usable:
-                batches = delta.batches if delta is not None else committed
-                store.replace(spark.createDataFrame([(b,) for b in batches], "batch string"), ANALYTICS, LEDGER)
+                store.replace(loads.where(~F.col("folded")).select("batch"), ANALYTICS, LEDGER)
                 _write_dates(store, [])
                 article_index(store).fold()
             else:
@@ -419,11 +424,11 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     return RefreshReport(status=status, steps=[done[n].as_dict() for n in names], error=error)
 
 
-def _write_index(store: TableStore, delta: Delta | None, committed: list[str]) -> None:
+def _write_index(store: TableStore, delta: Delta | None, loads: DataFrame) -> None:
     index = article_index(store)
     if delta is None:
         latest = read_analytics(store, "articles_latest")
-        index.rebuild(index_rows(latest, landing.read_raw(store, committed)), latest.count())
+        index.rebuild(index_rows(latest, landing.read_raw(store, loads)), latest.count())
     elif delta.index_rows is not None:
         index.add(delta.index_rows, delta.tag)
 

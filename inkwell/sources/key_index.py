@@ -11,7 +11,8 @@ layers is folded into one.
 
 Each layer of a run carries the run's ``tag``. A run that died after its layer
 and is done over again publishes the same tag, which replaces the layer: loads
-never count twice.
+never count twice. Two runs that add at the same time do not lose a layer: the
+second adds its own on top of the first's (``Conflict``, then again).
 
 The number of buckets is fixed by a rebuild from the number of keys and is
 part of each bucket's name (``3of64``).
@@ -26,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, LongType, StringType, StructField, StructType
 
-from inkwell.sources.store import TableStore
+from inkwell.sources.store import Conflict, TableStore
 
 KEYS_PER_BUCKET = 2_000_000
 MOST_BUCKETS = 4096
 MOST_LAYERS = 8
+ATTEMPTS = 5
 BUCKET = "bucket"
 
 
@@ -82,19 +84,31 @@ class KeyIndex:
     def _bucket(key: Column, n: int) -> Column:
         return F.concat(F.pmod(F.xxhash64(key), F.lit(n)).cast("string"), F.lit(f"of{n}"))
 
-    def _dealt(self, rows: DataFrame, n: int) -> DataFrame:
+    def _dealt(self, rows: DataFrame, n: int, seq: int | None) -> DataFrame:
         before = F.col("before") if "before" in rows.columns else F.lit(None).cast(self.schema["before"].dataType)
-        return rows.select("key", "place", before.alias("before"), "loads", F.lit(time.time_ns()).alias("seq"),
-                           self._bucket(F.col("key"), n).alias(BUCKET))
+        return rows.select("key", "place", before.alias("before"), "loads",
+                           F.lit(time.time_ns() if seq is None else seq).alias("seq"), self._bucket(F.col("key"), n).alias(BUCKET))
 
-    def rebuild(self, rows: DataFrame, keys: int) -> None:
+    def rebuild(self, rows: DataFrame, keys: int, tag: str = "", seq: int | None = None) -> None:
         n = min(MOST_BUCKETS, max(1, math.ceil(keys / KEYS_PER_BUCKET)))
-        self.store.replace(self._dealt(rows, n), self.dataset, self.table, partition_by=(BUCKET,), cluster_by=("key",))
-
-    def add(self, rows: DataFrame, tag: str = "") -> None:
-        """Publish a layer; an earlier one of the same tag goes."""
-        self.store.add_partitions(self._dealt(rows, self._count()), self.dataset, self.table, partition_by=BUCKET,
-                                  cluster_by=("key",), tag=tag)
+        self.store.replace(self._dealt(rows, n, seq), self.dataset, self.table, partition_by=(BUCKET,), cluster_by=("key",))
+        if tag:
+            self.store.tag_all(self.dataset, self.table, BUCKET, tag)
+
+    def newest_tag(self) -> str:
+        return self.store.newest_tag(self.dataset, self.table, BUCKET)
+
+    def add(self, rows: DataFrame, tag: str = "", seq: int | None = None) -> None:
+        """Publish a layer; an earlier one of the same tag goes. ``seq`` orders
+        layers where the time of writing does not."""
+        dealt = self._dealt(rows, self._count(), seq)
+        for attempt in range(ATTEMPTS):
+            try:
+                return self.store.add_partitions(dealt, self.dataset, self.table, partition_by=BUCKET, cluster_by=("key",),
+                                                 tag=tag, base=self.store.head(self.dataset, self.table))
+            except Conflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
 
     def fold(self) -> int:
         """Fold the buckets of more than ``most_layers`` layers; how many that were."""
@@ -104,7 +118,8 @@ class KeyIndex:
             rows = folded(self.layers().where(F.col(BUCKET).isin(*many)))
             self.store.replace_partitions(
                 rows.select(*self.schema.fieldNames(), self._bucket(F.col("key"), self._count()).alias(BUCKET)),
-                self.dataset, self.table, partition_by=BUCKET, values=many, cluster_by=("key",))
+                self.dataset, self.table, partition_by=BUCKET, values=many, cluster_by=("key",), tag=self.newest_tag(),
+                base=self.store.head(self.dataset, self.table))
         return len(many)
 
     def layers(self) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
+    DateType,
     LongType,
     StringType,
     StructField,
@@ -40,6 +41,10 @@ RESULTS_NOT_A_LIST = "results_not_a_list"
 
 RAW_TABLE = "articles_raw"
 LOAD_LOG_TABLE = "articles_raw_loads"
+FOLDS_TABLE = "articles_raw_folds"
+# Loads left apart, and rows from which a load is large enough as it is.
+MOST_LOADS = 100
+FOLD_ROWS = 10_000_000
 ACCEPTED = "accepted"
 
 
@@ -106,13 +111,29 @@ def explode_pages(text: DataFrame) -> DataFrame:
         F.col("_e.is_object").alias("_is_object"))
 
 
-def page_completeness(text: DataFrame) -> DataFrame:
+def page_completeness(text: DataFrame, days: tuple[date | str, date | str] | None = None) -> DataFrame:
     """Per fetch day: the pages the source announced, those landed, and whether
-    every announced page is there. Unreadable pages count as not landed."""
-    pages = read_pages(text).filter(F.col("page_reject").isNull())
-    return (pages.groupBy("day").agg(F.max(F.col("_env.pages").cast("long")).alias("announced"),
-                                     F.countDistinct("_page").alias("landed"))
-            .select("day", "announced", "landed", (F.col("landed") >= F.coalesce("announced", F.lit(0))).alias("complete")))
+    every announced page is there.
+
+    Every day with any landed text has a row, and with ``days`` every day of
+    that window. A day none of whose pages can be read announces nothing
+    (null) and has landed none; it is not complete, nor is a day of the
+    window without text. Unreadable pages count as not landed.
+    """
+    readable = F.col("page_reject").isNull()
+    found = read_pages(text).groupBy("day").agg(
+        F.max(F.when(readable, F.col("_env.pages").cast("long"))).alias("announced"),
+        F.countDistinct(F.when(readable, F.col("_page"))).alias("landed"),
+        F.count_if(~readable).alias("unreadable"))
+    if days is not None:
+        lo, hi = (F.lit(str(d)).cast("date") for d in days)
+        calendar = text.sparkSession.range(1).select(F.explode(F.sequence(lo, hi)).alias("day"))
+        found = calendar.join(found, "day", "left")
+    landed = F.coalesce("landed", F.lit(0))
+    # a day whose pages announce no number is complete once one of them is readable
+    complete = (landed > 0) & (landed >= F.coalesce("announced", F.lit(0)))
+    return found.select("day", "announced", landed.alias("landed"), F.coalesce("unreadable", F.lit(0)).alias("unreadable"),
+                        complete.alias("complete"))
 
 
 def _present(c: Column) -> Column:
@@ -203,34 +224,86 @@ def load(store: TableStore, text: DataFrame, ingested_at: datetime | Column, *,
 
 
 def _log_load(store: TableStore, batch_id: str, loaded: int, rejected: int,
-              max_ingested_at: datetime | None) -> None:
-    """One row per committed raw batch in the load log (its own batch id,
-    so a replayed load rewrites its row)."""
-    row = store.spark.createDataFrame([(loaded, rejected, max_ingested_at)], LOAD_LOG)
-    store.append(row, RAW, LOAD_LOG_TABLE, batch_id=batch_id)
+              max_ingested_at: datetime | None, folded: bool = False) -> None:
+    """The load's commit: one row in the load log, under the load's own batch id
+    (a replayed load rewrites its row). Rows of a load without it are never read."""
+    row = store.spark.createDataFrame([(loaded, rejected, max_ingested_at, folded)], LOAD_LOG)
+    store.append(row.coalesce(1), RAW, LOAD_LOG_TABLE, batch_id=batch_id)
 
 
 ACCEPTED_PARTITION = StructType([StructField(ACCEPTED, BooleanType(), True)])
 QUARANTINE = StructType([*ARTICLES_RAW.fields, StructField("reject_reason", StringType(), True)])
 # One row per load, in the load's own batch directory (UTC wall clock).
 LOAD_LOG = StructType([StructField("loaded", LongType(), True), StructField("rejected", LongType(), True),
-                       StructField("max_ingested_at", TimestampNTZType(), True)])
+                       StructField("max_ingested_at", TimestampNTZType(), True),
+                       StructField("folded", BooleanType(), True)])
+# Which loads a fold holds the rows of.
+FOLDS = StructType([StructField("load", StringType(), True)])
+# All columns that raw files may have.
+RAW_FILES = StructType([*ARTICLES_RAW.fields, StructField("landing_day", DateType(), True),
+                        StructField("reject_reason", StringType(), True)])
+
+
+def live_loads(store: TableStore) -> DataFrame:
+    """The load log: ``batch`` and the figures of every load whose rows count. A load
+    that a fold holds is left out as soon as the fold is in the log."""
+    log = store.rows(RAW, LOAD_LOG_TABLE, LOAD_LOG).withColumn("folded", F.coalesce("folded", F.lit(False)))
+    held = store.rows(RAW, FOLDS_TABLE, FOLDS).join(log.select("batch"), "batch", "left_semi").select(F.col("load").alias("batch"))
+    return log.join(held, "batch", "left_anti")
+
 
+def _of_loads(rows: DataFrame, loads: DataFrame, figure: str) -> DataFrame:
+    """Semi join on the partition column: Spark prunes the folders of all other
+    loads before the scan opens a file, and no name passes through the driver."""
+    return rows.join(loads.where(F.col(figure) > 0).select("batch"), "batch", "left_semi")
 
-def read_raw(store: TableStore, batches: list[str] | None = None) -> DataFrame:
+
+def read_raw(store: TableStore, loads: DataFrame | None = None) -> DataFrame:
     """``articles_raw``: the accepted rows of every load, or of the given
-    batches only (a partition filter: files of other batches are pruned
-    before the scan opens any)."""
-    where = F.col(ACCEPTED)
-    if batches is not None:
-        where = where & F.col("batch").isin(*batches) if batches else F.lit(False)
-    return store.read(RAW, RAW_TABLE, schema=ARTICLES_RAW, partitions=ACCEPTED_PARTITION, where=where)
+    rows of the load log only."""
+    rows = store.rows(RAW, RAW_TABLE, ARTICLES_RAW, ACCEPTED_PARTITION).where(F.col(ACCEPTED))
+    return _of_loads(rows, live_loads(store) if loads is None else loads, "loaded").select(*ARTICLES_RAW.fieldNames())
 
 
 def read_quarantine(store: TableStore) -> DataFrame:
     """The rejected rows of every load, with their reason."""
-    return store.read(RAW, RAW_TABLE, schema=QUARANTINE, partitions=ACCEPTED_PARTITION,
-                      where=~F.col(ACCEPTED))
+    rows = store.rows(RAW, RAW_TABLE, QUARANTINE, ACCEPTED_PARTITION).where(~F.col(ACCEPTED))
+    return _of_loads(rows, live_loads(store), "rejected").select(*QUARANTINE.fieldNames())
+
+
+def compact(store: TableStore, refreshed: DataFrame, *, most_loads: int = MOST_LOADS, fold_rows: int = FOLD_ROWS) -> int:
+    """Fold the small loads into one folder once there are more than ``most_loads``;
+    how many were folded.
+
+    Only loads among ``refreshed`` (column ``batch``), or folds, are taken: their
+    rows need not be told apart by load any more. Loads of ``fold_rows`` rows
+    and more are left as they are. The fold first writes which loads it
+    holds, then their rows, then its log row, which makes it count and them
+    not in one step: a run that dies before leaves every count as it was.
+    The folders of a fold's loads go with the next fold, when no reader holds
+    them any more.
+    """
+    small = (live_loads(store).where(F.col("loaded") + F.col("rejected") < fold_rows)
+             .join(refreshed.select("batch", F.lit(True).alias("_seen")), "batch", "left").where(F.col("folded") | F.col("_seen")))
+    if small.count() <= most_loads:
+        return 0
+    # loads of folds that were already in the log
+    log = store.rows(RAW, LOAD_LOG_TABLE, LOAD_LOG)
+    old = store.rows(RAW, FOLDS_TABLE, FOLDS).join(log.select("batch"), "batch", "left_semi").select("load").distinct().persist()
+    old.count()
+    name = f"{new_id()}-fold"
+    store.append(small.select(F.col("batch").alias("load")).coalesce(1), RAW, FOLDS_TABLE, batch_id=name)
+    held = store.rows(RAW, FOLDS_TABLE, FOLDS).where(F.col("batch") == name).select(F.col("load").alias("batch"))
+    rows = store.rows(RAW, RAW_TABLE, RAW_FILES, ACCEPTED_PARTITION).join(held, "batch", "left_semi")
+    store.append(rows.select(*RAW_FILES.fieldNames(), ACCEPTED), RAW, RAW_TABLE, batch_id=name, partition_by=(ACCEPTED,))
+    n, loaded, rejected, newest = log.join(held, "batch", "left_semi").agg(
+        F.count(F.lit(1)), F.sum("loaded"), F.sum("rejected"), F.max("max_ingested_at")).first()
+    _log_load(store, name, loaded, rejected, newest, folded=True)
+    for row in old.toLocalIterator():
+        for table in (RAW_TABLE, LOAD_LOG_TABLE):
+            store.delete_batch(RAW, table, row["load"])
+    old.unpersist()
+    return n
 
 
 def append_raw(store: TableStore, rows: DataFrame, *, batch_id: str | None = None) -> str:
@@ -247,31 +320,12 @@ def append_raw(store: TableStore, rows: DataFrame, *, batch_id: str | None = Non
     return path
 
 
-def _from_log(store: TableStore) -> tuple[DataFrame, list[str]]:
-    """Load-log rows of committed raw batches, and committed batches the log
-    lacks (a crash between the data write and its log row)."""
-    committed = store.committed_batch_ids(RAW, RAW_TABLE)
-    log = store.read(RAW, LOAD_LOG_TABLE, schema=LOAD_LOG, columns=["batch", *LOAD_LOG.fieldNames()])
-    logged = log.filter(F.col("batch").isin(*committed)) if committed else log.limit(0)
-    known = {r["batch"] for r in logged.select("batch").collect()}
-    return logged, [b for b in committed if b not in known]
-
-
 def raw_article_count(store: TableStore) -> int:
-    """SRC-8: rows of raw; 0 when the table is missing. Summed from the
-    load log; only batches missing from it are counted from their files."""
-    logged, missing = _from_log(store)
-    total = logged.agg(F.sum("loaded")).first()[0] or 0
-    return int(total) + (read_raw(store, missing).count() if missing else 0)
+    """SRC-8: rows of raw, summed over the load log; 0 when the table is missing."""
+    return int(live_loads(store).agg(F.sum("loaded")).first()[0] or 0)
 
 
 def latest_ingested_at(store: TableStore) -> datetime | None:
     """SRC-9: ``MAX(ingested_at)`` of raw; None when missing or empty.
-    Read from the load log (one row per batch), not from a scan of raw."""
-    logged, missing = _from_log(store)
-    values = [logged.agg(F.max("max_ingested_at")).first()[0]]
-    if missing:
-        values.append(read_raw(store, missing).agg(
-            F.max(F.col("ingested_at").cast("timestamp_ntz"))).first()[0])
-    values = [v for v in values if v is not None]
-    return max(values) if values else None
+    Read from the load log (one row per load), not from a scan of raw."""
+    return live_loads(store).agg(F.max("max_ingested_at")).first()[0]

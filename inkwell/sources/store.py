@@ -134,6 +134,14 @@ class TableStore:
         return [folder for folder, _ in self._entries(dataset, table, column)]
 
     # ---------------------------------------------------------- conflicts
+    def newest_tag(self, dataset: str, table: str, column: str) -> str:
+        """Tag of the directory written last."""
+        return max(self._entries(dataset, table, column), default=("", ""))[1]
+
+    def tag_all(self, dataset: str, table: str, column: str, tag: str) -> None:
+        """Publish the table as it is, every directory under ``tag``."""
+        self._publish(dataset, table, new_id(), [f"{f}\t{tag}" for f in self.partition_folders(dataset, table, column)])
+
     def head(self, dataset: str, table: str) -> str:
         """Name of what a reader sees now: the newest state or version."""
         state, current = self._state(dataset, table), self.current(dataset, table)
@@ -228,7 +236,8 @@ class TableStore:
 
     def replace_partitions(self, df: DataFrame, dataset: str, table: str, *, partition_by: str,
                            values: Sequence, cluster_by: Sequence[str] = (),
-                           bloom_filters: Sequence[str] = (), keep: int = 2, base: str | None = None) -> None:
+                           bloom_filters: Sequence[str] = (), tag: str = "", keep: int = 2,
+                           base: str | None = None) -> None:
         """Replace the ``values`` partitions; those without rows go.
 
         The other partitions are neither read nor copied: the state that is
@@ -237,7 +246,7 @@ class TableStore:
         """
         replaced = {f"{partition_by}={NULL_PARTITION if v is None else v}" for v in values}
         self._patch(df, dataset, table, partition_by, lambda name, _, written: name in replaced or name in written,
-                    cluster_by=cluster_by, bloom_filters=bloom_filters, keep=keep, base=base)
+                    tag=tag, cluster_by=cluster_by, bloom_filters=bloom_filters, keep=keep, base=base)
 
     def add_partitions(self, df: DataFrame, dataset: str, table: str, *, partition_by: str, tag: str = "",
                        cluster_by: Sequence[str] = (), keep: int = 2, base: str | None = None) -> None:
@@ -322,6 +331,9 @@ class TableStore:
         found = fs.globStatus(pattern) or []
         return sorted(s.getPath().getParent().getName().split("=", 1)[1] for s in found)
 
+    def delete_batch(self, dataset: str, table: str, batch_id: str) -> None:
+        self.delete(f"{self.table_path(dataset, table)}/{BATCH}={batch_id}")
+
     def batches(self, dataset: str, table: str) -> list[str]:
         root = self.table_path(dataset, table)
         return [f"{root}/{name}" for name in self._children(root, BATCH)
@@ -394,6 +406,16 @@ class TableStore:
             df = df.select(*schema.fieldNames())
         return df
 
+    def rows(self, dataset: str, table: str, schema: StructType, partitions: StructType | None = None) -> DataFrame:
+        """Every row that lies in an append table, with its ``batch``: also of loads
+        that never ended. What counts is for the caller to join."""
+        root = self.table_path(dataset, table)
+        whole = StructType([*schema.fields, StructField(BATCH, StringType(), True), *(partitions.fields if partitions else [])])
+        fs, path = self._fs_path(root)
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.option("basePath", root).schema(whole).parquet(root)
+
     def ensure(self, dataset: str, table: str, schema: StructType) -> bool:
         """SRC-7: create an empty committed version if the table is absent."""
         if self.exists(dataset, table):

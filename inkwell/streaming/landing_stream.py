@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inkwell.config import RAW, Lake, configure
+from inkwell.config import Lake, configure
 from inkwell.sources import landing
 from inkwell.sources.store import TableStore
 
@@ -73,4 +73,4 @@ def run_available_now(spark: SparkSession, lake: Lake, landing_dir: str, **kwarg
     """Drain the landing folder once; returns the raw batches written so far."""
     query = start(spark, lake, landing_dir, available_now=True, **kwargs)
     query.awaitTermination()
-    return len(TableStore(spark, lake).batches(RAW, landing.RAW_TABLE))
+    return landing.live_loads(TableStore(spark, lake)).count()

@@ -117,14 +117,70 @@ def test_counts_and_watermark_come_from_the_load_log(spark, scratch):
     store = TableStore(spark, lake)
     raw = adapters.articles_raw(spark, "/root/testdata/sf0.001")
     landing.append_raw(store, raw.filter("event_type = 'view'"), batch_id="0001")
-    # a batch whose data committed but whose log row was never written
+    # a load that died between its data and its log row counts nowhere
     orphan = raw.filter("event_type = 'click'").withColumn("accepted", F.lit(True))
     store.append(orphan, RAW, landing.RAW_TABLE, batch_id="0002", partition_by=("accepted",))
-    assert landing.raw_article_count(store) == raw.filter("event_type in ('view', 'click')").count()
-    expected = raw.filter("event_type in ('view', 'click')").agg(
-        F.max(F.col("ingested_at").cast("timestamp_ntz"))).first()[0]
-    assert landing.latest_ingested_at(store) == expected
-    assert store.batch_ids(RAW, landing.LOAD_LOG_TABLE) == ["0001"]
+    views = raw.filter("event_type = 'view'")
+    assert landing.raw_article_count(store) == views.count() == landing.read_raw(store).count()
+    assert landing.latest_ingested_at(store) == views.agg(F.max(F.col("ingested_at").cast("timestamp_ntz"))).first()[0]
+    # done over again under its id it counts once
+    landing.append_raw(store, raw.filter("event_type = 'click'"), batch_id="0002")
+    assert landing.raw_article_count(store) == raw.filter("event_type in ('view', 'click')").count() == landing.read_raw(store).count()
+
+
+def test_folding_loads_changes_no_row(spark, scratch, monkeypatch):
+    """Counts, rows and rejects before, after, and after a fold that dies at each of its three writes."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from inkwell.config import RAW
+    from inkwell.sources import adapters
+
+    lake = Lake(f"{scratch}/lake-folds")
+    store = TableStore(spark, lake)
+    pages = adapters.landing_pages_from_events(adapters.read_table(spark, "/root/testdata/sf0.001", "events"))
+    text = pages.select("value", "day", F.lit(None).cast("string").alias("file_path")).persist()
+    days = [r["day"] for r in text.select("day").distinct().orderBy("day").limit(5).collect()]
+    for i, day in enumerate(days):
+        landing.load(store, text.where(F.col("day") == day), STAMP, batch_id=f"{i:04d}")
+
+    def seen():
+        rows = lambda df: sorted(map(str, df.drop("tags").collect()))
+        return (landing.raw_article_count(store), landing.latest_ingested_at(store), rows(landing.read_raw(store)),
+                rows(landing.read_quarantine(store)))
+
+    def folders():
+        return {n.split("=")[1] for n in os.listdir(store.table_path(RAW, landing.RAW_TABLE)) if n.startswith("batch=")}
+
+    before = seen()
+    assert before[0] == len(before[2]) > 0 and before[3]
+    done = spark.createDataFrame([(f"{i:04d}",) for i in range(4)], "batch string")     # the fifth is not refreshed yet
+    assert landing.compact(store, done, most_loads=4) == 0
+    append = TableStore.append
+    for table in (landing.FOLDS_TABLE, landing.RAW_TABLE, landing.LOAD_LOG_TABLE):
+        def die(self, df, dataset, name, **kw):
+            if name == table:
+                raise RuntimeError("died")
+            return append(self, df, dataset, name, **kw)
+
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(TableStore, "append", die)
+            landing.compact(store, done, most_loads=2)
+        assert seen() == before, table
+    assert landing.compact(store, done, most_loads=2) == 4
+    assert seen() == before and landing.live_loads(store).count() == 2
+    assert {f"{i:04d}" for i in range(5)} <= folders()          # a reader may still hold them
+    # the next fold takes the fold in, and removes what the first one held
+    done = spark.createDataFrame([("0004",)], "batch string")
+    assert landing.compact(store, done, most_loads=1) == 2
+    assert seen() == before and landing.live_loads(store).count() == 1
+    assert not {f"{i:04d}" for i in range(4)} & folders() and "0004" in folders()
+    # large loads stay as they are
+    assert landing.compact(store, done, most_loads=0, fold_rows=10) == 0
+    plan = landing.read_raw(store)._jdf.queryExecution().executedPlan().toString()
+    assert "0004" not in plan and "dynamicpruning" in plan
+    text.unpersist()
 
 
 def test_hourly_run_ingests_rebuilds_and_checks(spark, scratch, landing_dir):
@@ -164,7 +220,18 @@ def test_no_page_vanishes(spark, scratch):
     assert kept[2] == pages[2] and kept[4] == pages[4]
     text = landing.read_landing(spark, root, one_page_per_file=True)
     day = landing.page_completeness(text).first()
-    assert (day["announced"], day["landed"], day["complete"]) == (7, 2, False)
+    assert (day["announced"], day["landed"], day["unreadable"], day["complete"]) == (7, 2, 5, False)
+    # a day of broken pages only, and a day of the window without any page
+    bad = os.path.join(root, "day=2026-03-13")
+    os.makedirs(bad)
+    for page in (1, 2):
+        with open(os.path.join(bad, f"page-{page:05d}.json"), "w") as fh:
+            fh.write("<html>")
+    text = landing.read_landing(spark, root, one_page_per_file=True)
+    found = [tuple(r) for r in landing.page_completeness(text, (date(2026, 3, 11), date(2026, 3, 13))).orderBy("day").collect()]
+    assert found == [(date(2026, 3, 11), 7, 2, 5, False), (date(2026, 3, 12), None, 0, 0, False),
+                     (date(2026, 3, 13), None, 0, 2, False)]
+    assert landing.page_completeness(text).count() == 2
 
 
 def test_pretty_page_read_as_lines_is_rejected_not_lost(spark, scratch):

@@ -138,13 +138,85 @@ def test_incremental_plan_filters_untouched_rows_map_side(spark, scratch):
     late = adapters.articles_raw(spark, SF_SMALL).filter("published_at >= timestamp'2024-01-29'")
     landing.append_raw(store, late, batch_id="0001")
     delta = refresh.plan_delta(store)
-    assert delta.batches == ["0000", "0001"]
     assert [str(d) for d in delta.dates] == ["2024-01-29", "2024-01-30"]
     text = delta.latest_rows._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in text and "ResolvedHint" not in text
+    # every scan of the table is of day folders that the index named
+    scans = [part.split("ReadSchema")[0] for part in text.split("Scan parquet")[1:] if "web_title" in part.split("ReadSchema")[1][:400]]
+    assert scans and all("PartitionFilters: [" in x and "PartitionFilters: []" not in x for x in scans)
     delta.release()
 
 
+def _index(store):
+    return sorted((str(r["key"]), str(r["place"]), r["loads"]) for r in refresh.article_index(store).read().collect())
+
+
+def _index_anew(store):
+    raw = landing.read_raw(store)
+    return sorted((str(r["key"]), str(r["place"]), r["loads"]) for r in refresh.index_rows(
+        Tables(raw=raw).articles_latest, raw).collect())
+
+
+def test_key_index_follows_every_run(spark, scratch, monkeypatch):
+    """Layers, folds, runs that die before, in and after the index's write: places and
+    loads equal those counted from raw, and each article is found on its day alone."""
+    from conftest import raw_rows
+    from pyspark.sql import functions as F
+
+    from inkwell.plans.api import Warehouse
+    from inkwell.sources import key_index
+
+    monkeypatch.setattr(key_index, "KEYS_PER_BUCKET", 100)
+    monkeypatch.setattr(refresh, "article_index", lambda s: key_index.KeyIndex(s, ANALYTICS, refresh.INDEX, most_layers=2))
+    raw = adapters.articles_raw(spark, SF_SMALL)
+
+    def moving(day):
+        return raw_rows(spark, [{"guardian_id": "moving", "web_url": "u", "web_title": day, "section_name": "World", "tags": [],
+                                 "published_at": f"{day} 10:00:00", "ingested_at": f"2025-{day[5:]} 00:00:00", "api_response_page": 1},
+                                {"guardian_id": None, "web_url": "v", "web_title": "undated", "published_at": None,
+                                 "ingested_at": "2024-02-01 00:00:00", "api_response_page": 1}])
+
+    lake = Lake(f"{scratch}/lake-index")
+    store = TableStore(spark, lake)
+    landing.append_raw(store, raw.where(F.col("published_at") < "2024-01-10").unionByName(moving("2024-01-02")), batch_id="first")
+    assert refresh.run_transforms(spark, lake).status == "materialized"
+    assert _index(store) == _index_anew(store) and len(refresh.article_index(store)._buckets()) > 1
+    replace = TableStore.replace
+
+    def no_ledger(self, df, dataset, table, **kw):
+        if table == refresh.LEDGER:
+            raise RuntimeError("died after the index")
+        return replace(self, df, dataset, table, **kw)
+
+    for i, (day, broken) in enumerate([("2024-01-12", None), ("2024-01-20", "index"), ("2024-01-15", "ledger"), ("2024-01-03", "tags")]):
+        landing.append_raw(store, raw.where(F.to_date("published_at") == day).unionByName(moving(day)), batch_id=f"{i:04d}")
+        if broken == "ledger":
+            with monkeypatch.context() as m, pytest.raises(RuntimeError):
+                m.setattr(TableStore, "replace", no_ledger)
+                refresh.run_transforms(spark, lake, incremental=True)
+        elif broken:
+            died = refresh.run_transforms(spark, lake, incremental=True, fail={
+                refresh.INDEX if broken == "index" else "article_tags": RuntimeError("died")})
+            assert died.status == "failed" and (died.error == "died") == (broken == "index")
+        if broken:
+            # between the runs the article is found wherever the table has it
+            assert Warehouse(spark, lake).article("moving").first()["web_title"] == day
+            landing.append_raw(store, moving(day), batch_id=f"{i:04d}b")   # the next run covers more than the one that died
+        assert refresh.run_transforms(spark, lake, incremental=True).status == "materialized"
+        assert _index(store) == _index_anew(store), day
+        # the day now, and the one before
+        assert len(refresh.article_index(store).places_of("moving")) <= 5
+        assert Warehouse(spark, lake).article("moving").first()["web_title"] == day
+    assert Warehouse(spark, lake).article("no such article").count() == 0
+    plan = Warehouse(spark, lake).article("moving")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(publication_date" in plan or "PartitionFilters: [coalesce(publication_date" in plan
+    # DQ-3 is counted from the index, without raw
+    ids = landing.read_raw(store).where("guardian_id IS NOT NULL").groupBy("guardian_id").count().where("count > 1").count()
+    refresh.run_quality_checks(spark, lake, extended=True, as_of=STAMP)
+    found = store.read("ops", "data_quality_results").where("check_name = 'Duplicate guardian IDs'").first()
+    assert found["observed_value"] == str(ids)
+
+
 def _table(spark, lake, name):
     df = refresh.read_analytics(TableStore(spark, lake), name)
     cols = [c for c in df.columns if c not in ("raw_payload", "refreshed_at")]

@@ -141,3 +141,117 @@ def test_null_keys_go_around_the_join(spark):
     source = _runs(spark, [(None, "d", "success", "system", t, None, "w", None), ("a", "d", "success", "system", t, None, "w", None)])
     rows = sorted((r["run_id"] or "", r["status"]) for r in run_ops.upsert_runs(target, source).collect())
     assert rows == [("", "running"), ("", "success"), ("a", "success")]
+
+
+def _reported(spark, *rows):
+    from inkwell.schemas import RUN_RECORD
+
+    return spark.createDataFrame([(run, "guardian_ingest_recent", state, start, None, start, None) for run, state, start in rows], RUN_RECORD)
+
+
+def _stored(spark, lake):
+    from inkwell.plans import ops
+
+    return sorted((r["run_id"], r["status"], str(r["started_at"])[:7]) for r in ops.read_runs(spark, lake).collect())
+
+
+def test_a_sync_writes_only_the_months_of_its_runs(spark, scratch):
+    from inkwell.config import OPS, Lake
+    from inkwell.plans import ops
+    from inkwell.sources.store import TableStore
+
+    lake = Lake(f"{scratch}/lake-months")
+    store = TableStore(spark, lake)
+    folder = lambda: {f.split("=")[-1]: f for f in store.partition_folders(OPS, ops.RUNS_TABLE, ops.MONTH)}
+    ops.sync_pipeline_runs(spark, lake, _reported(spark, *[(f"r{m}", "running", f"2026-{m:02d}-05T00:00:00Z") for m in range(1, 7)],
+                                                 ("open", "queued", None)))
+    first = folder()
+    assert sorted(first) == [f"2026-{m:02d}" for m in range(1, 7)] + ["__HIVE_DEFAULT_PARTITION__"]
+    # one run ends, one moves from February to May, one gets its start
+    ops.sync_pipeline_runs(spark, lake, _reported(spark, ("r6", "success", "2026-06-05T00:00:00Z"), ("r2", "success", "2026-05-09T00:00:00Z"),
+                                                 ("open", "success", "2026-06-08T00:00:00Z")))
+    second = folder()
+    assert sorted(second) == ["2026-01", "2026-03", "2026-04", "2026-05", "2026-06"]
+    assert all(first[m] == second[m] for m in ("2026-01", "2026-03", "2026-04"))
+    assert _stored(spark, lake) == [("open", "success", "2026-06"), ("r1", "running", "2026-01"), ("r2", "success", "2026-05"),
+                                    ("r3", "running", "2026-03"), ("r4", "running", "2026-04"), ("r5", "running", "2026-05"),
+                                    ("r6", "success", "2026-06")]
+    # a list of the latest runs opens the newest months only; a lookup those of its run
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert [r["run_id"] for r in ops.newest_runs(spark, lake, 2).orderBy("run_id").collect()] == ["open", "r6"]
+    assert ops.newest_runs(spark, lake, 100).count() == 7
+    found = ops.find_run(spark, lake, "r2", "guardian_ingest_recent")
+    assert found.count() == 1 and "2026-05" in plan(found) and "2026-06" not in plan(found)
+    assert ops.find_run(spark, lake, "none", "guardian_ingest_recent").count() == 0
+
+
+def test_a_sync_that_died_before_its_index_is_repaired(spark, scratch, monkeypatch):
+    import pytest
+
+    from inkwell.config import Lake
+    from inkwell.plans import ops
+    from inkwell.sources.key_index import KeyIndex
+
+    lake = Lake(f"{scratch}/lake-dead-sync")
+    ops.sync_pipeline_runs(spark, lake, _reported(spark, ("a", "running", "2026-01-05T00:00:00Z"), ("b", "running", "2026-01-06T00:00:00Z")))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(KeyIndex, "add", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("died")))
+        ops.sync_pipeline_runs(spark, lake, _reported(spark, ("a", "running", "2026-02-05T00:00:00Z")))
+    assert ops.find_run(spark, lake, "a", "guardian_ingest_recent").count() == 1
+    ops.sync_pipeline_runs(spark, lake, _reported(spark, ("a", "success", "2026-03-05T00:00:00Z")))
+    assert _stored(spark, lake) == [("a", "success", "2026-03"), ("b", "running", "2026-01")]
+
+
+def test_interleaved_syncs_lose_nothing(spark, scratch, monkeypatch):
+    """Another sync publishes between the read and the publication of this one."""
+    from inkwell.config import Lake
+    from inkwell.plans import ops
+    from inkwell.sources.store import TableStore
+
+    lake = Lake(f"{scratch}/lake-two-syncs")
+    ops.sync_pipeline_runs(spark, lake, _reported(spark, ("a", "running", "2026-01-05T00:00:00Z")))
+    upsert, calls = run_ops.upsert_runs, []
+
+    def slow(target, source):
+        out = upsert(target, source)
+        calls.append(1)
+        if len(calls) == 1:
+            ops.sync_pipeline_runs(spark, lake, _reported(spark, ("b", "failed", "2026-01-07T00:00:00Z")))
+        return out
+
+    monkeypatch.setattr(run_ops, "upsert_runs", slow)
+    feed = ops.sync_pipeline_runs(spark, lake, _reported(spark, ("a", "failed", "2026-01-05T00:00:00Z")))
+    assert len(calls) == 3                       # this one, the other one, this one again
+    assert _stored(spark, lake) == [("a", "failed", "2026-01"), ("b", "failed", "2026-01")]
+    assert sorted(r["run_id"] for r in feed.collect()) == ["a", "b"]
+    assert TableStore(spark, lake).read("ops", ops.OPEN_MONTHS).count() == 1
+
+
+def test_undelivered_failures_stay_in_the_feed(spark, scratch):
+    """Also when no sync reports the run again, or only other months' runs."""
+    from inkwell.config import Lake
+    from inkwell.plans import ops
+
+    lake = Lake(f"{scratch}/lake-feed")
+    ids = lambda feed: sorted(r["run_id"] for r in feed.collect())
+    assert ids(ops.sync_pipeline_runs(spark, lake, _reported(spark, ("x", "failed", "2026-01-05T00:00:00Z")))) == ["x"]
+    feed = ops.sync_pipeline_runs(spark, lake, _reported(spark, ("y", "failed", "2026-04-05T00:00:00Z")))
+    assert ids(feed) == ["x", "y"]
+    ops.acknowledge(spark, lake, feed.where("run_id = 'y'"))
+    assert ids(ops.sync_pipeline_runs(spark, lake, _reported(spark, ("z", "success", "2026-05-05T00:00:00Z")))) == ["x"]
+    ops.acknowledge(spark, lake, feed.where("run_id = 'x'"))
+    assert ids(ops.sync_pipeline_runs(spark, lake, _reported(spark, ("z", "success", "2026-05-05T00:00:00Z")))) == []
+
+
+def test_a_failed_local_backfill_is_fed(spark, scratch):
+    import pytest
+
+    from inkwell.config import Lake
+    from inkwell.plans import ops
+    from inkwell.plans.api import Warehouse
+
+    lake = Lake(f"{scratch}/lake-local-backfill")
+    with pytest.raises(Exception):
+        Warehouse(spark, lake).backfill(f"{scratch}/no-such-landing", "2026-03-01", "2026-03-02")
+    feed = ops.sync_pipeline_runs(spark, lake, _reported(spark, ("r", "success", "2026-05-05T00:00:00Z"))).collect()
+    assert [(r["dag_id"], r["window"]) for r in feed] == [("guardian_backfill_range", "2026-03-01 to 2026-03-02")]

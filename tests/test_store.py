@@ -87,3 +87,50 @@ def test_uncommitted_batches_are_not_read(spark, scratch):
     assert store.read("r", "t", schema=schema).count() == 1
     os.remove(store.table_path("r", "t") + "/batch=b1/_SUCCESS")
     assert store.read("r", "t", schema=schema).count() == 0
+
+
+def test_of_two_writers_on_one_version_the_second_conflicts(spark, scratch):
+    import time
+
+    from inkwell.sources import store as module
+
+    store = TableStore(spark, Lake(tempfile.mkdtemp(prefix="store-", dir=scratch)))
+    one = lambda x: spark.createDataFrame([(x,)], "x int")
+    assert store.head("a", "t") == "none"
+    store.replace(one(1), "a", "t", base="none")
+    base = store.head("a", "t")
+    store.replace(one(2), "a", "t", base=base)
+    for stale in (base, "none"):
+        with pytest.raises(module.Conflict):
+            store.replace(one(3), "a", "t", base=stale)
+    assert [r["x"] for r in store.read("a", "t").collect()] == [2]
+    # both have read the same version; the other one has claimed it and not published yet
+    base = store.head("a", "t")
+    store._claim("a", "t", base, "version=00000000000000000009-dead")
+    with pytest.raises(module.Conflict):
+        store.replace(one(4), "a", "t", base=base)
+    assert len([n for n in os.listdir(store.table_path("a", "t")) if n.startswith("version=")]) == 2   # the loser left nothing
+    # a claim whose writer died is taken over after a while
+    claim = f"{store.table_path('a', 't')}/{module.CLAIMS}/{base}"
+    os.utime(claim, (time.time() - 2 * module.STALE_CLAIM,) * 2)
+    store.replace(one(5), "a", "t", base=base)
+    assert [r["x"] for r in store.read("a", "t").collect()] == [5]
+
+
+def test_added_partitions_and_tags(spark, scratch):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    store = TableStore(spark, Lake(tempfile.mkdtemp(prefix="store-", dir=scratch)))
+    row = lambda x, d: spark.createDataFrame([(x, d)], "x int, d string")
+    read = lambda: sorted(tuple(r) for r in store.read("a", "p", schema=StructType([StructField("x", IntegerType())]),
+                          partitions=StructType([StructField("d", StringType())]), columns=["x", "d"]).collect())
+    store.replace(row(1, "k"), "a", "p", partition_by=("d",))
+    store.add_partitions(row(2, "k"), "a", "p", partition_by="d", tag="run 1")
+    store.add_partitions(row(3, "m"), "a", "p", partition_by="d", tag="run 2")
+    assert read() == [(1, "k"), (2, "k"), (3, "m")] and store.newest_tag("a", "p", "d") == "run 2"
+    store.add_partitions(row(4, "k"), "a", "p", partition_by="d", tag="run 2")        # done over again
+    assert read() == [(1, "k"), (2, "k"), (4, "k")]
+    store.replace_partitions(row(5, "k"), "a", "p", partition_by="d", values=["k"])
+    assert read() == [(5, "k")]
+    with pytest.raises(Exception, match="no longer the newest"):
+        store.add_partitions(row(6, "k"), "a", "p", partition_by="d", base="none")
