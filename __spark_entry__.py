@@ -16,6 +16,9 @@ left out of the comparison.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import warnings
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -23,16 +26,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.config import configure
+from inkwell.config import Lake, configure
 from inkwell.functions.formats import plain_types
 from inkwell.operators import quality, rollups
 from inkwell.operators import runs as run_ops
 from inkwell.operators.latest import articles_latest
-from inkwell.plans import ingest, refresh
+from inkwell.plans import ingest, ops, refresh
 from inkwell.plans import queries as q
 from inkwell.plans import reports
+from inkwell.plans.api import Warehouse
 from inkwell.plans.catalog import TABLES, Tables
 from inkwell.sources import adapters, landing
+from inkwell.sources.store import TableStore
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -83,9 +88,9 @@ def _training_data() -> tuple[dict, dict]:
     try:
         import corpus_pipeline
         from inkwell.llm import registry
-    except ModuleNotFoundError as e:
-        if e.name not in ("corpus_pipeline", "inkwell.llm"):
-            raise
+    except ImportError as e:
+        # absent on purpose, or one of its third-party modules is: the warehouse works without
+        warnings.warn(f"no training-data queries: {e}", stacklevel=2)
         return {}, {}
     sql = registry.oracle_sql()
     if corpus_pipeline.ORACLE_SQL:
@@ -126,6 +131,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _t(s, d).articles_latest, *DEFAULT_WINDOW, tag=SEARCH_TAG)),
         "article_detail": lambda s, d: plain_types(q.article_detail(_t(s, d).articles_latest, DETAIL_ID)),
         **_more_queries(),
+        **_job_queries(),
     }
 
 
@@ -139,6 +145,79 @@ def _validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.validated(_landed_text(spark, sf_dir), AS_OF_TS)
 
 
+_lakes: dict[tuple[str, str], Lake] = {}
+
+
+def _lake(spark: SparkSession, sf_dir: str) -> Lake:
+    """A warehouse in the shared folder, filled and refreshed by the jobs, once per
+    session: all rows before ``MERGE_FROM`` and a full refresh, then the rows
+    since, an incremental refresh, the fold of both loads, and two run syncs, the
+    failures of the first one acknowledged."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _lakes:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        lake = Lake(f"{root or tempfile.mkdtemp(prefix='inkwell-lake-')}/lake-{uuid.uuid4().hex}")
+        store, raw = TableStore(spark, lake), _t(spark, sf_dir).raw
+        late = F.col("ingested_at") >= F.lit(MERGE_FROM).cast("timestamp")
+        for rows, incremental in ((raw.filter(~late), False), (raw.filter(late), True)):
+            landing.append_raw(store, rows)
+            report = refresh.run_transforms(spark, lake, refreshed_at=AS_OF_TS, incremental=incremental)
+            if report.status != "materialized":
+                raise RuntimeError(report)
+        refresh.compact_raw(store, most_loads=1)
+        events = adapters.read_table(spark, sf_dir, "events")
+        day = F.col("ts")
+        for when, sync in enumerate((day < F.lit(HISTORY_BEFORE).cast("timestamp_ntz"), day >= F.lit(SYNC_FROM).cast("timestamp_ntz"))):
+            feed = ops.sync_pipeline_runs(spark, lake, adapters.run_records_from_events(events.filter(sync)))
+            if when == 0:
+                ops.acknowledge(spark, lake, feed)
+        _lakes[key] = lake
+    return _lakes[key]
+
+
+def _job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """What the jobs have written, read back through the library."""
+    def table(name):
+        return lambda s, d: plain_types(refresh.read_analytics(TableStore(s, _lake(s, d)), name).drop("refreshed_at"))
+
+    def key_index(s, d):
+        return plain_types(refresh.article_index(TableStore(s, _lake(s, d))).read().select(
+            "key", F.col("place").alias("publication_date"), "loads"))
+
+    def duplicate_ids(s, d):
+        return plain_types(quality.duplicate_ids_of(refresh.article_index(TableStore(s, _lake(s, d))).layers(), as_of=AS_OF_TS))
+
+    def article_detail(s, d):
+        return plain_types(Warehouse(s, _lake(s, d)).article(DETAIL_ID))
+
+    def raw_rows(s, d):
+        return plain_types(landing.read_raw(TableStore(s, _lake(s, d))))
+
+    def raw_count(s, d):
+        return s.createDataFrame([(landing.raw_article_count(TableStore(s, _lake(s, d))),)], "rows long")
+
+    def raw_watermark(s, d):
+        return plain_types(s.createDataFrame([(landing.latest_ingested_at(TableStore(s, _lake(s, d))),)], "watermark timestamp_ntz"))
+
+    def run_history(s, d):
+        return plain_types(ops.read_runs(s, _lake(s, d)))
+
+    def run_page(s, d):
+        return plain_types(q.pipeline_runs(ops.newest_runs(s, _lake(s, d), 20), row_limit=10, row_offset=10))
+
+    def run_lookup(s, d):
+        return plain_types(ops.find_run(s, _lake(s, d), LOOKUP_RUN, "guardian_backfill_range"))
+
+    def run_feed(s, d):
+        none = adapters.run_records_from_events(adapters.read_table(s, d, "events")).limit(0)
+        return plain_types(ops.sync_pipeline_runs(s, _lake(s, d), none))
+
+    return {f"job_{n}": table(n) for n in TABLES} | {f"job_{f.__name__}": f for f in (
+        key_index, duplicate_ids, article_detail, raw_rows, raw_count, raw_watermark, run_history, run_page, run_lookup, run_feed)}
+
+
 def _runs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
     """Run rows from events; ``where`` bounds the event time (pushed to the
     scan), which is the run's logical hour."""
@@ -177,7 +256,7 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return plain_types(quality.freshness_budget(_t(s, d).content_freshness, as_of=AS_OF_TS))
 
     def reject_split(s, d):
-        rows = _validated_landing(s, d).drop("raw_payload", "landing_day")
+        rows = _validated_landing(s, d).drop("landing_day")
         return plain_types(rows)
 
     def reject_counts(s, d):
@@ -269,21 +348,23 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run
 
     def page_completeness(s, d):
-        return plain_types(landing.page_completeness(_landed_text(s, d)))
+        return plain_types(landing.page_completeness(_landed_text(s, d), BACKFILL))
 
     def page_quarantine(s, d):
         rows = _validated_landing(s, d).filter(F.col("reject_reason").isin(
             landing.UNPARSEABLE_PAGE, landing.NO_RESPONSE, landing.RESULTS_NOT_A_LIST))
-        return plain_types(rows.select("landing_day", "reject_reason", F.left("raw_payload", F.lit(13)).alias("text_start")))
-
-    def raw_count(s, d):
-        return _validated_landing(s, d).filter("accepted").agg(F.count(F.lit(1)).alias("loaded"))
+        return plain_types(rows.select("landing_day", "reject_reason", "raw_payload"))
 
     def default_range(s, d):
-        newest = F.to_date(F.max("published_at"))
-        return _t(s, d).raw.agg(newest.alias("end")).select(
-            F.concat(F.date_format(F.date_sub("end", 11), "yyyy-MM-dd"), F.lit(" to "),
-                     F.date_format("end", "yyyy-MM-dd")).alias("range"))
+        newest = _t(s, d).raw.agg(F.to_date(F.max("published_at"))).first()[0]
+        return s.createDataFrame([(reports.window(today=newest).label,)], "range string")
+
+    def raw_count(s, d):
+        """The landed pages loaded into a warehouse of their own."""
+        store = TableStore(s, Lake(f"{_lake(s, d).root}-loads-{uuid.uuid4().hex}"))
+        landing.load(store, _landed_text(s, d), AS_OF_TS)
+        return s.createDataFrame([(landing.raw_article_count(store), landing.read_quarantine(store).count())],
+                                 "loaded long, rejected long")
 
     def report_sections(s, d):
         return reports.sections_report(_t(s, d), reports.DateWindow(*_dates(DEFAULT_WINDOW)))["leaders"]
@@ -308,8 +389,8 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def article_detail_report(s, d):
         return plain_types(reports.article_report(_t(s, d).articles_latest, DETAIL_ID))
 
-    def documents_search(s, d, whole_line=False):
-        raw = adapters.articles_from_documents(adapters.read_table(s, d, "documents"), whole_line)
+    def documents_search(s, d):
+        raw = adapters.articles_from_documents(adapters.read_table(s, d, "documents"))
         found = [q.search_filter(articles_latest(raw), *FULL, query_text=text).select(
             F.lit(text).alias("search"), "guardian_id", "web_title") for text in DOCUMENT_SEARCHES]
         return reduce(DataFrame.unionByName, found)
@@ -331,7 +412,6 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ops_status_checks": ops_status_checks,
         "article_detail_report": article_detail_report,
         "documents_search": documents_search,
-        "documents_search_whole_line": lambda s, d: documents_search(s, d, whole_line=True),
         # DQ-1 … DQ-4
         "quality_results": quality_results,
         "quality_results_raw": quality_results_raw,
@@ -478,8 +558,7 @@ def oracle_sql() -> dict[str, str]:
 def _further_oracles() -> dict[str, str]:
     base = _oracle_sql()
     in_default_window = lambda sql: sql.replace(_win(*FULL), _win(*DEFAULT_WINDOW))
-    title = """substr(text, 1, 80) || ' ' || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '100%' WHEN 2 THEN 'a_b' ELSE 'c\\d' END"""
-    whole_title = title.replace("substr(text, 1, 80)", "split_part(COALESCE(text, ''), chr(10), 1)")
+    title = """split_part(COALESCE(text, ''), chr(10), 1) || ' ' || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '100%' WHEN 2 THEN 'a_b' ELSE 'c\\d' END"""
     searches = "\nUNION ALL\n".join(
         f"SELECT '{x}' AS search, guardian_id, web_title FROM titled WHERE lower(web_title) LIKE '%' || lower('{x}') || '%'"
         for x in ("É", "e%00%", "th_ ", "C\\D"))
@@ -490,17 +569,33 @@ def _further_oracles() -> dict[str, str]:
             "tag_counts_daily", "content_freshness")},
         "overview_metrics_from_stats": base["overview_metrics"],
         "quality_results_from_stats": base["quality_results"],
-        "page_completeness": """SELECT strftime(day, '%Y-%m-%d') AS day, announced, landed, landed >= announced AS complete FROM (
+        "page_completeness": f"""SELECT strftime(d, '%Y-%m-%d') AS day, CASE WHEN landed > 0 THEN announced END AS announced,
+  COALESCE(landed, 0) AS landed, COALESCE(announced - landed, 0) AS unreadable,
+  COALESCE(landed > 0 AND landed >= announced, FALSE) AS complete
+FROM range(DATE '{BACKFILL[0]}', DATE '{BACKFILL[1]}' + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d) LEFT JOIN (
   SELECT CAST(ts AS DATE) AS day, COUNT(DISTINCT event_id // 50 + 1) AS announced,
     COUNT(DISTINCT event_id // 50 + 1) FILTER (WHERE (event_id // 50 + 1) % 7 <> 3) AS landed
-  FROM events GROUP BY 1) WHERE landed > 0""",
-        "page_quarantine": """SELECT landing_day, reject_reason, text_start FROM (
-  SELECT DISTINCT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS landing_day,
-    'unparseable_page' AS reject_reason, '{"response": ' AS text_start, event_id // 50 AS page
-  FROM events WHERE (event_id // 50 + 1) % 7 = 3)""",
-        "raw_count": f"WITH {_LANDED} SELECT COUNT(*) FILTER (WHERE reject_reason IS NULL) AS loaded FROM validated",
+  FROM events GROUP BY 1) ON day = CAST(d AS DATE)""",
+        "page_quarantine": f"""WITH {_LANDED}
+SELECT strftime(landing_day, '%Y-%m-%d') AS landing_day, reject_reason, raw_payload FROM validated
+WHERE reject_reason = 'unparseable_page'""",
+        "raw_count": f"""WITH {_LANDED} SELECT COUNT(*) FILTER (WHERE reject_reason IS NULL) AS loaded,
+  COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected FROM validated""",
         "default_range": _BASE + """SELECT strftime(CAST(MAX(published_at) AS DATE) - 11, '%Y-%m-%d') || ' to '
   || strftime(CAST(MAX(published_at) AS DATE), '%Y-%m-%d') AS range FROM articles_raw""",
+        # what the jobs wrote equals what the rows say
+        **{f"job_{name}": base[name] for name in (
+            "articles_latest", "article_tags", "daily_volume", "section_counts_daily", "section_daily",
+            "tag_counts_daily", "content_freshness", "duplicate_ids", "article_detail", "raw_watermark", "run_lookup")},
+        "job_run_history": base["run_upsert"], "job_run_page": base["pipeline_runs_page2"], "job_run_feed": base["failed_run_feed"],
+        "job_raw_count": _BASE + "SELECT COUNT(*) AS rows FROM articles_raw",
+        "job_raw_rows": _BASE + f"""SELECT guardian_id, web_url, web_title, section_id, section_name, pillar_id, pillar_name,
+  {_ts('published_at')}, {_ts('ingested_at')}, array_to_string(tags, '|') AS tags, api_response_page, raw_payload FROM articles_raw""",
+        "job_key_index": _BASE + f"""SELECT COALESCE(guardian_id, COALESCE(web_url, '') || '#' || CAST(published_at AS VARCHAR)) AS key,
+  {_day('publication_date')}, loads FROM articles_latest l LEFT JOIN (
+    SELECT COALESCE(guardian_id, COALESCE(web_url, '') || '#' || CAST(published_at AS VARCHAR)) AS k, COUNT(guardian_id) AS loads
+    FROM articles_raw GROUP BY 1) r
+  ON r.k = COALESCE(guardian_id, COALESCE(web_url, '') || '#' || CAST(published_at AS VARCHAR))""",
         "report_sections": in_default_window(base["top_sections"]),
         "report_section_series": in_default_window(base["sections_series"]),
         "report_tags": in_default_window(base["top_tags"]),
@@ -510,9 +605,6 @@ def _further_oracles() -> dict[str, str]:
         "article_detail_report": base["article_detail"],
         "documents_search": f"""WITH titled AS (
   SELECT 'doc/' || doc_id AS guardian_id, {title} AS web_title FROM documents)
-{searches}""",
-        "documents_search_whole_line": f"""WITH titled AS (
-  SELECT 'doc/' || doc_id AS guardian_id, {whole_title} AS web_title FROM documents)
 {searches}""",
     }
 
@@ -610,13 +702,32 @@ _LANDED = f"""landed AS (
          ELSE 'article/' || CAST(event_id // 4 AS VARCHAR) END AS src_id,
     CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 'not-a-date'
          ELSE 'ok' END AS src_date,
-    {_SECTION} AS src_section, {_PILLAR} AS src_pillar
+    {_SECTION} AS src_section, {_PILLAR} AS src_pillar, value
   FROM events),
+elements AS (
+  SELECT *, CASE WHEN not_object THEN 'not an object ' || event_id ELSE '{{' || concat_ws(',',
+      '"id":"' || src_id || '"', '"type":"article"', '"webUrl":"https://example.org/u/' || user_id || '"',
+      '"webTitle":"' || event_type || ' story ' || event_id || '"',
+      '"sectionId":"' || lower(regexp_replace(src_section, '[^A-Za-z]', '', 'g')) || '"',
+      '"sectionName":"' || src_section || '"', '"pillarId":"pillar/' || lower(src_pillar) || '"',
+      '"pillarName":"' || src_pillar || '"',
+      '"webPublicationDate":"' || CASE src_date WHEN 'ok' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') ELSE src_date END || '"',
+      CASE WHEN event_id % 13 <> 0 THEN '"tags":[{{"webTitle":"' || event_type || '"}},{{"webTitle":""}},'
+        || CASE WHEN event_id % 31 = 0 THEN '{{}}' ELSE '{{"webTitle":"k' || json_extract_string(props, '$.k') || '"}}' END || ']' END,
+      '"fields":{{"score":' || value || '}}') || '}}' END AS element
+  FROM landed),
+pages AS (
+  SELECT landing_day, event_id // 50 + 1 AS cut_page,
+    arg_min(CASE WHEN not_object THEN '"' || element || '"' ELSE element END, event_id) AS first_element
+  FROM elements GROUP BY 1, 2),
+announced AS (SELECT landing_day, COUNT(*) AS n FROM pages GROUP BY 1),
 validated AS (
-  SELECT DISTINCT landing_day, NULL AS guardian_id, NULL AS web_url, NULL AS web_title, NULL AS section_id,
+  SELECT landing_day, NULL AS guardian_id, NULL AS web_url, NULL AS web_title, NULL AS section_id,
     NULL AS section_name, NULL AS pillar_id, NULL AS pillar_name, NULL AS published_at, '' AS tags,
-    NULL AS api_response_page, event_id // 50 + 1 AS cut_page, 'unparseable_page' AS reject_reason
-  FROM landed WHERE (event_id // 50 + 1) % 7 = 3
+    NULL AS api_response_page, 'unparseable_page' AS reject_reason,
+    '{{"response": {{"status": "ok", "pages": ' || n || ', "currentPage": ' || cut_page || ', "results": ['
+      || substr(first_element, 1, 10) AS raw_payload
+  FROM pages JOIN announced USING (landing_day) WHERE cut_page % 7 = 3
   UNION ALL
   SELECT landing_day,
     CASE WHEN not_object THEN NULL ELSE src_id END AS guardian_id,
@@ -631,12 +742,13 @@ validated AS (
     CASE WHEN not_object OR event_id % 13 = 0 THEN ''
          WHEN event_id % 31 = 0 THEN event_type
          ELSE event_type || '|k' || json_extract_string(props, '$.k') END AS tags,
-    event_id // 50 + 1 AS api_response_page, NULL AS cut_page,
+    event_id // 50 + 1 AS api_response_page,
     CASE WHEN not_object THEN 'not_a_dict'
          WHEN src_id IS NULL OR src_id = '' THEN 'missing_guardian_id'
          WHEN src_date IS NULL THEN 'missing_published_at'
-         WHEN src_date <> 'ok' THEN 'unparseable_published_at' END AS reject_reason
-  FROM landed WHERE (event_id // 50 + 1) % 7 <> 3)"""
+         WHEN src_date <> 'ok' THEN 'unparseable_published_at' END AS reject_reason,
+    element AS raw_payload
+  FROM elements WHERE (event_id // 50 + 1) % 7 <> 3)"""
 
 _RUN_RECORDS = """run_records AS (
   SELECT
@@ -749,7 +861,7 @@ ORDER BY name""",
             "Newest ingest should trail the newest article by the budget at most.", "content_freshness"),
         "reject_split": f"""WITH {_LANDED}
 SELECT guardian_id, web_url, web_title, section_id, section_name, pillar_id, pillar_name, published_at,
-  '2024-01-31T06:00:00.000000Z' AS ingested_at, tags, api_response_page, reject_reason,
+  '2024-01-31T06:00:00.000000Z' AS ingested_at, tags, api_response_page, reject_reason, raw_payload,
   reject_reason IS NULL AS accepted FROM validated""",
         "reject_counts": f"""WITH {_LANDED}
 SELECT reject_reason, COUNT(*) AS rows FROM validated GROUP BY reject_reason""",

@@ -178,6 +178,7 @@ def landing_results_from_events(events: DataFrame) -> DataFrame:
         F.to_date(ts).alias("day"),
         (F.expr(f"event_id div {PAGE_SIZE}") + 1).alias("page"),
         element.alias("result"),
+        eid.alias("_at"),
     )
 
 
@@ -188,7 +189,8 @@ def landing_pages_from_events(events: DataFrame) -> DataFrame:
     results, whatever the skew of days.
     """
     results = landing_results_from_events(events)
-    pages = results.groupBy("day", "page").agg(F.collect_list("result").alias("results"))
+    in_order = F.sort_array(F.collect_list(F.struct("_at", "result")))
+    pages = results.groupBy("day", "page").agg(in_order.getField("result").alias("results"))
     announced = results.groupBy("day").agg(F.countDistinct("page").alias("pages"))
     head = F.concat(F.lit('{"response": {"status": "ok", "pages": '), F.col("pages").cast("string"),
                     F.lit(', "currentPage": '), F.col("page").cast("string"), F.lit(', "results": ['))
@@ -203,12 +205,11 @@ def write_landing(pages: DataFrame, landing_dir: str) -> None:
     pages.select("day", "value").write.mode("overwrite").partitionBy("day").text(landing_dir)
 
 
-def articles_from_documents(documents: DataFrame, whole_line: bool = False) -> DataFrame:
-    """``articles_raw`` rows of multilingual documents: the title is the first
-    80 characters of the text, or its whole first line (null as empty), with,
-    in turn, a percent sign, an underscore or a backslash appended; the source
-    is the tag."""
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1) if whole_line else F.substring("text", 1, 80)
+def articles_from_documents(documents: DataFrame) -> DataFrame:
+    """``articles_raw`` rows of multilingual documents: the title is the whole first
+    line of the text (null as empty) with, in turn, a percent sign, an
+    underscore or a backslash appended; the source is the tag."""
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
     n = F.col("doc_id")
     mark = F.element_at(F.array(F.lit(""), F.lit("100%"), F.lit("a_b"), F.lit("c\\d")), (n % 4 + 1).cast("int"))
     published = F.timestamp_seconds(F.lit(1704067200) + n % 2592000)
