@@ -214,7 +214,7 @@ def _job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         none = adapters.run_records_from_events(adapters.read_table(s, d, "events")).limit(0)
         return plain_types(ops.sync_pipeline_runs(s, _lake(s, d), none))
 
-    return {f"job_{n}": table(n) for n in TABLES} | {f"job_{f.__name__}": f for f in (
+    return {f"job_{n}": table(n) for n in (*TABLES, refresh.SPANS)} | {f"job_{f.__name__}": f for f in (
         key_index, duplicate_ids, article_detail, raw_rows, raw_count, raw_watermark, run_history, run_page, run_lookup, run_feed)}
 
 
@@ -342,6 +342,8 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             before = Tables(raw=raw.filter(~late), refreshed_at=AS_OF_TS)
             previous = {n: getattr(before, n) for n in TABLES} | {
                 refresh.STATS: rollups.article_day_stats(before.articles_latest)}
+            if name == refresh.SPANS:
+                previous[name] = before.tag_span_counts
             out = refresh.merged_tables(previous, raw.filter(late), AS_OF_TS)[name]
             return plain_types(out.drop("refreshed_at"))
 
@@ -400,6 +402,9 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "overview_metrics_from_stats": lambda s, d: q.overview_metrics_of(_t(s, d).article_day_stats, *FULL),
         "quality_results_from_stats": lambda s, d: plain_types(
             quality.quality_results(_t(s, d).article_day_stats, as_of=AS_OF_TS)),
+        "tag_span_counts": lambda s, d: _t(s, d).tag_span_counts,
+        "top_tags_from_spans": lambda s, d: q.top_tags_of_spans(_t(s, d).tag_span_counts, *FULL),
+        "refresh_incremental_tag_span_counts": merged(refresh.SPANS),
         "page_completeness": page_completeness,
         "page_quarantine": page_quarantine,
         "raw_count": raw_count,
@@ -583,6 +588,11 @@ WHERE reject_reason = 'unparseable_page'""",
   COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected FROM validated""",
         "default_range": _BASE + """SELECT strftime(CAST(MAX(published_at) AS DATE) - 11, '%Y-%m-%d') || ' to '
   || strftime(CAST(MAX(published_at) AS DATE), '%Y-%m-%d') AS range FROM articles_raw""",
+        **dict.fromkeys(("tag_span_counts", "refresh_incremental_tag_span_counts", "job_tag_span_counts"), _BASE + """
+SELECT CAST(level AS INTEGER) AS level, CAST(date_diff('day', DATE '1970-01-01', publication_date) >> level AS INTEGER) AS span, tag,
+  CAST(SUM(article_count) AS BIGINT) AS article_count
+FROM tag_counts_daily, range(13) t(level) WHERE publication_date IS NOT NULL GROUP BY 1, 2, 3"""),
+        "top_tags_from_spans": base["top_tags"],
         # what the jobs wrote equals what the rows say
         **{f"job_{name}": base[name] for name in (
             "articles_latest", "article_tags", "daily_volume", "section_counts_daily", "section_daily",

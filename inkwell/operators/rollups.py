@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.buckets import bucket_sums
@@ -55,6 +55,46 @@ def tag_counts_daily(tags: DataFrame) -> DataFrame:
     return tags.groupBy("publication_date", "tag").agg(F.count(F.lit(1)).alias("article_count"))
 
 
+# Spans of up to 2 ** 12 days, some eleven years.
+SPAN_LEVELS = 13
+
+
+def _day_number() -> Column:
+    return F.datediff("publication_date", F.lit("1970-01-01").cast("date"))
+
+
+def tag_span_counts(daily: DataFrame, levels: int = SPAN_LEVELS) -> DataFrame:
+    """MAT-6 over spans of 1, 2, 4, … days: ``level``, ``span`` (day number >> level), tag and
+    count. Undated tags are in no window and so in no span."""
+    rows = daily.where("publication_date IS NOT NULL").select(
+        _day_number().alias("day"), "tag", "article_count", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    return rows.groupBy("level", F.expr("shiftright(day, level)").alias("span"), "tag").agg(
+        F.sum("article_count").cast("long").alias("article_count"))
+
+
+def patched_tag_spans(spans: DataFrame, daily: DataFrame, changed: DataFrame, levels: int = SPAN_LEVELS) -> DataFrame:
+    """``spans`` after the days ``changed`` (distinct ``publication_date``) have got the counts ``daily``.
+
+    A span without a changed day stays. One with is the sum of the changed days'
+    new counts and of the largest spans inside it without a changed day: two
+    for each level and changed day at most, however many days it has.
+    """
+    touched = (changed.where("publication_date IS NOT NULL").select(
+        _day_number().alias("day"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+        .select("level", F.expr("shiftright(day, level)").alias("span")).distinct())
+    kept = spans.join(touched, ["level", "span"], "left_anti")
+    parent = touched.select((F.col("level") - 1).alias("level"), F.explode(F.array(F.col("span") * 2, F.col("span") * 2 + 1)).alias("span"))
+    inside = kept.join(parent, ["level", "span"], "left_semi").select("level", "span", "tag", "article_count")
+    days = daily.where("publication_date IS NOT NULL").select(
+        F.lit(-1).alias("level"), _day_number().alias("span"), "tag", "article_count")
+    # a changed day counts in every level from 0 on, a span in every level above its own
+    above = F.explode(F.when(F.col("level") < levels - 1, F.sequence(F.col("level") + 1, F.lit(levels - 1)))).alias("to")
+    up = F.expr("shiftright(span, to - greatest(level, 0))").alias("span")
+    anew = (inside.unionByName(days).select("*", above).select(F.col("to").alias("level"), up, "tag", "article_count")
+            .groupBy("level", "span", "tag").agg(F.sum("article_count").cast("long").alias("article_count")))
+    return kept.select(*anew.columns).unionByName(anew)
+
+
 def article_day_stats(latest: DataFrame) -> DataFrame:
     """What MAT-7 needs to know of each date and section."""
     return latest.groupBy("publication_date", "section_name").agg(

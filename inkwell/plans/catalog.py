@@ -62,6 +62,15 @@ class Tables:
     def tag_counts_daily(self) -> DataFrame:
         return self._get("tag_counts_daily", lambda: rollups.tag_counts_daily(self.article_tags))
 
+    @cached_property
+    def tag_span_counts(self) -> DataFrame:
+        return self._get("tag_span_counts", lambda: rollups.tag_span_counts(self.tag_counts_daily))
+
+    @property
+    def has_spans(self) -> bool:
+        """Whether the spans are stored; working them out costs more than reading days."""
+        return bool(self.stored) and "tag_span_counts" in self.stored
+
     @cached_property
     def article_day_stats(self) -> DataFrame:
         return self._get("article_day_stats", lambda: rollups.article_day_stats(self.articles_latest))
@@ -87,6 +96,7 @@ class Tables:
         empty = cls(raw=spark.createDataFrame([], ARTICLES_RAW))
         stored = {name: store.read(ANALYTICS, name) if store.exists(ANALYTICS, name) else getattr(empty, name).limit(0)
                   for name in TABLES}
-        if store.exists(ANALYTICS, "article_day_stats"):  # else from the articles
-            stored["article_day_stats"] = store.read(ANALYTICS, "article_day_stats")
+        for name in ("article_day_stats", "tag_span_counts"):  # else from the articles
+            if store.exists(ANALYTICS, name):
+                stored[name] = store.read(ANALYTICS, name)
         return cls(raw=empty.raw, stored=stored)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.formats import iso_day, iso_seconds, lag_minutes
 from inkwell.operators.latest import UNKNOWN
-from inkwell.operators.rollups import article_day_stats
+from inkwell.operators.rollups import SPAN_LEVELS, article_day_stats
 
 # Constant momentum of the tag list, sizes of the top lists.
 TAG_MOMENTUM = "Live"
@@ -93,8 +93,45 @@ def top_sections(section_counts: DataFrame, start: date | str, end: date | str,
 def top_tags(tag_counts: DataFrame, start: date | str, end: date | str,
              row_limit: int = DEFAULT_TAG_LIMIT) -> DataFrame:
     """QRY-6: tags by mentions in the window, top ``row_limit``, momentum 'Live'."""
-    return (tag_counts.filter(in_window(start, end))
-            .groupBy("tag").agg(F.sum("article_count").cast("long").alias("count"))
+    return _most_tags(tag_counts.filter(in_window(start, end)), row_limit)
+
+
+def span_cover(start: date | str, end: date | str, levels: int = SPAN_LEVELS) -> list[tuple[int, int]]:
+    """(level, span) of the fewest spans that make up a window: two a level at most,
+    and as many of the highest level as it takes. A reversed window has none."""
+    first = (date.fromisoformat(str(start)) - date(1970, 1, 1)).days
+    after = (date.fromisoformat(str(end)) - date(1970, 1, 1)).days + 1
+    out = []
+    for level in range(levels):
+        if first >= after:
+            break
+        if level == levels - 1:
+            out += [(level, span) for span in range(first, after)]
+            break
+        if first & 1:
+            out.append((level, first))
+            first += 1
+        if after & 1:
+            after -= 1
+            out.append((level, after))
+        first, after = first >> 1, after >> 1
+    return out
+
+
+def top_tags_of_spans(spans: DataFrame, start: date | str, end: date | str, row_limit: int = DEFAULT_TAG_LIMIT) -> DataFrame:
+    """QRY-6 from ``tag_span_counts``: a window of a year reads some sixteen spans
+    instead of 365 days. The spans are literals, so the scan skips row groups."""
+    by_level: dict[int, list[int]] = {}
+    for level, span in span_cover(start, end):
+        by_level.setdefault(level, []).append(span)
+    where = F.lit(False)
+    for level, found in by_level.items():
+        where = where | ((F.col("level") == level) & F.col("span").isin(*found))
+    return _most_tags(spans.filter(where), row_limit)
+
+
+def _most_tags(counts: DataFrame, row_limit: int) -> DataFrame:
+    return (counts.groupBy("tag").agg(F.sum("article_count").cast("long").alias("count"))
             .orderBy(F.col("count").desc(), F.col("tag").asc_nulls_first())
             .limit(row_limit)
             .select("tag", "count", F.lit(TAG_MOMENTUM).alias("momentum")))
@@ -135,6 +172,11 @@ def articles_search(latest: DataFrame, start: date | str, end: date | str, *,
     """
     matched = search_filter(latest, start, end, query_text=query_text, section=section,
                             tag=tag, literal=literal)
+    return search_rows(matched, row_limit, row_offset)
+
+
+def search_rows(matched: DataFrame, row_limit: int, row_offset: int = 0) -> DataFrame:
+    """The page of QRY-7 out of the matches."""
     page = (matched.select(
                 "guardian_id", "web_title", "web_url", "section_id", "section_name",
                 "pillar_name", iso_seconds("published_at").alias("published_at"), "tags")

@@ -57,6 +57,7 @@ LAYOUT: dict[str, dict] = {
     "tag_counts_daily": {"cluster_by": ("publication_date", "tag")},
     "content_freshness": {},
     "article_day_stats": {"cluster_by": ("publication_date",)},
+    "tag_span_counts": {"cluster_by": ("level", "span", "tag")},
 }
 
 COLUMNS: dict[str, tuple[str, ...]] = {
@@ -121,6 +122,8 @@ LOADS = "refresh_loads"
 PENDING = "refresh_pending_dates"
 # Per date and section: what MAT-7 is the aggregate of.
 STATS = "article_day_stats"
+# Tag counts of spans of 1, 2, 4, ... days: any window is the sum of a few.
+SPANS = "tag_span_counts"
 # The publication date of every article key, and how often it was loaded.
 INDEX = "article_key_days"
 
@@ -191,6 +194,9 @@ def merged_tables(previous: dict[str, DataFrame], fresh: DataFrame, refreshed_at
     patch("section_daily", "section_counts_daily", rollups.section_daily)
     patch("tag_counts_daily", "article_tags", rollups.tag_counts_daily)
     patch(STATS, "articles_latest", rollups.article_day_stats)
+    if SPANS in previous:
+        changed = dates.withColumnRenamed("_date", "publication_date")
+        out[SPANS] = rollups.patched_tag_spans(previous[SPANS], at(out["tag_counts_daily"], "left_semi"), changed)
     return out | {"content_freshness": rollups.freshness_of(out[STATS], refreshed_at)}
 
 
@@ -221,7 +227,12 @@ def compact_raw(store: TableStore, **bounds) -> int:
 
 
 def _pending(store: TableStore) -> list:
-    return [r[0] for r in store.read(ANALYTICS, PENDING).collect()] if store.exists(ANALYTICS, PENDING) else []
+    """The dates a run has begun to change on top of the ledger as it is: once that
+    has moved on, they are settled."""
+    if not store.exists(ANALYTICS, PENDING):
+        return []
+    ledger = store.head(ANALYTICS, LEDGER)
+    return [r[0] for r in store.read(ANALYTICS, PENDING).collect() if r["ledger"] == ledger]
 
 
 def plan_delta(store: TableStore, loads: DataFrame | None = None) -> Delta | None:
@@ -264,7 +275,8 @@ def _by_day(day) -> tuple:
 
 
 def _write_dates(store: TableStore, dates: list) -> None:
-    store.replace(store.spark.createDataFrame([(d,) for d in dates], "publication_date date"),
+    ledger = store.head(ANALYTICS, LEDGER)
+    store.replace(store.spark.createDataFrame([(d, ledger) for d in dates], "publication_date date, ledger string").coalesce(1),
                   ANALYTICS, PENDING)
 
 
@@ -286,7 +298,12 @@ def _full_writers(store: TableStore, loads: DataFrame, refreshed_at: datetime |
         _write_freshness(store, refreshed_at)
 
     writers = {name: (lambda n=name: store.replace(builds[n](), ANALYTICS, n, **LAYOUT[n])) for name in builds}
-    return writers | {"content_freshness": freshness}
+
+    def tags() -> None:
+        store.replace(builds["tag_counts_daily"](), ANALYTICS, "tag_counts_daily", **LAYOUT["tag_counts_daily"])
+        store.replace(rollups.tag_span_counts(up("tag_counts_daily")), ANALYTICS, SPANS, **LAYOUT[SPANS])
+
+    return writers | {"content_freshness": freshness, "tag_counts_daily": tags}
 
 
 def _write_freshness(store: TableStore, refreshed_at: datetime | None) -> None:
@@ -325,6 +342,17 @@ def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callab
                 store.replace(kept.unionByName(recompute()), ANALYTICS, name, **LAYOUT[name])
         return write
 
+    patch_tags = patch("tag_counts_daily", lambda: rollups.tag_counts_daily(up("article_tags", inside)))
+
+    def tags() -> None:
+        if not store.exists(ANALYTICS, "tag_counts_daily") or not store.exists(ANALYTICS, SPANS):
+            full["tag_counts_daily"]()
+        elif dates:
+            patch_tags()
+            changed = store.spark.createDataFrame([(d,) for d in dates], "publication_date date")
+            store.replace(rollups.patched_tag_spans(read_analytics(store, SPANS), up("tag_counts_daily", inside), changed),
+                          ANALYTICS, SPANS, **LAYOUT[SPANS])
+
     patch_stats = patch(STATS, lambda: rollups.article_day_stats(up("articles_latest", inside)))
 
     def freshness() -> None:
@@ -343,7 +371,7 @@ def _incremental_writers(store: TableStore, delta: Delta, full: dict[str, Callab
         "section_counts_daily": patch("section_counts_daily",
                                       lambda: rollups.section_counts_daily(up("articles_latest", inside))),
         "section_daily": patch("section_daily", lambda: rollups.section_daily(up("section_counts_daily", inside))),
-        "tag_counts_daily": patch("tag_counts_daily", lambda: rollups.tag_counts_daily(up("article_tags", inside))),
+        "tag_counts_daily": tags,
         "content_freshness": freshness,
     }
 
@@ -379,7 +407,7 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
     configure(spark)
     store = TableStore(spark, lake)
     # the loads of this run, fixed: others may commit meanwhile
-    store.replace(landing.live_loads(store), ANALYTICS, LOADS)
+    store.replace(landing.live_loads(store).coalesce(1), ANALYTICS, LOADS)
     loads = store.read(ANALYTICS, LOADS)
     writers = _full_writers(store, loads, refreshed_at)
     delta = plan_delta(store, loads) if incremental and only is None else None
@@ -409,12 +437,11 @@ def run_transforms(spark: SparkSession, lake: Lake, *, refreshed_at: datetime |
                 done.update((step.table, step) for step in list(pool.map(build, wave)))
         status = "materialized" if all(step.status != "failed" for step in done.values()) else "failed"
         # a subset rebuild vouches for nothing: only a full set of steps moves
-        # the index, then the ledger (and clears dates left by an unfinished run)
+        # the index, then the ledger (which settles the dates of an unfinished run)
         if status == "materialized" and only is None:
             indexed = Step.attempt(INDEX, lambda: _write_index(store, delta, loads), (fail or {}).get(INDEX))
             if indexed.usable:
-                store.replace(loads.where(~F.col("folded")).select("batch"), ANALYTICS, LEDGER)
-                _write_dates(store, [])
+                store.replace(loads.where(~F.col("folded")).select("batch").coalesce(1), ANALYTICS, LEDGER)
                 article_index(store).fold()
             else:
                 status, error = "failed", indexed.error

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from inkwell.config import Settings
@@ -126,7 +126,8 @@ def sections_report(t: Tables, w: DateWindow) -> dict:
 
 def tags_report(t: Tables, w: DateWindow, limit: int = q.DEFAULT_TAG_LIMIT) -> dict:
     """RPT-7: top tags with momentum (default 'Live')."""
-    tags = q.top_tags(t.tag_counts_daily, w.start, w.end, limit)
+    tags = (q.top_tags_of_spans(t.tag_span_counts, w.start, w.end, limit) if t.has_spans
+            else q.top_tags(t.tag_counts_daily, w.start, w.end, limit))
     return {"range": w.label,
             "tags": tags.withColumn("momentum", F.coalesce("momentum", F.lit(q.TAG_MOMENTUM)))}
 
@@ -152,12 +153,17 @@ def search_page(latest: DataFrame, w: DateWindow, *, query_text=None, section=No
 
     Summary defaults: empty strings for a missing id, title or date, and an
     empty tag list. The total counts all matches (for paging), not the page.
+
+    One scan gives both: the top-k of the page reads every match, and an
+    ``Observation`` on the matches counts them on the way. The job runs here;
+    what it returns is a page of ``limit`` rows at most and one number.
     """
-    rows = q.articles_search(latest, w.start, w.end, query_text=query_text, section=section,
-                             tag=tag, row_limit=limit, row_offset=offset, literal=literal)
-    articles = rows.select(*_summary())
-    total = q.search_filter(latest, w.start, w.end, query_text=query_text, section=section,
-                            tag=tag, literal=literal).agg(F.count(F.lit(1)).alias("total"))
+    spark, matches = latest.sparkSession, Observation("matches")
+    matched = q.search_filter(latest, w.start, w.end, query_text=query_text, section=section, tag=tag, literal=literal)
+    # at least one row: the optimizer would skip the scan of an empty page
+    page = q.search_rows(matched.observe(matches, F.count(F.lit(1)).alias("total")), max(limit, 1), offset).select(*_summary())
+    articles = spark.createDataFrame(page.collect()[:limit], page.schema)
+    total = spark.createDataFrame([(int(matches.get["total"]),)], "total long")
     return {"range": w.label, "query": query_text, "section": section, "tag": tag,
             "articles": articles, "total": total,
             "paging": page_info(total, offset, limit)}

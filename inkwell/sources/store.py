@@ -63,12 +63,18 @@ class TableStore:
     def __init__(self, spark: SparkSession, lake: Lake):
         self.spark = spark
         self.lake = lake
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        # one file system for all paths of a lake
+        self._fs = self._path(lake.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # ------------------------------------------------------------ filesystem
     def _fs_path(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return self._fs, self._path(path)
+
+    def _marked(self, root: str, prefix: str) -> list[str]:
+        """Names of the committed directories: one listing, not a look at each."""
+        found = self._fs.globStatus(self._path(f"{root}/{prefix}=*/{MARKER}")) or []
+        return sorted(s.getPath().getParent().getName() for s in found)
 
     def _children(self, path: str, prefix: str) -> list[str]:
         fs, p = self._fs_path(path)
@@ -92,8 +98,7 @@ class TableStore:
 
     def versions(self, dataset: str, table: str) -> list[str]:
         root = self.table_path(dataset, table)
-        return [f"{root}/{name}" for name in self._children(root, VERSION)
-                if not name.endswith(PATCH_SUFFIX) and self._committed(f"{root}/{name}")]
+        return [f"{root}/{name}" for name in self._marked(root, VERSION) if not name.endswith(PATCH_SUFFIX)]
 
     def current(self, dataset: str, table: str) -> str | None:
         """The newest committed whole version (a later state may refer to it)."""
@@ -101,21 +106,24 @@ class TableStore:
         return committed[-1] if committed else None
 
     def _states(self, dataset: str, table: str) -> list[str]:
-        root = self.table_path(dataset, table)
-        return [name for name in self._children(root, STATE) if self._committed(f"{root}/{name}")]
+        return self._marked(self.table_path(dataset, table), STATE)
 
     def _state(self, dataset: str, table: str) -> str | None:
         """The newest state, where it is newer than the newest whole version."""
-        states, current = self._states(dataset, table), self.current(dataset, table)
-        if not states or current is None:
+        states = self._states(dataset, table)
+        current = self.current(dataset, table) if states else None
+        if current is None:
             return None
         newest = current.rsplit("/", 1)[1].split("=", 1)[1]
         return states[-1] if states[-1].split("=", 1)[1] > newest else None
 
     def _state_entries(self, dataset: str, table: str, state: str) -> list[tuple[str, str]]:
-        """(``version=…/column=value``, tag) of every partition directory in a state."""
-        rows = self.spark.read.text(f"{self.table_path(dataset, table)}/{state}").collect()
-        return sorted(tuple((r["value"] + "\t").split("\t")[:2]) for r in rows if r["value"])
+        """(``version=…/column=value``, tag) of every partition directory in a state. A
+        listing is a line per directory: read as it is, not by a Spark job."""
+        fs, path = self._fs_path(f"{self.table_path(dataset, table)}/{state}")
+        parts = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")]
+        lines = [line for part in parts for line in self._text(fs, part).splitlines() if line]
+        return sorted(tuple(f"{line}\t".split("\t")[:2]) for line in lines)
 
     def _state_folders(self, dataset: str, table: str, state: str) -> list[str]:
         return [folder for folder, _ in self._state_entries(dataset, table, state)]
@@ -279,8 +287,12 @@ class TableStore:
         self._vacuum(dataset, table, keep)
 
     def _publish(self, dataset: str, table: str, state: str, folders: list[str]) -> None:
-        lines = self.spark.createDataFrame([(f,) for f in sorted(folders)], "value string")
-        lines.coalesce(1).write.mode("errorifexists").text(f"{self.table_path(dataset, table)}/{STATE}={state}")
+        root = f"{self.table_path(dataset, table)}/{STATE}={state}"
+        fs, listing = self._fs_path(f"{root}/part-00000")
+        out = fs.create(listing, False)
+        out.write(bytearray("\n".join(sorted(folders)).encode()))
+        out.close()
+        fs.create(self._fs_path(f"{root}/{MARKER}")[1], True).close()
 
     def partition_values(self, dataset: str, table: str, column: str) -> list:
         """Values of a partition column (None for the null partition)."""
@@ -327,17 +339,14 @@ class TableStore:
     def committed_batch_ids(self, dataset: str, table: str) -> list[str]:
         """Ids of the batches whose load committed, from one glob listing
         (not one existence check per batch)."""
-        fs, pattern = self._fs_path(f"{self.table_path(dataset, table)}/{BATCH}=*/{MARKER}")
-        found = fs.globStatus(pattern) or []
-        return sorted(s.getPath().getParent().getName().split("=", 1)[1] for s in found)
+        return [name.split("=", 1)[1] for name in self._marked(self.table_path(dataset, table), BATCH)]
 
     def delete_batch(self, dataset: str, table: str, batch_id: str) -> None:
         self.delete(f"{self.table_path(dataset, table)}/{BATCH}={batch_id}")
 
     def batches(self, dataset: str, table: str) -> list[str]:
         root = self.table_path(dataset, table)
-        return [f"{root}/{name}" for name in self._children(root, BATCH)
-                if self._committed(f"{root}/{name}")]
+        return [f"{root}/{name}" for name in self._marked(root, BATCH)]
 
     def append(self, df: DataFrame, dataset: str, table: str, *, batch_id: str | None = None,
                partition_by: Sequence[str] = ()) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.config import Lake, configure
+from inkwell.plans.refresh import run_transforms
 from inkwell.sources import landing
 from inkwell.sources.store import TableStore
 
@@ -43,8 +44,12 @@ def landing_stream(spark: SparkSession, landing_dir: str, *, max_files_per_trigg
 
 def start(spark: SparkSession, lake: Lake, landing_dir: str, *, checkpoint: str | None = None,
           name: str = STREAM_NAME, available_now: bool = True,
-          processing_time: str | None = None, **source_options) -> StreamingQuery:
-    """Start the ingest stream. ``available_now`` drains what has landed and
+          processing_time: str | None = None, refresh: bool = False, **source_options) -> StreamingQuery:
+    """Start the ingest stream. With ``refresh`` each micro-batch is also merged into
+    the analytics tables before it counts as done: one that failed half-way
+    is replayed, and one that was merged already changes nothing, because its
+    load carries (query id, batch id) and the ledger of merged loads knows it.
+ ``available_now`` drains what has landed and
     stops (the scheduled hourly run); else it runs every ``processing_time``.
 
     The checkpoint defaults to ``{lake}/_checkpoints/{name}``, on the same
@@ -59,6 +64,10 @@ def start(spark: SparkSession, lake: Lake, landing_dir: str, *, checkpoint: str
         # not: a replay meets its own batch, never that of another query
         query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
         landing.load(store, batch, F.col("_batch_ts"), batch_id=f"stream-{name}-{query}-{batch_id:012d}")
+        if refresh:
+            report = run_transforms(spark, lake, incremental=True)
+            if report.status != "materialized":
+                raise RuntimeError(f"batch {batch_id} is loaded but not merged: {report}")
 
     writer = (landing_stream(spark, landing_dir, **source_options).writeStream
               .queryName(f"inkwell-{name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from datetime import date
 
 from conftest import raw_rows
@@ -122,3 +124,36 @@ def test_document_titles_hold_the_whole_first_line(spark):
                                  "doc_id long, text string, lang string, source string")
     titles = {r["guardian_id"]: r["web_title"] for r in articles_from_documents(docs, whole_line=True).collect()}
     assert titles == {"doc/0": "x" * 200 + " needle ", "doc/4": " "}
+
+
+def test_spans_make_up_any_window(spark):
+    import random
+    from datetime import date, timedelta
+
+    from inkwell.operators import rollups
+
+    rng, origin = random.Random(4), date(1969, 11, 3)
+    for _ in range(300):
+        start = origin + timedelta(days=rng.randint(0, 9000))
+        end = start + timedelta(days=rng.choice([-1, 0, 1, 6, 30, 400, 6000]))
+        days = [d for level, span in q.span_cover(start, end, 8) for d in range(span << level, (span + 1) << level)]
+        first = (start - date(1970, 1, 1)).days
+        assert sorted(days) == list(range(first, first + (end - start).days + 1))
+        assert len(q.span_cover(start, end)) <= 26 or (end - start).days > 8000
+    rows = [(origin + timedelta(days=rng.randint(0, 700)) if rng.random() < 0.98 else None, rng.choice("abcdef"), rng.randint(1, 9))
+            for _ in range(3000)]
+    daily = spark.createDataFrame(rows, "publication_date date, tag string, article_count long").groupBy(
+        "publication_date", "tag").agg(F.sum("article_count").alias("article_count")).persist()
+    spans = rollups.tag_span_counts(daily, 11).persist()
+    read = lambda df: sorted(tuple(r) for r in df.collect())
+    for length in (0, 12, 100, 365, 700):
+        start = origin + timedelta(days=rng.randint(0, 300))
+        w = start, start + timedelta(days=length)
+        assert read(q.top_tags_of_spans(spans, *w, 4)) == read(q.top_tags(daily, *w, 4))
+    # days that change, come and go: only spans around them are summed anew
+    changed = [origin + timedelta(days=n) for n in (0, 5, 6, 300, 699, 1000)]
+    new = spark.createDataFrame([(changed[0], "a", 100), (changed[2], "g", 1), (changed[5], "b", 7)], daily.schema)
+    days = spark.createDataFrame([(d,) for d in changed] + [(None,)], "publication_date date")
+    after = daily.join(days, "publication_date", "left_anti").unionByName(new)
+    want = sorted(tuple(r) for r in rollups.tag_span_counts(after, 11).collect())
+    assert read(rollups.patched_tag_spans(spans, new, days, 11).select("level", "span", "tag", "article_count")) == want

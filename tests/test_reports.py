@@ -103,3 +103,20 @@ def test_report_shapes_match_the_api_fixtures(spark):
     summaries = reports.search_page(t.articles_latest, w)["articles"]
     assert [n for n, _ in shape(summaries)] == ["guardian_id", "web_title", "web_url", "section_id",
                                                 "section_name", "pillar_name", "published_at", "tags"]
+
+
+def test_search_page_scans_once_and_counts_all(spark):
+    from conftest import raw_rows
+
+    from inkwell.operators.latest import articles_latest
+
+    latest = articles_latest(raw_rows(spark, [
+        {"guardian_id": f"a{i:02d}", "web_title": "Story" if i % 3 else "other", "published_at": "2026-03-02 10:00:00",
+         "ingested_at": "2026-03-03 00:00:00", "section_name": "World"} for i in range(30)]))
+    w = reports.window("2026-03-01", "2026-03-31")
+    for limit, offset, rows in ((5, 0, 5), (5, 18, 2), (5, 40, 0), (0, 0, 0)):
+        page = reports.search_page(latest, w, query_text="story", limit=limit, offset=offset)
+        assert page["articles"].count() == rows and page["total"].first()["total"] == 20
+    none = reports.search_page(latest, w, query_text="absent")
+    assert none["articles"].count() == 0 and none["total"].first()["total"] == 0
+    assert "Scan" not in page["total"]._jdf.queryExecution().executedPlan().toString().replace("LocalTableScan", "").replace("ExistingRDD", "").replace("Scan []", "")

@@ -99,3 +99,47 @@ def test_new_checkpoint_keeps_what_another_query_wrote(spark, scratch):
     store = TableStore(spark, lake)
     assert len(store.committed_batch_ids("raw", landing.RAW_TABLE)) == 2
     assert sorted(r["guardian_id"] for r in landing.read_raw(store).collect()) == ["a", "a", "b"]
+
+
+def test_a_stream_that_refreshes_equals_the_batch(spark, scratch, monkeypatch):
+    """Three micro-batches, the second one dies after its load; then a merged batch is replayed."""
+    import json
+
+    import pytest
+
+    from inkwell.config import ANALYTICS
+    from inkwell.plans import refresh
+
+    root = tempfile.mkdtemp(prefix="stream-refresh-", dir=scratch)
+    pages = adapters.landing_pages_from_events(adapters.read_table(spark, SF_SMALL, "events"))
+    bounds = ["2024-01-01", "2024-01-12", "2024-01-20", "2024-02-01"]
+    lake, batch = Lake(f"{root}/lake"), Lake(f"{root}/batch")
+
+    def tables(lk):
+        store = TableStore(spark, lk)
+        out = {}
+        for name, _ in refresh.STEPS:
+            df = store.read(ANALYTICS, name).drop("refreshed_at", "ingested_at", "last_sync_at", "freshness_lag_minutes")
+            out[name] = sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        return out
+
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        some = pages.filter((F.col("day") >= lo) & (F.col("day") < hi)).select("day", "value").coalesce(1)
+        some.write.mode("append").partitionBy("day").text(f"{root}/landing")
+        if i == 1:
+            with monkeypatch.context() as m, pytest.raises(Exception):
+                m.setattr(landing_stream, "run_transforms", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("died")))
+                landing_stream.run_available_now(spark, lake, f"{root}/landing", refresh=True)
+        assert landing_stream.run_available_now(spark, lake, f"{root}/landing", refresh=True) == i + 1
+    landing.load(TableStore(spark, batch), landing.read_landing(spark, f"{root}/landing"), datetime(2024, 2, 1))
+    refresh.run_transforms(spark, batch)
+    streamed = tables(lake)
+    assert streamed == tables(batch)
+    # the last batch once more, as after a checkpoint that was not written
+    store = TableStore(spark, lake)
+    query = json.loads(spark.read.text(f"{lake.root}/_checkpoints/landing/metadata").first()["value"])["id"]
+    text = landing.read_landing(spark, f"{root}/landing", days=("2024-01-20", "2024-02-01"))
+    landing.load(store, text, datetime(2024, 2, 2), batch_id=f"stream-landing-{query}-{2:012d}")
+    assert refresh.plan_delta(store).dates == []
+    refresh.run_transforms(spark, lake, incremental=True)
+    assert tables(lake) == streamed
