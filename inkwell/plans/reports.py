@@ -209,7 +209,7 @@ def trailing_points(series: DataFrame, n: int) -> DataFrame:
 def page_info(total: DataFrame, offset: int, page_size: int = 20) -> DataFrame:
     """RPT-16: pages = max(1, ceil(total/size)); current = offset/size + 1;
     has_next = offset + size < total; has_previous = offset > 0."""
-    n = F.col("total")
+    n, page_size = F.col("total"), max(page_size, 1)
     return total.select(
         "total",
         F.greatest(F.lit(1), F.ceil(n / F.lit(page_size))).cast("long").alias("total_pages"),

@@ -122,7 +122,7 @@ def test_document_titles_hold_the_whole_first_line(spark):
 
     docs = spark.createDataFrame([(0, "x" * 200 + " needle\nnext", "en", "web"), (4, None, "en", "web")],
                                  "doc_id long, text string, lang string, source string")
-    titles = {r["guardian_id"]: r["web_title"] for r in articles_from_documents(docs, whole_line=True).collect()}
+    titles = {r["guardian_id"]: r["web_title"] for r in articles_from_documents(docs).collect()}
     assert titles == {"doc/0": "x" * 200 + " needle ", "doc/4": " "}
 
 
