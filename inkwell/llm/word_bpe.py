@@ -37,7 +37,11 @@ from inkwell.llm.common import map_arrow, materialize, text_of
 
 LEAF = 4096
 WINDOW = 64
+# words kept by a task, in two generations, by number and by characters; longer
+# ones than ``CACHE_LENGTH`` are kept for the batch at hand only
 CACHE_WORDS = 600_000
+CACHE_CHARS = 6_000_000
+CACHE_LENGTH = 64
 BATCH_ROWS = 512
 # white space at which every pattern engine and normalizer agrees
 SPACES = re.compile(r"[ \t\n\r]+")
@@ -63,6 +67,8 @@ class WordBpe:
         # known words of two generations, so that a full cache keeps the frequent ones
         self.words: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
+        self.chars = 0
+        self.passing: list[str] = []
         self.names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
         self.plain = self._splits_as_expected()
 
@@ -91,16 +97,23 @@ class WordBpe:
 
         A piece goes straight to the model, which takes a fraction of what a
         word takes through the whole tokenizer."""
-        if len(self.words) > CACHE_WORDS // 2:
-            self.words, self.older = {}, self.words
+        for w in self.passing:
+            self.words.pop(w, None)
+        if len(self.words) > CACHE_WORDS // 2 or self.chars > CACHE_CHARS // 2:
+            self.words, self.older, self.chars = {}, self.words, 0
         known, older = self.words, self.older
-        for w in (words | pieces) & older.keys():
-            known.setdefault(w, older[w])
-        for w in pieces - known.keys():
+        again = [w for w in (words | pieces) & older.keys() if w not in known]
+        for w in again:
+            known[w] = older[w]
+        fresh = list(pieces - known.keys())
+        for w in fresh:
             known[w] = self.strings(self._piece_ids(w))
         new = list(words - known.keys())
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             known[w] = self.strings(e.ids)
+        fresh += new
+        self.passing = [w for w in fresh if len(w) > CACHE_LENGTH]
+        self.chars += sum(map(len, again)) + sum(map(len, fresh)) - sum(map(len, self.passing))
 
     def strings(self, ids: list[int]) -> tuple[str, str]:
         """Decimal ids and decoded tokens."""

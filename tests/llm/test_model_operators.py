@@ -412,3 +412,18 @@ def test_components_of_paths_stars_and_loops(spark):
                 label[a] = label[b] = min(label.get(a, a), label.get(b, b))
     assert all(found[x] == y for x, y in label.items() if x in found)
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_word_cache_is_bounded_by_characters(monkeypatch):
+    """Long words go with their batch, many short ones with their generation; every batch finds its own."""
+    monkeypatch.setattr(word_bpe, "CACHE_CHARS", 4000)
+    bpe, ids, rng = word_bpe.WordBpe(WORD), _ids(WORD), random.Random(2)
+    for _ in range(60):
+        words = {"".join(rng.choice("abcdé漢") for _ in range(rng.choice([1, 3, 8, 70, 500]))) for _ in range(40)}
+        pieces = {w for w in words if not word_bpe.OTHER.search(w)}
+        bpe.learn(words - pieces, pieces)
+        for w in words:
+            assert bpe.words[w][0] == " ".join(map(str, ids(w)))
+        assert sum(len(w) for w in bpe.words if len(w) <= word_bpe.CACHE_LENGTH) <= 4000
+        assert sum(len(w) for w in bpe.older) <= 4000 + 40 * 500
+        assert len([w for w in bpe.words if len(w) > word_bpe.CACHE_LENGTH]) <= 40
