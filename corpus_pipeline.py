@@ -12,6 +12,13 @@ the columns of ``docs``.
 3. ``secret_scan`` replaces every secret in the text; no document goes.
 4. ``packing`` cuts the remaining documents into training sequences.
 
+Defined results: a null or empty text has no words and is rejected by stage 1;
+a null id is kept like any other and represents its group only where the group
+holds no other id; of repeated rows with equal text one stays; texts of any
+length pass whole through every stage; an empty table, or one of which nothing
+is kept, gives no sequences; further columns of ``docs``, also ones named like
+those the operators use, come out of the first three stages as they went in.
+
 ``ORACLE_SQL`` is None: SQL can express neither the hashes of stage 2 nor the
 tokenizer of stage 4. ``tests/llm/test_pipeline.py`` holds ``run`` against a
 brute-force version.
