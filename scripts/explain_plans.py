@@ -79,8 +79,8 @@ def main() -> None:
         ("MAT-1 hourly: rows of the changed dates",
          "How the new keys meet the previous version is Spark's choice by the sizes it measures (nothing is "
          "broadcast by hand); every scan of its whole rows has PartitionFilters: the day folders that "
-         "hold earlier versions of the new keys (found beforehand by a small job over the key columns "
-         "only) and the changed dates. Only touched rows and new rows reach the dedup.",
+         "the key index names for the new keys, and the changed dates; the scan of raw is pruned to the "
+         "new loads by the load log. Only touched rows and new rows reach the dedup.",
          delta.latest_rows),
         ("MAT-4 section_counts_daily",
          "HashAggregate partial -> Exchange -> final; ReadSchema holds only the grouping columns.",
