@@ -119,6 +119,8 @@ def merge_runs(store: TableStore, source: DataFrame) -> list:
     mine = source.select("*", month_of().alias(MONTH), run_key().alias("key"))
     known = index.of_keys(mine.where("key IS NOT NULL").select("key"))
     months = [r[0] for r in mine.select(MONTH).unionByName(known.select(F.col("place").alias(MONTH))).distinct().collect()]
+    if not months:
+        return []  # nothing was reported
     merged = run_ops.upsert_runs(history.where(in_months(months)).select(*PIPELINE_RUNS.fieldNames()), source)
     store.replace_partitions(merged.select("*", month_of().alias(MONTH)), OPS, RUNS_TABLE, partition_by=MONTH,
                              values=months, cluster_by=("started_at",), base=base)
