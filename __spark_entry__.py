@@ -33,7 +33,7 @@ from inkwell.operators import runs as run_ops
 from inkwell.operators.latest import articles_latest
 from inkwell.plans import ingest, ops, refresh
 from inkwell.plans import queries as q
-from inkwell.plans import reports
+from inkwell.plans import reports, titles
 from inkwell.plans.api import Warehouse
 from inkwell.plans.catalog import TABLES, Tables
 from inkwell.sources import adapters, landing
@@ -59,6 +59,8 @@ SYNC_FROM = "2024-01-10"
 MERGE_FROM = "2024-01-25"
 # Letters beyond ASCII, both wildcards, and a backslash.
 DOCUMENT_SEARCHES = ("É", "e%00%", "th_ ", "C\\D")
+# A rare title, both wildcards, and runs too short for postings.
+TITLE_SEARCHES = ("Story 1007", "STORY %77_", "y_1%5 ", "7%8")
 LOOKUP_RUN = "manual__2024-01-12T05:00:00"
 
 
@@ -166,6 +168,7 @@ def _lake(spark: SparkSession, sf_dir: str) -> Lake:
             report = refresh.run_transforms(spark, lake, refreshed_at=AS_OF_TS, incremental=incremental)
             if report.status != "materialized":
                 raise RuntimeError(report)
+            titles.index_titles(spark, lake)
         refresh.compact_raw(store, most_loads=1)
         events = adapters.read_table(spark, sf_dir, "events")
         day = F.col("ts")
@@ -210,12 +213,28 @@ def _job_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run_lookup(s, d):
         return plain_types(ops.find_run(s, _lake(s, d), LOOKUP_RUN, "guardian_backfill_range"))
 
+    def title_grams(s, d):
+        postings = titles.postings_of(TableStore(s, _lake(s, d)))
+        return plain_types(postings.groupBy("publication_date", "gram").agg(F.count(F.lit(1)).alias("articles")))
+
+    def title_search(s, d):
+        store = TableStore(s, _lake(s, d))
+        found = [q.search_filter(titles.narrowed(store, lambda: refresh.read_analytics(store, "articles_latest"), *FULL, text),
+                                 *FULL, query_text=text).select(F.lit(text).alias("search"), "guardian_id", "web_title")
+                 for text in TITLE_SEARCHES]
+        return reduce(DataFrame.unionByName, found)
+
+    def article_search(s, d):
+        page = Warehouse(s, _lake(s, d)).articles(*FULL, q_text=SEARCH_TEXT, section=SEARCH_SECTION, limit=20, offset=20)
+        return plain_types(page["articles"])
+
     def run_feed(s, d):
         none = adapters.run_records_from_events(adapters.read_table(s, d, "events")).limit(0)
         return plain_types(ops.sync_pipeline_runs(s, _lake(s, d), none))
 
     return {f"job_{n}": table(n) for n in (*TABLES, refresh.SPANS)} | {f"job_{f.__name__}": f for f in (
-        key_index, duplicate_ids, article_detail, raw_rows, raw_count, raw_watermark, run_history, run_page, run_lookup, run_feed)}
+        key_index, duplicate_ids, article_detail, raw_rows, raw_count, raw_watermark, run_history, run_page, run_lookup, run_feed,
+        title_grams, title_search, article_search)}
 
 
 def _runs(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
@@ -601,6 +620,13 @@ FROM tag_counts_daily, range(13) t(level) WHERE publication_date IS NOT NULL GRO
         "job_raw_count": _BASE + "SELECT COUNT(*) AS rows FROM articles_raw",
         "job_raw_rows": _BASE + f"""SELECT guardian_id, web_url, web_title, section_id, section_name, pillar_id, pillar_name,
   {_ts('published_at')}, {_ts('ingested_at')}, array_to_string(tags, '|') AS tags, api_response_page, raw_payload FROM articles_raw""",
+        "job_title_grams": _BASE + f"""SELECT {_day('publication_date')}, gram, COUNT(*) AS articles FROM (
+  SELECT publication_date, UNNEST(list_distinct(list_transform(range(1, length(web_title) - 1),
+    lambda i: substr(lower(web_title), CAST(i AS INTEGER), 3)))) AS gram FROM articles_latest WHERE publication_date IS NOT NULL) GROUP BY 1, 2""",
+        "job_title_search": _BASE + "\nUNION ALL\n".join(
+            f"SELECT '{x}' AS search, guardian_id, web_title FROM articles_latest WHERE {_win(*FULL)} "
+            f"AND lower(web_title) LIKE '%' || lower('{x}') || '%'" for x in TITLE_SEARCHES),
+        "job_article_search": _summary_sql(base["articles_search"]),
         "job_key_index": _BASE + f"""SELECT COALESCE(guardian_id, COALESCE(web_url, '') || '#' || CAST(published_at AS VARCHAR)) AS key,
   {_day('publication_date')}, loads FROM articles_latest l LEFT JOIN (
     SELECT COALESCE(guardian_id, COALESCE(web_url, '') || '#' || CAST(published_at AS VARCHAR)) AS k, COUNT(guardian_id) AS loads
@@ -680,6 +706,13 @@ ORDER BY published_text DESC NULLS LAST, guardian_id ASC NULLS FIRST, web_title
 LIMIT {limit} OFFSET {offset}"""
 
 
+def _summary_sql(search: str) -> str:
+    """The served summary of found articles: empty text for a missing id, title or date."""
+    return (search.replace("SELECT guardian_id, web_title,", "SELECT COALESCE(guardian_id, '') AS guardian_id, "
+                           "COALESCE(web_title, '') AS web_title,", 1)
+            .replace("published_text AS published_at,", "COALESCE(published_text, '') AS published_at,", 1))
+
+
 # ------------------------------------------------------- more oracle SQL
 
 _AS_OF_DAY = AS_OF_TS.strftime("%Y-%m-%d")
@@ -934,8 +967,5 @@ FROM content_freshness""",
   CAST(2 AS BIGINT) AS current_page, 40 < total AS has_next, TRUE AS has_previous
 FROM (SELECT COUNT(*) AS total FROM articles_latest WHERE {_win(f0, f1)}
   AND lower(web_title) LIKE '%' || lower('{SEARCH_TEXT}') || '%' AND section_name = '{SEARCH_SECTION}')""",
-        "search_summaries": _search_sql(d0, d1, f"AND list_contains(tags, '{SEARCH_TAG}')", 20, 40)
-            .replace("SELECT guardian_id, web_title,", "SELECT COALESCE(guardian_id, '') AS guardian_id, "
-                     "COALESCE(web_title, '') AS web_title,", 1)
-            .replace("published_text AS published_at,", "COALESCE(published_text, '') AS published_at,", 1),
+        "search_summaries": _summary_sql(_search_sql(d0, d1, f"AND list_contains(tags, '{SEARCH_TAG}')", 20, 40)),
     }

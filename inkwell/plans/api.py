@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.config import OPS, Lake, Settings, configure
 from inkwell.functions.windows import validate_range
 from inkwell.operators import runs as run_ops
-from inkwell.plans import ingest, ops, refresh, reports
+from inkwell.plans import ingest, ops, refresh, reports, titles
 from inkwell.plans import queries as q
 from inkwell.plans.catalog import Tables
 from inkwell.schemas import DATA_QUALITY_RESULTS
@@ -53,8 +53,10 @@ class Warehouse:
 
     def articles(self, from_date=None, to_date=None, q_text: str | None = None, section: str | None = None,
                  tag: str | None = None, limit: int = q.DEFAULT_SEARCH_LIMIT, offset: int = 0) -> dict:
-        return reports.search_page(self.tables.articles_latest, self._window(from_date, to_date),
-                                   query_text=q_text, section=section, tag=tag, limit=limit, offset=offset)
+        """A page of matches and their number. Title postings name the days to look at."""
+        w = self._window(from_date, to_date)
+        latest = titles.narrowed(TableStore(self.spark, self.lake), lambda: self.tables.articles_latest, w.start, w.end, q_text)
+        return reports.search_page(latest, w, query_text=q_text, section=section, tag=tag, limit=limit, offset=offset)
 
     def article(self, guardian_id: str) -> DataFrame:
         """One article or no rows (not found). The key index names the days to look at."""

@@ -228,6 +228,11 @@ class TableStore:
             writer.parquet(path)
         else:
             writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        if partition_by and not self._children(path, partition_by[0]):
+            # no rows, no folders: one empty file, so that the table has its columns
+            (self.spark.createDataFrame([], df.schema).coalesce(1).write.mode("append")
+             .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path))
+        if base is not None:
             self._publishing(path, lambda: self._claim(dataset, table, base, path.rsplit("/", 1)[1]))
             fs, marker = self._fs_path(f"{path}/{MARKER}")
             fs.create(marker, True).close()

@@ -134,3 +134,16 @@ def test_added_partitions_and_tags(spark, scratch):
     assert read() == [(5, "k")]
     with pytest.raises(Exception, match="no longer the newest"):
         store.add_partitions(row(6, "k"), "a", "p", partition_by="d", base="none")
+
+
+def test_a_partitioned_table_without_rows_has_its_columns(spark, scratch):
+    store = TableStore(spark, Lake(tempfile.mkdtemp(prefix="empty-", dir=scratch)))
+    rows = spark.createDataFrame([(1, "a")], "n long, day string")
+    for base in (None, "none"):
+        table = f"t{base}"
+        store.replace(rows.limit(0), "d", table, partition_by=("day",), base=base)
+        assert store.read("d", table).columns == ["n", "day"] and store.read("d", table).count() == 0
+        store.replace_partitions(rows, "d", table, partition_by="day", values=["a"])
+        assert [tuple(r) for r in store.read("d", table).collect()] == [(1, "a")]
+        store.replace_partitions(rows.limit(0), "d", table, partition_by="day", values=["a"])
+        assert store.read("d", table).columns == ["n", "day"] and store.read("d", table).count() == 0
