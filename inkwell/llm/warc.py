@@ -3,17 +3,24 @@
 Writing: each page becomes a WARC/1.1 ``response`` record, or a ``revisit``
 record where its payload occurs before. Archives are written by Spark's text
 writer with the record separator as line end, so they commit like any table
-and lie on any file system Spark can write. Reading: whole files, records by
-their Content-Length, one record at a time; no record is found by searching
-for a separator, so payloads may hold anything.
+and lie on any file system Spark can write. A written row is a bundle of
+records of some ``BUNDLE`` bytes and a file holds ``BUNDLES`` of them, so
+archives are bounded by bytes (64 MB before compression, and what the last record
+of each bundle is longer). Reading: whole files, records by their
+Content-Length, one record at a time; no record is found by searching for a
+separator, so payloads may hold anything. Each archive is one gzip stream:
+``position`` is the offset in the unpacked archive.
 
 The capture index (URL key, timestamp, digest, file, offset) is an external
 merge: every archive gives a locally sorted *run* of captures; captures are
-range-partitioned by URL key, timestamp and id, and each task merges the
-pieces of the runs that fall into its range with a loser tree. Ranges cut
-through the captures of one URL too, so a URL with a third of all captures is
-spread over tasks. The result is globally ordered, and a window-free count
-within the merge gives each capture its place in the URL's history.
+range-partitioned by URL key, timestamp and id into ranges of some ``RANGE``
+captures, and each task merges the pieces of the runs that fall into its range
+with a loser tree. A task keeps its range as Arrow columns and the sort keys, and
+hands the merged rows on in batches. Ranges cut through the captures of one
+URL too, so a URL with a third of all captures is spread over tasks. The
+result is globally ordered. ``history_row`` is a capture's place in its URL's
+history: its place within the range, and for the URL a range begins with the
+captures of it in the ranges before.
 
 Duplicate payloads are found by their SHA-256 and length with a partial
 minimum before the shuffle, so a payload with millions of copies is one row
@@ -38,14 +45,18 @@ from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import fresh_path, map_arrow, materialize
 
 END = "\r\n\r\n"
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=timezone.utc)
-RECORDS = 4096
+BUNDLE = 2 << 20
+BUNDLES = 32
+# captures a merge task holds, and those it hands on at once
+RANGE = 200_000
+SLICE = 8192
 
 
 def url_key(url: str) -> str:
@@ -65,7 +76,7 @@ def _header(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def write(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
+def write(pages: DataFrame, path: str, revisit_from: int = 0, bundle: int = BUNDLE, bundles: int = BUNDLES) -> None:
     """Write one record per page below ``path``."""
     rows = pages.select(
         F.col("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -77,9 +88,12 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     marked = rows.join(first, ["sha", "bytes"], "left").select("page_id", "url", "html", "first_id")
     uid = uuid.uuid5(uuid.NAMESPACE_URL, path)
 
+    def row(records):
+        return pa.RecordBatch.from_arrays([pa.array([END.join(records)], pa.string())], names=["value"])
+
     def records(batches):
+        out, size = [], 0
         for batch in batches:
-            out = []
             for page, url, html, first_id in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id"))):
                 payload = html.encode("utf-8")
                 digest = base64.b32encode(_sha1(payload)).decode()
@@ -97,10 +111,15 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
                        "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
                     f"Content-Length: {len(body.encode('utf-8'))}"]
                 out.append("\r\n".join(head) + END + body)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                size += len(body)
+                if size >= bundle:
+                    yield row(out)
+                    out, size = [], 0
+        if out:
+            yield row(out)
 
     (map_arrow(marked, records, "value string").write.option("lineSep", END).option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS).text(path))
+     .option("maxRecordsPerFile", bundles).text(path))
 
 
 def _sha1(data: bytes) -> bytes:
@@ -206,29 +225,52 @@ class LoserTree:
 
 
 def capture_history(captures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The captures in global order of URL key, timestamp and page id.
+    """The captures (as stored: they are counted, then read) in global order of URL
+    key, timestamp and page id.
 
     ``segment`` numbers the ranges, ``segment_row`` the rows within: ordering by
-    the two gives the merged index."""
+    the two gives the merged index. ``history_row`` counts from 0 within the URL key."""
     spark = captures.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE))
     dealt = (captures.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_last(), "archive", "position")
              .withColumn("segment", F.spark_partition_id()))
     # the shuffle mixes the runs' pieces; each piece becomes one sorted run again
     dealt = dealt.sortWithinPartitions("archive", "url_key", "captured", F.col("page_id").asc_nulls_last(), "position")
-    names = dealt.columns
+    by = [dealt.columns.index(c) for c in ("url_key", "captured", "page_id", "archive", "position")]
 
     def merge(batches):
-        runs: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[8], []).append(row)
-        merged = [(*row, i) for i, row in enumerate(LoserTree(list(runs.values()), _order))]
-        if merged:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*merged), [*batch.schema, pa.field("r", pa.int64())])],
-                                             names=[*names, "segment_row"])
-
-    return map_arrow(dealt, merge, CAPTURE + ", segment int, segment_row long")
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if not table:
+            return
+        keys = [(url, at, page is None, page or 0, archive, place)
+                for url, at, page, archive, place in zip(*(table.column(i).to_pylist() for i in by))]
+        cuts = [i for i in range(len(keys)) if i == 0 or keys[i][4] != keys[i - 1][4]]
+        runs = [range(a, b) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+        order, places, url, place = [], [], None, 0
+        at = 0
+        for i in LoserTree(runs, keys.__getitem__):
+            place = place + 1 if keys[i][0] == url else 0
+            url = keys[i][0]
+            order.append(i)
+            places.append(place)
+            if len(order) == SLICE:
+                yield from rows(table, order, at, places)
+                at, order, places = at + SLICE, [], []
+        yield from rows(table, order, at, places)
+
+    def rows(table, order, at, places):
+        part = table.take(pa.array(order, pa.int64())).append_column("segment_row", pa.array(range(at, at + len(order)), pa.int64()))
+        yield from part.append_column("url_row", pa.array(places, pa.int64())).combine_chunks().to_batches()
+
+    merged = materialize(map_arrow(dealt, merge, CAPTURE + ", segment int, segment_row long, url_row long"), "warc-merged")
+    # a URL of several ranges is the first of all but its first range
+    cut = merged.where("segment_row = 0").select("url_key").distinct()
+    here = merged.join(cut, "url_key", "left_semi").groupBy("url_key", "segment").agg(F.count(F.lit(1)).alias("n"))
+    ranges_before = Window.partitionBy("url_key").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = here.select("url_key", "segment", F.sum("n").over(ranges_before).alias("earlier")).where("earlier > 0")
+    return (merged.join(before, ["url_key", "segment"], "left")
+            .withColumn("history_row", F.col("url_row") + F.coalesce("earlier", F.lit(0)))
+            .select(*captures.columns, "segment", "segment_row", "history_row"))
 
 
 def round_trip(pages: DataFrame, revisit_from: int = 0, path: str | None = None) -> DataFrame:

@@ -276,6 +276,38 @@ def test_many_archives_merge_into_one_order(spark):
     assert len(order) == 500 and order == sorted(order) and len({r["archive"] for r in rows}) > 5
 
 
+def test_history_counts_a_url_over_all_its_ranges(spark, monkeypatch):
+    # one URL with most captures, captures that share time and id, and URLs of one capture
+    urls = F.when(F.col("id") % 10 == 0, F.concat(F.lit("http://z.org/"), F.col("id").cast("string"))).otherwise(F.lit("http://hot.org/"))
+    pages = spark.range(600).select((F.col("id") % 400).alias("page_id"), urls.alias("url"), F.col("id").cast("string").alias("html"))
+    pages = pages.unionByName(pages.limit(3)).repartition(7)
+    monkeypatch.setattr(warc, "RANGE", 20)
+    monkeypatch.setattr(warc, "SLICE", 7)
+    rows = warc.capture_history(common.materialize(warc.read(spark, _written(spark, pages)), "t")).collect()
+    rows.sort(key=lambda r: (r["segment"], r["segment_row"]))
+    assert len(rows) == 603 and len({r["segment"] for r in rows}) > 10
+    order = [(r["url_key"], r["captured"], r["page_id"], r["archive"], r["position"]) for r in rows]
+    assert order == sorted(order)
+    seen: dict = {}
+    for r in rows:
+        assert r["history_row"] == seen.get(r["url_key"], 0)
+        seen[r["url_key"]] = r["history_row"] + 1
+    assert max(seen.values()) > 500
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a.org/").alias("url"),
+                                    F.repeat(F.lit("x"), F.when(F.col("id") % 100 == 7, 90_000).otherwise(1000).cast("int")).alias("html"))
+    path = common.fresh_path(spark, "warc-test")
+    warc.write(pages.coalesce(1), path, revisit_from=1 << 30, bundle=10_000, bundles=4)
+    sizes = [len(gzip.decompress(bytes(f["content"]))) for f in spark.read.format("binaryFile").load(path).collect()]
+    # four bundles of 10,000 bytes and their last records, a long one in one of them
+    assert len(sizes) > 8 and max(sizes) < 4 * 16_000 + 90_000
+    rows = warc.read(spark, path).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(400))
+    assert {r["page_id"] for r in rows if r["payload_bytes"] == 90_000} == {7, 107, 207, 307}
+
+
 def _written(spark, pages):
     path = common.fresh_path(spark, "warc-test")
     warc.write(pages, path)
