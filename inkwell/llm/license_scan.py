@@ -9,17 +9,21 @@ scan has two passes over the texts:
    whatever the corpus, so the result goes to the driver.
 2. The index holds the template positions (postings) of each template's
    ``rare`` words of highest IDF. A text looks up every occurrence of an
-   indexed word and votes for (template, text position less template
-   position); a place where at least half of a template's indexed postings
-   agree is a candidate. It is verified: every mandatory key phrase has to
-   stand there, word for word, and ``least`` of the template's words have to
-   be in place. The score of a text is the best share of words in place.
+   indexed word, which says where the template would begin (text position
+   less template position). Where half of a template's postings meet with
+   beginnings at most ``slack`` words apart, the notice may stand there, also
+   with words inserted, left out or replaced. It is verified: an alignment
+   within that band gives the most template words that stand there in order,
+   of which there have to be ``least``; every mandatory key phrase has to stand
+   there too, word for word and in the template's order. The score of a text is
+   the best share of words in place.
 
 Fixed base phrases are reported wherever their words stand consecutively.
 
 Defined results: a null text is empty (no words, no labels, score 0); null
-ids and repeated rows are kept as they are; tied votes are all verified; an
-empty table gives an empty table; other columns are ignored.
+ids and repeated rows are kept as they are; all places with enough postings
+are verified; a text of any length is held as its words, an alignment only as two
+rows as wide as the band; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from inkwell.llm.common import map_arrow, text_of
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 RARE = 8
 LEAST = 0.7
+# words by which the beginnings that a notice's postings give may differ: these, or an eighth of its words
+LOOSE = 2
 
 # Fixed phrases and labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -96,7 +102,7 @@ class Index:
         self.words = [words_of(t.text) for t in templates]
         self.phrases = []
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed = []
+        self.needed, self.slack = [], []
         for t, (template, words) in enumerate(zip(templates, self.words)):
             idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) for w in words}
             chosen = set(sorted(idf, key=lambda w: (-idf[w], w))[:rare])
@@ -106,7 +112,8 @@ class Index:
                     self.postings[w].append((t, at))
                     n += 1
             self.needed.append((n + 1) // 2)
-            self.phrases.append([self._where(words, words_of(p)) for p in template.key_phrases])
+            self.slack.append(max(LOOSE, len(words) // 8))
+            self.phrases.append(sorted(self._where(words, words_of(p)) for p in template.key_phrases))
 
     @staticmethod
     def _where(words: list[bytes], phrase: list[bytes]) -> tuple[int, list[bytes]]:
@@ -117,23 +124,73 @@ class Index:
 
     def scan(self, words: list[bytes], least: float) -> dict[str, float]:
         """Label to the best share of its template's words in place."""
-        votes: Counter = Counter()
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         postings = self.postings
         for p, w in enumerate(words):
             if w in postings:
                 for t, at in postings[w]:
-                    votes[t, p - at] += 1
+                    hits[t].append((p - at, at))
         found: dict[str, float] = {}
-        for (t, begin), n in votes.items():
-            own = self.words[t]
-            if n < self.needed[t] or begin < 0 or begin + len(own) > len(words):
+        for t, own in hits.items():
+            if len(own) < self.needed[t]:
                 continue
-            if any(words[begin + i:begin + i + len(phrase)] != phrase for i, phrase in self.phrases[t]):
-                continue
-            share = sum(a == b for a, b in zip(own, words[begin:begin + len(own)])) / len(own)
-            if share >= least:
+            for low, high in self._places(sorted(own), self.needed[t], self.slack[t]):
+                share = self._verified(t, words, low - self.slack[t], high + self.slack[t], least)
                 found[self.labels[t]] = max(share, found.get(self.labels[t], 0.0))
-        return found
+        return {label: share for label, share in found.items() if share >= least}
+
+    @staticmethod
+    def _places(hits: list[tuple[int, int]], needed: int, slack: int):
+        """First and last beginning of each largest set of hits within ``slack``
+        that has ``needed`` different postings; ``hits`` are sorted."""
+        inside: Counter = Counter()
+        a = b = 0
+        while b < len(hits):
+            grown = b
+            while b < len(hits) and hits[b][0] <= hits[a][0] + slack:
+                inside[hits[b][1]] += 1
+                b += 1
+            if b > grown and len(inside) >= needed:
+                yield hits[a][0], hits[b - 1][0]
+            # on to the next beginning that lets another hit in
+            while b < len(hits) and hits[a][0] + slack < hits[b][0]:
+                inside[hits[a][1]] -= 1
+                if not inside[hits[a][1]]:
+                    del inside[hits[a][1]]
+                a += 1
+
+    def _verified(self, t: int, words: list[bytes], low: int, high: int, least: float) -> float:
+        """The share of the template's words in place with beginnings from ``low``
+        to ``high``; 0 where a key phrase is missing or out of order."""
+        at = 0
+        for i, phrase in self.phrases[t]:
+            at = max(at, low + i, 0)
+            while at <= high + i and words[at:at + len(phrase)] != phrase:
+                at += 1
+            if at > high + i:
+                return 0.0
+            at += 1
+        return in_place(self.words[t], words, low, high) / len(self.words[t])
+
+
+def in_place(own: list[bytes], words: list[bytes], low: int, high: int) -> int:
+    """The most words of ``own`` that stand in ``words`` in their order, the i-th of them
+    between ``low + i`` and ``high + i``: longest common subsequence in a band."""
+    width = high - low + 1
+    # best[k]: with the text read up to place low + k (and i more) inclusive
+    best = [0] * (width + 1)
+    for i, w in enumerate(own):
+        row, left = [], 0
+        for k in range(width):
+            p = low + i + k
+            here = best[k + 1]                     # the word is left out
+            if 0 <= p < len(words) and words[p] == w and best[k] + 1 > here:
+                here = best[k] + 1
+            left = max(left, here)
+            row.append(left)
+        # the band moves on by one word: place low + i is out of it
+        best = [*row, row[-1]]
+    return best[width]
 
 
 def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:

@@ -237,3 +237,58 @@ def test_queries_equal_their_sql(spark, name):
     df = registry.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
     assert edge.rows_of(df, *columns) == edge.sort([tuple(r) for r in res.fetchall()])
+
+
+def test_license_notices_with_edited_words():
+    """Each notice with one word put in, left out or replaced, outside its key phrases."""
+    index = license_scan.Index(license_scan.TEMPLATES, {b"license": 50, b"the": 90, b"in": 80}, 100)
+    around = license_scan.words_of("some words before the notice")
+    for t, template in enumerate(license_scan.TEMPLATES):
+        own = license_scan.words_of(template.text)
+        fixed = {i for begin, phrase in index.phrases[t] for i in range(begin, begin + len(phrase))}
+        joints = {i for begin, phrase in index.phrases[t] for i in range(begin + 1, begin + len(phrase))}
+        edited = [own[:i] + [b"indeed"] + own[i:] for i in range(len(own) + 1) if i not in joints]
+        for i in set(range(len(own))) - fixed:
+            edited += [own[:i] + own[i + 1:], own[:i] + [b"indeed"] + own[i + 1:]]
+        for words in edited:
+            found = index.scan(around + words + around, 0.7)
+            assert template.label in found and found[template.label] >= 0.7, words
+        assert index.scan(around + own + around, 0.7)[template.label] == 1.0
+    mit = license_scan.words_of(license_scan.TEMPLATES[2].text.replace("any person", "any natural person"))
+    assert "mit" in index.scan(mit, 0.7)
+    bsd = next(t for t in license_scan.TEMPLATES if t.label == "bsd")
+    assert "bsd" in index.scan(license_scan.words_of(bsd.text.replace("with or without", "with or, indeed, without")), 0.7)
+    # a key phrase that is cut, or out of order
+    assert "mit" not in index.scan([w for w in mit if w != b"hereby"], 0.7)
+    half = len(mit) // 2
+    assert "mit" not in index.scan(mit[half:] + mit[:half], 0.7)
+
+
+def test_license_alignment_equals_brute_force():
+    rng = random.Random(7)
+    for _ in range(400):
+        own = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 9))]
+        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 14))]
+        low = rng.randint(-4, 8)
+        high = low + rng.randint(0, 6)
+        best = {(0, 0): 0}
+        for i in range(len(own) + 1):
+            for p in range(len(words) + 1):
+                best[i, p] = max([best[i - 1, p] if i else 0, best[i, p - 1] if p else 0,
+                                  best[i - 1, p - 1] + 1 if i and p and own[i - 1] == words[p - 1]
+                                  and low + i - 1 <= p - 1 <= high + i - 1 else 0])
+        assert license_scan.in_place(own, words, low, high) == best[len(own), len(words)]
+
+
+def test_license_places_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        hits = sorted((rng.randint(0, 20), rng.randint(0, 4)) for _ in range(rng.randint(0, 14)))
+        slack, needed = rng.randint(0, 5), rng.randint(1, 4)
+        sets = {}
+        for first, _ in hits:
+            inside = [h for h in hits if first <= h[0] <= first + slack]
+            if len({at for _, at in inside}) >= needed:
+                sets[first, inside[-1][0]] = frozenset(inside)
+        largest = {k for k, v in sets.items() if not any(v < w for w in sets.values())}
+        assert set(license_scan.Index._places(hits, needed, slack)) == largest
