@@ -4,7 +4,11 @@ Each vector gets one sign signature per table: ``bits`` signs of products with
 random hyperplanes of a fixed seed. Vectors with equal signatures in some
 table are candidates, and every candidate pair is checked by its cosine in
 double precision. At cosine 0.95 a sign agrees with probability 0.899, so one
-of 24 tables of 14 bits agrees with probability 0.998, and with more above.
+of 24 tables of 14 bits agrees with probability 0.998, and with more above. Bits
+grow with the logarithm of the rows, so that a bucket of unrelated vectors
+does not grow with the table, and the tables with the bits, so that a link is
+found with the same probability at every size (``layout``): 16 million rows take
+24 tables of 14 bits, a billion 48 of 20.
 
 Equal vectors are one class with a multiplicity, so copies cost one vector. A
 bucket is split into parts of at most ``cell_rows`` classes, and each pair of
@@ -22,6 +26,8 @@ an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,12 +37,21 @@ from inkwell.llm.common import connected_components, map_arrow, materialize
 from inkwell.llm.simhash_dedup import Links
 
 THRESHOLD = 0.95
-TABLES = 24
+# fewest bits, rows to a bucket of unrelated vectors, probability that a link at the threshold is found
 BITS = 14
+BUCKET_ROWS = 1024
+RECALL = 0.9975
 CELL_ROWS = 2048
 SEED = 7
 
 
+def layout(rows: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """Tables and bits for a table of ``rows`` vectors."""
+    bits = max(BITS, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
+    agrees = min(0.999, (1 - math.acos(threshold) / math.pi) ** bits)
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-agrees)), bits
+
+
 def _planes(length: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, length]).standard_normal((length, tables * bits))
 
@@ -124,11 +139,14 @@ def _in_blocks(a: np.ndarray, b: np.ndarray, size: int = 200_000):
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD,
-                    tables: int = TABLES, bits: int = BITS, cell_rows: int = CELL_ROWS, seed: int = SEED) -> DataFrame:
-    """``id``, ``n_links`` and ``component_id`` for every row of ``vectors``."""
+                    tables: int | None = None, bits: int | None = None, cell_rows: int = CELL_ROWS, seed: int = SEED) -> DataFrame:
+    """``id``, ``n_links`` and ``component_id`` for every row of ``vectors``. Tables and
+    bits follow from the number of rows unless given."""
     packed = materialize(_packed(vectors.select(F.col(id_column).alias("id"), column), column), "embedding-rows")
     name = F.substring(F.sha2("vector", 256), 1, 32)
     valid = packed.where("vector IS NOT NULL")
+    suits = layout(valid.count(), threshold)
+    tables, bits = tables or suits[0], bits or suits[1]
     # equal vectors, reduced by their digest before any vector moves twice
     classes = (valid.groupBy(name.alias("name")).agg(
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.first("vector").alias("vector")))

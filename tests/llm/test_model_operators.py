@@ -417,6 +417,25 @@ def test_embedding_links_equal_brute_force(spark, cell_rows):
     assert edge.rows_of(out, "id", "n_links", "component_id") == _vector_truth(rows)
 
 
+def test_embedding_layout_holds_its_recall(spark):
+    for rows in (0, 1, 10 ** 4, 10 ** 8, 10 ** 9, 10 ** 12):
+        tables, bits = embedding_dedup.layout(rows)
+        agrees = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert 1 - (1 - agrees) ** tables >= 0.9975 and rows / 2 ** bits <= embedding_dedup.BUCKET_ROWS
+    assert embedding_dedup.layout(10 ** 6, 1.0)[0] >= 1
+    # measured, at the layout of a billion rows: pairs right above the threshold
+    rng, rows = np.random.default_rng(5), []
+    for i in range(600):
+        a, b = rng.standard_normal((2, 96))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (0.951 * a + (1 - 0.951 ** 2) ** 0.5 * b).tolist())]
+    tables, bits = embedding_dedup.layout(10 ** 9)
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tables=tables, bits=bits)
+    assert out.filter("n_links = 1 AND component_id = id - id % 2").count() >= 0.99 * len(rows)
+
+
 def test_embeddings_on_edges(spark):
     v, nan, inf = [1.0, 2.0, 3.0], float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 3.0]), (5, [1.0, nan, 3.0]), (6, [1.0, inf, 3.0]),
