@@ -292,3 +292,26 @@ def test_license_places_equal_brute_force():
                 sets[first, inside[-1][0]] = frozenset(inside)
         largest = {k for k, v in sets.items() if not any(v < w for w in sets.values())}
         assert set(license_scan.Index._places(hits, needed, slack)) == largest
+
+
+def test_pii_parts_equal_brute_force():
+    rng = random.Random(3)
+    words = ["4111 1111 1111 1111", "+44 20 7946 0958", "10.0.0.1", "1.2.3.4.5", "a.b@c.org", "jo [at] c [dot] org", "020 7946 0958", "12345678", "x", "-", "."]
+    for _ in range(300):
+        text = rng.choice(["", " ", ", "]).join(rng.choices(words, k=rng.randint(0, 12)))
+        base = pii.base_spans(text)
+        found = pii.candidates(text, base)
+        want = [any(k == c[0] and (k, a, b) != c and a < c[2] and c[1] < b for k, a, b in base) for c in found]
+        assert pii._parts(found, base) == want, text
+
+
+def test_pii_of_a_text_with_very_many_candidates(spark):
+    long = " ".join(f"10.0.{i % 256}.{i // 256} u{i}@h.org 555-01{i:05d}" for i in range(12_000))
+    docs = spark.createDataFrame([(1, long), (2, "a@b.org"), (3, None), (4, long)], "doc_id long, text string").coalesce(1)
+    rows = {r["doc_id"]: r["spans"] for r in pii.find(docs, max_rows=2000).collect()}
+    assert sorted(rows) == [1, 2, 3, 4] and rows[3] == []
+    for i, text in ((1, long), (2, "a@b.org"), (4, long)):
+        assert sorted((pii.KINDS.index(s["kind"]), s["start"], s["end"]) for s in rows[i] if s["base"]) == sorted(pii.base_spans(text))
+    # candidates of several rows in pieces: rows stay whole
+    for piece in (1, 7, 100_000):
+        assert [len(r["found"]) for r in pii.propose(docs, piece).orderBy("doc_id").collect()][1:3] == [1, 0]
