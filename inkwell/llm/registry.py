@@ -22,6 +22,7 @@ from inkwell.llm import (
     warc,
     word_bpe,
 )
+from inkwell.llm.common import fresh_path
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,7 +37,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secret_scan.scan(_read(spark, sf_dir, "documents"))
+    # two scans through one written ledger: the second runs only the rules that the
+    # first did not, and finds the others' spans in the ledger
+    docs, ledger = _read(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger")
+    secret_scan.rescan(docs, ledger, rules=secret_scan.BASE_RULES)
+    findings = secret_scan.rescan(docs, ledger)
     spans = F.col("spans")
     of = lambda kind: F.size(F.filter(spans, lambda s: s["rule"] == f"{kind}@1")).cast("long")
     base = F.filter(spans, lambda s: s["rank"] < len(secret_scan.BASE_RULES))

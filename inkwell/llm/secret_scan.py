@@ -96,10 +96,12 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: st
     rows to append hold one entry for each newly scanned blob.
     """
     spark = docs.sparkSession
-    ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger
     keys = [r.key for r in rules]
     versions = materialize(_versions(docs, path, text).drop("text"), "secret-versions")
     blobs = versions.groupBy("blob").agg(F.min("at").alias("at"))
+    # of the ledger only the blobs at hand, before anything of it is taken apart
+    ledger = (spark.createDataFrame([], LEDGER) if ledger is None else
+              materialize(ledger.join(blobs.select("blob"), "blob", "left_semi"), "secret-seen"))
     seen = (ledger.select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(keys))
             .groupBy("blob").agg(F.collect_set("rule").alias("seen")))
     todo = (blobs.join(seen, "blob", "left")
