@@ -3,7 +3,9 @@
 Subword ids fall into ``CLASSES`` classes: the most frequent subwords are
 classes of their own, the others share classes by frequency and by whether
 they begin a word. The model predicts the next class; a subword's probability
-is its class's times its share of the class in the training corpus.
+is its class's times its share of the class in the training corpus. The softmax
+over classes is factored: ``GROUPS`` groups of ``MEMBERS`` consecutive classes,
+first the group, then the class among those of its group.
 
 Next-class logits are a bigram table, counted over all training documents,
 plus what one attention layer and a two-layer perceptron add. A document is
@@ -21,12 +23,15 @@ SINGLE = 200
 BLOCK = 16
 WIDTH = 16
 HIDDEN = 32
+GROUPS = 16
+MEMBERS = CLASSES // GROUPS
 END = CLASSES - 1
 NEVER = np.float32(-1e9)
 #: queries (the second block) see keys up to themselves
 CAUSAL = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK, 0, NEVER).astype(np.float32)
 SHAPES = {"E": (CLASSES, WIDTH), "P": (2 * BLOCK, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH),
-          "Wo": (WIDTH, WIDTH), "W1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, WIDTH), "U": (WIDTH, CLASSES)}
+          "Wo": (WIDTH, WIDTH), "W1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, WIDTH),
+          "G": (WIDTH, GROUPS), "U": (GROUPS, WIDTH, MEMBERS)}
 
 
 def classes_of(counts: np.ndarray, begins_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +56,19 @@ def bigram_logits(pairs: np.ndarray) -> np.ndarray:
     return np.log((pairs + 10 * back) / (pairs.sum(axis=1, keepdims=True) + 10)).astype(np.float32)
 
 
+def factors(bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bigram model's logits of the next group, by class, and of the next class
+    within its group, by class and group."""
+    by_group = bigram.reshape(-1, GROUPS, MEMBERS)
+    groups = np.log(np.exp(by_group.astype(np.float64)).sum(axis=2) + 1e-300).astype(bigram.dtype)
+    return groups, np.ascontiguousarray((by_group - groups[:, :, None]).reshape(-1, MEMBERS))
+
+
 def start_params(seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     params = {k: (rng.standard_normal(s) * (0.5 if k in "EP" else s[0] ** -0.5)).astype(np.float32) for k, s in SHAPES.items()}
     params["b1"][:] = 0
-    params["U"][:] = 0  # starts as the bigram model
+    params["G"][:] = params["U"][:] = 0  # starts as the bigram model
     return params
 
 
@@ -63,60 +76,78 @@ def flat(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in SHAPES]).astype(np.float64)
 
 
-def unflat(vector: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(vector: np.ndarray, copy: bool = True) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = vector[at:at + n].reshape(s).astype(np.float32)
+        out[k] = vector[at:at + n].reshape(s).astype(np.float32, copy=copy)
         at += n
     return out
 
 
-def windows(sequences: list[np.ndarray]):
+def windows(sequences: list):
     """Blocks of many documents: (inputs of two blocks, which are real, targets,
     which are real, document). A document's inputs are its classes after a
-    leading END, its targets the classes and a final END."""
-    lengths = np.array([len(s) + 1 for s in sequences], np.int64)
+    leading END, its targets the classes and a final END. A piece of a document is
+    (the ``BLOCK`` + 1 classes before it or none, its classes, whether it is the last):
+    only the first begins with END, and only the last ends with it. A piece that is
+    not the last is whole blocks."""
+    pieces = [s if isinstance(s, tuple) else (s[:0], s, True) for s in sequences]
+    lengths = np.array([len(s) + last for _, s, last in pieces], np.int64)
     blocks = -(-lengths // BLOCK)
     first = (np.cumsum(blocks) - blocks) * BLOCK
     n = int(blocks.sum())
     own = np.full(n * BLOCK + 1, END, np.int64)
     real = np.zeros(n * BLOCK, bool)
-    for a, size, sequence in zip(first.tolist(), lengths.tolist(), sequences):
-        own[a + 1:a + size] = sequence
+    target = np.full(n * BLOCK, END, np.int64)
+    before = np.full((n, BLOCK), END, np.int64)
+    has = np.ones(n, bool)
+    document = np.repeat(np.arange(len(pieces)), blocks)
+    has[1:] = document[1:] == document[:-1]
+    has[:1] = False
+    for a, size, (back, sequence, _) in zip(first.tolist(), lengths.tolist(), pieces):
+        own[a] = back[-1] if len(back) else END
+        own[a + 1:a + size] = sequence[:size - 1]
+        target[a:a + len(sequence)] = sequence
         real[a:a + size] = True
-    # a target is the next input, and the end after the last
-    target = own[1:].copy()
-    target[first + lengths - 1] = END
-    own, target, real = (x.reshape(n, BLOCK) for x in (own[:-1], target, real))
-    document = np.repeat(np.arange(len(sequences)), blocks)
-    before = np.zeros_like(own)
+    own = own[:-1].reshape(n, BLOCK)
     before[1:] = own[:-1]
-    has = np.zeros(n, bool)
-    has[1:] = document[1:] == document[:-1]
-    return np.concatenate([before, own], axis=1), has, target, real, document
+    for a, (back, _, _) in zip(first.tolist(), pieces):
+        if len(back):
+            before[a // BLOCK] = back[:-1]
+            has[a // BLOCK] = True
+    return (np.concatenate([before, own], axis=1), has, target.reshape(n, BLOCK), real.reshape(n, BLOCK), document)
+
 
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of tokens by group, and (group, first, end) of the groups that occur."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    return order, [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
-def _bias(has: np.ndarray) -> np.ndarray:
-    """What is added to attention scores: the causal mask, and no block before a document's first."""
-    first = CAUSAL.copy()
-    first[:, :BLOCK] = NEVER
-    return np.where(has[:, None, None], CAUSAL[None], first[None])
+
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """exp in place. Logits are log probabilities and small corrections, so a shift is rare."""
+    if (most := logits.max(initial=0)) > 60:
+        logits -= most - 60
+    return np.exp(logits, out=logits)
 
 
 def log_probs(params, bigram: np.ndarray, inputs, has, target) -> np.ndarray:
     """Natural log probabilities of the targets, block by block."""
     out = np.empty(target.shape, np.float32)
     scale = np.float32(WIDTH ** -0.5)
+    groups, members = factors(bigram)
     # queries, keys, values and the residual of every class at every place
     x = params["E"][:, None, :] + params["P"][None, :, :]
     q_table, h_table = (x[:, BLOCK:] @ params["Wq"] * scale).reshape(-1, WIDTH), x[:, BLOCK:].reshape(-1, WIDTH)
     kv_table = np.concatenate([x @ params["Wk"], x @ params["Wv"] @ params["Wo"]], axis=2).reshape(-1, 2 * WIDTH)
     q_table, h_table, kv_table = (np.ascontiguousarray(t, dtype=np.float32) for t in (q_table, h_table, kv_table))
     own_place, key_place = np.arange(BLOCK), np.arange(2 * BLOCK)
-    ones = np.ones(CLASSES, np.float32)
+    ones = np.ones(MEMBERS, np.float32)
+    tiny = np.float32(1e-30)
     for i in range(0, len(inputs), 256):
-        x, old, y = inputs[i:i + 256], has[i:i + 256], target[i:i + 256]
+        x, old, y = inputs[i:i + 256], has[i:i + 256], target[i:i + 256].ravel()
         own = x[:, BLOCK:]
         at = own * BLOCK + own_place
         kv = np.take(kv_table, x * (2 * BLOCK) + key_place, axis=0)
@@ -131,59 +162,99 @@ def log_probs(params, bigram: np.ndarray, inputs, has, target) -> np.ndarray:
         h += np.take(h_table, at, axis=0)
         h = h.reshape(-1, WIDTH)
         h += np.maximum(h @ params["W1"] + params["b1"], 0) @ params["W2"]
-        logits = h @ params["U"]
-        logits += np.take(bigram, own.ravel(), axis=0)
-        picked = np.take_along_axis(logits, y.reshape(-1, 1), axis=1)[:, 0]
-        if (most := logits.max()) > 60:
-            logits -= most - 60
-            picked = picked - (most - 60)
-        np.exp(logits, out=logits)
-        out[i:i + 256] = (picked - np.log(logits @ ones + np.float32(1e-30))).reshape(y.shape)
+        group, before, each = y // MEMBERS, own.ravel(), np.arange(len(y))
+        first = _exp(h @ params["G"] + np.take(groups, before, axis=0))
+        logs = np.log(first[each, group] / (first @ np.ones(GROUPS, np.float32)) + tiny)
+        order, runs = _by_group(group)
+        second = np.take(members, (before * GROUPS + group)[order], axis=0)
+        h = h[order]
+        for j, a, b in runs:
+            second[a:b] += h[a:b] @ params["U"][j]
+        _exp(second)
+        logs[order] += np.log(second[each, y[order] % MEMBERS] / (second @ ones) + tiny)
+        out[i:i + 256] = logs.reshape(-1, BLOCK)
     return out
 
 
-def gradients(params, bigram, inputs, has, target, real):
-    """Mean loss and its gradients over the real targets."""
+def gradients(params, bigram, inputs, has, target, real, factored=None):
+    """Mean loss and its gradients over the real targets. ``factored`` spares
+    taking ``factors`` of ``bigram`` for every batch."""
     p = params
-    scale = np.float32(WIDTH ** -0.5)
-    x = p["E"][inputs] + p["P"]
-    xq = x[:, BLOCK:]
-    q, k, v = xq @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-    s = q @ k.transpose(0, 2, 1) * scale + _bias(has)
-    s = np.exp(s - s.max(axis=2, keepdims=True))
-    a = s / s.sum(axis=2, keepdims=True)
-    o = a @ v
-    h1 = xq + o @ p["Wo"]
+    groups, members = factored or factors(bigram)
+    rows = len(inputs)
+    kind = p["E"].dtype
+    scale = kind.type(WIDTH ** -0.5)
+    cube = lambda m: m.reshape(rows, -1, WIDTH)
+    x = np.take(p["E"], inputs, axis=0)
+    x += p["P"]
+    every, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, BLOCK:]).reshape(-1, WIDTH)
+    q, k, v = cube(own @ p["Wq"]), cube(every @ p["Wk"]), cube(every @ p["Wv"])
+    q *= scale
+    s = q @ k.transpose(0, 2, 1)
+    np.minimum(s, 60, out=s)
+    s += CAUSAL
+    s[~has, :, :BLOCK] = NEVER
+    a = np.exp(s, out=s)
+    a /= (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, kind)).reshape(rows, BLOCK, 1)
+    o = (a @ v).reshape(-1, WIDTH)
+    h1 = own + o @ p["Wo"]
     z = np.maximum(h1 @ p["W1"] + p["b1"], 0)
     h = h1 + z @ p["W2"]
-    logits = h @ p["U"] + bigram[inputs[:, BLOCK:]]
-    logits -= logits.max(axis=2, keepdims=True)
-    e = np.exp(logits)
-    prob = e / e.sum(axis=2, keepdims=True)
-    n = np.float32(max(1, real.sum()))
-    at = np.take_along_axis(prob, target[:, :, None], axis=2)[:, :, 0]
-    loss = float(-(np.log(at + 1e-30) * real).sum() / n)
-    d = prob
-    np.put_along_axis(d, target[:, :, None], (at - 1)[:, :, None], axis=2)
-    d *= (real / n)[:, :, None].astype(np.float32)
-    two = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"U": two(h).T @ two(d)}
-    dh = d @ p["U"].T
-    g["W2"] = two(z).T @ two(dh)
+
+    before, y, each = inputs[:, BLOCK:].ravel(), target.ravel(), np.arange(target.size)
+    group = y // MEMBERS
+    order, runs = _by_group(group)
+    n = max(1, int(real.sum()))
+    weight = (real.ravel() / n).astype(kind)
+    first = h @ p["G"]
+    first += np.take(groups, before, axis=0)
+    _exp(first)
+    first /= (first @ np.ones(GROUPS, kind) + kind.type(1e-30))[:, None]
+    sorted_h = h[order]
+    second = np.take(members, (before * GROUPS + group)[order], axis=0).astype(kind, copy=False)
+    for j, i, e in runs:
+        second[i:e] += sorted_h[i:e] @ p["U"][j]
+    _exp(second)
+    second /= (second @ np.ones(MEMBERS, kind) + kind.type(1e-30))[:, None]
+    late, member = weight[order], y[order] % MEMBERS
+    one, two = first[each, group], second[each, member]
+    loss = -float(np.log(one + 1e-30) @ weight + np.log(two + 1e-30) @ late)
+
+    first[each, group] = one - 1
+    first *= weight[:, None]
+    second[each, member] = two - 1
+    second *= late[:, None]
+    g = {"G": h.T @ first, "U": np.zeros_like(p["U"])}
+    back = np.empty_like(sorted_h)
+    for j, i, e in runs:
+        g["U"][j] = sorted_h[i:e].T @ second[i:e]
+        back[i:e] = second[i:e] @ p["U"][j].T
+    dh = first @ p["G"].T
+    dh[order] += back
+    g["W2"] = z.T @ dh
     dz = (dh @ p["W2"].T) * (z > 0)
-    g["W1"], g["b1"] = two(h1).T @ two(dz), two(dz).sum(axis=0)
-    dh1 = dh + dz @ p["W1"].T
-    g["Wo"] = two(o).T @ two(dh1)
-    do = dh1 @ p["Wo"].T
-    da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Wq"], g["Wk"], g["Wv"] = two(xq).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-    dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-    dx[:, BLOCK:] += dq @ p["Wq"].T + dh1
+    g["W1"], g["b1"] = h1.T @ dz, dz.sum(axis=0)
+    dh += dz @ p["W1"].T
+    g["Wo"] = o.T @ dh
+    do = cube(dh @ p["Wo"].T)
+    dv = (a.transpose(0, 2, 1) @ do).reshape(-1, WIDTH)
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bqk,bqk->bq", ds, a)[:, :, None]
+    ds *= a
+    dq, dk = (ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    dq *= scale
+    g["Wq"], g["Wk"], g["Wv"] = own.T @ dq, every.T @ dk, every.T @ dv
+    dx = cube(dk @ p["Wk"].T + dv @ p["Wv"].T)
+    dx[:, BLOCK:] += cube(dq @ p["Wq"].T + dh)
     g["P"] = dx.sum(axis=0)
-    at = inputs.ravel()
-    g["E"] = np.stack([np.bincount(at, column, CLASSES) for column in two(dx).T], axis=1).astype(dx.dtype)
+    # rows of the same class are added up
+    at = inputs.ravel().astype(np.uint8)
+    by_class = np.argsort(at, kind="stable")
+    at = at[by_class]
+    starts = np.flatnonzero(np.diff(at, prepend=at[:1] + 1)) if len(at) else np.zeros(0, int)
+    g["E"] = np.zeros_like(p["E"])
+    if len(at):
+        g["E"][at[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[by_class], starts, axis=0)
     return loss, g
 
 
@@ -191,10 +262,12 @@ class Trainer:
     """Adam over batches of blocks."""
 
     def __init__(self, params, bigram, rate: float = 0.01, batch: int = 64):
-        self.params = {k: v.copy() for k, v in params.items()}
         self.bigram, self.rate, self.batch, self.steps, self.tokens = bigram, rate, batch, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in params.items()}
-        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+        self.factored = factors(bigram)
+        self.flat = flat(params).astype(np.float32)
+        # parts of the one vector, which every step changes in place
+        self.params = unflat(self.flat, copy=False)
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def feed(self, sequences: list[np.ndarray]) -> None:
         if not sequences:
@@ -203,11 +276,15 @@ class Trainer:
         order = np.random.default_rng(self.steps).permutation(len(inputs))
         for i in range(0, len(order), self.batch):
             rows = order[i:i + self.batch]
-            _, g = gradients(self.params, self.bigram, inputs[rows], has[rows], target[rows], real[rows])
+            _, g = gradients(self.params, self.bigram, inputs[rows], has[rows], target[rows], real[rows], self.factored)
             self.steps += 1
             self.tokens += int(real[rows].sum())
-            for k in g:
-                self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
-                self.v[k] = 0.99 * self.v[k] + 0.01 * g[k] ** 2
-                step = (self.m[k] / (1 - 0.9 ** self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.steps)) + 1e-8)
-                self.params[k] = (self.params[k] - self.rate * step).astype(np.float32)
+            g = np.concatenate([g[k].ravel() for k in SHAPES])
+            self.m += np.float32(0.1) * (g - self.m)
+            g *= g
+            self.v += np.float32(0.01) * (g - self.v)
+            step = np.sqrt(self.v / np.float32(1 - 0.99 ** self.steps))
+            step += np.float32(1e-8)
+            np.divide(self.m, step, out=step)
+            step *= np.float32(self.rate / (1 - 0.9 ** self.steps))
+            self.flat -= step

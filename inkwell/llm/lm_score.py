@@ -6,12 +6,15 @@ Jobs, in order:
    ``block_bytes`` of text. A block is one row: its documents as indices into
    the block's distinct words, and those words' subword ids. Each distinct
    word of a block is also one row, with its count in training documents.
-2. Corpus counts: one sum per word over the blocks, a window that hands it to
-   every block's row; subword counts and class pairs as one vector per task.
-3. The attention model (``attention_lm``) is trained data-parallel on every
-   training document: its hash gives the round in which its task steps over it,
-   and the tasks' parameters are averaged, weighted by tokens, once per round.
-   ``train_share`` is for tests; the query leaves it at 1, which is all.
+2. Corpus counts: one sum per word over the blocks, joined back to every block's
+   row; subword counts and class pairs as one vector per task, added up in a tree.
+3. The training documents' classes, a byte a subword, are written by round. The
+   attention model (``attention_lm``) is trained data-parallel on every training
+   document: a hash of its id and classes deals it to a round and, in that, to one of
+   ``trainers``, each of about ``SHARD`` tokens and one task, which steps over its
+   documents in the order of their hashes. The trainers' parameters are averaged,
+   weighted by tokens, once per round. ``train_share`` is for tests; the query leaves
+   it at 1, which is all.
 4. Scoring: each block meets the counts of its own words in one task: the smoothed
    unigram base score, and the model's log10 probability. The attention model
    scores every subword once, in overlapping context windows; a word's
@@ -21,25 +24,33 @@ Jobs, in order:
    training documents are likeliest, each word's own occurrence left out of its
    unigram count. No task sees the vocabulary of the corpus.
 
-A block has a bounded size, so do the model and each task's vectors. A hot
-word is one row per block. Partition bounds do not matter for the counts; the
-averaged parameters depend on how documents fall into tasks, within the noise
-of training.
+A block has a bounded size, so do the model, each task's vectors and each trainer's
+share of a round. A hot word is one row per block, added up before the shuffle and
+joined back, so that AQE can split it. Neither the counts nor the parameters depend
+on how documents fall into tasks: how many trainers there are follows from the
+number of training tokens.
 
 Defined results: a null text is empty (one token, the end); a null id counts
 as the empty string's hash, which is training; repeated rows count as often
 as they occur; with no training documents all counts are 0 and the model is
 uniform over its classes; an empty table gives an empty table; other columns
-are ignored.
+are ignored. A text of any length is one document; one of more than ``PIECE``
+subwords is scored as a whole, in groups of its own, and trained on in pieces of
+that size, each with the classes before it as its context. Equal documents with
+equal ids are dealt by their number in the block.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import attention_lm as lm
@@ -52,7 +63,15 @@ TRAIN_SHARE = 1
 ROUNDS = 4
 # tokens whose windows are held at once
 GROUP = 200_000
-SUMS = 16
+# vectors added up in one task
+SUMS = 32
+# training tokens of one trainer in one round, and of one row of them
+SHARD = 1 << 20
+PIECE = 1 << 16
+# blocks of tokens to one step
+BATCH = 128
+# probabilities multiplied before a logarithm is taken: each is at least 1e-17
+PRODUCT = 16
 MIXES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 # byte-level vocabularies have well below 65,536 ids
 ID = "<u2"
@@ -205,16 +224,27 @@ def _rows(batches):
         yield from batch.to_pylist()
 
 
-def summed(vectors: DataFrame, length: int) -> np.ndarray:
+def summed(vectors: DataFrame, length: int, count: int | None = None) -> np.ndarray:
     """The sum of one vector (binary doubles) per task, added up on the executors
-    in at most ``SUMS`` groups before the driver sees them."""
-    ship(vectors.sparkSession.sparkContext)
-
-    def add(table):
-        total = sum((np.frombuffer(v.as_py()) for v in table.column("vector")), np.zeros(length))
-        return pa.table({"vector": pa.array([total.tobytes()], pa.binary())})
-
-    parts = vectors.groupBy((F.col("task") % SUMS).alias("g")).applyInArrow(add, "vector binary").collect()
+    as they stream by, ``SUMS`` or so to a task, until at most ``SUMS`` are left
+    for the driver. ``count``, where known, is how many there are. Whole numbers below 2^53 add up exactly in any order."""
+    def add(batches):
+        total, task = np.zeros(length), None
+        for batch in batches:
+            for t, v in zip(batch.column("task").to_pylist(), batch.column("vector")):
+                total += np.frombuffer(v.as_buffer())
+                task = t if task is None else min(t, task)
+        if task is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                                             names=["task", "vector"])
+
+    if count is None:
+        vectors = materialize(vectors, "lm-vectors")
+        count = vectors.count()
+    while count > SUMS:
+        count = -(-count // SUMS)
+        vectors = materialize(map_arrow(vectors.repartition(count, "task"), add, "task int, vector binary"), "lm-vectors")
+    parts = sorted(vectors.collect(), key=lambda r: r["task"])
     return sum((np.frombuffer(bytes(r["vector"])) for r in parts), np.zeros(length))
 
 
@@ -244,48 +274,84 @@ def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
             total += np.bincount(_array(row["subwords"], ID), np.repeat(n, each), size)
         return total
 
-    of, share = lm.classes_of(summed(_per_task(blocks, count), size), coder.begins)
+    counts = summed(_per_task(blocks, count), size)
+    of, share = lm.classes_of(counts, coder.begins)
     of = of.astype(np.uint8)
+    trainers = max(1, -(-int(counts.sum()) // (SHARD * max(1, rounds))))
+    sequences = materialize(sequences_of(blocks, of), "lm-classes", "turn")
 
-    end = np.array([lm.END], np.uint8)
-
-    def pairs(rows):
+    def pairs(batches):
         total = np.zeros(k * k)
-        for row in rows:
-            line = [end]
-            for _, _, ids in _documents(row, lambda m: not m["held"]):
-                line += [of[ids], end]
-            line = np.concatenate(line)
-            for i in range(0, len(line) - 1, 1 << 20):
-                part = line[i:i + (1 << 20) + 1].astype(np.int64)
-                total += np.bincount(part[:-1] * k + part[1:], minlength=k * k)
-        return total
+        for batch in batches:
+            for before, classes, last in zip(*(batch.column(c).to_pylist() for c in ("before", "classes", "last"))):
+                line = np.frombuffer((before[-1:] or END) + classes + (END if last else b""), np.uint8).astype(np.int64)
+                total += np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                          pa.array([total.tobytes()], pa.binary())], names=["task", "vector"])
 
-    bigram = lm.bigram_logits(summed(_per_task(blocks, pairs), k * k).reshape(k, k))
+    bigram = lm.bigram_logits(summed(map_arrow(sequences, pairs, "task int, vector binary"), k * k).reshape(k, k))
     params = lm.start_params()
     n = len(lm.flat(params))
     for r in range(rounds):
-        def train(rows, params=params, r=r):
-            return trained(rows, r, params, bigram, of)
+        def train(batches, params=params, r=r):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int32()),
+                 pa.array([trained(_rows(batches), r, params, bigram).tobytes()], pa.binary())], names=["task", "vector"])
 
-        total = summed(_per_task(blocks, train), n + 1)
+        dealt = (sequences.where(F.col("turn") == r).select("key", "before", "classes", "last")
+                 .repartitionById(trainers, F.pmod("key", F.lit(trainers)).cast("int"))
+                 .sortWithinPartitions("key", "classes", "before", "last"))
+        total = summed(map_arrow(dealt, train, "task int, vector binary"), n + 1, trainers)
         if total[-1]:
             params = lm.unflat(total[:-1] / total[-1])
     return params, bigram, of, share
 
 
-def trained(rows, turn: int, params, bigram, of) -> np.ndarray:
-    """The parameters after a round over the training documents of the block rows,
-    times the tokens stepped over, and these."""
-    trainer = lm.Trainer(params, bigram, 0.01 / (1 + turn))
+END = bytes([lm.END])
+SEQUENCES = "turn int, key long, before binary, classes binary, last boolean"
+
+
+def sequences_of(blocks: DataFrame, of: np.ndarray) -> DataFrame:
+    """Training documents as classes, a byte each, in pieces of at most ``PIECE``, with
+    the classes before the piece, whether it is the document's last, and the
+    hash that deals and orders the pieces."""
+    def run(batches):
+        for row in _rows(batches):
+            rows, size, copies = [], 0, Counter()
+            for member, _, ids in _documents(row, lambda m: not m["held"]):
+                classes = of[ids].tobytes()
+                name = f"{member['doc_id']}/{zlib.crc32(classes)}"
+                copies[name] += 1
+                for at in range(0, max(1, len(classes)), PIECE):
+                    key = xxhash.xxh64_intdigest(f"{name}/{copies[name]}/{at}") >> 1
+                    rows.append((member["turn"], key, classes[max(0, at - lm.BLOCK - 1):at], classes[at:at + PIECE],
+                                 at + PIECE >= len(classes)))
+                size += len(classes) + 64
+                if size >= 4 << 20:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows):
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)],
+                                          names=["turn", "key", "before", "classes", "last"])
+
+    return map_arrow(blocks, run, SEQUENCES)
+
+
+def trained(rows, turn: int, params, bigram) -> np.ndarray:
+    """The parameters after a round over the training pieces in ``rows``, times the
+    tokens stepped over, and these."""
+    trainer = lm.Trainer(params, bigram, 0.01 / (1 + turn), BATCH)
     group, size = [], 0
     for row in rows:
-        for _, _, ids in _documents(row, lambda m: m["turn"] == turn and not m["held"]):
-            group.append(of[ids].astype(np.int64))
-            size += len(ids)
-            if size >= GROUP:
-                trainer.feed(group)
-                group, size = [], 0
+        group.append(tuple(np.frombuffer(row[c], np.uint8) for c in ("before", "classes")) + (row["last"],))
+        size += len(row["classes"]) + 1
+        if size >= GROUP:
+            trainer.feed(group)
+            group, size = [], 0
     trainer.feed(group)
     return np.append(lm.flat(trainer.params) * trainer.tokens, trainer.tokens)
 
@@ -297,11 +363,10 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
     both = materialize(blocks_of(docs, tokenizer_path, block_bytes, train_share, rounds), "lm-blocks")
     blocks = both.where("word IS NULL").select("block", "ids", "places", "subwords", "ends")
     words = both.where("word IS NOT NULL").select("block", "word", "place", "n")
-    # every row of a word gets its count: one shuffle of the words, which can spill
-    counted = materialize(words.select(
-        "block", "place", F.sum("n").over(Window.partitionBy("word")).alias("c"),
-        F.row_number().over(Window.partitionBy("word").orderBy("block")).alias("nth")).where("c > 0"), "lm-counts")
-    sums = counted.where("nth = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    # every row of a word gets its count: one sum per word, joined back
+    vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-words")
+    counted = words.join(vocabulary, "word").select("block", "place", "c")
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("ids", lambda m: ~m["held"]))), F.lit(0))).first()[0]
     n, distinct = sums[0] + ends, sums[1] + (ends > 0)
     params, bigram, of, share = fit(blocks, tokenizer_path, rounds)
@@ -358,14 +423,16 @@ def _model_scores(documents: list[tuple], params, bigram, of, share) -> list[tup
     left out or None): word by word a mixture of what the attention model and the
     unigram model give, one figure for each share in ``MIXES``."""
     inputs, has, target, real, _ = lm.windows([of[ids].astype(np.int64) for ids, *_ in documents])
-    logs = lm.log_probs(params, bigram, inputs, has, target)[real].astype(np.float64) / np.log(10)
+    logs = lm.log_probs(params, bigram, inputs, has, target)[real].astype(np.float64)
+    share = share * np.log(10)
     out, at = [], 0
     for ids, begins, *unigrams in documents:
         own = logs[at:at + len(ids) + 1]
         own[:-1] += share[ids]
         at += len(own)
         # the end is a word of its own
-        by_word = np.power(10.0, np.add.reduceat(own, np.append(begins, len(ids))))
-        out.append(tuple(None if u is None else [float(np.log10(x * by_word + (1 - x) * u).sum()) for x in MIXES]
-                         for u in unigrams))
+        by_word = np.exp(np.add.reduceat(own, np.append(begins, len(ids))))
+        starts = np.arange(0, len(by_word), PRODUCT)
+        out.append(tuple(None if u is None else [
+            float(np.log10(np.multiply.reduceat(x * by_word + (1 - x) * u, starts)).sum()) for x in MIXES] for u in unigrams))
     return out

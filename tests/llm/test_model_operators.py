@@ -140,17 +140,48 @@ def test_lm_on_edges(spark):
     assert lm_score.score(edge.documents(spark, []), BYTE, rounds=1).count() == 0
 
 
-def test_lm_trains_on_every_training_document(spark):
-    """The rounds together step once over each token of every document that is not held out."""
-    rows = lm_score.blocks_of(spark.read.parquet(f"{SF}/documents.parquet"), BYTE).where("word IS NULL").collect()
-    rows = [r.asDict(recursive=True) for r in rows]
+def test_lm_trains_on_every_training_document(spark, monkeypatch):
+    """The rounds together step once over each token of every document that is not
+    held out, also where documents are cut into pieces."""
+    monkeypatch.setattr(lm_score, "PIECE", 64)
+    blocks = lm_score.blocks_of(spark.read.parquet(f"{SF}/documents.parquet"), BYTE).where("word IS NULL").drop("word", "place", "n")
+    rows = [r.asDict(recursive=True) for r in blocks.collect()]
     want = sum(len(ids) + 1 for r in rows for m, _, ids in lm_score._documents(r) if not m["held"])
     k = attention_lm.CLASSES
     of, bigram = np.zeros(1 << 16, np.uint8), attention_lm.bigram_logits(np.zeros((k, k)))
-    got = [lm_score.trained(rows, r, attention_lm.start_params(), bigram, of)[-1] for r in range(lm_score.ROUNDS)]
+    pieces = [r.asDict() for r in lm_score.sequences_of(blocks, of).collect()]
+    assert max(len(p["classes"]) for p in pieces) == 64
+    got = [lm_score.trained([p for p in pieces if p["turn"] == r], r, attention_lm.start_params(), bigram)[-1]
+           for r in range(lm_score.ROUNDS)]
     assert sum(got) == want and min(got) > 0
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """One partition or eight, one block or many, several trainers, and sums by tree: the same scores."""
+    monkeypatch.setattr(lm_score, "SHARD", 1 << 13)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = {r["doc_id"]: r for r in lm_score.score(docs.coalesce(1), BYTE).collect()}
+    monkeypatch.setattr(lm_score, "SUMS", 3)
+    eight = lm_score.score(docs.repartition(8), BYTE, block_bytes=1 << 15).collect()
+    assert len(eight) == len(one)
+    for r in eight:
+        assert abs(r["score"] - one[r["doc_id"]]["score"]) / r["n_tokens"] < 1e-3
+
+
+def test_lm_pieces_are_windows_of_the_whole():
+    """A document in pieces gives the windows, context included, of the whole document."""
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 63, 64, 65, 128, 200):
+        x = rng.integers(0, attention_lm.CLASSES - 1, size)
+        pieces = [(x[max(0, i - attention_lm.BLOCK - 1):i], x[i:i + 64], i + 64 >= size) for i in range(0, max(1, size), 64)]
+        whole, cut = attention_lm.windows([x]), attention_lm.windows(pieces)
+        real = whole[3]
+        assert (cut[3] == real).all() and (cut[1] == whole[1]).all()
+        assert (cut[2][real] == whole[2][real]).all()
+        seen = np.concatenate([np.repeat(whole[1][:, None], attention_lm.BLOCK, axis=1), real], axis=1)
+        assert (cut[0][seen] == whole[0][seen]).all()
+
+
 def test_lm_context_and_mixture():
     """A score depends on a token more than 15 back; each share in ``MIXES`` gives its own mixture."""
     rng = np.random.default_rng(5)
