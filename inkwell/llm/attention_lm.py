@@ -7,6 +7,10 @@ is its class's times its share of the class in the training corpus. The softmax
 over classes is factored: ``GROUPS`` groups of ``MEMBERS`` consecutive classes,
 first the group, then the class among those of its group.
 
+There is one attention head of the model's width. The product of its query and key
+matrices is one matrix (``Wq``), that of its value and output matrices another
+(``Wv``), so the embedded places themselves are keys and values.
+
 Next-class logits are a bigram table, counted over all training documents,
 plus what one attention layer and a two-layer perceptron add. A document is
 cut into blocks of ``BLOCK`` tokens; each block attends to itself and the
@@ -29,8 +33,7 @@ END = CLASSES - 1
 NEVER = np.float32(-1e9)
 #: queries (the second block) see keys up to themselves
 CAUSAL = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK, 0, NEVER).astype(np.float32)
-SHAPES = {"E": (CLASSES, WIDTH), "P": (2 * BLOCK, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH),
-          "Wo": (WIDTH, WIDTH), "W1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, WIDTH),
+SHAPES = {"E": (CLASSES, WIDTH), "P": (2 * BLOCK, WIDTH), "Wq": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "W1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, WIDTH),
           "G": (WIDTH, GROUPS), "U": (GROUPS, WIDTH, MEMBERS)}
 
 
@@ -141,7 +144,7 @@ def log_probs(params, bigram: np.ndarray, inputs, has, target) -> np.ndarray:
     # queries, keys, values and the residual of every class at every place
     x = params["E"][:, None, :] + params["P"][None, :, :]
     q_table, h_table = (x[:, BLOCK:] @ params["Wq"] * scale).reshape(-1, WIDTH), x[:, BLOCK:].reshape(-1, WIDTH)
-    kv_table = np.concatenate([x @ params["Wk"], x @ params["Wv"] @ params["Wo"]], axis=2).reshape(-1, 2 * WIDTH)
+    kv_table = np.concatenate([x, x @ params["Wv"]], axis=2).reshape(-1, 2 * WIDTH)
     q_table, h_table, kv_table = (np.ascontiguousarray(t, dtype=np.float32) for t in (q_table, h_table, kv_table))
     own_place, key_place = np.arange(BLOCK), np.arange(2 * BLOCK)
     ones = np.ones(MEMBERS, np.float32)
@@ -187,17 +190,18 @@ def gradients(params, bigram, inputs, has, target, real, factored=None):
     cube = lambda m: m.reshape(rows, -1, WIDTH)
     x = np.take(p["E"], inputs, axis=0)
     x += p["P"]
-    every, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, BLOCK:]).reshape(-1, WIDTH)
-    q, k, v = cube(own @ p["Wq"]), cube(every @ p["Wk"]), cube(every @ p["Wv"])
+    own = np.ascontiguousarray(x[:, BLOCK:]).reshape(-1, WIDTH)
+    q = cube(own @ p["Wq"])
     q *= scale
-    s = q @ k.transpose(0, 2, 1)
+    s = q @ x.transpose(0, 2, 1)
     np.minimum(s, 60, out=s)
     s += CAUSAL
     s[~has, :, :BLOCK] = NEVER
     a = np.exp(s, out=s)
     a /= (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, kind)).reshape(rows, BLOCK, 1)
-    o = (a @ v).reshape(-1, WIDTH)
-    h1 = own + o @ p["Wo"]
+    o = (a @ x).reshape(-1, WIDTH)
+    h1 = o @ p["Wv"]
+    h1 += own
     z = np.maximum(h1 @ p["W1"] + p["b1"], 0)
     h = h1 + z @ p["W2"]
 
@@ -235,17 +239,18 @@ def gradients(params, bigram, inputs, has, target, real, factored=None):
     dz = (dh @ p["W2"].T) * (z > 0)
     g["W1"], g["b1"] = h1.T @ dz, dz.sum(axis=0)
     dh += dz @ p["W1"].T
-    g["Wo"] = o.T @ dh
-    do = cube(dh @ p["Wo"].T)
-    dv = (a.transpose(0, 2, 1) @ do).reshape(-1, WIDTH)
-    ds = do @ v.transpose(0, 2, 1)
+    g["Wv"] = o.T @ dh
+    do = cube(dh @ p["Wv"].T)
+    ds = do @ x.transpose(0, 2, 1)
     ds -= np.einsum("bqk,bqk->bq", ds, a)[:, :, None]
     ds *= a
-    dq, dk = (ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    dq = (ds @ x).reshape(-1, WIDTH)
     dq *= scale
-    g["Wq"], g["Wk"], g["Wv"] = own.T @ dq, every.T @ dk, every.T @ dv
-    dx = cube(dk @ p["Wk"].T + dv @ p["Wv"].T)
-    dx[:, BLOCK:] += cube(dq @ p["Wq"].T + dh)
+    g["Wq"] = own.T @ dq
+    # a place is a value to the queries that attend to it, and a key
+    dx = np.concatenate([a, ds], axis=1).transpose(0, 2, 1) @ np.concatenate([do, q], axis=1)
+    dh += dq @ p["Wq"].T
+    dx[:, BLOCK:] += cube(dh)
     g["P"] = dx.sum(axis=0)
     # rows of the same class are added up
     at = inputs.ravel().astype(np.uint8)

@@ -68,8 +68,9 @@ SUMS = 32
 # training tokens of one trainer in one round, and of one row of them
 SHARD = 1 << 20
 PIECE = 1 << 16
-# blocks of tokens to one step
+# blocks of tokens to one step, and the step size by round
 BATCH = 128
+RATES = (0.04, 0.03, 0.015, 0.005)
 # probabilities multiplied before a logarithm is taken: each is at least 1e-17
 PRODUCT = 16
 MIXES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -344,7 +345,7 @@ def sequences_of(blocks: DataFrame, of: np.ndarray) -> DataFrame:
 def trained(rows, turn: int, params, bigram) -> np.ndarray:
     """The parameters after a round over the training pieces in ``rows``, times the
     tokens stepped over, and these."""
-    trainer = lm.Trainer(params, bigram, 0.01 / (1 + turn), BATCH)
+    trainer = lm.Trainer(params, bigram, RATES[min(turn, len(RATES) - 1)], BATCH)
     group, size = [], 0
     for row in rows:
         group.append(tuple(np.frombuffer(row[c], np.uint8) for c in ("before", "classes")) + (row["last"],))
