@@ -14,15 +14,19 @@ unlabelled, so the trees' probability of a label is that of the datum times the
 share of data written with the mark. That share is estimated per kind as the
 mean calibrated probability of held-out base spans, and a candidate is reported
 if its probability over the share reaches ``precision``. Parts of a base span
-are not fitted on. The trees see at most ``max_rows`` candidates, those with
-the smallest hash; a third of them is held out for isotonic calibration and
-the shares. A kind with fewer than ``LABELS`` held-out base spans adds nothing.
+are not fitted on. All other candidates are: the third of them that a hash
+picks is held out for isotonic calibration and the shares. A kind with fewer than ``LABELS``
+held-out base spans adds nothing.
 
 One pass over the texts writes the candidates with their features; fitting
-and selection read only those.
+and selection read only those. Bins are cut at exact quantiles of the features,
+and candidates that fall into the same bins are counted as one row from then
+on. Up to ``max_rows`` such rows, the driver fits them itself; beyond, the
+executors work out the sums that each level of a tree, the calibration and the
+shares need. Both give the same model.
 
 Defined results: a null text is empty; a null id and repeated rows are kept as
-they are (the sample ties on equal rows are equal rows); a text of any length is one
+they are (and count as often as they occur); a text of any length is one
 row, its candidates held as columns of 100 bytes each; with fewer than
 ``min_rows`` candidates only base spans are reported; an empty table gives an
 empty table; other columns are ignored. Positions are code points, end
@@ -39,13 +43,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import map_arrow, materialize, text_of
-from inkwell.llm.gbt import BoostedTrees, Isotonic
+from inkwell.llm.gbt import BINS, BoostedTrees, Counted, Isotonic, _bins, coded, pooled
 
 KINDS = ("email", "ip", "card", "phone")
+# distinct binned candidates, with their counts, that the driver fits itself
 MAX_ROWS = 20_000
 MIN_ROWS = 200
 PRECISION = 0.95
@@ -220,31 +225,159 @@ class Judge:
         return self.scale(self.trees.raw(x)) if self.trees else np.zeros(len(x))
 
 
+class Counts:
+    """Distinct binned candidates by kind, with the counts of those to fit on and of
+    those held out, in memory."""
+
+    def __init__(self, kind: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        # counts: all and labelled ones to fit on, all and labelled ones held out
+        self.kind, self.codes, self.counts = kind, codes, counts
+        self.rows = Counted(codes, counts[:, 0], counts[:, 1])
+
+    def totals(self) -> list[float]:
+        return self.counts.sum(axis=0).tolist()
+
+    def sums(self, trees: BoostedTrees, tree: list, level: int) -> np.ndarray:
+        return self.rows.sums(trees, tree, level)
+
+    def held(self, trees: BoostedTrees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct scores of held-out rows, with the labelled ones' count and the count."""
+        own = self.counts[:, 2] > 0
+        raw, at = np.unique(trees.raw_of_codes(self.codes[own]), return_inverse=True)
+        labelled, n = (np.bincount(at, self.counts[own, i], len(raw)) for i in (3, 2))
+        return raw, labelled, n
+
+    def blocks(self, trees: BoostedTrees) -> list[list[float]]:
+        return pooled((v, n, s, s) for s, v, n in zip(*(c.tolist() for c in self.held(trees))))
+
+    def shares(self, trees: BoostedTrees, scale: Isotonic) -> np.ndarray:
+        """Per kind: the count of labelled held-out rows, and the sum of their
+        probabilities in units of 1 / 2**24."""
+        p = np.rint(scale(trees.raw_of_codes(self.codes)) * 2.0 ** 24)
+        return np.stack([np.bincount(self.kind, w, len(KINDS)) for w in (self.counts[:, 3], self.counts[:, 3] * p)])
+
+
+COUNTS = ("n", "y", "held_n", "held_y")
+
+
+def _counts_of(batch) -> Counts:
+    """The rows of a batch of ``binned``."""
+    codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, FEATURES)
+    return Counts(batch.column("kind").to_numpy(), codes, np.stack([batch.column(c).to_numpy() for c in COUNTS], axis=1).astype(np.float64))
+
+
+class SpreadCounts:
+    """The same as ``Counts`` of rows that stay on the executors."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def _sum(self, of_batch, shape: tuple) -> np.ndarray:
+        """The sum of ``of_batch`` over all batches, one array handed on by each task."""
+        def run(batches):
+            total = np.zeros(shape)
+            for batch in batches:
+                if batch.num_rows:
+                    total += of_batch(_counts_of(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+        parts = map_arrow(self.table, run, "part binary").toLocalIterator()
+        return sum((np.frombuffer(r["part"]).reshape(shape) for r in parts), np.zeros(shape))
+
+    def totals(self) -> list[float]:
+        return [float(v or 0) for v in self.table.agg(*(F.sum(c) for c in COUNTS)).first()]
+
+    def sums(self, trees: BoostedTrees, tree: list, level: int) -> np.ndarray:
+        return self._sum(lambda rows: rows.sums(trees, tree, level), (3, 2 ** level, FEATURES, BINS))
+
+    def blocks(self, trees: BoostedTrees) -> list[list[float]]:
+        """Pooled in ranges of scores first, then over all of them."""
+        def scored(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    raw, y, n = _counts_of(batch).held(trees)
+                    yield pa.RecordBatch.from_arrays([pa.array(raw), pa.array(y), pa.array(n)], names=["raw", "y", "n"])
+
+        def pool(batches):
+            rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 0, 0))))
+            blocks = pooled(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in blocks], pa.float64()) for i in range(4)], names=["y", "n", "low", "top"])
+
+        scores = map_arrow(self.table, scored, "raw double, y double, n double").groupBy("raw").agg(
+            F.sum("y").alias("y"), F.sum("n").alias("n"))
+        ranges = map_arrow(scores.repartitionByRange("raw").sortWithinPartitions("raw"), pool, "y double, n double, low double, top double")
+        return pooled(sorted(map(tuple, ranges.collect()), key=lambda b: b[2]))
+
+    def shares(self, trees: BoostedTrees, scale: Isotonic) -> np.ndarray:
+        return self._sum(lambda rows: rows.shares(trees, scale), (2, len(KINDS)))
+
+
+def _judge(cuts: list[np.ndarray], rows: Counts | SpreadCounts, precision: float = PRECISION, min_rows: int = MIN_ROWS) -> Judge:
+    n, labelled, held_n, held_y = rows.totals()
+    if n + held_n < min_rows or not n or not 0 < labelled + held_y < n + held_n:
+        return Judge()
+    trees = BoostedTrees().fit_sums(cuts, n, labelled, rows.sums)
+    judge = Judge(trees, Isotonic().of_blocks(rows.blocks(trees)))
+    for k, (found, total) in enumerate(rows.shares(trees, judge.scale).T.tolist()):
+        if found >= LABELS:
+            judge.thresholds[k] = precision * total / 2.0 ** 24 / found
+    return judge
+
+
 def fit(x: np.ndarray, y: np.ndarray, precision: float = PRECISION, min_rows: int = MIN_ROWS) -> Judge:
     """Trees on two thirds of the rows, calibration and thresholds on the rest."""
-    if len(y) < min_rows or not 0 < y.sum() < len(y):
+    if len(y) < min_rows:
         return Judge()
     held = np.arange(len(y)) % 3 == 2
-    judge = Judge(BoostedTrees().fit(x[~held], y[~held]))
-    judge.scale = Isotonic().fit(judge.trees.raw(x[held]), y[held])
-    p, truth, kind = judge.probability(x[held]), y[held], x[held, 0].astype(int)
-    for k in range(len(KINDS)):
-        labelled = p[(kind == k) & (truth > 0)]
-        if len(labelled) >= LABELS:
-            judge.thresholds[k] = float(precision * labelled.mean())
-    return judge
+    cuts = _bins(x[~held])
+    counts = np.stack([~held, ~held * y, held, held * y], axis=1).astype(np.float64)
+    return _judge(cuts, Counts(x[:, 0].astype(int), coded(cuts, x), counts), precision, min_rows)
+
+
+def _cuts(rows: DataFrame) -> list[np.ndarray]:
+    """Exact quantiles of every feature, as ``gbt._bins`` has them, from the counts of
+    its distinct values."""
+    values = rows.select(F.posexplode("features").alias("f", "v")).groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("f")
+    upto = F.sum("n").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = values.select("f", "v", "n", upto.alias("upto"), F.sum("n").over(own).alias("all"))
+    met = F.exists(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda j: F.floor(j * (F.col("all") - 1) / BINS).between(
+        F.col("upto") - F.col("n"), F.col("upto") - 1))
+    found: list[list[float]] = [[] for _ in range(FEATURES)]
+    for r in ranked.where(met).select("f", "v").collect():
+        found[r["f"]].append(r["v"])
+    return [np.array(sorted(c), np.float64) for c in found]
+
+
+def binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """``kind``, ``code`` (the bin of each feature) and the counts of the candidates there."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+                codes = coded(cuts, x.astype(np.float64)).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("kind"), batch.column("base"), batch.column("held"),
+                     pa.array([codes[i:i + FEATURES] for i in range(0, len(codes), FEATURES)], pa.binary())],
+                    names=["kind", "base", "held", "code"])
+
+    held, base = F.col("held"), F.col("base")
+    return map_arrow(rows, run, "kind int, base boolean, held boolean, code binary").groupBy("kind", "code").agg(
+        F.count_if(~held).alias("n"), F.count_if(~held & base).alias("y"),
+        F.count_if(held).alias("held_n"), F.count_if(held & base).alias("held_y"))
 
 
 def train(proposed: DataFrame, max_rows: int = MAX_ROWS, **options) -> Judge:
-    """Fit on the ``max_rows`` candidates with the smallest hash, collected by the driver."""
+    """Fit on all candidates: on the driver up to ``max_rows`` distinct binned ones, else on the executors."""
     # what overlaps a base span of its kind is neither another datum nor a counterexample
     rows = proposed.select("doc_id", F.explode(F.filter("found", lambda c: c["base"] | ~c["part"])).alias("c")).select(
-        F.xxhash64("doc_id", "c.kind", "c.start", "c.end").alias("h"), "c.base", "c.features")
-    sample = rows.orderBy("h", "features").limit(max_rows).select("base", "features").toArrow()
-    if not sample.num_rows:
+        "c.kind", "c.base", (F.pmod(F.xxhash64("doc_id", "c.kind", "c.start", "c.end"), F.lit(3)) == 2).alias("held"), "c.features")
+    cuts = _cuts(rows.where(~F.col("held")))
+    table = materialize(binned(rows, cuts), "pii-counts")
+    few = table.count()
+    if not few:
         return Judge()
-    x = np.array(sample.column("features").to_pylist(), np.float64)
-    return fit(x, np.array(sample.column("base").to_pylist(), np.float64), **options)
+    return _judge(cuts, _counts_of(table.toArrow()) if few <= max_rows else SpreadCounts(table), **options)
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"

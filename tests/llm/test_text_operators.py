@@ -153,6 +153,29 @@ def test_pii_reports_the_common_unmarked_forms(spark):
     assert not any(found[i] for i in range(1200, 1500))
 
 
+def test_pii_judge_learns_from_every_candidate(spark, monkeypatch):
+    """However few rows the driver may fit itself, the model is that of all candidates."""
+    monkeypatch.setattr(gbt.BoostedTrees.__init__, "__defaults__", (3, 4, 0.2, 20, 1.0))
+    rng = random.Random(5)
+    number = lambda: f"({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+    texts = [f"call me on +1 {number()} now" for _ in range(300)] + [f"tel 1 {number()}, order {rng.randint(10**8, 10**9)}" for _ in range(200)]
+    texts += [f"write to u{rng.randint(1, 999)}@host{rng.randint(1, 99)}.org" for _ in range(200)] * 2
+    proposed = pii.propose(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    rows = [(c["features"], c["base"]) for r in proposed.collect() for c in r["found"] if c["base"] or not c["part"]]
+    whole, spread = pii.train(proposed), pii.train(proposed, max_rows=10)
+    assert (whole.trees.trees, whole.trees.start, whole.thresholds) == (spread.trees.trees, spread.trees.start, spread.thresholds)
+    assert all(np.array_equal(getattr(whole.scale, n), getattr(spread.scale, n)) for n in ("low", "p", "n"))
+    held = proposed.selectExpr("doc_id", "explode(filter(found, c -> c.base OR NOT c.part)) AS c").selectExpr(
+        "pmod(xxhash64(doc_id, c.kind, c.start, c.end), 3) = 2 AS held", "c.base", "c.features").collect()
+    assert len(held) == len(rows) and spread.scale.n.sum() == sum(r["held"] for r in held)
+    own = [r for r in held if not r["held"]]
+    mean = sum(r["base"] for r in own) / len(own)
+    assert spread.trees.start == pytest.approx(np.log(mean / (1 - mean)))
+    cuts = gbt._bins(np.array([r["features"] for r in own], np.float64))
+    assert all(np.array_equal(a, b) for a, b in zip(pii._cuts(spark.createDataFrame([(r["features"],) for r in own], "features array<float>")), cuts))
+    assert sum(t < 1 for t in spread.thresholds) >= 2
+
+
 def test_licenses_on_edges(spark):
     out = license_scan.scan(edge.documents(spark))
     got = edge.rows_of(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
