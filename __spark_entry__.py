@@ -150,6 +150,14 @@ def _validated_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _lakes: dict[tuple[str, str], Lake] = {}
 
 
+def _lakes_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, below which warehouses are made."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return root or tempfile.mkdtemp(prefix="inkwell-lake-")
+
+
 def _lake(spark: SparkSession, sf_dir: str) -> Lake:
     """A warehouse in the shared folder, filled and refreshed by the jobs, once per
     session: all rows before ``MERGE_FROM`` and a full refresh, then the rows
@@ -157,10 +165,7 @@ def _lake(spark: SparkSession, sf_dir: str) -> Lake:
     failures of the first one acknowledged."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _lakes:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        lake = Lake(f"{root or tempfile.mkdtemp(prefix='inkwell-lake-')}/lake-{uuid.uuid4().hex}")
+        lake = Lake(f"{_lakes_folder(spark)}/lake-{uuid.uuid4().hex}")
         store, raw = TableStore(spark, lake), _t(spark, sf_dir).raw
         late = F.col("ingested_at") >= F.lit(MERGE_FROM).cast("timestamp")
         for rows, incremental in ((raw.filter(~late), False), (raw.filter(late), True)):
@@ -382,7 +387,7 @@ def _more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def raw_count(s, d):
         """The landed pages loaded into a warehouse of their own."""
-        store = TableStore(s, Lake(f"{_lake(s, d).root}-loads-{uuid.uuid4().hex}"))
+        store = TableStore(s, Lake(f"{_lakes_folder(s)}/lake-loads-{uuid.uuid4().hex}"))
         landing.load(store, _landed_text(s, d), AS_OF_TS)
         return s.createDataFrame([(landing.raw_article_count(store), landing.read_quarantine(store).count())],
                                  "loaded long, rejected long")

@@ -39,6 +39,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+def dealt(events: DataFrame, *by: Column | str) -> DataFrame:
+    """The events dealt over the cluster by their own values, or ``by``, while their rows are
+    narrow. A file is read by as many tasks as it has row groups, and all that
+    is built of a row would be built by those few."""
+    return events.repartition(*(by or EVENT_COLUMNS))
+
+
 def _cycle(index: Column, values: tuple) -> Column:
     expr = None
     for i, value in enumerate(values):
@@ -186,17 +196,20 @@ def landing_pages_from_events(events: DataFrame) -> DataFrame:
     """Landed page envelopes (``day``, ``page``, ``value`` JSON text).
 
     Grouping by (day, page) is bounded: a page never holds more than 50
-    results, whatever the skew of days.
+    results, whatever the skew of days. The events are dealt by page before
+    their JSON is built: it takes several times their room. Days are few beside
+    pages, so their page counts go to every task.
     """
-    results = landing_results_from_events(events)
+    paged = dealt(events, F.to_date(F.col("ts").cast("timestamp")).alias("day"), (F.expr(f"event_id div {PAGE_SIZE}") + 1).alias("page"))
+    results = landing_results_from_events(paged)
     in_order = F.sort_array(F.collect_list(F.struct("_at", "result")))
     pages = results.groupBy("day", "page").agg(in_order.getField("result").alias("results"))
-    announced = results.groupBy("day").agg(F.countDistinct("page").alias("pages"))
+    announced = landing_results_from_events(events).groupBy("day").agg(F.countDistinct("page").alias("pages"))
     head = F.concat(F.lit('{"response": {"status": "ok", "pages": '), F.col("pages").cast("string"),
                     F.lit(', "currentPage": '), F.col("page").cast("string"), F.lit(', "results": ['))
     whole = F.concat(head, F.array_join("results", ", "), F.lit("]}}"))
     value = F.when(F.col("page") % 7 == BROKEN_PAGE, F.left(whole, F.length(head) + 10)).otherwise(whole)
-    pages = pages.join(announced, "day")
+    pages = pages.join(F.broadcast(announced), "day")
     return pages.select("day", "page", value.alias("value"))
 
 

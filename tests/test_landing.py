@@ -8,9 +8,11 @@ from datetime import date, datetime
 
 import pytest
 
+import __spark_entry__ as contract
+from conftest import SF_SMALL
 from inkwell.config import Lake
 from inkwell.plans import ingest
-from inkwell.sources import landing
+from inkwell.sources import adapters, landing
 from inkwell.sources.store import TableStore
 
 STAMP = datetime(2026, 3, 12, 9, 0, 0)
@@ -256,3 +258,31 @@ def test_element_types_tags_and_dates(spark, scratch):
     assert got == sorted(["not_a_dict"] * 5 + ["ok", "unparseable_published_at", "ok"])
     tags = {r["guardian_id"]: r["tags"] for r in rows if r["accepted"]}
     assert tags == {"world/2026/mar/3": ["k", "l"], "world/2026/mar/5": []}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landed_pages_move_events_not_json(spark):
+    """The events are dealt by page before their JSON is built, and no page moves again."""
+    pages = adapters.landing_pages_from_events(adapters.read_table(spark, SF_SMALL, "events"))
+    above = _plan(pages).split("StructsToJson")[0]
+    assert "Exchange hashpartitioning" not in above and "BroadcastHashJoin" in above
+    events = [(i, datetime(2024, 1, 1 + i % 2), 1, "view", 1.0, '{"k": 1}') for i in (0, 1, 1, 49, 50, 120)]
+    events.append((None, datetime(2024, 1, 1), 1, "view", 1.0, None))
+    few = spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    found = {(r["day"].day, r["page"]): json.loads(r["value"])["response"] for r in
+             adapters.landing_pages_from_events(few).where("page % 7 <> 3").collect()}
+    assert {k: (v["pages"], v["currentPage"], len(v["results"])) for k, v in found.items()} == {
+        (1, 2): (3, 2, 1), (2, 1): (1, 1, 3), (1, 1): (3, 1, 1)}
+
+
+def test_raw_count_fills_no_other_warehouse(spark, monkeypatch):
+    def lake(*_):
+        raise AssertionError("the warehouse of the jobs is not asked for")
+
+    monkeypatch.setattr(contract, "_lake", lake)
+    row = contract.queries()["raw_count"](spark, SF_SMALL).first()
+    reject = {r["reject_reason"]: r["rows"] for r in contract.queries()["reject_counts"](spark, SF_SMALL).collect()}
+    assert row["loaded"] == reject.pop(None) > 0 and row["rejected"] == sum(reject.values()) > 0
