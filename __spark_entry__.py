@@ -20,9 +20,11 @@ import tempfile
 import uuid
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +160,14 @@ def _lakes_folder(spark: SparkSession) -> str:
     return root or tempfile.mkdtemp(prefix="inkwell-lake-")
 
 
+def _together(spark: SparkSession, *jobs: Callable[[], None]) -> None:
+    """Jobs that do not read what the others write, at the same time: the stages of few
+    tasks of one leave the cluster to the other."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for job in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            job.result()
+
+
 def _lake(spark: SparkSession, sf_dir: str) -> Lake:
     """A warehouse in the shared folder, filled and refreshed by the jobs, once per
     session: all rows before ``MERGE_FROM`` and a full refresh, then the rows
@@ -166,21 +176,30 @@ def _lake(spark: SparkSession, sf_dir: str) -> Lake:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _lakes:
         lake = Lake(f"{_lakes_folder(spark)}/lake-{uuid.uuid4().hex}")
-        store, raw = TableStore(spark, lake), _t(spark, sf_dir).raw
+        events = adapters.read_table(spark, sf_dir, "events")
+        store, raw = TableStore(spark, lake), adapters.articles_raw_from_events(adapters.dealt(events))
         late = F.col("ingested_at") >= F.lit(MERGE_FROM).cast("timestamp")
-        for rows, incremental in ((raw.filter(~late), False), (raw.filter(late), True)):
-            landing.append_raw(store, rows)
+
+        def refreshed(incremental):
             report = refresh.run_transforms(spark, lake, refreshed_at=AS_OF_TS, incremental=incremental)
             if report.status != "materialized":
                 raise RuntimeError(report)
-            titles.index_titles(spark, lake)
-        refresh.compact_raw(store, most_loads=1)
-        events = adapters.read_table(spark, sf_dir, "events")
-        day = F.col("ts")
-        for when, sync in enumerate((day < F.lit(HISTORY_BEFORE).cast("timestamp_ntz"), day >= F.lit(SYNC_FROM).cast("timestamp_ntz"))):
-            feed = ops.sync_pipeline_runs(spark, lake, adapters.run_records_from_events(events.filter(sync)))
-            if when == 0:
-                ops.acknowledge(spark, lake, feed)
+
+        def articles():
+            landing.append_raw(store, raw.filter(~late))
+            refreshed(False)
+            _together(spark, lambda: titles.index_titles(spark, lake), lambda: landing.append_raw(store, raw.filter(late)))
+            refreshed(True)
+            _together(spark, lambda: titles.index_titles(spark, lake), lambda: refresh.compact_raw(store, most_loads=1))
+
+        def run_syncs():
+            day = F.col("ts")
+            for when, sync in enumerate((day < F.lit(HISTORY_BEFORE).cast("timestamp_ntz"), day >= F.lit(SYNC_FROM).cast("timestamp_ntz"))):
+                feed = ops.sync_pipeline_runs(spark, lake, adapters.run_records_from_events(adapters.dealt(events.filter(sync))))
+                if when == 0:
+                    ops.acknowledge(spark, lake, feed)
+
+        _together(spark, articles, run_syncs)
         _lakes[key] = lake
     return _lakes[key]
 

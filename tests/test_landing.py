@@ -264,6 +264,24 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_of_the_warehouse_are_built_by_all_tasks(spark, monkeypatch):
+    """A file of one row group is one task's: raw rows and run records are built after
+    the events have been dealt over the cluster."""
+    plans = {}
+
+    def stop(name):
+        def job(*args):
+            plans[name] = _plan(next(a for a in args if hasattr(a, "_jdf")))
+            raise InterruptedError(name)
+        return job
+
+    monkeypatch.setattr(contract.landing, "append_raw", stop("raw"))
+    monkeypatch.setattr(contract.ops, "sync_pipeline_runs", stop("runs"))
+    with pytest.raises(InterruptedError):
+        contract._lake(spark, f"{SF_SMALL}/")
+    assert set(plans) == {"raw", "runs"} and all("Exchange hashpartitioning(event_id" in p for p in plans.values())
+
+
 def test_landed_pages_move_events_not_json(spark):
     """The events are dealt by page before their JSON is built, and no page moves again."""
     pages = adapters.landing_pages_from_events(adapters.read_table(spark, SF_SMALL, "events"))
