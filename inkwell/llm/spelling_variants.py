@@ -43,6 +43,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +62,13 @@ CELL_BYTES = 4 << 20
 PIECE = 1 << 20
 # distinct words or grams a task holds before it sends on their counts
 HELD = 200_000
-# pairs looked at together
+# rows of cells, and pairs of them, looked at together
 ROWS = 50_000
+PAIRS = 1 << 18
+# longer words are compared one by one
+SHORT = 64
+# the columns that name a cell
+CELL = ["key", "lo", "hi"]
 
 # Letters are A-Z, a-z and the code points C0 to FF, one byte each in Latin-1; A-Z are lower-cased.
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0xC0 else 0x20 for c in range(256))
@@ -230,31 +236,91 @@ def one_edit(a: str, b: str) -> bool:
     return a[same + 1 - more:] == b[same + 1:]
 
 
-def _near_in_cells(rows: list[tuple]) -> list[tuple]:
-    """Near pairs (word, n, word, n) of whole cells, rows sorted by cell."""
-    cell, right, side, word, n, bound, bits = zip(*rows)
-    cell, bound, bits = np.array(cell), np.array(bound), np.array(bits, np.int64).view(np.uint64)
-    length, side, right = np.array([len(w) for w in word]), np.array(side), np.array(right, bool)
-    out = []
-    i = np.arange(len(rows))
-    step = 0
-    while len(i):
-        step += 1
-        i = i[i + step < len(rows)]
-        j = i + step
-        together = cell[i] == cell[j]
-        i, j = i[together], j[together]
-        apart = length[i] - length[j]
-        # words of equal length that meet at a distance from the right meet at one from the left, too;
-        # merged lists count what both share; the bounds say what one edit may cost
-        good = (np.where(right[i], np.abs(apart) == 1, np.abs(apart) <= 1) & ((side[i] < 0) | (side[i] != side[j]))
-                & (np.bitwise_count(bits[i] & ~bits[j]) <= bound[i]) & (np.bitwise_count(bits[j] & ~bits[i]) <= bound[j]))
-        for a, b in zip(i[good].tolist(), j[good].tolist()):
-            if one_edit(word[a], word[b]):
-                out.append((word[a], n[a], word[b], n[b]) if word[a] < word[b] else (word[b], n[b], word[a], n[a]))
+def _alike(code: np.ndarray, at: np.ndarray, to: np.ndarray, least: np.ndarray, step: int) -> np.ndarray:
+    """How many code points from ``at`` and ``to`` on (by ``step``) are equal, ``least`` at most."""
+    out = np.zeros(len(at), np.int64)
+    left = np.flatnonzero(least > 0)
+    far = 0
+    while len(left):
+        left = left[code[at[left] + far * step] == code[to[left] + far * step]]
+        far += 1
+        out[left] = far
+        left = left[least[left] > far]
+    return out
+
+
+def _one_edit(words: list[str], length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``one_edit`` of many pairs of different words, none of them shorter at ``j``."""
+    short = length[j] <= SHORT
+    out = np.zeros(len(i), bool)
+    for k in np.flatnonzero(~short).tolist():
+        out[k] = one_edit(words[i[k]], words[j[k]])
+    i, j = i[short], j[short]
+    code = np.frombuffer("".join([w for w in words if len(w) <= SHORT]).encode("utf-32-le"), np.uint32)
+    end = np.cumsum(np.where(length <= SHORT, length, 0))
+    m, n = length[i], length[j]
+    begin = _alike(code, end[i] - m, end[j] - n, m, 1)
+    out[short] = begin + _alike(code, end[i] - 1, end[j] - 1, m - begin, -1) >= np.where(n == m, m - 1, m)
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=x[:1] - 1))]
+
+
+def _near_in_cells(rows: pa.Table) -> pa.Table:
+    """Near pairs of whole cells, rows sorted by cell."""
+    new = np.zeros(rows.num_rows, bool)
+    for c in CELL:
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    coded = rows.column("word").combine_chunks().dictionary_encode()
+    word, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    length = np.array([len(w) for w in words], np.int64)
+    # by cell and, in that, by length: partners are the rows that follow, up to one code point more
+    place = np.cumsum(new) << 32 | length[word]
+    order = np.argsort(place, kind="stable")
+    place, word = place[order], word[order]
+    key, side, bound, bits = (rows.column(c).to_numpy()[order] for c in ("key", "side", "bound", "bits"))
+    bits = bits.view(np.uint64)
+    after = np.arange(1, len(place) + 1)
+    # words of equal length that meet at a distance from the right meet at one from the left, too
+    begin = np.where(key & 1, np.searchsorted(place, place, "right"), after)
+    each = np.searchsorted(place, place + 1, "right") - begin
+    ends = np.cumsum(each)
+    found, first = [np.zeros(0, np.int64)], 0
+    while first < len(each):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - each[first] + PAIRS, "right")))
+        n = each[first:last]
+        i = np.repeat(np.arange(first, last, dtype=np.int32), n)
+        j = np.arange(len(i), dtype=np.int32)
+        j += np.repeat((begin[first:last] - (np.cumsum(n) - n)).astype(np.int32), n)
+        # merged lists count what both share; the bounds say what one edit may cost
+        x, y = bits[i], bits[j]
+        good = np.bitwise_count(x & ~y) <= bound[i]
+        good &= np.bitwise_count(y & ~x) <= bound[j]
+        good &= (side[i] < 0) | (side[i] != side[j])
+        x, y = word[i[good]].astype(np.int64), word[j[good]].astype(np.int64)
+        found.append(_distinct((np.minimum(x, y) * len(words) + np.maximum(x, y))[x != y]))
+        first = last
+    # a pair that meets in several cells is looked at once
+    x, y = np.divmod(_distinct(np.concatenate(found)), max(1, len(words)))
+    swap = length[x] > length[y]
+    i, j = np.where(swap, y, x), np.where(swap, x, y)
+    near = _one_edit(words, length, i, j)
+    i, j = i[near], j[near]
+    # bytes of UTF-8 are ordered as code points
+    rank = np.empty(len(words), np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(words))
+    swap = rank[i] > rank[j]
+    a, b = pa.array(np.where(swap, j, i)), pa.array(np.where(swap, i, j))
+    n = np.empty(len(words), np.int64)
+    n[coded.indices.to_numpy()] = rows.column("n").to_numpy()
+    n = pa.array(n)
+    return pa.table([coded.dictionary.take(a), n.take(a), coded.dictionary.take(b), n.take(b)], names=["a", "n_a", "b", "n_b"])
+
+
 def near_pairs(words: DataFrame, longest: int = LONGEST, size: int = DICTIONARY, frequent: int = FREQUENT,
                cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Each pair of near words once: a < b with their counts n_a and n_b."""
@@ -274,37 +340,30 @@ def near_pairs(words: DataFrame, longest: int = LONGEST, size: int = DICTIONARY,
         # -1 where all pairs of the cell count
         F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         "word", "n", "bound", "bits")
-    order = ["key", "lo", "hi"]
-    dealt = cells.repartition(*order).sortWithinPartitions(*order)
+    dealt = cells.repartition(*CELL).sortWithinPartitions(*CELL)
 
     def compare(batches):
-        held, last, cell, first, size = [], None, 0, 0, 0
+        held, rows, size, most = [], 0, 0, ROWS
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in order))
-            rows = zip(*(batch.column(c).to_pylist() for c in ("side", "word", "n", "bound", "bits")))
-            for key, row in zip(keys, rows):
-                if key != last:
-                    if len(held) >= ROWS or size >= 4 * CELL_BYTES:
-                        yield _pairs(_near_in_cells(held))
-                        held.clear()
-                        size = 0
-                    elif len(held) - first == 1:
-                        held.pop()  # alone in its cell
-                    cell, last, first = cell + 1, key, len(held)
-                held.append((cell, key[0] & 1, *row))
-                size += len(row[1])
-        yield _pairs(_near_in_cells(held) if held else [])
+            held.append(batch)
+            rows += batch.num_rows
+            size += batch.nbytes
+            if rows >= most or size >= 4 * CELL_BYTES:
+                whole = pa.Table.from_batches(held)
+                cell = np.stack([whole.column(c).to_numpy() for c in CELL])
+                begins = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+                # the last cell may go on
+                cut = int(begins[-1]) if len(begins) else 0
+                yield from _near_in_cells(whole.slice(0, cut)).to_batches()
+                held = whole.slice(cut).to_batches()
+                rows, size, most = rows - cut, 0, rows - cut + ROWS
+        if rows:
+            yield from _near_in_cells(pa.Table.from_batches(held)).to_batches()
 
     found = map_arrow(dealt, compare, "a string, n_a long, b string, n_b long")
     return materialize(found.distinct(), "variants-pairs")
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*set(rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64()) * 2)],
-                                      names=["a", "n_a", "b", "n_b"])
-
-
 def roots(forms: DataFrame) -> DataFrame:
     """``word`` and ``root`` for every row of ``forms`` (word, form), by pointer jumping."""
     now = materialize(forms.select("word", F.col("form").alias("root")), "variants-roots")

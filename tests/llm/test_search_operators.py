@@ -200,6 +200,28 @@ def test_near_pairs_lose_nothing(spark, cell_rows, size):
     assert edge.rows_of(spelling_variants.variants(df, size=size, frequent=2, cell_rows=cell_rows), *VARIANT) == _variants(words)
 
 
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 20])
+def test_cells_are_compared_by_arrays(monkeypatch, pairs):
+    """All pairs of a cell as numbers: only words above ``SHORT`` are looked at one by one."""
+    monkeypatch.setattr(spelling_variants, "PAIRS", pairs)
+    rng = random.Random(pairs)
+    rows, want, one_by_one = [], set(), []
+    for key in (2, 3, 4, 5):
+        own = {"".join(rng.choice("aéz") for _ in range(rng.randint(5, 7))) for _ in range(60)} | {"漢" * n for n in (63, 64, 65, 66)}
+        rows += [(key, -1, -1, -1, w, len(w), 99, 0) for w in own for _ in range(1 + (w[0] == "z"))]
+        # at a distance from the right, words of equal length are left to the cell of the left
+        want |= {(a, len(a), b, len(b)) for a in own for b in own if a < b and (key % 2 == 0 or len(a) != len(b)) and spelling_variants.one_edit(a, b)}
+    whole = spelling_variants.one_edit
+    monkeypatch.setattr(spelling_variants, "one_edit", lambda a, b: one_by_one.append((a, b)) or whole(a, b))
+    names = ["key", "lo", "hi", "side", "word", "n", "bound", "bits"]
+    kinds = [pa.int64(), *[pa.int32()] * 3, pa.string(), pa.int64(), pa.int32(), pa.int64()]
+    table = pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+    got = spelling_variants._near_in_cells(table)
+    assert sorted(zip(*(got.column(c).to_pylist() for c in ("a", "n_a", "b", "n_b")))) == sorted(want)
+    assert {max(len(a), len(b)) for a, b in one_by_one} == {65, 66}
+    assert spelling_variants._near_in_cells(table.slice(0, 0)).num_rows == 0
+
+
 def test_bounds_cover_every_edit():
     """At least (grams - bound) grams of either word outlast any single edit."""
     rng = random.Random(6)
