@@ -6,8 +6,8 @@ Jobs, in order:
    ``block_bytes`` of text. A block is one row: its documents as indices into
    the block's distinct words, and those words' subword ids. Each distinct
    word of a block is also one row, with its count in training documents.
-2. Corpus counts: one sum per word over the blocks, joined back to every block's
-   row; subword counts and class pairs as one vector per task, added up in a tree.
+2. Corpus counts: a window over a word's rows gives every block's row the sum
+   of all; subword counts and class pairs as one vector per task, added up in a tree.
 3. The training documents' classes, a byte a subword, are written by round. The
    attention model (``attention_lm``) is trained data-parallel on every training
    document: a hash of its id and classes deals it to a round and, in that, to one of
@@ -25,8 +25,8 @@ Jobs, in order:
    unigram count. No task sees the vocabulary of the corpus.
 
 A block has a bounded size, so do the model, each task's vectors and each trainer's
-share of a round. A hot word is one row per block, added up before the shuffle and
-joined back, so that AQE can split it. Neither the counts nor the parameters depend
+share of a round. A hot word is one row of some bytes per block, whatever its
+occurrences. Neither the counts nor the parameters depend
 on how documents fall into tasks: how many trainers there are follows from the
 number of training tokens.
 
@@ -50,7 +50,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import attention_lm as lm
@@ -357,6 +357,14 @@ def trained(rows, turn: int, params, bigram) -> np.ndarray:
     return np.append(lm.flat(trainer.params) * trainer.tokens, trainer.tokens)
 
 
+def counts_of(words: DataFrame) -> DataFrame:
+    """Every row of a word with the sum of all its rows, where it occurs in training
+    documents; ``first`` marks one row of each word. The rows move once."""
+    own = Window.partitionBy("word")
+    return words.select("block", "place", F.sum("n").over(own).alias("c"),
+                        (F.row_number().over(own.orderBy("word")) == 1).alias("first")).where("c > 0")
+
+
 def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES, train_share: int = TRAIN_SHARE,
           rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
@@ -364,10 +372,8 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
     both = materialize(blocks_of(docs, tokenizer_path, block_bytes, train_share, rounds), "lm-blocks")
     blocks = both.where("word IS NULL").select("block", "ids", "places", "subwords", "ends")
     words = both.where("word IS NOT NULL").select("block", "word", "place", "n")
-    # every row of a word gets its count: one sum per word, joined back
-    vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-words")
-    counted = words.join(vocabulary, "word").select("block", "place", "c")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    counted = materialize(counts_of(words), "lm-counts")
+    sums = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("ids", lambda m: ~m["held"]))), F.lit(0))).first()[0]
     n, distinct = sums[0] + ends, sums[1] + (ends > 0)
     params, bigram, of, share = fit(blocks, tokenizer_path, rounds)
@@ -425,15 +431,27 @@ def _model_scores(documents: list[tuple], params, bigram, of, share) -> list[tup
     unigram model give, one figure for each share in ``MIXES``."""
     inputs, has, target, real, _ = lm.windows([of[ids].astype(np.int64) for ids, *_ in documents])
     logs = lm.log_probs(params, bigram, inputs, has, target)[real].astype(np.float64)
-    share = share * np.log(10)
-    out, at = [], 0
-    for ids, begins, *unigrams in documents:
-        own = logs[at:at + len(ids) + 1]
-        own[:-1] += share[ids]
-        at += len(own)
-        # the end is a word of its own
-        by_word = np.exp(np.add.reduceat(own, np.append(begins, len(ids))))
-        starts = np.arange(0, len(by_word), PRODUCT)
-        out.append(tuple(None if u is None else [
-            float(np.log10(np.multiply.reduceat(x * by_word + (1 - x) * u, starts)).sum()) for x in MIXES] for u in unigrams))
-    return out
+    tokens = np.array([len(ids) + 1 for ids, *_ in documents])
+    first = np.cumsum(tokens) - tokens
+    subword = np.ones(len(logs), bool)
+    subword[first + tokens - 1] = False
+    logs[subword] += (share * np.log(10))[np.concatenate([ids for ids, *_ in documents])]
+    # the end is a word of its own
+    by_word = np.exp(np.add.reduceat(logs, np.concatenate([np.append(begins, len(ids)) + at for (ids, begins, *_), at in zip(documents, first)])))
+    words = np.array([len(begins) + 1 for _, begins, *_ in documents])
+    of_all = _mixtures(by_word, [x[2] for x in documents], words)
+    some = np.array([x[3] is not None for x in documents])
+    left_out = iter(_mixtures(by_word[np.repeat(some, words)], [x[3] for x in documents if x[3] is not None], words[some]))
+    return [(x, next(left_out) if has_some else None) for x, has_some in zip(of_all, some)]
+
+
+def _mixtures(by_word: np.ndarray, unigrams: list[np.ndarray], words: np.ndarray) -> list[list[float]]:
+    """For each document, of ``words`` words, its log10 probability by the shares in ``MIXES``."""
+    if not unigrams:
+        return []
+    unigram, first = np.concatenate(unigrams), np.cumsum(words) - words
+    starts = np.concatenate([np.arange(at, at + n, PRODUCT) for at, n in zip(first, words)])
+    parts = -(-words // PRODUCT)
+    docs = np.cumsum(parts) - parts
+    return np.stack([np.add.reduceat(np.log10(np.multiply.reduceat(x * by_word + (1 - x) * unigram, starts)), docs)
+                     for x in MIXES], axis=1).tolist()

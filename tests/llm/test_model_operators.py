@@ -6,6 +6,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import edge
@@ -201,6 +202,41 @@ def test_lm_context_and_mixture():
     assert left_out is None and got == pytest.approx([np.log10(x * p + (1 - x) * unigram).sum() for x in lm_score.MIXES])
 
 
+def test_lm_mixtures_of_a_group_are_those_of_each_document():
+    """Documents scored together, with and without words, longer and shorter than ``PRODUCT``, held out or not."""
+    rng = np.random.default_rng(9)
+    words = np.array([1, 40, lm_score.PRODUCT, 1, lm_score.PRODUCT + 1])
+    cuts = np.append(0, np.cumsum(words))
+    p, u = rng.random(cuts[-1]), rng.random(cuts[-1])
+    got = lm_score._mixtures(p, [u[a:b] for a, b in zip(cuts, cuts[1:])], words)
+    assert got == [pytest.approx([np.log10(x * p[a:b] + (1 - x) * u[a:b]).sum() for x in lm_score.MIXES]) for a, b in zip(cuts, cuts[1:])]
+    assert lm_score._mixtures(p[:0], [], words[:0]) == []
+    k = attention_lm.CLASSES
+    of, share, params, bigram = np.arange(200, dtype=np.uint8), rng.random(200), attention_lm.start_params(), np.zeros((k, k), np.float32)
+    docs = []
+    for i, n in enumerate((0, 40, 3, 0)):
+        unigram = rng.random(len(range(0, n, 3)) + 1)
+        docs.append((rng.integers(0, 200, n).astype("<u2"), np.arange(0, n, 3), unigram, None if i % 2 else unigram / 2))
+    together = lm_score._model_scores(docs, params, bigram, of, share)
+    for own, doc in zip(together, docs):
+        (alone,) = lm_score._model_scores([doc], params, bigram, of, share)
+        assert own[0] == pytest.approx(alone[0], rel=1e-5) and (own[1] is None) == (doc[3] is None) == (alone[1] is None)
+        assert own[1] is None or own[1] == pytest.approx(alone[1], rel=1e-5)
+
+
+def test_lm_words_are_counted_in_one_exchange(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"{b}", f"w{w}".encode(), i, int(rng.integers(0, 3) * (w != 7))) for b in range(9) for i, w in enumerate(rng.permutation(30)[:20])]
+    total = Counter()
+    for _, w, _, n in rows:
+        total[w] += n
+    counted = lm_score.counts_of(spark.createDataFrame(rows, "block string, word binary, place int, n long"))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = counted.collect()
+    assert sorted((r["block"], r["place"], r["c"]) for r in got) == sorted((b, i, total[w]) for b, w, i, _ in rows if total[w])
+    assert sorted(r["c"] for r in got if r["first"]) == sorted(n for n in total.values() if n)
+
+
 def test_attention_gradients_and_scores():
     """Analytic gradients equal differences; scoring equals the training forward
     pass; every token is scored once whatever the document's length."""
