@@ -30,9 +30,12 @@ HIDDEN = 32
 GROUPS = 16
 MEMBERS = CLASSES // GROUPS
 END = CLASSES - 1
+# blocks scored at once
+SCORED = 128
 NEVER = np.float32(-1e9)
 #: queries (the second block) see keys up to themselves
 CAUSAL = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK, 0, NEVER).astype(np.float32)
+TURNED = np.ascontiguousarray(CAUSAL.T)
 SHAPES = {"E": (CLASSES, WIDTH), "P": (2 * BLOCK, WIDTH), "Wq": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "W1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, WIDTH),
           "G": (WIDTH, GROUPS), "U": (GROUPS, WIDTH, MEMBERS)}
 
@@ -100,10 +103,10 @@ def windows(sequences: list):
     blocks = -(-lengths // BLOCK)
     first = (np.cumsum(blocks) - blocks) * BLOCK
     n = int(blocks.sum())
-    own = np.full(n * BLOCK + 1, END, np.int64)
+    own = np.full(n * BLOCK + 1, END, np.uint8)
     real = np.zeros(n * BLOCK, bool)
-    target = np.full(n * BLOCK, END, np.int64)
-    before = np.full((n, BLOCK), END, np.int64)
+    target = np.full(n * BLOCK, END, np.uint8)
+    before = np.full((n, BLOCK), END, np.uint8)
     has = np.ones(n, bool)
     document = np.repeat(np.arange(len(pieces)), blocks)
     has[1:] = document[1:] == document[:-1]
@@ -122,11 +125,20 @@ def windows(sequences: list):
     return (np.concatenate([before, own], axis=1), has, target.reshape(n, BLOCK), real.reshape(n, BLOCK), document)
 
 
-def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The order of tokens by group, and (group, first, end) of the groups that occur."""
+def _times(tall: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Their product, in parts small enough for BLAS's kernel of small matrices."""
+    part = 4 * BLOCK if len(tall) % (4 * BLOCK) == 0 else BLOCK
+    return (tall.reshape(-1, part, tall.shape[1]) @ matrix).reshape(len(tall), -1)
+
+
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order of tokens by group, each token's place in it, and (group, first, end)
+    of the groups that occur."""
     order = np.argsort(group.astype(np.uint8), kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
     ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
-    return order, [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+    return order, place, [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
 
 def _exp(logits: np.ndarray) -> np.ndarray:
@@ -136,46 +148,59 @@ def _exp(logits: np.ndarray) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
+def _hidden(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The positive part of ``z + bias``, in place; whole blocks at a time, as numpy is
+    slow on short rows and on scalars."""
+    by_block = z.reshape(-1, BLOCK * HIDDEN)
+    by_block += np.tile(bias, BLOCK)
+    np.maximum(by_block, np.zeros(BLOCK * HIDDEN, z.dtype), out=by_block)
+    return z
+
+
+def _forward(p, inputs, has):
+    """The hidden vectors of the second blocks' tokens."""
+    kind = p["E"].dtype
+    x = np.take(p["E"], inputs, axis=0)
+    x += p["P"]
+    own = np.ascontiguousarray(x[:, BLOCK:]).reshape(-1, WIDTH)
+    # keys by queries: BLAS multiplies small matrices faster unturned
+    a = x @ np.ascontiguousarray(_times(own, p["Wq"] * kind.type(WIDTH ** -0.5)).reshape(-1, BLOCK, WIDTH).transpose(0, 2, 1))
+    # scores are small next to float32's range, so exp needs no shift
+    if a.max(initial=0) > 60:
+        np.minimum(a, 60, out=a)
+    a += TURNED
+    a[~has, :BLOCK] = NEVER
+    np.exp(a, out=a)
+    h = (a.transpose(0, 2, 1) @ x).reshape(-1, WIDTH)
+    h /= (np.ones((1, 2 * BLOCK), kind) @ a).reshape(-1, 1)
+    h = _times(h, p["Wv"])
+    h += own
+    h += _times(_hidden(_times(h, p["W1"]), p["b1"]), p["W2"])
+    return h
+
+
 def log_probs(params, bigram: np.ndarray, inputs, has, target) -> np.ndarray:
     """Natural log probabilities of the targets, block by block."""
     out = np.empty(target.shape, np.float32)
-    scale = np.float32(WIDTH ** -0.5)
     groups, members = factors(bigram)
-    # queries, keys, values and the residual of every class at every place
-    x = params["E"][:, None, :] + params["P"][None, :, :]
-    q_table, h_table = (x[:, BLOCK:] @ params["Wq"] * scale).reshape(-1, WIDTH), x[:, BLOCK:].reshape(-1, WIDTH)
-    kv_table = np.concatenate([x, x @ params["Wv"]], axis=2).reshape(-1, 2 * WIDTH)
-    q_table, h_table, kv_table = (np.ascontiguousarray(t, dtype=np.float32) for t in (q_table, h_table, kv_table))
-    own_place, key_place = np.arange(BLOCK), np.arange(2 * BLOCK)
     ones = np.ones(MEMBERS, np.float32)
     tiny = np.float32(1e-30)
-    for i in range(0, len(inputs), 256):
-        x, old, y = inputs[i:i + 256], has[i:i + 256], target[i:i + 256].ravel()
-        own = x[:, BLOCK:]
-        at = own * BLOCK + own_place
-        kv = np.take(kv_table, x * (2 * BLOCK) + key_place, axis=0)
-        s = np.take(q_table, at, axis=0) @ kv[:, :, :WIDTH].transpose(0, 2, 1)
-        # scores are small next to float32's range, so exp needs no shift
-        np.minimum(s, 60, out=s)
-        s += CAUSAL
-        s[~old, :, :BLOCK] = NEVER
-        np.exp(s, out=s)
-        h = s @ kv[:, :, WIDTH:]
-        h /= s.sum(axis=2, keepdims=True)
-        h += np.take(h_table, at, axis=0)
-        h = h.reshape(-1, WIDTH)
-        h += np.maximum(h @ params["W1"] + params["b1"], 0) @ params["W2"]
-        group, before, each = y // MEMBERS, own.ravel(), np.arange(len(y))
-        first = _exp(h @ params["G"] + np.take(groups, before, axis=0))
-        logs = np.log(first[each, group] / (first @ np.ones(GROUPS, np.float32)) + tiny)
-        order, runs = _by_group(group)
-        second = np.take(members, (before * GROUPS + group)[order], axis=0)
-        h = h[order]
+    for i in range(0, len(inputs), SCORED):
+        x, y = inputs[i:i + SCORED].astype(np.intp), target[i:i + SCORED].ravel().astype(np.intp)
+        h = _forward(params, x, has[i:i + SCORED])
+        group, before, each = y // MEMBERS, x[:, BLOCK:].ravel(), np.arange(len(y))
+        first = _times(h, params["G"])
+        first += np.take(groups, before, axis=0)
+        _exp(first)
+        logs = np.log(np.take(first, each * GROUPS + group) / (first @ np.ones(GROUPS, np.float32)) + tiny)
+        order, place, runs = _by_group(group)
+        second = np.take(members, np.take(before * GROUPS + group, order), axis=0)
+        h = np.take(h, order, axis=0)
         for j, a, b in runs:
             second[a:b] += h[a:b] @ params["U"][j]
         _exp(second)
-        logs[order] += np.log(second[each, y[order] % MEMBERS] / (second @ ones) + tiny)
-        out[i:i + 256] = logs.reshape(-1, BLOCK)
+        logs += np.take(np.log(np.take(second, each * MEMBERS + np.take(y % MEMBERS, order)) / (second @ ones) + tiny), place)
+        out[i:i + SCORED] = logs.reshape(-1, BLOCK)
     return out
 
 
@@ -188,13 +213,17 @@ def gradients(params, bigram, inputs, has, target, real, factored=None):
     kind = p["E"].dtype
     scale = kind.type(WIDTH ** -0.5)
     cube = lambda m: m.reshape(rows, -1, WIDTH)
+    inputs = inputs.astype(np.intp)
     x = np.take(p["E"], inputs, axis=0)
     x += p["P"]
+    # BLAS multiplies small matrices faster unturned
+    keys = np.ascontiguousarray(x.transpose(0, 2, 1))
     own = np.ascontiguousarray(x[:, BLOCK:]).reshape(-1, WIDTH)
     q = cube(own @ p["Wq"])
     q *= scale
-    s = q @ x.transpose(0, 2, 1)
-    np.minimum(s, 60, out=s)
+    s = q @ keys
+    if s.max(initial=0) > 60:
+        np.minimum(s, 60, out=s)
     s += CAUSAL
     s[~has, :, :BLOCK] = NEVER
     a = np.exp(s, out=s)
@@ -202,20 +231,20 @@ def gradients(params, bigram, inputs, has, target, real, factored=None):
     o = (a @ x).reshape(-1, WIDTH)
     h1 = o @ p["Wv"]
     h1 += own
-    z = np.maximum(h1 @ p["W1"] + p["b1"], 0)
+    z = _hidden(h1 @ p["W1"], p["b1"])
     h = h1 + z @ p["W2"]
 
-    before, y, each = inputs[:, BLOCK:].ravel(), target.ravel(), np.arange(target.size)
+    before, y, each = inputs[:, BLOCK:].ravel(), target.ravel().astype(np.intp), np.arange(target.size)
     group = y // MEMBERS
-    order, runs = _by_group(group)
+    order, place, runs = _by_group(group)
     n = max(1, int(real.sum()))
     weight = (real.ravel() / n).astype(kind)
     first = h @ p["G"]
     first += np.take(groups, before, axis=0)
     _exp(first)
     first /= (first @ np.ones(GROUPS, kind) + kind.type(1e-30))[:, None]
-    sorted_h = h[order]
-    second = np.take(members, (before * GROUPS + group)[order], axis=0).astype(kind, copy=False)
+    sorted_h = np.take(h, order, axis=0)
+    second = np.take(members, np.take(before * GROUPS + group, order), axis=0).astype(kind, copy=False)
     for j, i, e in runs:
         second[i:e] += sorted_h[i:e] @ p["U"][j]
     _exp(second)
@@ -234,14 +263,15 @@ def gradients(params, bigram, inputs, has, target, real, factored=None):
         g["U"][j] = sorted_h[i:e].T @ second[i:e]
         back[i:e] = second[i:e] @ p["U"][j].T
     dh = first @ p["G"].T
-    dh[order] += back
+    dh += np.take(back, place, axis=0)
     g["W2"] = z.T @ dh
-    dz = (dh @ p["W2"].T) * (z > 0)
+    dz = dh @ p["W2"].T
+    dz *= (z > 0).astype(kind)
     g["W1"], g["b1"] = h1.T @ dz, dz.sum(axis=0)
     dh += dz @ p["W1"].T
     g["Wv"] = o.T @ dh
     do = cube(dh @ p["Wv"].T)
-    ds = do @ x.transpose(0, 2, 1)
+    ds = do @ keys
     ds -= np.einsum("bqk,bqk->bq", ds, a)[:, :, None]
     ds *= a
     dq = (ds @ x).reshape(-1, WIDTH)
@@ -253,13 +283,13 @@ def gradients(params, bigram, inputs, has, target, real, factored=None):
     dx[:, BLOCK:] += cube(dh)
     g["P"] = dx.sum(axis=0)
     # rows of the same class are added up
-    at = inputs.ravel().astype(np.uint8)
-    by_class = np.argsort(at, kind="stable")
-    at = at[by_class]
-    starts = np.flatnonzero(np.diff(at, prepend=at[:1] + 1)) if len(at) else np.zeros(0, int)
+    at = inputs.ravel()
+    by_class = np.argsort(at.astype(np.uint8), kind="stable")
+    counts = np.bincount(at, minlength=CLASSES)
+    here = np.flatnonzero(counts)
     g["E"] = np.zeros_like(p["E"])
     if len(at):
-        g["E"][at[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[by_class], starts, axis=0)
+        g["E"][here] = np.add.reduceat(np.take(dx.reshape(-1, WIDTH), by_class, axis=0), (np.cumsum(counts) - counts)[here], axis=0)
     return loss, g
 
 
@@ -273,6 +303,9 @@ class Trainer:
         # parts of the one vector, which every step changes in place
         self.params = unflat(self.flat, copy=False)
         self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        # until an array larger than a step's has been freed, malloc hands their room
+        # back to the system after each, and gets it anew, page by page
+        np.empty(16 << 20, np.uint8)
 
     def feed(self, sequences: list[np.ndarray]) -> None:
         if not sequences:
@@ -281,9 +314,10 @@ class Trainer:
         order = np.random.default_rng(self.steps).permutation(len(inputs))
         for i in range(0, len(order), self.batch):
             rows = order[i:i + self.batch]
-            _, g = gradients(self.params, self.bigram, inputs[rows], has[rows], target[rows], real[rows], self.factored)
+            batch = [np.take(x, rows, axis=0) for x in (inputs, has, target, real)]
+            _, g = gradients(self.params, self.bigram, *batch, self.factored)
             self.steps += 1
-            self.tokens += int(real[rows].sum())
+            self.tokens += int(batch[3].sum())
             g = np.concatenate([g[k].ravel() for k in SHAPES])
             self.m += np.float32(0.1) * (g - self.m)
             g *= g

@@ -47,6 +47,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -63,6 +64,8 @@ TRAIN_SHARE = 1
 ROUNDS = 4
 # tokens whose windows are held at once
 GROUP = 200_000
+# words put together at once
+WORDS = 1 << 17
 # vectors added up in one task
 SUMS = 32
 # training tokens of one trainer in one round, and of one row of them
@@ -94,28 +97,35 @@ class Subwords:
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as bytes."""
-        out: list[bytes] = []
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each word has."""
+        out, sizes = [np.zeros(0, ID)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 4096):
-            part = words[i:i + 4096]
-            ids = self.bpe.encode(" " + b" ".join(part).decode("utf-8", "replace")).astype(ID)
+            part = words.slice(i, 4096)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")
+            ids = self.bpe.encode(" " + joined[0].as_py()).astype(ID)
             first = np.flatnonzero(self.begins[ids])
-            if len(first) != len(part):
-                # other white space inside words has hidden the start of one
-                out += [self.bpe.encode(" " + w.decode("utf-8", "replace")).astype(ID).tobytes() for w in part]
+            if len(first) == len(part):
+                out.append(ids)
+                sizes.append(np.diff(first, append=len(ids)))
                 continue
-            data, cuts = ids.tobytes(), (np.append(first, len(ids)) * ids.itemsize).tolist()
-            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
+            # other white space inside words has hidden the start of one
+            each = [self.bpe.encode(" " + w).astype(ID) for w in part.to_pylist()]
+            out += each
+            sizes.append(np.array([len(x) for x in each]))
+        return np.concatenate(out), np.concatenate(sizes)
 
 
-class Places(dict):
-    """Numbers words in the order they first occur."""
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of the texts (A-Z lower-cased, cut at ASCII white space), numbered in the
+    order they first occur, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten()
+    # white space at either end leaves an empty word there
+    real = pc.not_equal(words, "")
+    kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    cuts = split.offsets.to_numpy()
+    return words.filter(real).dictionary_encode(), np.diff(kept[cuts - cuts[0]])
 
 
 _subwords: dict[str, Subwords] = {}
@@ -145,54 +155,52 @@ def blocks_of(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYT
 
     def run(batches):
         coder = subwords(tokenizer_path)
-        part, number, size = TaskContext.get().partitionId(), 0, 0
-        places = Places()
-        indices, lengths, ids, held, turns = [], [], [], [], []
+        part, number, size, parts = TaskContext.get().partitionId(), 0, 0, []
+        names = ["block", "word", "place", "n", "ids", "places", "subwords", "ends"]
 
         def flush():
             nonlocal number, size
-            if not lengths:
+            if not parts:
                 return
             name = f"{part}-{number}"
-            words = list(places)
-            flat = np.concatenate(indices) if indices else np.zeros(0, np.int32)
-            train = np.repeat(~np.array(held), np.array(lengths))
-            counts = np.bincount(flat[train], minlength=len(words))
-            coded = coder.encode(words)
-            ends = np.cumsum([len(x) for x in coded], dtype=np.int64).astype("<u4")
-            id_array = pa.concat_arrays([x.cast(id_kind) for x in ids])
+            held = np.concatenate([x.column("held").to_numpy(zero_copy_only=False) for x, *_ in parts])
+            lengths = np.concatenate([n for *_, n in parts])
+            numbered = pa.chunked_array([w for _, w, _ in parts]).unify_dictionaries().chunks
+            words, flat = numbered[0].dictionary, np.concatenate([w.indices.to_numpy() for w in numbered])
+            id_array, turns = (pa.concat_arrays([x.column(c) for x, *_ in parts]) for c in ("doc_id", "turn"))
+            parts.clear()
+            del numbered
+            counts = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(words))
+            coded, sizes = coder.encode(words)
+            ends = (np.cumsum(sizes) * coded.itemsize).astype("<u4")
             members = pa.StructArray.from_arrays(
-                [id_array, pa.array(held), pa.array(turns, pa.int32()), pa.array(lengths, pa.int32())],
-                ["doc_id", "held", "turn", "length"])
+                [id_array, pa.array(held), turns, pa.array(lengths, pa.int32())], ["doc_id", "held", "turn", "length"])
             whole = pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), members)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), whole,
-                 *(pa.array([_packed(x)], pa.binary()) for x in (flat.astype("<u4").tobytes(), b"".join(coded), ends.tobytes()))],
+                 *(pa.array([_packed(x)], pa.binary()) for x in (flat.astype("<u4").tobytes(), coded.tobytes(), ends.tobytes()))],
                 names=names)
             for i in range(0, len(words), 20_000):
                 w = words[i:i + 20_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(w)), pa.array(w, pa.binary()), pa.array(np.arange(i, i + len(w)), pa.int32()),
+                    [pa.array([name] * len(w)), w.cast(pa.binary()), pa.array(np.arange(i, i + len(w)), pa.int32()),
                      pa.array(counts[i:i + len(w)], pa.int64()), pa.nulls(len(w), whole.type), *[pa.nulls(len(w), pa.binary())] * 3],
                     names=names)
             number, size = number + 1, 0
-            places.clear()
-            for x in (indices, lengths, ids, held, turns):
-                x.clear()
+            # Arrow keeps what it frees, and the block's room is wanted elsewhere
+            words = w = members = whole = None
+            pa.default_memory_pool().release_unused()
 
-        names = ["block", "word", "place", "n", "ids", "places", "subwords", "ends"]
         for batch in batches:
-            id_kind = batch.schema.field("doc_id").type
-            for i, (text, h, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "held", "turn")))):
-                own = text.encode("utf-8", "surrogatepass").lower().split()
-                indices.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
-                lengths.append(len(own))
-                ids.append(batch.column("doc_id").slice(i, 1))
-                held.append(h)
-                turns.append(t)
-                size += len(text)
-                if size >= block_bytes:
-                    yield from flush()
+            done = 0
+            for i, n in enumerate(pc.utf8_length(batch.column("_text")).to_pylist(), 1):
+                size += n
+                if size >= block_bytes or i == len(batch):
+                    texts = batch.slice(done, i - done)
+                    parts.append((texts.drop_columns(["_text"]), *words_of(texts.column("_text"))))
+                    done = i
+                    if size >= block_bytes:
+                        yield from flush()
         yield from flush()
 
     return map_arrow(rows, run, BLOCKS.format(id=id_type))
@@ -209,15 +217,30 @@ def _array(data: bytes, kind: str) -> np.ndarray:
 
 def _documents(row: dict, wanted=lambda member: True):
     """(member, word places, subwords) of a block's documents."""
-    places, ends = _array(row["places"], "<u4"), _array(row["ends"], "<u4").tolist()
-    data = zstandard.ZstdDecompressor().decompress(row["subwords"])
-    word = [data[a:b] for a, b in zip([0, *ends], ends)].__getitem__
-    at = 0
-    for member in row["ids"]:
+    places, ends, data = (_array(row[c], k) for c, k in (("places", "<u4"), ("ends", "<u4"), ("subwords", ID)))
+    ends = ends.astype(np.int64) // data.itemsize
+    sizes = np.diff(ends, prepend=0)
+    group, size, at = [], 0, 0
+    for i, member in enumerate(row["ids"], 1):
         own = places[at:at + member["length"]]
         at += member["length"]
         if wanted(member):
-            yield member, own, np.frombuffer(b"".join(map(word, own.tolist())), ID)
+            group.append((member, own))
+            size += len(own)
+        if group and (size >= WORDS or i == len(row["ids"])):
+            all_words = group[0][1] if len(group) == 1 else np.concatenate([own for _, own in group])
+            ids = np.concatenate([data[:0], *(_coded(all_words[a:a + WORDS], ends, sizes, data) for a in range(0, size, WORDS))])
+            cuts = np.concatenate([[0], np.cumsum(sizes[all_words])])[np.cumsum([0] + [len(own) for _, own in group])].tolist()
+            yield from ((*x, ids[a:b]) for x, a, b in zip(group, cuts, cuts[1:]))
+            group, size = [], 0
+
+
+def _coded(words: np.ndarray, ends: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The words' subwords, one word after another."""
+    n = np.take(sizes, words)
+    at = np.repeat(np.take(ends, words) - np.cumsum(n), n)
+    at += np.arange(len(at))
+    return np.take(data, at)
 
 
 def _rows(batches):
@@ -284,9 +307,14 @@ def fit(blocks: DataFrame, tokenizer_path: str, rounds: int = ROUNDS):
     def pairs(batches):
         total = np.zeros(k * k)
         for batch in batches:
-            for before, classes, last in zip(*(batch.column(c).to_pylist() for c in ("before", "classes", "last"))):
-                line = np.frombuffer((before[-1:] or END) + classes + (END if last else b""), np.uint8).astype(np.int64)
-                total += np.bincount(line[:-1] * k + line[1:], minlength=k * k)
+            lines = [(before[-1:] or END) + classes + (END if last else b"")
+                     for before, classes, last in zip(*(batch.column(c).to_pylist() for c in ("before", "classes", "last")))]
+            for i in range(0, len(lines), 64):
+                some = lines[i:i + 64]
+                line = np.frombuffer(b"".join(some), np.uint8).astype(np.uint16)
+                pair = line[:-1] * np.uint16(k) + line[1:]
+                # where one line meets the next is no pair
+                total += np.bincount(np.delete(pair, np.cumsum([len(x) for x in some])[:-1] - 1), minlength=k * k)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
                                           pa.array([total.tobytes()], pa.binary())], names=["task", "vector"])
 
@@ -392,13 +420,14 @@ def score(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES,
             unigram = (count + 1) / total
             last = (ends + 1) / total
             word_score = np.log10(unigram)
-            base = [(int((count[own] > 0).sum()) + (ends > 0), float(word_score[own].sum() + np.log10(last)))
-                    for _, own, _ in docs_here]
+            base = []
             # documents in groups of bounded size
             model, held, size = [], [], 0
             for i, (m, own, ids) in enumerate(docs_here):
-                left_out = None if m["held"] else np.append(count[own], ends) / (total - 1)
-                held.append((ids, np.flatnonzero(begins[ids]), np.append(unigram[own], last), left_out))
+                c = np.take(count, own)
+                base.append((np.count_nonzero(c) + (ends > 0), float(np.take(word_score, own).sum() + np.log10(last))))
+                left_out = None if m["held"] else np.append(c, ends) / (total - 1)
+                held.append((ids, np.flatnonzero(begins[ids]), np.append((c + 1) / total, last), left_out))
                 size += len(ids)
                 if size >= GROUP or i == len(docs_here) - 1:
                     model += _model_scores(held, params, bigram, of, share)
@@ -429,7 +458,7 @@ def _model_scores(documents: list[tuple], params, bigram, of, share) -> list[tup
     probabilities of the words and the end, the same with each one's own occurrence
     left out or None): word by word a mixture of what the attention model and the
     unigram model give, one figure for each share in ``MIXES``."""
-    inputs, has, target, real, _ = lm.windows([of[ids].astype(np.int64) for ids, *_ in documents])
+    inputs, has, target, real, _ = lm.windows([of[ids] for ids, *_ in documents])
     logs = lm.log_probs(params, bigram, inputs, has, target)[real].astype(np.float64)
     tokens = np.array([len(ids) + 1 for ids, *_ in documents])
     first = np.cumsum(tokens) - tokens

@@ -12,6 +12,7 @@ import brute
 import edge
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +238,36 @@ def test_lm_words_are_counted_in_one_exchange(spark):
     assert sorted(r["c"] for r in got if r["first"]) == sorted(n for n in total.values() if n)
 
 
+def test_lm_words_are_cut_and_numbered_as_bytes_are():
+    """Any ASCII white space cuts, no other does; A-Z only are lower-cased; numbers follow first occurrence, also over batches."""
+    rng = random.Random(3)
+    texts = [f"a{chr(i)}B" for i in range(0x300)] + ["", " ", "\n\tX\x0b\x0c\u00c0 \u0130\r", "A\x1cB\x85 \u2003c"]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x00aBb\u00c0\u00a0") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    for column in (pa.array(texts), pa.array(texts).slice(40, 700), pa.array([""]), pa.array(texts).slice(0, 0)):
+        want = [t.encode().lower().split() for t in column.to_pylist()]
+        words, lengths = lm_score.words_of(column)
+        assert [w.encode() for w in words.to_pylist()] == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+        assert words.dictionary.to_pylist() == list(dict.fromkeys(w.decode() for w in sum(want, [])))
+
+
+def test_lm_documents_of_a_block(monkeypatch):
+    """Subwords put together for many documents at once, and for a long one in parts."""
+    monkeypatch.setattr(lm_score, "WORDS", 8)
+    rng = np.random.default_rng(4)
+    coded = [rng.integers(0, 1 << 16, n).astype("<u2") for n in rng.integers(0, 5, 30)]
+    lengths = [0, 3, 40, 0, 7, 8, 9, 1, 0]
+    places = rng.integers(0, 30, sum(lengths))
+    ends = np.cumsum([2 * len(c) for c in coded])
+    row = {"ids": [{"length": n, "held": i % 3 == 1} for i, n in enumerate(lengths)]} | {
+        c: lm_score._packed(x.tobytes()) for c, x in (("places", places.astype("<u4")), ("ends", ends.astype("<u4")), ("subwords", np.concatenate(coded)))}
+    cuts = np.cumsum([0, *lengths])
+    for wanted in (lambda m: True, lambda m: not m["held"], lambda m: False):
+        got = list(lm_score._documents(row, wanted))
+        want = [places[a:b] for m, a, b in zip(row["ids"], cuts, cuts[1:]) if wanted(m)]
+        assert [own.tolist() for _, own, _ in got] == [w.tolist() for w in want]
+        assert [ids.tolist() for *_, ids in got] == [[x for w in own for x in coded[w].tolist()] for own in want]
+
+
 def test_attention_gradients_and_scores():
     """Analytic gradients equal differences; scoring equals the training forward
     pass; every token is scored once whatever the document's length."""
